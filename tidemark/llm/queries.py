@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.best_fit_packing import pack_documents
 from tidemark.llm.jaccard_join import ngram_jaccard_components
 from tidemark.llm.quality_classifier import fit_quality_classifier, score_quality
 from tidemark.llm.quality_rules import STOP_WORDS, apply_quality_rules
@@ -30,6 +31,10 @@ def op5_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (_remainder("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
 
 
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(_table(spark, sf_dir, "documents"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = apply_quality_rules(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -75,6 +80,7 @@ FROM base
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality_trees": op5_quality_trees,
+    "op6_best_fit_packing": op6_best_fit_packing,
     "op8_quality_rules": op8_quality_rules,
     "op10_ngram_jaccard": op10_ngram_jaccard,
 }
