@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.best_fit_packing import pack_documents
 from tidemark.llm.jaccard_join import ngram_jaccard_components
+from tidemark.llm.pitman_yor import score_texts
 from tidemark.llm.quality_classifier import fit_quality_classifier, score_quality
 from tidemark.llm.quality_rules import STOP_WORDS, apply_quality_rules
 from tidemark.llm.storage import ship
@@ -35,6 +36,11 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"))
 
 
+def op7_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = score_texts(_table(spark, sf_dir, "documents"), _remainder("doc_id", 7) != 2)
+    return scored.select(F.col("id").alias("doc_id"), (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = apply_quality_rules(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -81,6 +87,7 @@ FROM base
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality_trees": op5_quality_trees,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_pitman_yor": op7_pitman_yor,
     "op8_quality_rules": op8_quality_rules,
     "op10_ngram_jaccard": op10_ngram_jaccard,
 }
