@@ -37,7 +37,7 @@ CAPACITY = 2048
 CLOSING_ID = 0
 TOKENIZER = "word_bpe_49k.json"
 REMEMBERED = 1_500_000
-ROWS_EACH = 20_000
+ROWS_EACH = 5_000
 
 
 def default_tokenizer() -> str:

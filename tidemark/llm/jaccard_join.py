@@ -1,17 +1,19 @@
 """N-gram Jaccard join: size-banded tiles, hashed bitmap signatures, exact intersection of sorted arrays.
 
-Texts with equal shingle sets are one *node*. Candidates come from the prefix principle: order all shingles in one fixed
-way, and two sets of similarity 3/4 or more share one of the first n // 4 + 1 shingles of each. The order puts shingles
-that many texts hold last (a bounded table of them is gathered from all texts; it changes only the order, so only speed and never
-the result). Nodes that share a prefix shingle and lie in the same or the next size band (a *tile*) are
-candidates. Within a tile they are not paired with each other:
+Texts with equal shingle sets are one *node*. Nodes of the same or the next size band that share a key lie in one *tile* and are
+candidates, but within a tile they are not paired with each other:
 
-1. every node is compared with one leader of its tile, which joins most copies into components;
-2. only nodes outside the largest component of their tile are compared with the tile's other components.
+1. The keys are the smallest shingle hashes in SKETCH parts of the hash space. Every node is compared with one leader
+   of each of its tiles, which joins nearly all copies into components, g near copies for about g comparisons.
+2. The keys are prefix shingles: order all shingles in one fixed way, and two sets of similarity 3/4 or more share
+   one of the first n // 4 + 1 shingles of each, so nothing is missed. The order puts shingles that many texts hold last (a
+   bounded table of them is gathered from all texts; it changes only the order, so speed but never the
+   result). Only keys that several components share matter, and of these only the nodes outside the largest
+   component of a tile are compared with its other components.
 
-A pair whose nodes are already in one component needs no test, so no link that matters is lost and a group of
-g near copies costs about g comparisons. A comparison first bounds the overlap by bit counts of hashed bitmaps
-(each bit of one that the other lacks is a shingle that it lacks), then intersects the sorted arrays.
+A pair whose nodes are already in one component needs no test, so the components are exact. A comparison first bounds the
+overlap by bit counts of hashed bitmaps (each bit of one that the other lacks is a shingle that it lacks), then intersects
+the sorted arrays.
 
 Edge cases: null and blank texts have no shingles and are linked with nothing; texts of fewer words than a shingle
 are one shingle; repeated rows and equal doc_ids are kept row by row (a component's name is the smallest non-null
@@ -37,8 +39,10 @@ FREQUENT = 1 << 18
 #: A shingle is proposed as frequent where so many sets of a run of CHUNK shingles hold it.
 FREQUENT_IN_CHUNK = 8
 CHUNK = 2_000_000
-#: Rows of the candidates' side that may be broadcast; beyond it the texts are shuffled instead.
-BROADCAST_ROWS = 100_000
+#: Parts of the hash space whose smallest shingles find most copies cheaply.
+SKETCH = 8
+#: Rows (of two or a few integers) of a side joined to texts that may be broadcast; beyond it the texts are shuffled.
+BROADCAST_ROWS = 250_000
 ROWS_EACH = 2_000_000
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -81,6 +85,13 @@ def signature(shingles: np.ndarray) -> int:
     return int(mix(np.array([total], np.uint64)).view(np.int64)[0])
 
 
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    """The smallest shingle of each part of the hash space that has one; ``shingles`` is sorted."""
+    bounds = np.arange(SKETCH, dtype=np.uint64) << np.uint64(64 - (SKETCH - 1).bit_length())
+    at = np.searchsorted(shingles, bounds)
+    return shingles[np.unique(at[at < len(shingles)])].view(np.int64)
+
+
 def overlap_bound(a: np.ndarray, b: np.ndarray) -> int:
     """At least the size of the intersection, from bitmaps of about one bit a shingle."""
     bits = 1 << max(6, int(max(len(a), len(b)) - 1).bit_length())
@@ -115,7 +126,7 @@ _EDGES = size_band_edges(1 << 40)
 
 
 def _survey(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, node, null, null) of every text and (null, null, null, shingle, texts) of frequent shingles."""
+    """(doc_id, key, n, node, sketch, null, null) of every text and (null, .., shingle, texts) of frequent shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[np.ndarray] = []
@@ -130,10 +141,10 @@ def _survey(docs: DataFrame) -> DataFrame:
             often = counts >= FREQUENT_IN_CHUNK
             values, counts = values[often], counts[often].astype(np.int64)
             nulls = pa.nulls(len(values), pa.int64())
-            return pa.RecordBatch.from_arrays([nulls, nulls, nulls, pa.array(values.view(np.int64)), pa.array(counts)], names=names) if len(values) else None
+            return pa.RecordBatch.from_arrays([nulls, nulls, nulls, nulls, pa.nulls(len(values), pa.list_(pa.int64())), pa.array(values.view(np.int64)), pa.array(counts)], names=names) if len(values) else None
 
         for batch in batches:
-            for row, x in slices(batch.column(1)):
+            for row, x in slices(batch.column(2)):
                 sets = shingle_sets(x)
                 nodes = [signature(s) for s in sets]
                 for s, node in zip(sets, nodes, strict=True):
@@ -142,25 +153,26 @@ def _survey(docs: DataFrame) -> DataFrame:
                         kept.append(s)
                         held += len(s)
                 nulls = pa.nulls(len(x), pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(x)), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64()), nulls, nulls], names=names)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(x)), batch.column(1).slice(row, len(x)), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64()), pa.array([sketch(s) for s in sets], pa.list_(pa.int64())), nulls, nulls], names=names)
                 if held >= CHUNK and (out := frequent()):
                     yield out
         if out := frequent():
             yield out
 
-    names = ["doc_id", "n", "node", "shingle", "texts"]
-    return settle(docs.mapInArrow(run, "doc_id long, n long, node long, shingle long, texts long"), "survey")
+    names = ["doc_id", "key", "n", "node", "sketch", "shingle", "texts"]
+    return settle(docs.select("_id", "_key", "_text").mapInArrow(run, "doc_id long, key long, n long, node long, sketch array<long>, shingle long, texts long"), "survey")
 
 
-def _shared_prefixes(docs: DataFrame, frequent: np.ndarray, parts: int) -> DataFrame:
-    """(shingle, node, n, place) for the prefix shingles that more than one node has."""
+def _contested_prefixes(docs: DataFrame, components: DataFrame, frequent: np.ndarray, parts: int) -> DataFrame:
+    """(shingle, node, component, n, place) for the prefix shingles that more than one component has."""
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen: set[int] = set()
-            for _, x in slices(batch.column(0)):
-                h, node, n, place = [], [], [], []
-                for s in shingle_sets(x):
+            known, components = batch.column(1), batch.column(2)
+            for row, x in slices(batch.column(0)):
+                h, node, component, n, place = [], [], [], [], []
+                for i, s in enumerate(shingle_sets(x)):
                     if not len(s) or (name := signature(s)) in seen:
                         continue
                     seen.add(name)
@@ -171,52 +183,52 @@ def _shared_prefixes(docs: DataFrame, frequent: np.ndarray, parts: int) -> DataF
                         s = np.concatenate((s[~often], s[often]))
                     h.append(s[:k])
                     node.append(np.full(k, name, np.int64))
+                    component.append(np.full(k, components[row + i].as_py() if known[row + i].as_py() == name else 0, np.int64))
                     n.append(np.full(k, len(s), np.int64))
                     place.append(np.arange(k, dtype=np.int64))
                 if h:
                     size = np.concatenate(n)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(h).view(np.int64)), pa.array(np.concatenate(node)), pa.array((size << 32) | np.concatenate(place))], names=["shingle", "node", "size"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(h).view(np.int64)), pa.array(np.concatenate(node)), pa.array(np.concatenate(component)), pa.array((size << 32) | np.concatenate(place))], names=["shingle", "node", "component", "size"])
 
-    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        columns = [[b.column(i).to_numpy() for i in range(3)] for b in batches if b.num_rows]
+    def contested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        columns = [[b.column(i).to_numpy() for i in range(4)] for b in batches if b.num_rows]
         if not columns:
             return
-        h, node, size = (np.concatenate(c) for c in zip(*columns, strict=True))
+        h, node, component, size = (np.concatenate(c) for c in zip(*columns, strict=True))
         del columns
+        component = np.where(component == 0, node, component)
         order = np.argsort(h, kind="stable")
-        h = h[order]
-        twin = np.zeros(len(h), bool)
-        twin[1:] = h[1:] == h[:-1]
-        twin[:-1] |= twin[1:]
-        order = order[twin]
-        h, node, size = h[twin], node[order], size[order]
+        h, node, component, size = h[order], node[order], component[order], size[order]
+        first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+        several = np.minimum.reduceat(component, first) != np.maximum.reduceat(component, first)
+        keep = np.repeat(several, np.diff(np.append(first, len(h))))
+        h, node, component, size = h[keep], node[keep], component[keep], size[keep]
         order = np.lexsort((node, h))
-        h, node, size = h[order], node[order], size[order]
+        h, node, component, size = h[order], node[order], component[order], size[order]
         new = np.ones(len(h), bool)
         new[1:] = (h[1:] != h[:-1]) | (node[1:] != node[:-1])
-        h, node, size = h[new], node[new], size[new]
-        twin = np.zeros(len(h), bool)
-        twin[1:] = h[1:] == h[:-1]
-        twin[:-1] |= twin[1:]
-        h, node, size = h[twin], node[twin], size[twin]
+        h, node, component, size = h[new], node[new], component[new], size[new]
         for at in range(0, len(h), 1 << 16):
             to = slice(at, at + (1 << 16))
-            yield pa.RecordBatch.from_arrays([pa.array(h[to]), pa.array(node[to]), pa.array(size[to] >> 32), pa.array(size[to] & 0xFFFFFFFF)], names=["shingle", "node", "n", "place"])
+            yield pa.RecordBatch.from_arrays([pa.array(v[to]) for v in (h, node, component, size >> 32, size & 0xFFFFFFFF)], names=["shingle", "node", "component", "n", "place"])
 
-    rows = docs.select("_text").mapInArrow(prefixes, "shingle long, node long, size long").repartition(parts, "shingle")
-    return settle(rows.mapInArrow(shared, "shingle long, node long, n long, place long"), "prefixes")
+    if components.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        components = F.broadcast(components)
+    docs = docs.join(components, "_key", "left").select("_text", "node", "component")
+    rows = docs.mapInArrow(prefixes, "shingle long, node long, component long, size long").repartition(parts, "shingle")
+    return settle(rows.mapInArrow(contested, "shingle long, node long, component long, n long, place long"), "prefixes")
 
 
 def _verify(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of nodes that are linked. ``nodes``: (node, n, rep), rep being a doc_id that has the node."""
+    """The pairs (a, b) of nodes that are linked. ``nodes``: (node, key), the key of one text that has the node."""
     pairs = settle(pairs, "pairs")
     # A node's partners among leaders are at most its prefix shingles, so the lists are no longer than its text.
     wanted = pairs.select(F.col("b").alias("node"), "a").union(pairs.select(F.col("a").alias("node"), "a").distinct())
-    wanted = wanted.groupBy("node").agg(F.collect_set("a").alias("leaders")).join(nodes.select("node", "rep"), "node")
+    wanted = wanted.groupBy("node").agg(F.collect_set("a").alias("leaders")).join(nodes.select("node", F.col("key").alias("_key")), "node")
     wanted = settle(wanted, "wanted")
     if wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS and pairs.limit(5 * BROADCAST_ROWS + 1).count() <= 5 * BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
-    texts = docs.join(wanted, docs["_id"].eqNullSafe(wanted["rep"])).select("_text", "node", "leaders")
+    texts = docs.join(wanted, "_key").select("_text", "node", "leaders")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -261,26 +273,29 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     spark = docs.sparkSession
     ship(spark)
     docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{text_col}`").alias("_text"))
+    # A row's key brings rows of later tables back to their text; doc_ids may be null or repeated.
+    docs = docs.withColumn("_key", F.xxhash64("_id", "_text"))
     survey = _survey(docs)
-    rows = survey.where("n is not null").select("doc_id", "n", "node")
+    rows = survey.where("n is not null").select("doc_id", "key", "n", "node")
     often = survey.where("shingle is not null").groupBy("shingle").agg(F.sum("texts").alias("texts"))
     often = [r[0] for r in often.orderBy(F.desc("texts"), "shingle").limit(FREQUENT).select("shingle").collect()]
     frequent = np.sort(np.array(often, np.int64).view(np.uint64))
     total = rows.agg(F.sum(F.floor(F.col("n") / 4) + 1)).first()[0] or 0
-    nodes = settle(rows.where("n > 0").groupBy("node", "n").agg(F.min("doc_id").alias("rep")), "nodes")
-    prefixes = _shared_prefixes(docs, frequent, shuffle_partitions(spark, int(total), ROWS_EACH))
-
-    band = _band("n")
-    tiles = prefixes.withColumn("band", band).withColumn("tile", F.explode(F.array(F.col("band") - 1, F.col("band"))))
-    # 1. Everyone against the leader of the tile.
-    leaders = settle(tiles.groupBy("shingle", "tile").agg(F.min(F.struct("node", "n", "place")).alias("l"), F.max("node").alias("top")).where("l.node < top").select("shingle", "tile", F.col("l.node").alias("a"), F.col("l.n").alias("an"), F.col("l.place").alias("ap")), "tiles")
-    near = tiles.join(leaders, ["shingle", "tile"]).where("node <> a").where(_may_link("n", "place", "an", "ap"))
+    nodes = settle(survey.where("n > 0").groupBy("node", "n").agg(F.min("doc_id").alias("rep"), F.min("key").alias("key"), F.first("sketch").alias("sketch")), "nodes")
+    tile = F.explode(F.array(F.col("band") - 1, F.col("band")))
+
+    # 1. Everyone against the leader of each tile of sketch keys.
+    tiles = nodes.withColumn("band", _band("n")).select("node", "n", "band", F.explode("sketch").alias("key")).withColumn("tile", tile)
+    leaders = tiles.groupBy("key", "tile").agg(F.min(F.struct("node", "n")).alias("l"), F.max("node").alias("top")).where("l.node < top")
+    leaders = settle(leaders.select("key", "tile", F.col("l.node").alias("a"), F.col("l.n").alias("an")), "tiles")
+    near = tiles.join(leaders, ["key", "tile"]).where("node <> a and 4 * least(n, an) >= 3 * greatest(n, an)")
     links = _verify(docs, nodes, near.select("a", F.col("node").alias("b")).distinct())
     first = settle(connected_components(links), "components")
 
     # 2. What is outside the largest component of a tile against the tile's other components.
-    placed = tiles.join(leaders.select("shingle", "tile"), ["shingle", "tile"], "left_semi").join(first, "node", "left")
-    placed = placed.select("shingle", "tile", "node", "n", "place", F.coalesce("component", "node").alias("component"))
+    joined = settle(rows.select(F.col("key").alias("_key"), "node").join(first, "node").distinct(), "joined")
+    prefixes = _contested_prefixes(docs, joined, frequent, shuffle_partitions(spark, int(total), ROWS_EACH))
+    placed = prefixes.withColumn("band", _band("n")).withColumn("tile", tile).drop("band")
     counted = placed.groupBy("shingle", "tile", "component").agg(F.count("*").alias("members"))
     largest = counted.groupBy("shingle", "tile").agg(F.max_by("component", F.struct("members", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
     mixed = settle(placed.join(settle(largest, "largest"), ["shingle", "tile"]), "mixed")
@@ -295,7 +310,7 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     second = connected_components(ends).select(F.col("node").alias("component"), F.col("component").alias("second"))
 
     # Names: the smallest doc_id of a component, brought back to each row.
-    member = nodes.join(first, "node", "left").withColumn("component", F.coalesce("component", "node")).join(second, "component", "left").withColumn("component", F.coalesce("second", "component"))
+    member = nodes.select("node", "n", "rep").join(first, "node", "left").withColumn("component", F.coalesce("component", "node")).join(second, "component", "left").withColumn("component", F.coalesce("second", "component"))
     member = settle(member.select("node", "n", "component", "rep"), "members")
     names = settle(member.groupBy("component").agg(F.min("rep").alias("component_id")), "names")
     member = settle(member.join(names, "component").select("node", "n", "component_id"), "named")

@@ -91,16 +91,17 @@ def word_statistics(df: DataFrame, text_col: str = "text") -> DataFrame:
         lambda s, i: F.struct((s["n"] + F.least(F.lit(3), i - s["last"])).alias("n"), i.alias("last")),
         lambda s: s["n"],
     )
-    return step.select(
-        *[F.col(f"`{c}`") for c in kept],
-        F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
-        "n_symbols",
-        F.size("_words").cast("long").alias("n_words"),
-        F.size("_lines").cast("long").alias("n_lines"),
-        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        covered.cast("long").alias("n_repeat_words"),
-        F.size(F.filter("_words", lambda w: F.lower(w).isin(STOP_WORDS))).cast("long").alias("n_stop_words"),
-    )
+    counts = {
+        "word_chars": F.length(F.array_join("_words", "")),
+        "n_symbols": F.col("n_symbols"),
+        "n_words": F.size("_words"),
+        "n_lines": F.size("_lines"),
+        "n_dup_lines": F.size("_lines") - F.size(F.array_distinct("_lines")),
+        "n_repeat_words": covered,
+        "n_stop_words": F.size(F.filter("_words", lambda w: F.lower(w).isin(STOP_WORDS))),
+    }
+    # A generator of one row: filters on its columns stay above it, so they never work the arrays out anew.
+    return step.select(*[F.col(f"`{c}`") for c in kept], F.inline(F.array(F.struct(*[v.cast("long").alias(k) for k, v in counts.items()]))))
 
 
 def ratios() -> dict[str, Column]:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.best_fit_packing import pack_documents
 from tidemark.llm.jaccard_join import ngram_jaccard_components
+from tidemark.llm.mixing import mix_to_targets
 from tidemark.llm.pitman_yor import score_texts
 from tidemark.llm.quality_classifier import fit_quality_classifier, score_quality
 from tidemark.llm.quality_rules import STOP_WORDS, apply_quality_rules
@@ -25,6 +26,13 @@ def _remainder(column: str, divisor: int) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % divisor
 
 
+def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "poor").when(F.col("quality") == 1, "clean")
+    rates = mix_to_targets(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), domain, {"clean": 0.94, "poor": 0.04, "toxic": 0.02})
+    names = [F.col("posteriors")[k].alias(f"p_{name}") for k, name in enumerate(("clean", "poor", "toxic"))]
+    return rates.select("doc_id", "n_tokens", *names, "rate", "copies")
+
+
 def op5_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     forest = fit_quality_classifier(docs, labels.where(_remainder("doc_id", 3) != 1))
@@ -85,6 +93,7 @@ FROM base
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_source_mixing": op2_source_mixing,
     "op5_quality_trees": op5_quality_trees,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_pitman_yor": op7_pitman_yor,
