@@ -37,7 +37,7 @@ WIDTH = 5
 #: Most frequent shingles that are ordered last, at most so many (2 MB).
 FREQUENT = 1 << 18
 #: A shingle is proposed as frequent where so many sets of a run of CHUNK shingles hold it.
-FREQUENT_IN_CHUNK = 8
+FREQUENT_IN_CHUNK = 3
 CHUNK = 2_000_000
 #: Parts of the hash space whose smallest shingles find most copies cheaply.
 SKETCH = 8
@@ -92,23 +92,26 @@ def sketch(shingles: np.ndarray) -> np.ndarray:
     return shingles[np.unique(at[at < len(shingles)])].view(np.int64)
 
 
-def overlap_bound(a: np.ndarray, b: np.ndarray) -> int:
-    """At least the size of the intersection, from bitmaps of about one bit a shingle."""
-    bits = 1 << max(6, int(max(len(a), len(b)) - 1).bit_length())
-    maps = []
-    for s in (a, b):
-        flags = np.zeros(bits, bool)
-        flags[(s & np.uint64(bits - 1)).astype(np.int64)] = True
-        maps.append(np.packbits(flags).view(np.uint64))
-    only_a = int(np.bitwise_count(maps[0] & ~maps[1]).sum())
-    only_b = int(np.bitwise_count(maps[1] & ~maps[0]).sum())
-    return min(len(a) - only_a, len(b) - only_b)
+def bitmap(shingles: np.ndarray) -> np.ndarray:
+    """A hashed bitmap of a set with two to four bits a shingle, in 64-bit words."""
+    bits = 1 << max(6, int(2 * len(shingles) - 1).bit_length())
+    flags = np.zeros(bits, bool)
+    flags[(shingles & np.uint64(bits - 1)).astype(np.int64)] = True
+    return np.packbits(flags, bitorder="little").view(np.uint64)
+
+
+def overlap_bound(n1: int, map1: np.ndarray, n2: int, map2: np.ndarray) -> int:
+    """At least the size of the intersection of two sets, from their sizes and bitmaps."""
+    width = min(len(map1), len(map2))
+    # Low bits of a hash place a shingle, so a wider bitmap folds onto a narrower one.
+    map1, map2 = (np.bitwise_or.reduce(m.reshape(-1, width), axis=0) for m in (map1, map2))
+    return min(n1 - int(np.bitwise_count(map1 & ~map2).sum()), n2 - int(np.bitwise_count(map2 & ~map1).sum()))
 
 
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
     """100 * intersection >= 75 * union, that is 7 * intersection >= 3 * (sizes)."""
     need = 3 * (len(a) + len(b))
-    if 7 * min(len(a), len(b)) < need or 7 * overlap_bound(a, b) < need:
+    if 7 * min(len(a), len(b)) < need:
         return False
     at = np.minimum(np.searchsorted(a, b), len(a) - 1)
     return 7 * int((a[at] == b).sum()) >= need
@@ -126,7 +129,7 @@ _EDGES = size_band_edges(1 << 40)
 
 
 def _survey(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, n, node, sketch, null, null) of every text and (null, .., shingle, texts) of frequent shingles."""
+    """(doc_id, key, n, node, sketch, bits, null, null) of every text and (null, .., shingle, texts) of frequent shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[np.ndarray] = []
@@ -141,7 +144,7 @@ def _survey(docs: DataFrame) -> DataFrame:
             often = counts >= FREQUENT_IN_CHUNK
             values, counts = values[often], counts[often].astype(np.int64)
             nulls = pa.nulls(len(values), pa.int64())
-            return pa.RecordBatch.from_arrays([nulls, nulls, nulls, nulls, pa.nulls(len(values), pa.list_(pa.int64())), pa.array(values.view(np.int64)), pa.array(counts)], names=names) if len(values) else None
+            return pa.RecordBatch.from_arrays([nulls, nulls, nulls, nulls, pa.nulls(len(values), pa.list_(pa.int64())), pa.nulls(len(values), pa.binary()), pa.array(values.view(np.int64)), pa.array(counts)], names=names) if len(values) else None
 
         for batch in batches:
             for row, x in slices(batch.column(2)):
@@ -153,14 +156,14 @@ def _survey(docs: DataFrame) -> DataFrame:
                         kept.append(s)
                         held += len(s)
                 nulls = pa.nulls(len(x), pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(x)), batch.column(1).slice(row, len(x)), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64()), pa.array([sketch(s) for s in sets], pa.list_(pa.int64())), nulls, nulls], names=names)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(x)), batch.column(1).slice(row, len(x)), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64()), pa.array([sketch(s) for s in sets], pa.list_(pa.int64())), pa.array([bitmap(s).tobytes() for s in sets], pa.binary()), nulls, nulls], names=names)
                 if held >= CHUNK and (out := frequent()):
                     yield out
         if out := frequent():
             yield out
 
-    names = ["doc_id", "key", "n", "node", "sketch", "shingle", "texts"]
-    return settle(docs.select("_id", "_key", "_text").mapInArrow(run, "doc_id long, key long, n long, node long, sketch array<long>, shingle long, texts long"), "survey")
+    names = ["doc_id", "key", "n", "node", "sketch", "bits", "shingle", "texts"]
+    return settle(docs.select("_id", "_key", "_text").mapInArrow(run, "doc_id long, key long, n long, node long, sketch array<long>, bits binary, shingle long, texts long"), "survey")
 
 
 def _contested_prefixes(docs: DataFrame, components: DataFrame, frequent: np.ndarray, parts: int) -> DataFrame:
@@ -220,8 +223,20 @@ def _contested_prefixes(docs: DataFrame, components: DataFrame, frequent: np.nda
 
 
 def _verify(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of nodes that are linked. ``nodes``: (node, key), the key of one text that has the node."""
-    pairs = settle(pairs, "pairs")
+    """The pairs (a, b) of nodes that are linked. ``nodes``: (node, n, bits, key), the key of one text that has the node."""
+
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n1, n2, bits1, bits2 = (batch.column(i) for i in range(2, 6))
+            n1, n2, keep = n1.to_pylist(), n2.to_pylist(), []
+            for i in range(batch.num_rows):
+                bound = overlap_bound(n1[i], np.frombuffer(bits1[i].as_buffer(), np.uint64), n2[i], np.frombuffer(bits2[i].as_buffer(), np.uint64))
+                keep.append(7 * bound >= 3 * (n1[i] + n2[i]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    for end in ("a", "b"):
+        pairs = pairs.join(nodes.select(F.col("node").alias(end), F.col("n").alias(f"n_{end}"), F.col("bits").alias(f"bits_{end}")), end)
+    pairs = settle(pairs.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(bounded, "a long, b long"), "pairs")
     # A node's partners among leaders are at most its prefix shingles, so the lists are no longer than its text.
     wanted = pairs.select(F.col("b").alias("node"), "a").union(pairs.select(F.col("a").alias("node"), "a").distinct())
     wanted = wanted.groupBy("node").agg(F.collect_set("a").alias("leaders")).join(nodes.select("node", F.col("key").alias("_key")), "node")
@@ -281,7 +296,7 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     often = [r[0] for r in often.orderBy(F.desc("texts"), "shingle").limit(FREQUENT).select("shingle").collect()]
     frequent = np.sort(np.array(often, np.int64).view(np.uint64))
     total = rows.agg(F.sum(F.floor(F.col("n") / 4) + 1)).first()[0] or 0
-    nodes = settle(survey.where("n > 0").groupBy("node", "n").agg(F.min("doc_id").alias("rep"), F.min("key").alias("key"), F.first("sketch").alias("sketch")), "nodes")
+    nodes = settle(survey.where("n > 0").groupBy("node", "n").agg(F.min("doc_id").alias("rep"), F.min("key").alias("key"), F.first("sketch").alias("sketch"), F.first("bits").alias("bits")), "nodes")
     tile = F.explode(F.array(F.col("band") - 1, F.col("band")))
 
     # 1. Everyone against the leader of each tile of sketch keys.
