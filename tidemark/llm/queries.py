@@ -7,13 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.ann_codes import nearest
 from tidemark.llm.best_fit_packing import pack_documents
 from tidemark.llm.jaccard_join import ngram_jaccard_components
 from tidemark.llm.mixing import mix_to_targets
 from tidemark.llm.pitman_yor import score_texts
 from tidemark.llm.quality_classifier import fit_quality_classifier, score_quality
 from tidemark.llm.quality_rules import STOP_WORDS, apply_quality_rules
-from tidemark.llm.storage import ship
+from tidemark.llm.storage import new_path, ship
+from tidemark.llm.warc import payload_table, read_warc, write_warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +35,10 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rates.select("doc_id", "n_tokens", *names, "rate", "copies")
 
 
+def op4_rotated_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op5_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     forest = fit_quality_classifier(docs, labels.where(_remainder("doc_id", 3) != 1))
@@ -54,6 +60,13 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op9_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "warc")
+    write_warc(payload_table(_table(spark, sf_dir, "pages")), path)
+    records = read_warc(spark, path, payloads=False).where("record_type <> 'gap'")
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_components(_table(spark, sf_dir, "documents"))
 
@@ -94,11 +107,25 @@ FROM base
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_source_mixing": op2_source_mixing,
+    "op4_rotated_codes": op4_rotated_codes,
     "op5_quality_trees": op5_quality_trees,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_pitman_yor": op7_pitman_yor,
     "op8_quality_rules": op8_quality_rules,
+    "op9_warc_salvage": op9_warc_salvage,
     "op10_ngram_jaccard": op10_ngram_jaccard,
 }
 
-ORACLE_SQL: dict[str, str] = {"op8_quality_rules": OP8_SQL}
+OP9_SQL = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, sha256(coalesce(html, '')) AS payload_digest,
+         CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes
+  FROM pages WHERE page_id IS NOT NULL),
+g AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS least FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND page_id <> least THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND page_id <> least THEN least END AS refers_to
+FROM g
+"""
+
+ORACLE_SQL: dict[str, str] = {"op8_quality_rules": OP8_SQL, "op9_warc_salvage": OP9_SQL}
