@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.ann_codes import nearest
 from tidemark.llm.best_fit_packing import pack_documents
+from tidemark.llm.chat_format import CONVERSATION_TOOLS, conversation_calls, link_tool_calls
+from tidemark.llm.html_text import extract_text
 from tidemark.llm.jaccard_join import ngram_jaccard_components
 from tidemark.llm.mixing import mix_to_targets
 from tidemark.llm.pitman_yor import score_texts
@@ -28,6 +30,14 @@ def _remainder(column: str, divisor: int) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % divisor
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(_table(spark, sf_dir, "pages")).select("page_id", "url", "text")
+
+
+def op3_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_tool_calls(*conversation_calls(_table(spark, sf_dir, "conversations")), CONVERSATION_TOOLS)
+
+
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "poor").when(F.col("quality") == 1, "clean")
     rates = mix_to_targets(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), domain, {"clean": 0.94, "poor": 0.04, "toxic": 0.02})
@@ -106,7 +116,9 @@ FROM base
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html_text": op1_html_text,
     "op2_source_mixing": op2_source_mixing,
+    "op3_tool_calls": op3_tool_calls,
     "op4_rotated_codes": op4_rotated_codes,
     "op5_quality_trees": op5_quality_trees,
     "op6_best_fit_packing": op6_best_fit_packing,
