@@ -1,4 +1,4 @@
-"""The registered queries of the panel library and their SQL twins."""
+"""The registered queries of the panel library and their DuckDB twins, by name."""
 
 from __future__ import annotations
 
@@ -6,9 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from tidemark.plans import evaluation, features, finance, learned, quality
+from tidemark.plans.common import flagship
+
+Query = Callable[[SparkSession, str], DataFrame]
 
+QUERIES: dict[str, Query] = {}
+ORACLE_SQL: dict[str, str] = {}
+for _part in (features, quality, evaluation, finance, learned):
+    QUERIES |= _part.QUERIES
+    ORACLE_SQL |= _part.ORACLE_SQL
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+__all__ = ["ORACLE_SQL", "QUERIES", "flagship"]
