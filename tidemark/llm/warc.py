@@ -52,8 +52,8 @@ def payload_table(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     return rows.join(revisits, ["page_id", "payload_digest"], "left").select("page_id", "url", "payload", "payload_bytes", "payload_digest", "refers_to")
 
 
-def write_warc(payloads: DataFrame, path: str) -> None:
-    """Writes the rows of :func:`payload_table` as WARC files below ``path``."""
+def write_warc(payloads: DataFrame, path: str, compression: str = "gzip") -> None:
+    """Writes the rows of :func:`payload_table` as WARC files below ``path``: each one gzip member, or plain with ``none``."""
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
     revisit = F.col("refers_to").isNotNull()
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\n"), line("Content-Length", F.col("payload_bytes").cast("string")), F.lit("\r\n"))
@@ -71,7 +71,7 @@ def write_warc(payloads: DataFrame, path: str) -> None:
         F.lit("\r\n"),
         block,
     )
-    payloads.select(record.alias("value")).write.option("lineSep", CLOSING).text(path)
+    payloads.select(record.alias("value")).write.options(lineSep=CLOSING, compression=compression).text(path)
 
 
 def _headers(lines: bytes) -> dict[str, str]:
@@ -113,21 +113,23 @@ def _record(data: bytes, at: int) -> tuple[dict | None, int, str]:
     return row | {"payload_bytes": int(size), "payload_digest": digest, "refers_to": int(refers) if kind == "revisit" else None}, end + 4, ""
 
 
-def _members(data: bytes) -> Iterator[tuple[int, int, bytes | None, str]]:
-    """(start, end, content, reason) of the gzip members of a file; content is None for what can't be opened."""
+def _members(data: bytes) -> Iterator[tuple[int, int, bytes, str]]:
+    """(start, end, content, reason) of the gzip members of a file; of a damaged one the content before the damage."""
     at = 0
     while at < len(data):
-        unpack = zlib.decompressobj(31)
+        unpack, parts, k, reason = zlib.decompressobj(31), [], at, ""
         try:
-            content = unpack.decompress(data[at:])
-            if not unpack.eof:
-                raise zlib.error("cut off")
-            end = len(data) - len(unpack.unused_data)
-            yield at, end, content, ""
+            while not unpack.eof and k < len(data):
+                parts.append(unpack.decompress(data[k : k + 65536]))
+                k += 65536
+            reason = "" if unpack.eof else "member is cut off"
         except zlib.error as e:
+            reason = f"member: {e}"
+        end = min(k, len(data)) - len(unpack.unused_data)
+        if reason:
             end = data.find(b"\x1f\x8b\x08", at + 1)
             end = len(data) if end < 0 else end
-            yield at, end, None, f"member: {e}"
+        yield at, end, b"".join(parts), reason
         at = end
 
 
@@ -138,9 +140,13 @@ def salvage(data: bytes) -> Iterator[dict]:
     """
     if data[:2] == b"\x1f\x8b" or (b"\x1f\x8b\x08" in data and not VERSION.search(data)):
         for start, end, content, reason in _members(data):
-            rows = salvage(content) if content is not None else [{"record_type": "gap", "gap_start": 0, "gap_end": 0, "reason": reason}]
-            for row in rows:
-                yield row | ({"gap_start": start, "gap_end": end} if row["record_type"] == "gap" else {})
+            for row in salvage(content):
+                if row["record_type"] != "gap":
+                    yield row
+                elif not reason:
+                    yield row | {"gap_start": start, "gap_end": end}
+            if reason:
+                yield {"record_type": "gap", "gap_start": start, "gap_end": end, "reason": reason}
         return
     at, gap, why = 0, None, ""
     while at < len(data):
