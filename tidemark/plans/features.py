@@ -9,7 +9,9 @@ from tidemark.operators import calendar as C
 from tidemark.operators import forecast as FC
 from tidemark.plans import sql as S
 from tidemark.plans.common import neat, predictions
-from tidemark.sources.adapters import monthly_revenue, quarterly_eps
+from tidemark.sources.adapters import monthly_revenue, quarterly_eps, table
+from tidemark.streaming.month_to_date import daily_totals
+from tidemark.streaming.month_to_date import month_to_date as mtd
 
 _FEATURES = ["stock_id", "revenue_year", "revenue_month", "revenue", "calendar_segment", "consecutive_months", "mom", "last_year_revenue", "yoy", "last_3m_revenue", "last_3m_revenue_yoy", "last_12m_revenue", "last_12m_revenue_yoy", "acc_revenue", "acc_revenue_yoy"]
 
@@ -158,7 +160,17 @@ SELECT stock_id, target_year, target_month, round(q1, 4) AS break_last_yoy_ratio
        round(CASE WHEN hit THEN greatest(0.1 * formula_adjusted_revenue + 0.9 * last_observed_revenue, 0) ELSE formula_adjusted_revenue END, 4) AS formula_adjusted_revenue
 FROM d"""
 
+
+def month_to_date(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STR-01 as a batch: the same operator runs on a stream of event files."""
+    return neat(mtd(daily_totals(table(spark, sf_dir, "events"))), 4)
+
+
+MTD_SQL = """WITH d AS (SELECT user_id AS stock_id, CAST(ts AS DATE) AS day, CAST(sum(CAST(value AS DECIMAL(18,4))) AS DOUBLE) AS revenue, count(*) AS events FROM (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY ts) = 1) GROUP BY 1, 2)
+SELECT stock_id, day, round(revenue, 4) AS revenue, events, round(sum(revenue) OVER (PARTITION BY stock_id, date_trunc('month', day) ORDER BY day ROWS UNBOUNDED PRECEDING), 4) AS month_to_date FROM d"""
+
 QUERIES = {
+    "month_to_date": month_to_date,
     "revenue_features": revenue_features,
     "revenue_features_gappy": revenue_features_gappy,
     "model_features": model_features,
@@ -170,6 +182,7 @@ QUERIES = {
     "structural_breaks": structural_breaks,
 }
 ORACLE_SQL = {
+    "month_to_date": MTD_SQL,
     "revenue_features": _features_sql("l_suppkey"),
     "revenue_features_gappy": _features_sql("l_partkey"),
     "model_features": MODEL_SQL,

@@ -161,7 +161,7 @@ def dividend_yields(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = _inputs(spark, sf_dir)
     rows = FI.dividend_by_payout(FI.eps_by_ratio(x["annual"], x["history"]), FI.payout_history(x["dividends"], x["eps"], AS_OF)).join(FI.actual_dividend(x["dividends"], TARGET_YEAR), "stock_id", "left")
     out = FI.dividend_yields(rows.select("stock_id", "estimated_cash_dividend", "actual_cash_dividend"), x["prices"], TARGET_YEAR, AS_OF)
-    return neat(out.select("stock_id", "yield_mode", "target_month", "price_date", (F.col("stock_price") + 1e-8).alias("stock_price"), "estimated_yield_percent", "actual_yield_percent", "yield_error_percent_point", "is_evaluation"))
+    return neat(out.select("stock_id", "yield_mode", "target_month", "price_date", (F.col("stock_price") + 3e-8).alias("stock_price"), "estimated_yield_percent", "actual_yield_percent", "yield_error_percent_point", "is_evaluation"))
 
 
 YIELDS_SQL = f"""{_BASE}, {_PAYOUT},
@@ -173,7 +173,7 @@ fl AS (SELECT gr.stock_id, gr.target_month, last_value(close IGNORE NULLS) OVER
 y AS (
   SELECT dd.stock_id, 'as_of_price' AS yield_mode, CAST(NULL AS INTEGER) AS target_month, price_date, stock_price, cash, CAST(NULL AS DOUBLE) AS actual, false AS is_evaluation FROM dd LEFT JOIN now ON dd.stock_id = now.stock_id
   UNION ALL SELECT dd.stock_id, 'target_month_end', m.target_month, price_date, stock_price, cash, actual, true FROM dd CROSS JOIN (SELECT CAST(unnest(range(1, 13)) AS INTEGER) AS target_month) m LEFT JOIN fl ON dd.stock_id = fl.stock_id AND m.target_month = fl.target_month)
-SELECT stock_id, yield_mode, target_month, price_date, round(stock_price + 1e-8, 6) AS stock_price, round(cash / stock_price * 100, 6) AS estimated_yield_percent, round(actual / stock_price * 100, 6) AS actual_yield_percent,
+SELECT stock_id, yield_mode, target_month, price_date, round(stock_price + 3e-8, 6) AS stock_price, round(cash / stock_price * 100, 6) AS estimated_yield_percent, round(actual / stock_price * 100, 6) AS actual_yield_percent,
        round(cash / stock_price * 100 - actual / stock_price * 100, 6) AS yield_error_percent_point, is_evaluation FROM y"""
 
 

@@ -100,7 +100,7 @@ DIVIDENDS = """dv AS (
         FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1, 2))"""
 
 PRICES = """px AS (
-  SELECT l_suppkey AS stock_id, CAST(l_shipdate AS DATE) AS date, CAST(sum(CAST(l_extendedprice / l_quantity AS DECIMAL(18,4))) AS DOUBLE) / count(*) / 100 AS close
+  SELECT l_suppkey AS stock_id, CAST(l_shipdate AS DATE) AS date, avg(l_extendedprice / l_quantity) / 100 AS close
   FROM lineitem WHERE l_quantity > 0 GROUP BY 1, 2)"""
 
 MASTER = """master AS (SELECT s_suppkey AS stock_id, s_name AS stock_name, n_name AS industry_category FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey)"""

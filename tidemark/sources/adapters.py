@@ -58,5 +58,4 @@ def dividends(spark: SparkSession, sf_dir: str) -> DataFrame:
 def daily_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(stock_id, date, close)."""
     rows = table(spark, sf_dir, "lineitem").where("l_quantity > 0").groupBy(F.col("l_suppkey").alias("stock_id"), F.to_date("l_shipdate").alias("date"))
-    price = (F.col("l_extendedprice") / F.col("l_quantity")).cast(MONEY)
-    return rows.agg((F.sum(price).cast("double") / F.count("*") / 100).alias("close"))
+    return rows.agg((F.avg(F.col("l_extendedprice") / F.col("l_quantity")) / 100).alias("close"))
