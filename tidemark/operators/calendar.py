@@ -85,25 +85,32 @@ def model_features(panel: DataFrame) -> DataFrame:
     return rows.withColumn("log_mom_filled", F.coalesce("log_mom", past_median("log_mom"), F.lit(0.0)))
 
 
-def growth_features(panel: DataFrame, clip: float = 3.0) -> DataFrame:
-    """WIN-10: growth direction and rate, momentum, trend and cycle, volatility and slope, all within the segment."""
+def growth_features(panel: DataFrame) -> DataFrame:
+    """WIN-10: growth direction and rate (clipped), momentum, trend and cycle, volatility and slope, all within the segment.
+
+    A month without one before it has growth 0; momentum is the mean growth of three and six months; the trend is the mean of twelve
+    months from the third on (the value itself before), the cycle is what is left.
+    """
     w = by_segment()
-    rows = with_segments(panel)
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    between = lambda c, low, high: F.greatest(F.least(c, F.lit(high)), F.lit(low))
     before = F.lag(VALUE).over(w)
-    change = percent_change(F.col(VALUE), before)
-    rows = rows.withColumn("growth_rate", F.when(change.isNotNull(), F.greatest(F.least(change, F.lit(clip)), F.lit(-clip))))
-    rows = rows.withColumn("growth_direction", F.when(F.col("growth_rate") > 0, 1).otherwise(0))
-    rows = rows.withColumns({
-        "momentum_3m": percent_change(F.col(VALUE), F.lag(VALUE, 3).over(w)),
-        "momentum_6m": percent_change(F.col(VALUE), F.lag(VALUE, 6).over(w)),
-        "trend_component": rolling(VALUE, 12, 3, F.avg),
+    rows = with_segments(panel).withColumns({
+        "growth_direction": F.coalesce((F.col(VALUE) > before).cast("int"), F.lit(0)),
+        "growth_rate": between(zero(percent_change(F.col(VALUE), before)), -0.95, 5.0),
+        "trend_component": F.greatest(F.coalesce(rolling(VALUE, 12, 3, F.avg), F.col(VALUE)), F.lit(0.0)),
     })
-    rows = rows.withColumn("cycle_component", F.try_divide(F.col(VALUE), F.col("trend_component")) - 1)
     rows = rows.withColumns({
-        "cycle_volatility_6m": rolling("cycle_component", 6, 3, F.stddev_samp),
-        "trend_slope": (F.col("trend_component") - F.lag("trend_component", 3).over(w)) / 3,
+        "momentum_3m": rolling("growth_rate", 3, 1, F.avg),
+        "momentum_6m": rolling("growth_rate", 6, 1, F.avg),
+        "cycle_component": F.col(VALUE) - F.col("trend_component"),
+        "trend_slope": zero(F.col("trend_component") - F.lag("trend_component", 3).over(w)),
+        "_base": F.lag("trend_component", 3).over(w),
     })
-    return rows.withColumn("trend_slope_rate", F.try_divide(F.col("trend_slope"), F.col("trend_component")))
+    return rows.withColumns({
+        "cycle_volatility_6m": zero(rolling("cycle_component", 6, 3, F.stddev_samp)),
+        "trend_slope_rate": between(zero(F.try_divide(F.col("trend_slope"), F.col("_base"))), -1.0, 1.0),
+    }).drop("_base")
 
 
 def growth_windows(panel: DataFrame, months: int = 12) -> DataFrame:

@@ -138,21 +138,72 @@ def to_wide(rows: DataFrame, keys: list[str], names: str, values: list, metric:
 
 
 def ratio_stability(history: DataFrame) -> DataFrame:
-    """WIN-20: mean, median, spread and drift of the EPS/revenue ratio of each entity."""
-    w = Window.partitionBy("stock_id").orderBy("revenue_year")
-    rows = history.withColumns({"_change": F.abs(ratio(F.col("eps_to_revenue_ratio"), F.lag("eps_to_revenue_ratio").over(w)) - 1), "_n": F.row_number().over(Window.partitionBy("stock_id").orderBy(F.desc("revenue_year")))})
+    """WIN-20: mean, median, spread and drift of an entity's EPS/revenue ratio; the latest against the median of the last three years."""
+    newest = Window.partitionBy("stock_id").orderBy(F.desc("revenue_year"))
+    rows = history.withColumn("_n", F.row_number().over(newest))
+    rows = rows.withColumn("_change", F.abs(F.col("eps_to_revenue_ratio") - F.lag("eps_to_revenue_ratio").over(Window.partitionBy("stock_id").orderBy("revenue_year"))))
     out = rows.groupBy("stock_id").agg(
         F.count("*").alias("ratio_count"), F.avg("eps_to_revenue_ratio").alias("ratio_mean"), F.percentile("eps_to_revenue_ratio", 0.5).alias("ratio_median"),
         F.stddev_pop("eps_to_revenue_ratio").alias("ratio_std"), F.max(F.when(F.col("_n") == 1, F.col("eps_to_revenue_ratio"))).alias("latest_ratio"),
         F.percentile(F.when(F.col("_n") <= 3, F.col("eps_to_revenue_ratio")), 0.5).alias("recent_median"), F.max("_change").alias("max_abs_change"),
     )
-    return out.withColumns({"ratio_std_to_median": ratio(F.col("ratio_std"), F.abs("ratio_median")), "latest_deviation_percent": (ratio(F.col("latest_ratio"), F.col("recent_median")) - 1) * 100})
+    drift = F.when(F.abs("recent_median") > 1e-12, F.abs(F.col("latest_ratio") - F.col("recent_median")) / F.abs("recent_median") * 100)
+    return out.withColumns({"ratio_std_to_median": F.when(F.abs("ratio_median") > 1e-12, F.abs(F.col("ratio_std") / F.col("ratio_median"))), "latest_deviation_percent": drift})
 
 
 def stability_bucket(rows: DataFrame) -> DataFrame:
     """EVL-16: how far the ratio of an entity can be trusted."""
-    cv, drift = F.col("ratio_std_to_median"), F.abs("latest_deviation_percent")
-    return rows.withColumn("ratio_stability_bucket", F.when(F.col("ratio_count") < 2, "insufficient_history").when((cv <= 0.25) & (drift <= 20), "stable").when((cv <= 0.6) & (drift <= 50), "moderate").otherwise("volatile"))
+    cv, drift = F.col("ratio_std_to_median"), F.coalesce("latest_deviation_percent", F.lit(0.0))
+    bucket = F.when(F.col("ratio_count") < 3, "insufficient_history").when(cv.isNull(), "unstable_ratio").when((cv <= 0.35) & (drift <= 50), "stable_ratio").when((cv <= 1.0) & (drift <= 150), "moderate_ratio").otherwise("unstable_ratio")
+    return rows.withColumn("ratio_stability_bucket", bucket)
+
+
+def recommend_eps_path(rows: DataFrame) -> DataFrame:
+    """EVL-16: which EPS method to go on with, from the errors best_current, best_seasonal and best_ml and the stability of the ratio."""
+    inf = F.lit(float("inf"))
+    c, s, m = (F.coalesce(F.col(n), inf) for n in ("best_current", "best_seasonal", "best_ml"))
+    bucket = F.col("ratio_stability_bucket")
+    path = (
+        F.when((c == inf) & (s == inf) & (m == inf), "manual_review")
+        .when((bucket == "stable_ratio") & (c <= F.least(s, m) * 1.10), "keep_current_ratio")
+        .when(bucket == "insufficient_history", "manual_or_cross_sectional_ml")
+        .when((s < c) & (s <= m) & (s <= F.least(c, m) * 0.90), "test_seasonal_quarter_ratio")
+        .when((m < c) & (m < s) & (m <= F.least(c, s) * 0.90), "test_ml_eps_layer")
+        .when(bucket == "unstable_ratio", "stock_specific_or_ml_eps_layer")
+        .otherwise("stock_specific_validation")
+    )
+    return rows.withColumn("recommended_path", path)
+
+
+def ratio_error_driver(rows: DataFrame) -> DataFrame:
+    """EVL-16: what an error of the ratio method comes from, against the same method on actual revenue."""
+    now, oracle, revenue = F.col("current_ratio_error"), F.col("oracle_error"), F.col("revenue_error_percent")
+    driver = (
+        F.when(now.isNull(), "missing_current_ratio_result").when(oracle.isNull(), "missing_oracle_diagnostic").when(now < oracle * 0.75, "forecast_error_offset_formula_error")
+        .when(oracle >= now * 0.75, "eps_ratio_formula_error").when(revenue >= 20, "revenue_forecast_error").otherwise("mixed_error")
+    )
+    return rows.withColumn("error_driver", driver)
+
+
+def treatment_effects(rows: DataFrame, baseline: str, keys: list[str], metric: str, name: str = "model") -> DataFrame:
+    """EVL-02 to EVL-04, EVL-14: every variant's metric against the baseline's at the same keys, with the change in percent and the winner."""
+    base = rows.where(F.col(name) == baseline).select(*keys, F.col(metric).alias("baseline_value"))
+    d = F.col(metric) - F.col("baseline_value")
+    out = rows.where(F.col(name) != baseline).join(base, keys) if keys else rows.where(F.col(name) != baseline).join(F.broadcast(base.limit(1)))
+    return out.select(*keys, name, F.col(metric).alias("value"), "baseline_value", d.alias("delta"), (ratio(d, F.col("baseline_value")) * 100).alias("change_percent"), F.when(d < 0, F.col(name)).when(d > 0, F.lit(baseline)).otherwise("tie").alias("winner"))
+
+
+def strategy_rows(test: DataFrame, fixed: str, own: DataFrame, by_bucket: DataFrame, metric: str) -> DataFrame:
+    """EVL-13: test rows under four strategies: one fixed method, the entity's choice, its bucket's choice, and the best in hindsight (marked)."""
+    mark = lambda rows, s, late: rows.withColumns({"strategy": F.lit(s), "is_hindsight": F.lit(late)})
+    chosen = test.join(own.select("stock_id", F.col("method").alias("_m")), "stock_id").where("method = _m").drop("_m")
+    bucket = test.join(by_bucket.select("bucket", F.col("method").alias("_m")), "bucket").where("method = _m").drop("_m")
+    best = best_per(test.where(F.col(metric).isNotNull()), "stock_id", metric, "method")
+    parts = [mark(test.where(F.col("method") == fixed), "fixed", False), mark(chosen, "entity", False), mark(bucket, "bucket", False), mark(best, "hindsight", True)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def select_by_bucket(scores: DataFrame, global_method: str, metric: str = "mean_error", least_rows: int = 5) -> DataFrame:

@@ -299,3 +299,73 @@ def financial_forecast(predictions: DataFrame, revenue: DataFrame, quarterly: Da
     dividend = dividend_by_payout(estimates, payout_history(dividends, eps, as_of)).join(actual_dividend(dividends, target_year), ID, "left")
     return {"eps": estimates, "dividends": dividend, "yields": dividend_yields(dividend, prices, target_year, as_of), "failures": failures}
 
+
+
+def eps_sign_guard(eps: DataFrame, cash: DataFrame) -> DataFrame:
+    """DIV-04: the last announced dividend, nothing where the estimated EPS is not positive; ``cash`` as of :func:`cash_history_dividends`."""
+    last = cash.where("dividend_method = 'announcement_safe_last'").select(ID, "estimated_cash_dividend")
+    guarded = F.when(F.col("estimated_eps") <= 0, 0.0).otherwise(F.col("estimated_cash_dividend"))
+    return eps.join(last, ID, "left").withColumns({"dividend_method": F.lit("eps_sign_guard_last"), "estimated_cash_dividend": guarded})
+
+
+def dividend_matrix(eps: DataFrame, dividends: DataFrame, annual: DataFrame, as_of: str) -> DataFrame:
+    """DIV-04: one row for each entity and dividend method: payouts of the three evidence modes, cash histories and the sign guard."""
+    columns = ["model", ID, "target_year", "eps_method", "estimated_eps", "dividend_method", "estimated_cash_dividend"]
+    parts = [dividend_by_payout(eps, payout_history(dividends, annual, as_of, mode)).withColumn("dividend_method", F.lit(f"{mode}_payout")).select(*columns) for mode in ("current_system", "ex_date_safe", "announcement_safe")]
+    cash = cash_history_dividends(dividends, as_of)
+    parts += [eps.join(cash.drop("dividend_reference_year"), ID, "left").select(*columns), eps_sign_guard(eps, cash).select(*columns)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def time_safe_features(samples: DataFrame, revenue: DataFrame, quarterly: DataFrame, dividends: DataFrame) -> DataFrame:
+    """FEA-03, JON-06: what was known of cash, EPS and revenue at each sample's own cut-off; ``samples``: stock_id, target_year, as_of_date."""
+    key = [ID, "target_year", "as_of_date"]
+
+    def known(facts: DataFrame, public: str, order: str, value: str) -> DataFrame:
+        rows = samples.select(*key).join(facts.select(ID, F.col(public).alias("_p"), F.col(order).alias("_o"), F.col(value).alias("_v")), ID).where("_p <= as_of_date and _v is not null")
+        return rows.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("_o", "_v")), False).alias("_h"))
+
+    values = F.transform("_h", lambda x: x["_v"])
+    first = lambda n: F.slice(values, 1, n)
+    total = lambda a: F.when(F.size(a) > 0, F.aggregate(a, F.lit(0.0), lambda s, x: s + x))
+    cash = dividends.where("fiscal_year is not null").groupBy(ID, "fiscal_year").agg(F.sum("TotalCashDividend").alias("_c"), F.max("available_date").alias("available_date"))
+    cash = known(cash, "available_date", "fiscal_year", "_c").select(
+        *key, F.get(values, F.lit(0)).alias("last_known_cash_dividend"), median_of_sorted(F.array_sort(first(3))).alias("recent_cash_dividend_median"), (total(first(3)) / F.size(first(3))).alias("recent_cash_dividend_mean"),
+        weighted_recent(values).alias("recent_cash_dividend_smoothed"), (F.size(F.filter(first(3), lambda x: x > 0)) / F.size(first(3))).alias("recent_paid_rate"), F.size(values).alias("dividend_history_count"),
+        (F.col("target_year") - F.get("_h", F.lit(0))["_o"]).cast("double").alias("years_since_last_dividend_reference"),
+    )
+    eps = known(quarterly.withColumn("_q", F.col("eps_year") * 4 + F.col("eps_quarter")), "statement_available_date", "_q", "EPS")
+    before = F.when(F.size(values) >= 8, total(F.slice(values, 5, 4)))
+    eps = eps.select(*key, F.get(values, F.lit(0)).alias("latest_available_eps"), total(first(4)).alias("available_eps_ttm"), (F.try_divide(total(first(4)), before) - 1).alias("available_eps_ttm_yoy"), F.size(values).alias("eps_history_count"))
+    public = revenue.withColumns({"_m": F.col("revenue_year") * 12 + F.col("revenue_month"), "_a": F.add_months(F.make_date("revenue_year", "revenue_month", F.lit(10)), 1)})
+    sales = known(public, "_a", "_m", "revenue").select(*key, total(first(12)).alias("known_revenue_ltm"), total(first(3)).alias("known_revenue_recent_3m"), F.size(values).alias("revenue_history_count"))
+    out = samples.join(cash, key, "left").join(eps, key, "left").join(sales, key, "left")
+    return out.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("dividend_history_count", "eps_history_count", "revenue_history_count")})
+
+
+def selection_buckets(features: DataFrame) -> DataFrame:
+    """FEA-04: paid rate, length of history and latest dividend as one bucket label."""
+    n, rate, last = F.col("dividend_history_count"), F.col("recent_paid_rate"), F.col("last_known_cash_dividend")
+    paid = F.when(n <= 0, "paid_no_history").when(rate >= 0.67, "paid_high").when(rate > 0, "paid_mixed").otherwise("paid_none")
+    history = F.when(n >= 3, "history_enough").when(n > 0, "history_sparse").otherwise("history_none")
+    latest = F.when(last > 0, "latest_positive").when(last == 0, "latest_zero").otherwise("latest_missing")
+    return features.withColumn("dividend_selection_bucket", F.concat_ws("|", paid, history, latest))
+
+
+def heuristic_hurdles(features: DataFrame) -> DataFrame:
+    """DIV-09: three rules of thumb: last, median and smoothed dividend where it was paid at least half of the time."""
+    zero = lambda c: F.greatest(F.coalesce(F.col(c), F.lit(0.0)), F.lit(0.0))
+    rate = F.coalesce("recent_paid_rate", F.lit(0.0))
+    rules = [("direct_hurdle_last_known", zero("last_known_cash_dividend"), (zero("last_known_cash_dividend") > 0).cast("double")), ("direct_hurdle_recent_median", zero("recent_cash_dividend_median"), rate), ("direct_hurdle_smoothed", zero("recent_cash_dividend_smoothed"), rate)]
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("dividend_method"), p.alias("paid_probability"), F.when(p >= 0.5, a).otherwise(0.0).alias("estimated_cash_dividend")) for m, a, p in rules]))
+    return features.withColumn("_r", each).select("*", "_r.*").drop("_r")
+
+
+def policy_payout(entities: DataFrame, policy: DataFrame, default_margin: float = 0.1, default_payout: float = 0.5) -> DataFrame:
+    """DIV-11: an explicit margin and payout for each entity, clipped to 0..1 and 0..1.5, with a default where there is none."""
+    clip = lambda c, top: F.when(F.col(c).isNotNull(), F.greatest(F.least(F.col(c), F.lit(top)), F.lit(0.0)))
+    rows = entities.select(ID).distinct().join(policy.select(ID, "margin", "payout_ratio"), ID, "left")
+    return rows.select(ID, F.coalesce(clip("margin", 1.0), F.lit(default_margin)).alias("margin"), F.coalesce(clip("payout_ratio", 1.5), F.lit(default_payout)).alias("payout_ratio"), F.when(F.col("payout_ratio").isNull(), "default").otherwise("policy").alias("policy_source"))

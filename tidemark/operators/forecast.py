@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalars import level_of, log_level, median_of_sorted, percent_change, ratio
+from tidemark.functions.scalars import level_of, log_level, median_of_sorted, percent_change, ratio, safe_round
 from tidemark.operators.calendar import ID, MONTH, VALUE, YEAR, baselines, by_segment, months_before, with_segments
 
 
@@ -199,23 +199,58 @@ def guardrail(predictions: DataFrame, predicted: str = "predicted_revenue") -> D
     return predictions.withColumns({"prediction_cap": cap, "clipped": cut != F.col(predicted), predicted: cut})
 
 
-def growth_signal(features: DataFrame) -> DataFrame:
-    """FC-17: growth signal, regime, phase and high-growth flag of each month from growth_features."""
-    signal = F.coalesce(F.col("momentum_3m"), F.lit(0.0)) * 0.6 + F.coalesce(F.col("momentum_6m"), F.lit(0.0)) * 0.4
-    rows = features.withColumn("growth_signal", signal)
-    return rows.withColumns({
-        "regime": F.when(F.col("growth_signal") > 0.1, "growth").when(F.col("growth_signal") < -0.1, "decline").otherwise("cycle"),
-        "high_growth": F.coalesce((F.col("growth_signal") > 0.3) & (F.col("trend_slope_rate") > 0), F.lit(False)),
-        "growth_phase": F.when(F.col("trend_slope_rate") > 0.02, "up").when(F.col("trend_slope_rate") < -0.02, "down").otherwise("flat"),
+def growth_signal(windows: DataFrame) -> DataFrame:
+    """FC-17: growth signal, regime, growth phase and high-growth flag of each month, from the rows of growth_windows."""
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    share, streak = F.col("growth_ratio"), F.col("growth_streak")
+    return windows.withColumns({
+        "growth_signal": 0.5 * zero("momentum_3m") + 0.3 * zero("momentum_6m") + 0.2 * zero("growth_rate"),
+        "regime": F.when(share > 0.65, "growth").when(share < 0.4, "decline").otherwise("cycle"),
+        "growth_phase": F.coalesce((share > 0.65) & (streak >= 4), F.lit(False)),
+        "high_growth": F.coalesce((share > 0.6) | (streak >= 5), F.lit(False)),
     })
 
 
-def adjust_for_growth(predictions: DataFrame, alpha: float = 0.3, decline_cap: float = 1.0) -> DataFrame:
-    """FC-18: a boost by the growth signal in growth regimes, and a cap at the last level in declines."""
-    p = F.col("predicted_revenue")
-    boosted = F.when(F.col("regime") == "growth", p * (1 + alpha * F.least(F.greatest(F.col("growth_signal"), F.lit(0.0)), F.lit(1.0)))).otherwise(p)
-    capped = F.when(F.col("regime") == "decline", F.least(boosted, decline_cap * F.col("last_observed_revenue"))).otherwise(boosted)
-    return predictions.withColumns({"decline_capped": (F.col("regime") == "decline") & (boosted > decline_cap * F.col("last_observed_revenue")), "predicted_revenue": capped})
+def adjust_for_growth(predictions: DataFrame, alpha: float = 0.8, conditional: bool = True, by_regime: bool = True, cap_ratio_max: float | None = None, cap_prediction_min: float = 1.0) -> DataFrame:
+    """FC-18: a boost by the growth signal where it is allowed, and a cap at the last level in declines.
+
+    ``conditional`` asks for a growth phase, ``by_regime`` for the growth regime; the last month must have grown.
+    """
+    p, last = F.col("predicted_revenue"), F.col("last_observed_revenue")
+    positive = F.greatest(F.col("growth_signal"), F.lit(0.0))
+    allowed = (F.col("growth_rate") > 0) & (positive > 0)
+    allowed = allowed & (F.col("regime") == "growth") if by_regime else allowed
+    allowed = F.coalesce(allowed & F.col("growth_phase") if conditional else allowed, F.lit(False))
+    rows = predictions.withColumns({"adjustment_applied": allowed, "_boosted": F.when(allowed, p * (1 + alpha * positive)).otherwise(p)})
+    capped = (F.col("regime") == "decline") & (F.col("_boosted") > last * cap_prediction_min) if by_regime else F.lit(False)
+    capped = capped & (F.col("growth_ratio") <= cap_ratio_max) if cap_ratio_max is not None else capped
+    rows = rows.withColumn("decline_capped", F.coalesce(capped, F.lit(False)))
+    return rows.withColumn("predicted_revenue", F.when(F.col("decline_capped"), F.least(F.col("_boosted"), last)).otherwise(F.col("_boosted"))).drop("_boosted")
+
+
+def decline_cap_confidence(predictions: DataFrame, thresholds: tuple[float, ...] = (0.0, 0.25, 0.5, 0.75, 1.0), weights: tuple[float, float, float] = (0.5, 0.35, 0.15), overshoot_scale: float = 0.5, decline_reference: float = 0.4, streak_reference: float = 4.0) -> DataFrame:
+    """FC-20: a confidence that a decline should be capped, from overshoot, depth and streak, and the predictions under each threshold."""
+    unit = lambda c: F.greatest(F.least(c, F.lit(1.0)), F.lit(0.0))
+    times = F.when(F.col("last_observed_revenue") > 0, F.col("predicted_revenue") / F.col("last_observed_revenue")).otherwise(1.0)
+    parts = (unit((times - 1) / overshoot_scale), unit((decline_reference - F.col("growth_ratio")) / decline_reference), unit((streak_reference - F.col("growth_streak")) / streak_reference))
+    score = sum((w * p for w, p in zip(weights, parts, strict=True)), F.lit(0.0)) / sum(weights)
+    rows = predictions.withColumn("decline_cap_confidence", F.when(F.col("regime") == "decline", score).otherwise(0.0))
+    rows = rows.withColumn("confidence_threshold", F.explode(F.array(*[F.lit(float(t)) for t in thresholds])))
+    hit = (F.col("decline_cap_confidence") > 0) & (F.col("decline_cap_confidence") >= F.col("confidence_threshold"))
+    return rows.withColumns({"confidence_cap_applied": hit, "predicted_revenue": safe_round(F.when(hit, F.least("predicted_revenue", "last_observed_revenue")).otherwise(F.col("predicted_revenue"))).cast("double")})
+
+
+def recombine_trend_cycle(rows: DataFrame, slope_beta: float = 0.35, most_scale: float = 2.5) -> DataFrame:
+    """FC-15: in the cycle regime, trend prediction times slope boost plus the cycle prediction scaled to the observed volatility.
+
+    ``rows``: predicted_revenue, trend_prediction, cycle_prediction, cycle_volatility_6m, trend_slope_rate, regime.
+    """
+    spread = F.broadcast(rows.agg(F.stddev_pop("cycle_prediction").alias("_sd")))  # one row
+    rows = rows.join(spread)
+    scale = F.when(F.col("_sd") > 1e-6, F.greatest(F.least(F.coalesce(F.col("cycle_volatility_6m") / (F.col("_sd") + 1e-6), F.lit(1.0)), F.lit(most_scale)), F.lit(1 / most_scale))).otherwise(1.0)
+    boost = F.least(F.greatest(F.when(F.col("trend_slope_rate") > 0, 1 + slope_beta * F.col("trend_slope_rate")).otherwise(1.0), F.lit(1.0)), F.lit(1.35))
+    both = F.greatest(F.col("trend_prediction") * boost + F.col("cycle_prediction") * scale, F.lit(0.0))
+    return rows.withColumns({"volatility_scale": scale, "trend_boost": boost, "predicted_revenue": F.when(F.col("regime") == "cycle", both).otherwise(F.col("predicted_revenue"))}).drop("_sd")
 
 
 def recursive_forecast(panel: DataFrame, months: int = 12, config: FormulaConfig = FormulaConfig()) -> DataFrame:

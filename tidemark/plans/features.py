@@ -69,20 +69,19 @@ def growth_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 GROWTH_SQL = f"""WITH {S.panel()}, {S.SEGMENTS},
 a AS (
-  SELECT *, greatest(least(revenue / nullif(lag(revenue) OVER s, 0) - 1, 3.0), -3.0) AS g0, lag(revenue) OVER s AS prev,
-         revenue / nullif(lag(revenue, 3) OVER s, 0) - 1 AS momentum_3m, revenue / nullif(lag(revenue, 6) OVER s, 0) - 1 AS momentum_6m,
-         CASE WHEN count(revenue) OVER t >= 3 THEN avg(revenue) OVER t END AS trend_component
+  SELECT *, lag(revenue) OVER s AS prev, greatest(coalesce(CASE WHEN count(revenue) OVER t >= 3 THEN avg(revenue) OVER t END, revenue), 0) AS trend_component
   FROM seg WINDOW s AS (PARTITION BY stock_id, calendar_segment ORDER BY month_index), t AS (PARTITION BY stock_id, calendar_segment ORDER BY month_index ROWS 11 PRECEDING)),
-b AS (SELECT *, CASE WHEN prev IS NOT NULL AND prev <> 0 THEN g0 END AS growth_rate, revenue / nullif(trend_component, 0) - 1 AS cycle_component FROM a),
+b AS (SELECT *, greatest(least(coalesce(revenue / nullif(prev, 0) - 1, 0), 5.0), -0.95) AS growth_rate, coalesce(CAST(revenue > prev AS INTEGER), 0) AS d, revenue - trend_component AS cycle_component,
+             coalesce(trend_component - lag(trend_component, 3) OVER s, 0) AS trend_slope, lag(trend_component, 3) OVER s AS tb FROM a WINDOW s AS (PARTITION BY stock_id, calendar_segment ORDER BY month_index)),
 c AS (
-  SELECT *, CASE WHEN growth_rate > 0 THEN 1 ELSE 0 END AS d, CASE WHEN count(cycle_component) OVER x >= 3 THEN stddev_samp(cycle_component) OVER x END AS cycle_volatility_6m,
-         (trend_component - lag(trend_component, 3) OVER s) / 3 AS trend_slope
-  FROM b WINDOW s AS (PARTITION BY stock_id, calendar_segment ORDER BY month_index), x AS (PARTITION BY stock_id, calendar_segment ORDER BY month_index ROWS 5 PRECEDING)),
+  SELECT *, avg(growth_rate) OVER m3 AS momentum_3m, avg(growth_rate) OVER x AS momentum_6m, coalesce(CASE WHEN count(cycle_component) OVER x >= 3 THEN stddev_samp(cycle_component) OVER x END, 0) AS cycle_volatility_6m,
+         greatest(least(coalesce(trend_slope / nullif(tb, 0), 0), 1.0), -1.0) AS trend_slope_rate
+  FROM b WINDOW m3 AS (PARTITION BY stock_id, calendar_segment ORDER BY month_index ROWS 2 PRECEDING), x AS (PARTITION BY stock_id, calendar_segment ORDER BY month_index ROWS 5 PRECEDING)),
 e AS (SELECT *, list(d) OVER (PARTITION BY stock_id, calendar_segment ORDER BY month_index ROWS 11 PRECEDING) AS v FROM c)
 SELECT stock_id, revenue_year, revenue_month, array_to_string(v, '') AS growth_bits, round(list_sum(v) / 12.0, 6) AS growth_ratio,
        CAST(length(array_to_string(v, '')) - length(rtrim(array_to_string(v, ''), '1')) AS INTEGER) AS growth_streak,
        round(growth_rate, 6) AS growth_rate, round(momentum_3m, 6) AS momentum_3m, round(momentum_6m, 6) AS momentum_6m, round(trend_component, 6) AS trend_component,
-       round(cycle_component, 6) AS cycle_component, round(cycle_volatility_6m, 6) AS cycle_volatility_6m, round(trend_slope, 6) AS trend_slope, round(trend_slope / nullif(trend_component, 0), 6) AS trend_slope_rate
+       round(cycle_component, 6) AS cycle_component, round(cycle_volatility_6m, 6) AS cycle_volatility_6m, round(trend_slope, 6) AS trend_slope, round(trend_slope_rate, 6) AS trend_slope_rate
 FROM e WHERE consecutive_months >= 12"""
 
 

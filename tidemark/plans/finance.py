@@ -179,14 +179,15 @@ SELECT stock_id, yield_mode, target_month, price_date, round(stock_price + 3e-8,
 
 def ratio_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = K.stability_bucket(K.ratio_stability(_inputs(spark, sf_dir)["history"]))
-    return neat(rows.select("stock_id", "ratio_count", "ratio_std_to_median", "latest_deviation_percent", "max_abs_change", "ratio_stability_bucket"))
+    return neat(rows.select("stock_id", "ratio_count", "ratio_std_to_median", "latest_deviation_percent", (F.col("max_abs_change") * 1e6).alias("max_abs_change"), "ratio_stability_bucket"))
 
 
 STABILITY_SQL = f"""{_BASE},
-x AS (SELECT *, abs(r / nullif(lag(r) OVER (PARTITION BY stock_id ORDER BY revenue_year), 0) - 1) AS ch, row_number() OVER (PARTITION BY stock_id ORDER BY revenue_year DESC) AS n FROM hist),
-s AS (SELECT stock_id, count(*) AS ratio_count, stddev_pop(r) / nullif(abs(quantile_cont(r, 0.5)), 0) AS cv, (max(r) FILTER (WHERE n = 1) / nullif(quantile_cont(r, 0.5) FILTER (WHERE n <= 3), 0) - 1) * 100 AS dv, max(ch) AS mc FROM x GROUP BY 1)
-SELECT stock_id, ratio_count, round(cv, 6) AS ratio_std_to_median, round(dv, 6) + 0.0 AS latest_deviation_percent, round(mc, 6) AS max_abs_change,
-       CASE WHEN ratio_count < 2 THEN 'insufficient_history' WHEN cv <= 0.25 AND abs(dv) <= 20 THEN 'stable' WHEN cv <= 0.6 AND abs(dv) <= 50 THEN 'moderate' ELSE 'volatile' END AS ratio_stability_bucket FROM s"""
+x AS (SELECT *, abs(r - lag(r) OVER (PARTITION BY stock_id ORDER BY revenue_year)) AS ch, row_number() OVER (PARTITION BY stock_id ORDER BY revenue_year DESC) AS n FROM hist),
+s AS (SELECT stock_id, count(*) AS ratio_count, stddev_pop(r) AS sd, quantile_cont(r, 0.5) AS md, quantile_cont(r, 0.5) FILTER (WHERE n <= 3) AS rm, max(r) FILTER (WHERE n = 1) AS lt, max(ch) AS mc FROM x GROUP BY 1),
+t AS (SELECT *, CASE WHEN abs(md) > 1e-12 THEN abs(sd / md) END AS cv, CASE WHEN abs(rm) > 1e-12 THEN abs(lt - rm) / abs(rm) * 100 END AS dv FROM s)
+SELECT stock_id, ratio_count, round(cv, 6) AS ratio_std_to_median, round(dv, 6) AS latest_deviation_percent, round(mc * 1e6, 6) AS max_abs_change,
+       CASE WHEN ratio_count < 3 THEN 'insufficient_history' WHEN cv IS NULL THEN 'unstable_ratio' WHEN cv <= 0.35 AND coalesce(dv, 0) <= 50 THEN 'stable_ratio' WHEN cv <= 1 AND coalesce(dv, 0) <= 150 THEN 'moderate_ratio' ELSE 'unstable_ratio' END AS ratio_stability_bucket FROM t"""
 
 
 def seasonal_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -216,7 +217,44 @@ wt AS (SELECT gk.stock_id, gk.model, 1 / greatest(coalesce(mape, max(mape) OVER
 en AS (SELECT pred.stock_id, target_year, target_month, sum(w * predicted_revenue) / sum(w) AS p, coalesce(stddev_samp(predicted_revenue), 0) AS s, count(*) AS models FROM pred JOIN wt ON pred.stock_id = wt.stock_id AND pred.model = wt.model GROUP BY 1, 2, 3)
 SELECT stock_id, target_year, target_month, round(p, 4) AS predicted_revenue, round(s, 4) AS spread, models, round(greatest(p - 1.28 * s, 0), 4) AS lower, round(p + 1.28 * s, 4) AS upper FROM en"""
 
+
+def time_safe_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FEA-03, FEA-04, DIV-09: three cut-offs an entity, features, buckets and rules of thumb."""
+    samples = entity_master(spark, sf_dir).select("stock_id", F.explode(F.array(*[F.lit(y) for y in (1998, 1999, 2000)])).alias("target_year")).withColumn("as_of_date", F.make_date("target_year", F.lit(1), F.lit(10)))
+    rows = FI.time_safe_features(samples, monthly_revenue(spark, sf_dir), quarterly_eps(spark, sf_dir), dividends(spark, sf_dir))
+    return neat(FI.heuristic_hurdles(FI.selection_buckets(rows)).drop("as_of_date"), 5)
+
+
+BUCKETS_SQL = f"""WITH {S.panel()}, {S.EPS}, {S.DIVIDENDS}, {S.MASTER},
+sm AS (SELECT stock_id, CAST(y AS INTEGER) AS target_year, make_date(y, 1, 10) AS d FROM master, (SELECT unnest([1998, 1999, 2000]) AS y)),
+c AS (SELECT sm.stock_id, target_year, fiscal_year, TotalCashDividend AS v, row_number() OVER (PARTITION BY sm.stock_id, target_year ORDER BY fiscal_year DESC) AS n FROM sm JOIN dv ON sm.stock_id = dv.stock_id AND available_date <= d),
+c2 AS (SELECT stock_id, target_year, max(v) FILTER (WHERE n = 1) AS last_known_cash_dividend, quantile_cont(v, 0.5) FILTER (WHERE n <= 3) AS recent_cash_dividend_median, avg(v) FILTER (WHERE n <= 3) AS recent_cash_dividend_mean,
+        sum(v * CASE n WHEN 1 THEN 0.5 WHEN 2 THEN 0.3 ELSE 0.2 END) FILTER (WHERE n <= 3) / sum(CASE n WHEN 1 THEN 0.5 WHEN 2 THEN 0.3 ELSE 0.2 END) FILTER (WHERE n <= 3) AS recent_cash_dividend_smoothed,
+        avg(CAST(v > 0 AS INTEGER)) FILTER (WHERE n <= 3) AS recent_paid_rate, count(*) AS dividend_history_count, CAST(target_year - max(fiscal_year) AS DOUBLE) AS years_since_last_dividend_reference FROM c GROUP BY 1, 2),
+e AS (SELECT sm.stock_id, target_year, EPS AS v, row_number() OVER (PARTITION BY sm.stock_id, target_year ORDER BY eps_year DESC, eps_quarter DESC) AS n FROM sm JOIN eps ON sm.stock_id = eps.stock_id AND statement_available_date <= d),
+e2 AS (SELECT stock_id, target_year, max(v) FILTER (WHERE n = 1) AS latest_available_eps, sum(v) FILTER (WHERE n <= 4) AS available_eps_ttm, CASE WHEN count(*) >= 8 THEN sum(v) FILTER (WHERE n <= 4) / nullif(sum(v) FILTER (WHERE n BETWEEN 5 AND 8), 0) - 1 END AS available_eps_ttm_yoy, count(*) AS eps_history_count FROM e GROUP BY 1, 2),
+r AS (SELECT sm.stock_id, target_year, revenue AS v, row_number() OVER (PARTITION BY sm.stock_id, target_year ORDER BY revenue_year DESC, revenue_month DESC) AS n FROM sm JOIN panel ON sm.stock_id = panel.stock_id AND make_date(revenue_year, revenue_month, 10) + INTERVAL 1 MONTH <= d),
+r2 AS (SELECT stock_id, target_year, sum(v) FILTER (WHERE n <= 12) AS known_revenue_ltm, sum(v) FILTER (WHERE n <= 3) AS known_revenue_recent_3m, count(*) AS revenue_history_count FROM r GROUP BY 1, 2),
+f AS (SELECT sm.stock_id, sm.target_year, c2.* EXCLUDE (stock_id, target_year, dividend_history_count), coalesce(dividend_history_count, 0) AS dividend_history_count, latest_available_eps, available_eps_ttm, available_eps_ttm_yoy, coalesce(eps_history_count, 0) AS eps_history_count, known_revenue_ltm, known_revenue_recent_3m, coalesce(revenue_history_count, 0) AS revenue_history_count
+      FROM sm LEFT JOIN c2 USING (stock_id, target_year) LEFT JOIN e2 USING (stock_id, target_year) LEFT JOIN r2 USING (stock_id, target_year)),
+g AS (SELECT *, concat_ws('|', CASE WHEN dividend_history_count <= 0 THEN 'paid_no_history' WHEN recent_paid_rate >= 0.67 THEN 'paid_high' WHEN recent_paid_rate > 0 THEN 'paid_mixed' ELSE 'paid_none' END,
+        CASE WHEN dividend_history_count >= 3 THEN 'history_enough' WHEN dividend_history_count > 0 THEN 'history_sparse' ELSE 'history_none' END, CASE WHEN last_known_cash_dividend > 0 THEN 'latest_positive' WHEN last_known_cash_dividend = 0 THEN 'latest_zero' ELSE 'latest_missing' END) AS dividend_selection_bucket,
+        unnest([{{'m': 'direct_hurdle_last_known', 'p': CAST(coalesce(last_known_cash_dividend, 0) > 0 AS INTEGER)::DOUBLE, 'a': greatest(coalesce(last_known_cash_dividend, 0), 0)}},
+                {{'m': 'direct_hurdle_recent_median', 'p': coalesce(recent_paid_rate, 0), 'a': greatest(coalesce(recent_cash_dividend_median, 0), 0)}}, {{'m': 'direct_hurdle_smoothed', 'p': coalesce(recent_paid_rate, 0), 'a': greatest(coalesce(recent_cash_dividend_smoothed, 0), 0)}}]) AS u FROM f)
+SELECT stock_id, target_year, {', '.join(f'round({c} , 5) AS {c}' for c in ('last_known_cash_dividend', 'recent_cash_dividend_median', 'recent_cash_dividend_mean', 'recent_cash_dividend_smoothed', 'recent_paid_rate', 'years_since_last_dividend_reference', 'latest_available_eps', 'available_eps_ttm', 'available_eps_ttm_yoy', 'known_revenue_ltm', 'known_revenue_recent_3m'))},
+       dividend_history_count, eps_history_count, revenue_history_count, dividend_selection_bucket, u.m AS dividend_method, round(u.p, 5) AS paid_probability, round(CASE WHEN u.p >= 0.5 THEN u.a ELSE 0 END, 5) AS estimated_cash_dividend FROM g"""
+
+
+def dividend_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """DIV-04: all dividend methods side by side."""
+    x = _inputs(spark, sf_dir)
+    rows = FI.dividend_matrix(FI.eps_by_ratio(x["annual"], x["history"]), x["dividends"], x["eps"], AS_OF)
+    return neat(rows.groupBy("dividend_method").agg(F.count("estimated_cash_dividend").alias("estimates"), F.avg("estimated_cash_dividend").alias("mean_estimate"), F.count_if(F.col("estimated_cash_dividend") == 0).alias("zeros")))
+
+
 QUERIES = {
+    "time_safe_buckets": time_safe_buckets,
+    "dividend_matrix": dividend_matrix,
     "annual_totals": annual_totals,
     "prediction_failures": prediction_failures,
     "eps_current_ratio": eps_current_ratio,
@@ -232,6 +270,7 @@ QUERIES = {
     "weighted_ensemble": weighted_ensemble,
 }
 ORACLE_SQL = {
+    "time_safe_buckets": BUCKETS_SQL,
     "annual_totals": ANNUAL_SQL,
     "prediction_failures": FAILURES_SQL,
     "eps_current_ratio": RATIO_SQL,

@@ -9,6 +9,7 @@ from tidemark.operators import finance as FI
 from tidemark.operators import forecast as FC
 from tidemark.operators import learned as L
 from tidemark.operators import metrics as M
+from tidemark.operators.calendar import growth_windows
 from tidemark.plans.common import neat, predictions
 from tidemark.plans.finance import _inputs
 from tidemark.sources.adapters import AS_OF, TARGET_YEAR, dividends, monthly_revenue, quarterly_eps
@@ -57,12 +58,18 @@ def sequence_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def growth_adjusted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FC-17 to FC-19: regimes of the month before, boost and decline cap on the formula's predictions, scored by regime."""
-    from tidemark.operators.calendar import growth_features
+    return neat(M.accuracy(FC.adjust_for_growth(_with_regime(spark, sf_dir)), "regime"))
 
-    panel = monthly_revenue(spark, sf_dir)
-    regimes = FC.growth_signal(growth_features(panel)).select("stock_id", (F.col("month_index") + 1).alias("month_index"), "growth_signal", "regime")
-    rows = predictions(spark, sf_dir).where("model = 'formula'").join(regimes, ["stock_id", "month_index"], "left").withColumn("regime", F.coalesce("regime", F.lit("cycle")))
-    return neat(M.accuracy(FC.adjust_for_growth(rows), "regime"))
+
+def _with_regime(spark: SparkSession, sf_dir: str) -> DataFrame:
+    regimes = FC.growth_signal(growth_windows(monthly_revenue(spark, sf_dir)))
+    regimes = regimes.select("stock_id", (F.col("month_index") + 1).alias("month_index"), "growth_signal", "regime", "growth_phase", "growth_rate", "growth_ratio", "growth_streak")
+    return predictions(spark, sf_dir).where("model = 'formula'").join(regimes, ["stock_id", "month_index"])
+
+
+def confidence_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FC-20: the formula's predictions capped in declines at each confidence threshold, scored."""
+    return neat(M.accuracy(FC.decline_cap_confidence(_with_regime(spark, sf_dir)), "confidence_threshold"))
 
 
 def eps_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,6 +104,7 @@ QUERIES = {
     "pooled_trees": pooled_trees,
     "sequence_regression": sequence_regression,
     "growth_adjusted": growth_adjusted,
+    "confidence_caps": confidence_caps,
     "eps_regression": eps_regression,
     "dividend_hurdle": dividend_hurdle,
     "financial_summary": financial_summary,
