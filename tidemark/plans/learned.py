@@ -9,6 +9,7 @@ from tidemark.operators import finance as FI
 from tidemark.operators import forecast as FC
 from tidemark.operators import learned as L
 from tidemark.operators import metrics as M
+from tidemark.operators import studies as ST
 from tidemark.operators.calendar import growth_windows
 from tidemark.plans.common import neat, predictions
 from tidemark.plans.finance import _inputs
@@ -95,7 +96,60 @@ def financial_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neat(out["yields"].where("yield_mode = 'as_of_price'").select("model", "stock_id", "eps_method", "estimated_eps", "estimated_cash_dividend", "stock_price", "estimated_yield_percent", "status"))
 
 
+
+def break_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """EVL-08 on the validation year."""
+    panel = monthly_revenue(spark, sf_dir)
+    formula = FC.formula_forecast(panel).where("target_year = 1999").select("stock_id", "target_year", "target_month", "formula_adjusted_revenue", "actual_revenue", "last_observed_revenue")
+    second = FC.seasonal_arima_forecast(panel).where("target_year = 1999").select("stock_id", "target_year", "target_month", "second_revenue", "second_method")
+    return neat(ST.break_sweep(formula.join(FC.break_features(panel), ["stock_id", "target_year", "target_month"]), second))
+
+
+def adjustment_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """EVL-05: every variant scored."""
+    return neat(M.accuracy(ST.adjustment_variants(_with_regime(spark, sf_dir)), "alpha", "cap"))
+
+
+def yield_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """YLD-04, YLD-07, EVL-18: month-end yields of every revenue model and EPS method against actual ones."""
+    monthly = predictions(spark, sf_dir).select("model", "stock_id", "target_year", "target_month", "predicted_revenue")
+    x = _inputs(spark, sf_dir)
+    out = FI.financial_forecast(monthly, monthly_revenue(spark, sf_dir), x["quarterly"], x["dividends"], x["prices"], TARGET_YEAR, AS_OF)
+    return neat(ST.layered_accuracy(ST.yield_comparison(out["yields"]), "estimated_yield_percent", "actual_yield_percent", "model", "eps_method"))
+
+
+def live_months(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """YLD-06: 1999 and 2000 as of the cut-off, unpublished months by the recursive formula."""
+    panel = monthly_revenue(spark, sf_dir)
+    return neat(ST.live_months(panel, FC.recursive_forecast(panel.where(F.col("revenue_year") < TARGET_YEAR), 12), AS_OF, (TARGET_YEAR - 1, TARGET_YEAR)))
+
+
+def financial_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """EVL-15: dividend methods on the actual revenue of two validation years and on the formula for the target year; the chosen one is marked."""
+    revenue, quarterly, paid = monthly_revenue(spark, sf_dir), quarterly_eps(spark, sf_dir), dividends(spark, sf_dir)
+    scores = []
+    for year in (1998, 1999, TARGET_YEAR):
+        as_of = f"{year}-01-10"
+        public = F.add_months(F.make_date("revenue_year", "revenue_month", F.lit(10)), 1) <= F.lit(as_of).cast("date")
+        if year == TARGET_YEAR:
+            monthly = predictions(spark, sf_dir).where("model = 'formula'")
+        else:
+            monthly = revenue.where(F.col("revenue_year") == year).select(F.lit("replay").alias("model"), "stock_id", F.col("revenue_year").alias("target_year"), F.col("revenue_month").alias("target_month"), F.col("revenue").alias("predicted_revenue"))
+        eps = FI.annual_eps(quarterly, as_of)
+        estimates = FI.eps_by_ratio(FI.annual_predictions(monthly)[0], FI.ratio_history(revenue.where(public), eps))
+        methods = ["announcement_safe_payout", "announcement_safe_last", "announcement_safe_median", "announcement_safe_smoothed", "eps_sign_guard_last"]
+        scores.append(ST.method_scores(FI.dividend_matrix(estimates, paid, eps, as_of), FI.actual_dividend(paid, year), methods, F.lit(year)))
+    rows = scores[0].union(scores[1]).union(scores[2])
+    chosen = F.broadcast(ST.select_method(rows, [1998, 1999]).select("dividend_method", "validation_mae"))  # one row
+    return neat(rows.join(chosen, "dividend_method", "left").withColumn("selected", F.col("validation_mae").isNotNull()).drop("validation_mae"))
+
+
 QUERIES = {
+    "break_sweep": break_sweep,
+    "adjustment_variants": adjustment_variants,
+    "yield_layers": yield_layers,
+    "live_months": live_months,
+    "financial_ablation": financial_ablation,
     "arima_forecast": arima_forecast,
     "hybrid_forecast": hybrid_forecast,
     "blend_weights": blend_weights,
