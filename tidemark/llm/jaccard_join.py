@@ -8,8 +8,9 @@ candidates, but within a tile they are not paired with each other:
 2. The keys are prefix shingles: order all shingles in one fixed way, and two sets of similarity 3/4 or more share
    one of the first n // 4 + 1 shingles of each, so nothing is missed. The order puts shingles that many texts hold last (a
    bounded table of them is gathered from all texts; it changes only the order, so speed but never the
-   result). Only keys that several components share matter, and of these only the nodes outside the largest
-   component of a tile are compared with its other components.
+   result). Only keys that several components share matter. Every node is compared with the most typical node of its tiles.
+3. Of what still differs, only the nodes outside the largest component of a tile are compared with its other
+   components, each pair at the first key that it shares and only if the places in the order leave room for enough overlap.
 
 A pair whose nodes are already in one component needs no test, so the components are exact. A comparison first bounds the
 overlap by bit counts of hashed bitmaps (each bit of one that the other lacks is a shingle that it lacks), then intersects
@@ -28,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidemark.llm.components import connected_components
 from tidemark.llm.storage import settle, ship, shuffle_partitions
@@ -44,6 +46,10 @@ SKETCH = 8
 #: Rows (of two or a few integers) of a side joined to texts that may be broadcast; beyond it the texts are shuffled.
 BROADCAST_ROWS = 250_000
 ROWS_EACH = 2_000_000
+#: Bytes of sets in one batch of their table.
+SET_BYTES = 4 << 20
+#: Keys of a node before a key that are compared to see whether a pair was met already.
+EARLIER = 4
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -249,13 +255,18 @@ def _verify(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
         for batch in batches:
             nodes_, leaders = batch.column(1).to_pylist(), batch.column(2)
             for row, x in slices(batch.column(0)):
-                a, b, body = [], [], []
+                a, b, body, held = [], [], [], 0
                 for i, s in enumerate(shingle_sets(x)):
-                    if len(s) and signature(s) == nodes_[row + i]:
-                        mine = leaders[row + i].as_py()
-                        a += mine
-                        b += [nodes_[row + i]] * len(mine)
-                        body += [s.tobytes()] * len(mine)
+                    if not len(s) or signature(s) != nodes_[row + i]:
+                        continue
+                    for one in leaders[row + i].as_py():
+                        a.append(one)
+                        b.append(nodes_[row + i])
+                        body.append(s.tobytes())
+                        held += len(body[-1])
+                        if held >= SET_BYTES:
+                            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(body, pa.binary())], names=["a", "b", "body"])
+                            a, b, body, held = [], [], [], 0
                 if a:
                     yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(body, pa.binary())], names=["a", "b", "body"])
 
@@ -307,25 +318,30 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     links = _verify(docs, nodes, near.select("a", F.col("node").alias("b")).distinct())
     first = settle(connected_components(links), "components")
 
-    # 2. What is outside the largest component of a tile against the tile's other components.
+    # 2. Everyone against the most typical node of each tile of prefix keys: the one that has the key first, with the fewest rare shingles.
     joined = settle(rows.select(F.col("key").alias("_key"), "node").join(first, "node").distinct(), "joined")
     prefixes = _contested_prefixes(docs, joined, frequent, shuffle_partitions(spark, int(total), ROWS_EACH))
-    placed = prefixes.withColumn("band", _band("n")).withColumn("tile", tile).drop("band")
+    tiles = prefixes.withColumn("band", _band("n")).withColumn("tile", tile).drop("band")
+    typical = settle(tiles.groupBy("shingle", "tile").agg(F.min(F.struct("place", "node", "n", "component")).alias("l")).select("shingle", "tile", F.col("l.node").alias("a"), F.col("l.n").alias("an"), F.col("l.place").alias("ap"), F.col("l.component").alias("ac")), "typical")
+    near = tiles.join(typical, ["shingle", "tile"]).where("component <> ac").where(_may_link("n", "place", "an", "ap"))
+    links = _verify(docs, nodes, near.select("a", F.col("node").alias("b")).distinct())
+    second = settle(_merged(first, links), "components")
+
+    # 3. What is outside the largest component of a tile against the tile's other components. A pair that shares an earlier key too
+    # is met there: the keys before this one, a few, tell it in nearly all cases.
+    earlier = F.collect_list("shingle").over(Window.partitionBy("node").orderBy("place").rowsBetween(-EARLIER, -1))
+    placed = prefixes.withColumn("before", earlier).join(second.withColumnRenamed("component", "old"), "node", "left")
+    placed = placed.withColumn("component", F.coalesce("old", "component")).drop("old").withColumn("band", _band("n")).withColumn("tile", tile).drop("band")
     counted = placed.groupBy("shingle", "tile", "component").agg(F.count("*").alias("members"))
     largest = counted.groupBy("shingle", "tile").agg(F.max_by("component", F.struct("members", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
     mixed = settle(placed.join(settle(largest, "largest"), ["shingle", "tile"]), "mixed")
-    minor = mixed.where("component <> main").select("shingle", "tile", F.col("node").alias("a"), F.col("n").alias("an"), F.col("place").alias("ap"), F.col("component").alias("ac"))
-    across = mixed.join(minor, ["shingle", "tile"]).where("component <> ac and (component = main or a < node)").where(_may_link("n", "place", "an", "ap"))
-    across = across.select("a", F.col("node").alias("b")).distinct()
-    more = _verify(docs, nodes, across)
-    named = first.select(F.col("node").alias("_n"), F.col("component").alias("_c"))
-    ends = more
-    for end in ("a", "b"):
-        ends = ends.join(named, F.col(end) == F.col("_n"), "left").withColumn(end, F.coalesce("_c", end)).drop("_n", "_c")
-    second = connected_components(ends).select(F.col("node").alias("component"), F.col("component").alias("second"))
+    minor = mixed.where("component <> main").select("shingle", "tile", F.col("node").alias("a"), F.col("n").alias("an"), F.col("place").alias("ap"), F.col("component").alias("ac"), F.col("before").alias("ab"))
+    across = mixed.join(minor, ["shingle", "tile"]).where("component <> ac and (component = main or a < node) and not arrays_overlap(before, ab)").where(_may_link("n", "place", "an", "ap"))
+    more = _verify(docs, nodes, across.select("a", F.col("node").alias("b")).distinct())
+    last = settle(_merged(second, more), "components")
 
     # Names: the smallest doc_id of a component, brought back to each row.
-    member = nodes.select("node", "n", "rep").join(first, "node", "left").withColumn("component", F.coalesce("component", "node")).join(second, "component", "left").withColumn("component", F.coalesce("second", "component"))
+    member = nodes.select("node", "n", "rep").join(last, "node", "left").withColumn("component", F.coalesce("component", "node"))
     member = settle(member.select("node", "n", "component", "rep"), "members")
     names = settle(member.groupBy("component").agg(F.min("rep").alias("component_id")), "names")
     member = settle(member.join(names, "component").select("node", "n", "component_id"), "named")
@@ -333,6 +349,18 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     return full.union(rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
+def _merged(components: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, component) after more links between nodes; nodes that no link ever touched are not listed."""
+    named = components.select(F.col("node").alias("_n"), F.col("component").alias("_c"))
+    ends = links
+    for end in ("a", "b"):
+        ends = ends.join(named, F.col(end) == F.col("_n"), "left").withColumn(end, F.coalesce("_c", end)).drop("_n", "_c")
+    joined = settle(connected_components(ends).select(F.col("node").alias("_o"), F.col("component").alias("_j")), "joined")
+    known = components.join(joined, F.col("component") == F.col("_o"), "left").select("node", F.coalesce("_j", "component").alias("component"))
+    new = joined.join(components.select(F.col("component").alias("_o")).distinct(), "_o", "left_anti").select(F.col("_o").alias("node"), F.col("_j").alias("component"))
+    return known.union(new)
+
+
 def _band(n: str) -> Column:
     """The size band of a set, by bisection of the edges written as one expression."""
 
