@@ -36,7 +36,7 @@ from tidemark.llm.textbatch import Texts, slices
 CAPACITY = 2048
 CLOSING_ID = 0
 TOKENIZER = "word_bpe_49k.json"
-REMEMBERED = 1_500_000
+REMEMBERED = 400_000
 ROWS_EACH = 5_000
 
 
