@@ -87,6 +87,42 @@ def test_recursive_and_arima_forecasts_are_sane(spark):
     assert second[-1].second_revenue == pytest.approx(wave()[-1], rel=0.05)
 
 
+def test_arima_tries_all_nine_orders_on_the_whole_history(spark):
+    import itertools
+    import math
+    import random
+
+    rng = random.Random(5)
+    w, e = [], []
+    for t in range(115):
+        at = lambda s, k, t=t: s[t - k] if t >= k else 0.0
+        e.append(rng.gauss(0, 0.05))
+        w.append(-0.6 * at(w, 1) + e[t] - 0.8 * at(e, 12))
+    y = [6.0 + 0.01 * t for t in range(13)]
+    for d in w:
+        y.append(d + y[-1] + y[-12] - y[-13])
+    rows = FC.seasonal_arima_forecast(panel(spark, [math.expm1(v) for v in y])).orderBy("target_year", "target_month").collect()
+    last, t = rows[-1], len(y) - 1
+    assert last.second_method == "seasonal_arima" and (last.arima_order, last.seasonal_order) == ("(1, 1, 0)", "(0, 1, 1, 12)")
+
+    def sums(p, q, sp, sq, n):
+        """Sum of squares of the first n residuals, and the step after them."""
+        r, total = [], 0.0
+        for k in range(n + 1):
+            at = lambda s, j, k=k: s[k - j] if k >= j else 0.0
+            step = p * at(w, 1) + sp * at(w, 12) - p * sp * at(w, 13) + q * at(r, 1) + sq * at(r, 12) + q * sq * at(r, 13)
+            if k == n:
+                return total, step
+            r.append(w[k] - step)
+            total += r[-1] ** 2
+
+    n = t - 13
+    total, p, sq, step = min((*sums(p, 0.0, 0.0, sq, n)[:1], p, sq, sums(p, 0.0, 0.0, sq, n)[1]) for p, sq in itertools.product(FC.ARIMA_GRID, FC.ARIMA_GRID))
+    assert (last.phi, last.seasonal_theta, last.theta, last.seasonal_phi) == (p, sq, 0.0, 0.0) and p < 0 and sq < 0
+    assert last.aic == pytest.approx(n * math.log(total / n) + 6.0)
+    assert math.log1p(last.second_revenue) == pytest.approx(y[-2] + y[-12 - 1] - y[-13 - 1] + step)
+
+
 def test_metrics(spark):
     rows = spark.createDataFrame([("m", 1, 100.0, 110.0, 90.0), ("m", 1, 200.0, 180.0, 190.0)], "model string, stock_id long, actual_revenue double, predicted_revenue double, last_observed_revenue double")
     r = M.accuracy(rows, "model").first()

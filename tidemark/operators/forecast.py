@@ -272,47 +272,97 @@ def recursive_forecast(panel: DataFrame, months: int = 12, config: FormulaConfig
     return out.select(ID, F.floor(F.col("_t") / 12).cast("int").alias("target_year"), (F.col("_t") % 12 + 1).cast("int").alias("target_month"), (F.col("_k") + 1).alias("step"), "predicted_revenue")
 
 
-#: FC-10 candidates: moving-average and seasonal moving-average terms of the doubly differenced log series.
-ARIMA_GRID = tuple((round(t * 0.2, 1), round(s * 0.2, 1)) for t in range(5) for s in range(5))
+#: FC-10 candidates: every pair of an order (p, 1, q) and a seasonal order (P, 1, Q)12, in the reference's order.
+ARIMA_ORDERS = ((0, 1, 1), (1, 1, 0), (1, 1, 1))
+ARIMA_SEASONAL_ORDERS = ((0, 1, 1), (1, 1, 0), (0, 1, 0))
+#: Values tried for each coefficient, smallest first, so that ties go to the simpler model.
+ARIMA_GRID = (0.0, -0.2, 0.2, -0.4, 0.4, -0.6, 0.6, -0.8, 0.8, -0.95, 0.95)
 
 
-def seasonal_arima_forecast(panel: DataFrame, min_history: int = 36, most: int = 60) -> DataFrame:
-    """FC-10, re-aimed: (0,1,1)(0,1,1)12 on log1p by conditional sum of squares over a grid of both terms.
+def _arima_paths(min_history: int):
+    """Arrow function: (id, segment, start, logs of consecutive months) to the fitted months of each segment.
 
-    For each month and candidate the residuals of the differenced past (at most ``most`` months) come from one
-    fold; the smallest AIC wins, ties to the earlier candidate. Shorter histories fall back to the value a year before. Exact
-    maximum likelihood is out of scope, so figures differ from a state-space solver.
+    Residuals do not depend on the month that is forecast, so one pass over a segment serves all of its months: the
+    sums of squares of all candidates grow by a month at a time. A month without a level ends the history.
     """
-    rows = baselines(panel).withColumn("_y", F.log1p(VALUE))
-    w = by_segment()
-    d = F.col("_y") - F.lag("_y").over(w) - F.lag("_y", 12).over(w) + F.lag("_y", 13).over(w)
-    rows = rows.withColumn("_d", d)
-    rows = rows.withColumns({
-        "_w": F.collect_list("_d").over(w.rowsBetween(-most, -1)),
-        "_anchor": F.lag("_y").over(w) + F.lag("_y", 12).over(w) - F.lag("_y", 13).over(w),
-    })
 
-    def fit(theta: float, seasonal: float) -> Column:
-        def step(s: Column, value: Column) -> Column:
-            e = value - theta * F.element_at(s["e"], -1) - seasonal * F.element_at(s["e"], -12) - theta * seasonal * F.element_at(s["e"], -13)
-            return F.struct(F.concat(F.slice(s["e"], 2, 12), F.array(e)).alias("e"), (s["sse"] + e * e).alias("sse"))
-
-        start = F.struct(F.array_repeat(F.lit(0.0), 13).alias("e"), F.lit(0.0).alias("sse"))
-        end = F.aggregate("_w", start, step)
-        k = (theta != 0) + (seasonal != 0) + 1
-        return F.struct(end.alias("end"), F.lit(theta).alias("theta"), F.lit(seasonal).alias("seasonal"), F.lit(2.0 * k).alias("penalty"))
-
-    usable = rows.where(F.col("history_months") >= min_history)
-    tried = usable.select(ID, YEAR, MONTH, "_anchor", F.size("_w").alias("_m"), F.explode(F.array(*[fit(t, s) for t, s in ARIMA_GRID])).alias("_f"))
-    e = F.col("_f.end.e")
-    step = F.col("_f.theta") * F.element_at(e, -1) + F.col("_f.seasonal") * F.element_at(e, -12) + F.col("_f.theta") * F.col("_f.seasonal") * F.element_at(e, -13)
-    variance = F.greatest(F.col("_f.end.sse") / F.col("_m"), F.lit(1e-12))
-    tried = tried.select(ID, YEAR, MONTH, (F.col("_m") * F.log(variance) + F.col("_f.penalty")).alias("aic"), F.col("_f.theta").alias("theta"), F.col("_f.seasonal").alias("seasonal_theta"), (F.col("_anchor") + step).alias("_log"), F.sqrt(variance).alias("_sd"))
-    best = tried.groupBy(ID, YEAR, MONTH).agg(F.min(F.struct("aic", "theta", "seasonal_theta", "_log", "_sd")).alias("b")).select(ID, YEAR, MONTH, "b.*")
-    out = rows.select(ID, YEAR, MONTH, "history_months", "seasonal_naive_revenue", "last_observed_revenue", F.col(VALUE).alias("actual_revenue")).join(best, [ID, YEAR, MONTH], "left")
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        parts, cut, free, orders = [], [0], [], []
+        for p, _, q in ARIMA_ORDERS:
+            for sp, _, sq in ARIMA_SEASONAL_ORDERS:
+                axes = [ARIMA_GRID if on else (0.0,) for on in (p, q, sp, sq)]
+                parts.append(np.stack(np.meshgrid(*axes, indexing="ij")).reshape(4, -1))
+                cut.append(cut[-1] + parts[-1].shape[1])
+                free.append(p + q + sp + sq + 1)
+                orders.append((f"({p}, 1, {q})", f"({sp}, 1, {sq}, 12)"))
+        phi, theta, sphi, stheta = np.concatenate(parts, axis=1)
+        both, sboth, free, first = phi * sphi, theta * stheta, np.array(free), np.array(cut[:-1])
+
+        def segment(start, logs):
+            begin, chosen = 0, None
+            w, e, sse = [0.0] * 13, [np.zeros(len(phi))] * 13, np.zeros(len(phi))
+            for t, y in enumerate(logs):
+                n = t - begin - 13
+                if (start + t) % 12 == 0:
+                    # The order is chosen on what is known before the year, its coefficients anew for each month.
+                    chosen = None
+                    if t - begin >= min_history:
+                        least = np.minimum.reduceat(sse, first)
+                        chosen = int(np.argmin(n * np.log(np.maximum(least / n, 1e-12)) + 2.0 * free))
+                if n >= 0:
+                    anchor = logs[t - 1] + logs[t - 12] - logs[t - 13]
+                    step = phi * w[-1] + sphi * w[-12] - both * w[-13] + theta * e[-1] + stheta * e[-12] + sboth * e[-13]
+                    if chosen is not None:
+                        best = cut[chosen] + int(np.argmin(sse[cut[chosen] : cut[chosen + 1]]))
+                        variance = max(sse[best] / n, 1e-12)
+                        aic = n * np.log(variance) + 2.0 * free[chosen]
+                        yield start + t, aic, *orders[chosen], phi[best], theta[best], sphi[best], stheta[best], anchor + step[best], variance**0.5
+                if y is None or not np.isfinite(y):
+                    begin, chosen = t + 1, None
+                    w, e, sse = [0.0] * 13, [np.zeros(len(phi))] * 13, np.zeros(len(phi))
+                elif n >= 0:
+                    d = y - anchor
+                    w, e = [*w[1:], d], [*e[1:], d - step]
+                    sse = sse + e[-1] * e[-1]
+
+        names = ["calendar_segment", "month_index", "aic", "arima_order", "seasonal_order", "phi", "theta", "seasonal_phi", "seasonal_theta", "_log", "_sd"]
+        for batch in batches:
+            at, rows = [], []
+            for i in range(batch.num_rows):
+                number = batch.column(1)[i].as_py()
+                for row in segment(batch.column(2)[i].as_py(), batch.column(3)[i].as_py()):
+                    at.append(i)
+                    rows.append((number, *row))
+            columns = list(zip(*rows, strict=True)) if rows else [()] * len(names)
+            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.string(), pa.string(), *[pa.float64()] * 6]
+            ids = batch.column(0).take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([ids, *[pa.array([float(x) for x in c] if k == pa.float64() else c, k) for c, k in zip(columns, kinds, strict=True)]], names=[ID, *names])
+
+    return run
+
+
+def seasonal_arima_forecast(panel: DataFrame, min_history: int = 36) -> DataFrame:
+    """FC-10, re-aimed: nine seasonal ARIMA orders on log1p by conditional sum of squares over a grid of their coefficients.
+
+    The order with the smallest AIC on the consecutive months before a year serves all months of the year; its coefficients
+    are those of the smallest sum of squares over all consecutive months before each month. What has no ``min_history`` consecutive
+    months before its year falls back to the value a year before. Exact maximum likelihood is out of scope, so figures differ from a
+    state-space solver.
+    """
+    known = F.when(F.col(VALUE) >= 0, F.log1p(F.col(VALUE).cast("double")))
+    rows = baselines(panel).withColumn("_y", known)
+    keys = [ID, "calendar_segment", "month_index"]
+    months = rows.groupBy(ID, "calendar_segment").agg(F.array_sort(F.collect_list(F.struct(F.col("month_index").cast("long").alias("m"), F.col("_y").alias("y")))).alias("_s"))
+    months = months.where(F.size("_s") > min_history).select(ID, F.col("calendar_segment").cast("long"), F.col("_s")[0]["m"].alias("_start"), F.col("_s.y").alias("_logs"))
+    kind = panel.schema[ID].dataType.simpleString()
+    best = months.mapInArrow(_arima_paths(min_history), f"{ID} {kind}, calendar_segment long, month_index long, aic double, arima_order string, seasonal_order string, phi double, theta double, seasonal_phi double, seasonal_theta double, _log double, _sd double")
+    out = rows.select(*keys, YEAR, MONTH, "seasonal_naive_revenue", "last_observed_revenue", F.col(VALUE).alias("actual_revenue")).join(best, keys, "left")
     fitted = F.col("_log").isNotNull()
     return out.select(
-        ID, F.col(YEAR).alias("target_year"), F.col(MONTH).alias("target_month"), "actual_revenue", "last_observed_revenue", "aic", "theta", "seasonal_theta",
+        ID, F.col(YEAR).alias("target_year"), F.col(MONTH).alias("target_month"), "actual_revenue", "last_observed_revenue", "aic", "arima_order", "seasonal_order", "phi", "theta", "seasonal_phi", "seasonal_theta",
         F.when(fitted, level_of(F.col("_log"))).otherwise(F.col("seasonal_naive_revenue")).alias("second_revenue"),
         F.when(fitted, level_of(F.col("_log") - 1.96 * F.col("_sd"))).alias("lower"),
         F.when(fitted, level_of(F.col("_log") + 1.96 * F.col("_sd"))).alias("upper"),
