@@ -305,6 +305,46 @@ def test_salvage_plain_and_members():
     assert [r["record_type"] for r in warc.salvage(a[:-30])] == ["gap"] and list(warc.salvage(b"")) == []
 
 
+def written(spark, path, n, kind):
+    """The one file that write_warc makes of n pages with texts of their own."""
+    from pathlib import Path
+
+    pages = spark.range(n).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.concat_ws(" ", *[F.sha2(F.concat(F.col("id"), F.lit(f" {k}")), 256) for k in range(8)]).alias("html"))
+    warc.write_warc(warc.payload_table(pages).coalesce(1).sortWithinPartitions("page_id"), f"file://{path}", kind)
+    (file,) = Path(path).glob("part-*")
+    return file.read_bytes()
+
+
+@pytest.mark.parametrize("kind", ["gzip", "none"])
+def test_damage_in_the_middle_of_a_written_archive_costs_one_record(spark, tmp_path, kind):
+    data = written(spark, f"{tmp_path}/{kind}", 60, kind)
+    assert [r["page_id"] for r in warc.salvage(data)] == list(range(60))
+    for part in (len(data) // 2, len(data) // 3):
+        at = data.index(b"\x1f\x8b\x08" if kind == "gzip" else b"HTTP/1.1 200", part) + 100
+        rows = list(warc.salvage(data[:at] + bytes([data[at] ^ 255]) + data[at + 1 :]))
+        gaps = [r for r in rows if r["record_type"] == "gap"]
+        assert len(rows) == 60 and len(gaps) == 1 and gaps[0]["gap_start"] <= at < gaps[0]["gap_end"]
+        assert gaps[0]["gap_end"] - gaps[0]["gap_start"] < len(data) / 50
+    if kind == "gzip":
+        assert gzip.decompress(data).count(b"WARC/1.1\r\n") == 60
+
+
+def test_gaps_of_a_member_of_many_records_begin_after_what_was_recovered():
+    import random
+
+    rng = random.Random(1)
+    data = gzip.compress(b"".join(one_record(k, rng.randbytes(2000)) for k in range(100)))
+    at = len(data) // 2
+    rows = list(warc.salvage(data[:at] + bytes([data[at] ^ 255]) + data[at + 1 :]))
+    assert len(rows) > 45 and [r["record_type"] for r in rows[-2:]] == ["response", "gap"]
+    assert len(data) / 3 < rows[-1]["gap_start"] <= at and rows[-1]["gap_end"] == len(data)
+
+
+def test_a_member_ends_in_a_zero_byte_whatever_its_length():
+    big = one_record(1, b"x" * (1 << 24))[:-4]
+    assert [r["page_id"] for r in warc.salvage(warc.member(big) + b"\0" + warc.member(one_record(2)[:-4]) + b"\0")] == [1, 2]
+
+
 # 10 near duplicates
 
 

@@ -2,6 +2,8 @@
 
 Writing: a record is headers and a payload in UTF-8, closed by two CRLF; the text sink with that closing as line
 separator therefore writes valid uncompressed WARC files to any store that Spark writes to, with its commit protocol.
+With ``gzip`` each record is a gzip member of its own, so that damage costs one record: a member's last byte (of its length) is zero and is
+what the sink writes as line separator; a record from 16 MB on, whose length has no zero there, is followed by an empty member.
 Of equal payloads of at least ``MIN_REVISIT`` bytes the smallest page_id is stored, the others are revisits that carry
 only the payload's length and digest.
 
@@ -25,10 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.storage import settle
+from tidemark.llm.storage import settle, ship
 
 MIN_REVISIT = 100
 CLOSING = "\r\n\r\n"
+#: Bytes of a gzip member that are inflated at a time.
+PIECE = 8192
 #: Salts of a payload's group before its smallest id is known.
 SALTS = 16
 VERSION = re.compile(rb"WARC/1\.[01]\r\n")
@@ -53,7 +57,7 @@ def payload_table(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
 
 
 def write_warc(payloads: DataFrame, path: str, compression: str = "gzip") -> None:
-    """Writes the rows of :func:`payload_table` as WARC files below ``path``: each one gzip member, or plain with ``none``."""
+    """Writes the rows of :func:`payload_table` as WARC files below ``path``: a gzip member for each record, or plain with ``none``."""
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
     revisit = F.col("refers_to").isNotNull()
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\n"), line("Content-Length", F.col("payload_bytes").cast("string")), F.lit("\r\n"))
@@ -71,7 +75,37 @@ def write_warc(payloads: DataFrame, path: str, compression: str = "gzip") -> Non
         F.lit("\r\n"),
         block,
     )
-    payloads.select(record.alias("value")).write.options(lineSep=CLOSING, compression=compression).text(path)
+    records = payloads.select(record.alias("value"))
+    if compression == "none":
+        records.write.options(lineSep=CLOSING, compression="none").text(path)
+        return
+    if compression != "gzip":
+        raise ValueError(f"compression must be gzip or none, not {compression}")
+
+    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held, size = [], 0
+            for value in batch.column(0):
+                held.append(member(value.as_buffer()))
+                size += len(held[-1])
+                if size >= 1 << 20:
+                    yield pa.RecordBatch.from_arrays([pa.array(held, pa.binary())], names=["value"])
+                    held, size = [], 0
+            yield pa.RecordBatch.from_arrays([pa.array(held, pa.binary())], names=["value"])
+
+    ship(payloads.sparkSession)
+    # The sink writes the bytes of a string as they are.
+    records.mapInArrow(members, "value binary").select(F.col("value").cast("string")).write.options(lineSep="\0", compression="none").text(path)
+
+
+def member(record: bytes) -> bytes:
+    """The gzip member of a record and its closing, without the zero byte that ends it."""
+    pack = zlib.compressobj(6, zlib.DEFLATED, 31)
+    out = pack.compress(record) + pack.compress(CLOSING.encode()) + pack.flush()
+    if out[-1]:
+        pack = zlib.compressobj(6, zlib.DEFLATED, 31)
+        out += pack.compress(b"") + pack.flush()
+    return out[:-1]
 
 
 def _headers(lines: bytes) -> dict[str, str]:
@@ -113,41 +147,54 @@ def _record(data: bytes, at: int) -> tuple[dict | None, int, str]:
     return row | {"payload_bytes": int(size), "payload_digest": digest, "refers_to": int(refers) if kind == "revisit" else None}, end + 4, ""
 
 
-def _members(data: bytes) -> Iterator[tuple[int, int, bytes, str]]:
-    """(start, end, content, reason) of the gzip members of a file; of a damaged one the content before the damage."""
-    at = 0
-    while at < len(data):
-        unpack, parts, k, reason = zlib.decompressobj(31), [], at, ""
+def _inflate(data: bytes, at: int) -> tuple[bytes, list[tuple[int, int]], int, str]:
+    """(content, places, end, reason) of the gzip member at ``at``; of a damaged one the content before the damage.
+
+    ``places``: (bytes of content, offset in the file) after each piece that was read.
+    """
+    unpack, parts, places, k, made = zlib.decompressobj(31), [], [(0, at)], at, 0
+    try:
+        while not unpack.eof and k < len(data):
+            before = unpack.copy() if k > at else None
+            parts.append(unpack.decompress(data[k : k + PIECE]))
+            k += PIECE
+            made += len(parts[-1])
+            places.append((made, min(k, len(data))))
+    except zlib.error as e:
+        # Byte by byte, the piece gives what comes before the damage.
+        unpack = before or zlib.decompressobj(31)
         try:
-            while not unpack.eof and k < len(data):
-                parts.append(unpack.decompress(data[k : k + 65536]))
-                k += 65536
-            reason = "" if unpack.eof else "member is cut off"
-        except zlib.error as e:
-            reason = f"member: {e}"
-        end = min(k, len(data)) - len(unpack.unused_data)
-        if reason:
-            end = data.find(b"\x1f\x8b\x08", at + 1)
-            end = len(data) if end < 0 else end
-        yield at, end, b"".join(parts), reason
-        at = end
+            for i in range(k, min(k + PIECE, len(data))):
+                parts.append(unpack.decompress(data[i : i + 1]))
+                made += len(parts[-1])
+                places.append((made, i + 1))
+        except zlib.error:
+            pass
+        return b"".join(parts), places, at, f"member: {e}"
+    return b"".join(parts), places, min(k, len(data)) - len(unpack.unused_data), "" if unpack.eof else "member is cut off"
 
 
-def salvage(data: bytes) -> Iterator[dict]:
-    """Rows of all sound records of a file, and a row of type gap for each range of bytes passed over.
+def _member(data: bytes, at: int) -> tuple[list[dict], int, int, str]:
+    """(rows, lost, end, reason) of the gzip member at ``at``; if it is damaged, what is lost begins at ``lost``."""
+    content, places, end, reason = _inflate(data, at)
+    rows, done, whole = [], 0, True
+    for row, stop in _plain(content):
+        if not reason:
+            rows.append(row if row["record_type"] != "gap" else row | {"gap_start": at, "gap_end": end})
+        elif row["record_type"] == "gap":
+            whole = False
+        # Bytes that a failed check lets through may be wrong, so that without a digest nothing vouches for them.
+        elif row["record_type"] == "response" or reason == "member is cut off":
+            rows.append(row)
+            done = stop if whole else done
+    if whole and reason.endswith(("incorrect data check", "incorrect length check")):
+        # The damage is in the headers of any record; those of an only record are not to be trusted.
+        return rows if len(rows) > 1 else [], at, end, reason
+    return rows, max(place for made, place in places if made <= done) if done else at, end, reason
 
-    Offsets within gzip files are those of the member in the file, lengths too.
-    """
-    if data[:2] == b"\x1f\x8b" or (b"\x1f\x8b\x08" in data and not VERSION.search(data)):
-        for start, end, content, reason in _members(data):
-            for row in salvage(content):
-                if row["record_type"] != "gap":
-                    yield row
-                elif not reason:
-                    yield row | {"gap_start": start, "gap_end": end}
-            if reason:
-                yield {"record_type": "gap", "gap_start": start, "gap_end": end, "reason": reason}
-        return
+
+def _plain(data: bytes) -> Iterator[tuple[dict, int]]:
+    """(row, end) of the records and gaps of bytes that hold records one after the other."""
     at, gap, why = 0, None, ""
     while at < len(data):
         row, end, reason = _record(data, at)
@@ -158,11 +205,39 @@ def salvage(data: bytes) -> Iterator[dict]:
             at = found.start() if found else len(data)
             continue
         if gap is not None:
-            yield {"record_type": "gap", "gap_start": gap, "gap_end": at, "reason": why}
+            yield {"record_type": "gap", "gap_start": gap, "gap_end": at, "reason": why}, at
             gap = None
-        yield row
+        yield row, end
         at = end
     if gap is not None:
+        yield {"record_type": "gap", "gap_start": gap, "gap_end": len(data), "reason": why}, len(data)
+
+
+def salvage(data: bytes) -> Iterator[dict]:
+    """Rows of all sound records of a file, and a row of type gap for each range of bytes passed over.
+
+    Offsets within gzip files are those in the file: of the member if a record in a sound member is not sound, else from
+    where the last record that was recovered ends (at most ``PIECE`` bytes before) to the next member that opens.
+    """
+    if data[:2] != b"\x1f\x8b" and (b"\x1f\x8b\x08" not in data or VERSION.search(data)):
+        yield from (row for row, _ in _plain(data))
+        return
+    at, gap, why = 0, None, ""
+    while at < len(data):
+        rows, lost, end, reason = _member(data, at)
+        if gap is not None and (rows or not reason):
+            if gap < at:
+                yield {"record_type": "gap", "gap_start": gap, "gap_end": at, "reason": why}
+            gap = None
+        yield from rows
+        if reason:
+            if gap is None:
+                gap, why = lost, reason
+            found = data.find(b"\x1f\x8b\x08", at + 1)
+            at = found if found >= 0 else len(data)
+        else:
+            at = end
+    if gap is not None and gap < len(data):
         yield {"record_type": "gap", "gap_start": gap, "gap_end": len(data), "reason": why}
 
 
