@@ -345,6 +345,35 @@ def test_a_member_ends_in_a_zero_byte_whatever_its_length():
     assert [r["page_id"] for r in warc.salvage(warc.member(big) + b"\0" + warc.member(one_record(2)[:-4]) + b"\0")] == [1, 2]
 
 
+def test_records_of_other_writers_are_read():
+    import base64
+    import hashlib
+
+    def other(kind, block, *more, content="application/http; msgtype=response"):
+        head = [f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{kind}>", "WARC-Date: 2020-01-01T00:00:00Z", f"Content-Type: {content}", *more, f"Content-Length: {len(block)}"]
+        return ("WARC/1.0\r\n" + "\r\n".join(head) + "\r\n\r\n").encode() + block + b"\r\n\r\n"
+
+    sha1 = lambda x: "WARC-Payload-Digest: sha1:" + base64.b32encode(hashlib.sha1(x).digest()).decode()
+    chunked = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n4\r\nWiki\r\n3;x=y\r\nped\r\n0\r\n\r\n"
+    records = [
+        other("warcinfo", b"software: x\r\n", content="application/warc-fields"),
+        other("request", b"GET / HTTP/1.1\r\nHost: h\r\n\r\n", content="application/http; msgtype=request"),
+        other("response", chunked, sha1(b"Wikiped")),
+        other("metadata", b"fetchTimeMs: 1", "WARC-Payload-Digest: blake9:abc", content="application/warc-fields"),
+        other("resource", b"bytes", sha1(b"bytes"), content="text/plain"),
+        other("revisit", b"HTTP/1.1 304 Not Modified\r\n\r\n", sha1(b"gone"), "WARC-Refers-To: <urn:uuid:response>"),
+    ]
+    kinds = ["warcinfo", "request", "response", "metadata", "resource", "revisit"]
+    for data in (b"".join(records), b"".join(map(gzip.compress, records)), b"".join(records[:2]) + b"".join(map(gzip.compress, records[2:]))):
+        rows = list(warc.salvage(data))
+        assert [r["record_type"] for r in rows] == kinds
+        assert [r["record_id"] for r in rows] == [f"<urn:uuid:{k}>" for k in kinds] and all(r["page_id"] is None for r in rows)
+        assert rows[2]["payload"] == b"Wikiped" and rows[4]["payload"] == b"bytes" and rows[5]["refers_to_id"] == "<urn:uuid:response>"
+    broken = records[4].replace(b"\r\n\r\nbytes", b"\r\n\r\nbytEs")
+    rows = list(warc.salvage(records[0] + broken + gzip.compress(records[5])))
+    assert [r["record_type"] for r in rows] == ["warcinfo", "gap", "revisit"] and rows[1]["gap_end"] == len(records[0] + broken)
+
+
 # 10 near duplicates
 
 

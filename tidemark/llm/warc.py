@@ -7,8 +7,9 @@ what the sink writes as line separator; a record from 16 MB on, whose length has
 Of equal payloads of at least ``MIN_REVISIT`` bytes the smallest page_id is stored, the others are revisits that carry
 only the payload's length and digest.
 
-Reading: plain files and files of gzip members. A record is checked for its version line, its headers, its length, its
-closing and its digest. After a failed check the reader searches for the next version line (or the next gzip member that
+Reading: plain files, files of gzip members and files that mix both, of any writer. A record is checked for its version line, its
+headers (length, name, type), its length, its closing and its digests where their algorithm is known; page_id and refers_to are
+the numbers in this writer's names and null for others, which record_id and refers_to_id give as they are. After a failed check the reader searches for the next version line (or the next gzip member that
 opens) and goes on from there; what it passed over comes out as rows of type ``gap`` with the byte range and the reason.
 
 Edge cases: a null payload is empty, a null url is empty; line breaks in a url are written as %0D and %0A; rows whose page_id
@@ -18,6 +19,7 @@ empty table gives an empty archive and no rows; extra columns are not read.
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 import zlib
@@ -36,6 +38,8 @@ PIECE = 8192
 #: Salts of a payload's group before its smallest id is known.
 SALTS = 16
 VERSION = re.compile(rb"WARC/1\.[01]\r\n")
+MAGIC = b"\x1f\x8b\x08"
+START = re.compile(rb"WARC/1\.[01]\r\n|\x1f\x8b\x08")
 
 
 def payload_table(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_revisit: int = MIN_REVISIT) -> DataFrame:
@@ -127,24 +131,66 @@ def _record(data: bytes, at: int) -> tuple[dict | None, int, str]:
         return None, at, "headers do not end"
     head = _headers(data[start.end() : stop])
     try:
-        length = int(head["content-length"])
-        name = int(head["warc-record-id"].removeprefix("<urn:page:").removesuffix(">"))
+        length, name, kind = int(head["content-length"]), head["warc-record-id"], head["warc-type"]
     except (KeyError, ValueError):
-        return None, at, "no length or name"
+        return None, at, "no length, name or type"
     begin, end = stop + 4, stop + 4 + length
     if length < 0 or data[end : end + 4] != b"\r\n\r\n":
         return None, at, "no closing where the length says"
     block = data[begin:end]
-    http, _, payload = block.partition(b"\r\n\r\n")
-    kind, digest = head.get("warc-type", ""), head.get("warc-payload-digest", "").removeprefix("sha256:")
-    size = _headers(http).get("content-length", "")
-    refers = head.get("warc-refers-to", "").removeprefix("<urn:page:").removesuffix(">")
-    if kind == "response" and (hashlib.sha256(payload).hexdigest() != digest or size != str(len(payload))):
-        return None, at, "payload differs from its digest or length"
-    if not size.isdigit() or kind == "revisit" and not re.fullmatch(r"-?\d+", refers):
-        return None, at, "incomplete record"
-    row = {"page_id": name, "url": head.get("warc-target-uri"), "record_type": kind, "payload": payload if kind == "response" else None}
-    return row | {"payload_bytes": int(size), "payload_digest": digest, "refers_to": int(refers) if kind == "revisit" else None}, end + 4, ""
+    payload, size, forms = block, None, [block]
+    content = head.get("content-type") or ("application/http" if kind in ("response", "request", "revisit") else "")
+    if content.lower().startswith("application/http"):
+        http, _, payload = block.partition(b"\r\n\r\n")
+        http, forms = _headers(http), [payload]
+        size = http.get("content-length")
+        if http.get("transfer-encoding", "").lower() == "chunked" and (whole := _unchunked(payload)) is not None:
+            payload = whole
+            forms.append(whole)
+    digest, revisit = head.get("warc-payload-digest", ""), kind == "revisit"
+    intact = _agrees(head.get("warc-block-digest", ""), [block])
+    # Tools differ in what they call the payload; a block whose digest holds is sound whatever they say.
+    if intact is False or intact is None and not revisit and "warc-truncated" not in head and _agrees(digest, forms) is False:
+        return None, at, "block or payload differs from its digest"
+    refers = head.get("warc-refers-to") if revisit else None
+    row = {"page_id": _page(name), "record_id": name, "url": head.get("warc-target-uri"), "record_type": kind, "payload": None if revisit else payload}
+    row |= {"payload_bytes": (int(size) if size and size.isdigit() else None) if revisit else len(payload), "payload_digest": digest.removeprefix("sha256:") or None}
+    checked = bool(intact or not revisit and _agrees(digest, forms))
+    return row | {"refers_to": _page(refers), "refers_to_id": refers, "checked": checked}, end + 4, ""
+
+
+def _page(name: str | None) -> int | None:
+    """The page_id in a name of this writer, null for other names."""
+    found = re.fullmatch(r"<urn:page:(-?\d{1,19})>", name or "")
+    return int(found[1]) if found and -(1 << 63) <= int(found[1]) < 1 << 63 else None
+
+
+def _agrees(digest: str, forms: list[bytes]) -> bool | None:
+    """Whether a labelled digest, in hex or base32, is that of one of the forms; None if its algorithm is not known."""
+    label, _, value = digest.partition(":")
+    label = label.lower().replace("-", "")
+    if label not in ("md5", "sha1", "sha256", "sha384", "sha512") or not value:
+        return None
+    value = value.lower().rstrip("=")
+    found = [hashlib.new(label, x).digest() for x in forms]
+    return any(value in (x.hex(), base64.b32encode(x).decode().lower().rstrip("=")) for x in found)
+
+
+def _unchunked(body: bytes) -> bytes | None:
+    """The content of a chunked HTTP body, None if it is not one."""
+    parts, at = [], 0
+    while True:
+        stop = body.find(b"\r\n", at)
+        size = re.fullmatch(rb"\s*([0-9a-fA-F]{1,15})\s*(;.*)?", body[at:stop]) if stop >= 0 else None
+        if not size:
+            return None
+        n = int(size[1], 16)
+        if not n:
+            return b"".join(parts)
+        if body[stop + 2 + n : stop + 4 + n] != b"\r\n":
+            return None
+        parts.append(body[stop + 2 : stop + 2 + n])
+        at = stop + 4 + n
 
 
 def _inflate(data: bytes, at: int) -> tuple[bytes, list[tuple[int, int]], int, str]:
@@ -184,7 +230,7 @@ def _member(data: bytes, at: int) -> tuple[list[dict], int, int, str]:
         elif row["record_type"] == "gap":
             whole = False
         # Bytes that a failed check lets through may be wrong, so that without a digest nothing vouches for them.
-        elif row["record_type"] == "response" or reason == "member is cut off":
+        elif row["checked"] or reason == "member is cut off":
             rows.append(row)
             done = stop if whole else done
     if whole and reason.endswith(("incorrect data check", "incorrect length check")):
@@ -219,12 +265,14 @@ def salvage(data: bytes) -> Iterator[dict]:
     Offsets within gzip files are those in the file: of the member if a record in a sound member is not sound, else from
     where the last record that was recovered ends (at most ``PIECE`` bytes before) to the next member that opens.
     """
-    if data[:2] != b"\x1f\x8b" and (b"\x1f\x8b\x08" not in data or VERSION.search(data)):
-        yield from (row for row, _ in _plain(data))
-        return
     at, gap, why = 0, None, ""
     while at < len(data):
-        rows, lost, end, reason = _member(data, at)
+        lost = at
+        if data.startswith(MAGIC, at):
+            rows, lost, end, reason = _member(data, at)
+        else:
+            row, end, reason = _record(data, at)
+            rows = [row] if row else []
         if gap is not None and (rows or not reason):
             if gap < at:
                 yield {"record_type": "gap", "gap_start": gap, "gap_end": at, "reason": why}
@@ -233,17 +281,17 @@ def salvage(data: bytes) -> Iterator[dict]:
         if reason:
             if gap is None:
                 gap, why = lost, reason
-            found = data.find(b"\x1f\x8b\x08", at + 1)
-            at = found if found >= 0 else len(data)
+            found = START.search(data, at + 1)
+            at = found.start() if found else len(data)
         else:
             at = end
     if gap is not None and gap < len(data):
         yield {"record_type": "gap", "gap_start": gap, "gap_end": len(data), "reason": why}
 
 
-_RECORDS = "path string, record_type string, page_id long, url string, payload binary, payload_bytes long, payload_digest string, refers_to long, gap_start long, gap_end long, reason string"
+_RECORDS = "path string, record_type string, page_id long, record_id string, url string, payload binary, payload_bytes long, payload_digest string, refers_to long, refers_to_id string, gap_start long, gap_end long, reason string"
 _ARROW = pa.schema(
-    [("path", pa.string()), ("record_type", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.int64()), ("gap_start", pa.int64()), ("gap_end", pa.int64()), ("reason", pa.string())]
+    [("path", pa.string()), ("record_type", pa.string()), ("page_id", pa.int64()), ("record_id", pa.string()), ("url", pa.string()), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.int64()), ("refers_to_id", pa.string()), ("gap_start", pa.int64()), ("gap_end", pa.int64()), ("reason", pa.string())]
 )
 
 
