@@ -35,23 +35,39 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return apply_quality_rules(docs).where("kept").select(docs.columns)
 
 
+def with_row_key(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a key of id and text, which rows of null or repeated ids have too, and its name, which no column has yet."""
+    name = "_row"
+    while name in docs.columns:
+        name = f"_{name}"
+    return docs.withColumn(name, F.xxhash64("doc_id", "text")), name
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, the one of smallest doc_id; rows without an id stay."""
-    groups = settle(ngram_jaccard_components(docs).where("doc_id is not null"), "groups")
-    copies = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(copies, "doc_id", "left_anti").select(docs.columns)
-    if groups.groupBy("doc_id").count().where("count > 1").limit(1).count():
-        kept = kept.where("doc_id is not null").dropDuplicates(["doc_id"]).union(kept.where("doc_id is null"))
-    return kept
+    """One row of each group of near copies, the one of smallest doc_id (null last); rows that the operator links to none stay."""
+    keyed, row = with_row_key(docs)
+    groups = ngram_jaccard_components(keyed, id_col=row).where("n_shingles > 0")
+    groups = settle(groups.groupBy(F.col("doc_id").alias(row)).agg(F.min("component_id").alias("component_id"), F.count("*").alias("rows")), "groups")
+    ids = keyed.groupBy(row).agg(F.min("doc_id").alias("doc_id"))
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", row))
+    first = settle(groups.join(ids, row).groupBy("component_id").agg(best.alias("best")).select(f"best.{row}"), "first")
+    kept = keyed.join(groups.join(first, row, "left_anti").select(row), row, "left_anti")
+    # Rows of equal id and text have one key.
+    again = groups.where("rows > 1").join(first, row, "left_semi").select(row)
+    if again.limit(1).count():
+        kept = kept.join(again, row, "left_anti").unionByName(kept.join(again, row, "left_semi").dropDuplicates([row]))
+    return kept.select(docs.columns)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as their rate says."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    rates = mix_to_targets(docs, labels, label_domain(), MIXING_FACTORS, relative=True).select("doc_id", "copies")
-    # Rows of equal id have equal copies unless their texts differ; the largest stands for all.
-    rates = rates.groupBy("doc_id").agg(F.max("copies").alias("copies"))
-    return docs.join(rates, "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(0), F.col("copies")))).where("_copy > 0").select(docs.columns)
+    keyed, row = with_row_key(docs)
+    rates = mix_to_targets(keyed, labels, label_domain(), MIXING_FACTORS, relative=True, row_col=row)
+    # Rows of equal key have equal texts, so equal rates.
+    rates = rates.groupBy(row).agg(F.max("copies").alias(f"{row}_copies"))
+    copies = F.explode(F.sequence(F.lit(0), F.col(f"{row}_copies")))
+    return keyed.join(rates, row).withColumn(f"{row}_copy", copies).where(F.col(f"{row}_copy") > 0).select(docs.columns)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

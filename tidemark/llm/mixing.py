@@ -174,15 +174,16 @@ def with_rates(members: DataFrame, misses: list[np.ndarray], id_col: str = "doc_
     return rated.withColumn("copies", (F.floor("rate") + (odds < F.col("rate") - F.floor("rate")).cast("int")).cast("int"))
 
 
-def mix_to_targets(docs: DataFrame, labels: DataFrame, domain: Column, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text", relative: bool = False) -> DataFrame:
+def mix_to_targets(docs: DataFrame, labels: DataFrame, domain: Column, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text", relative: bool = False, row_col: str | None = None) -> DataFrame:
     """(id, n_tokens, posteriors, rate, copies) of every row.
 
     ``targets``: the domains' shares of all tokens, or with ``relative`` factors of the shares they have now; scaled to sum 1.
+    ``row_col``: a key of rows whose ids may be null or repeated; it is returned too and rounds their rates in place of the id.
     """
     ship(docs.sparkSession)
     domains = tuple(targets)
     model = fit_domains(docs, labels, domain, domains, id_col, text_col)
-    members = domain_posteriors(docs.select(F.col(id_col), F.col(text_col)), model, text_col).drop(text_col)
+    members = domain_posteriors(docs.select(id_col, text_col, *([row_col] if row_col else [])), model, text_col).drop(text_col)
     members = settle(members, "members")
     share = np.array([targets[d] for d in domains], float)
     if relative:
@@ -190,4 +191,4 @@ def mix_to_targets(docs: DataFrame, labels: DataFrame, domain: Column, targets:
         share = share * np.array([v or 0.0 for v in p])
     if share.sum() > 0:
         share = share / share.sum()
-    return with_rates(members, solve_rates(members, share), id_col)
+    return with_rates(members, solve_rates(members, share), row_col or id_col)
