@@ -9,11 +9,14 @@ longest text, not the batch.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 
 SLICE_BYTES = 1 << 20
+#: Words of more bytes are hashed one by one: polynomials modulo 2**64 can take crafted words of some thousand letters for one another.
+LONG = 64
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -79,7 +82,11 @@ class Texts:
         terms *= power
         np.cumsum(terms, out=running[1:])
         h = (running[self.ends] - running[self.starts]) * inverse[self.starts]
-        return mix(h ^ (self.ends - self.starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        size = self.ends - self.starts
+        for i in np.flatnonzero(size > LONG).tolist():
+            word = self.data[self.starts[i] : self.ends[i]]
+            h[i] = int.from_bytes(blake2b((_LOWER[word] if lower else word).tobytes(), digest_size=8).digest(), "little")
+        return mix(h ^ size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
 def slices(column: pa.Array | pa.ChunkedArray, size: int = SLICE_BYTES) -> Iterator[tuple[int, Texts]]:
