@@ -1,131 +1,190 @@
 """Nearest neighbours by inner product with randomly rotated one-bit codes.
 
-Vectors are scaled to length one and turned by a random rotation (fixed seed); the signs of the coordinates are the code,
-packed in 64-bit words, and the mean size of the turned coordinates is the correction scalar. A query is turned
-likewise and rounded to few bits a coordinate, so its product with a code is a weighted sum of bit counts. Divided by the
-correction this estimates the inner product, with an error bound of ``WIDTH`` standard errors plus what the rounding can
-add. In each block of candidates the rows whose upper bound reaches the twentieth best lower bound are reranked with the exact
-product in double precision; the blocks' best are merged.
-
-A stated set of queries meets all rows block by block: rows of a grid of blocks of bounded size, so no side is
-broadcast or gathered, equal vectors spread evenly (blocks are hashes of the id), and any block can be redone alone.
-The work is queries times rows, at a few bit counts a pair.
-
-Edge cases: vectors that are null, zero, of another length than most, or hold null or non-finite components take no part;
-ties go to the smaller id; repeated ids are one vector (the first in order of components); with fewer candidates than asked
-all are returned; an empty table gives an empty result; other columns are not read.
+Vectors are scaled to length one, turned by a random rotation (fixed seed) into ``BITS_EACH`` times as many coordinates, and known by the
+signs of these: the code, packed in bytes, with two scalars, the vector's length and the mean size of the turned coordinates. A turned
+query times the signs, divided by that correction, estimates the inner product, with an error of ``WIDTH`` standard errors at most
+(about one true neighbour in 30,000 lies beyond it).
+
+Codes are made once and stored. A stated set of queries meets all rows in a grid of blocks, so that no side is
+broadcast or gathered and any cell can be redone alone, twice: first on codes alone, for the best estimates of each query over all
+blocks, whose exact products give a score that the ``k`` nearest reach; then every row whose estimate and error reach
+that score is reranked with the exact product in double precision, and no other row is. The work is queries times rows of
+one-bit products, as the bounds leave nothing out unseen; what is reranked is a few rows in a hundred and
+falls with the number of rows.
+
+Edge cases: vectors that are null, zero, or hold null or non-finite components take no part, nor do rows without an id (an answer needs a
+name); vectors are compared with those of their own number of components; ties go to the smaller id; rows of equal id are
+vectors of their own, and only the query's own row is not its candidate; with fewer candidates than asked all are returned; an empty
+table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm.storage import settle, ship
+from tidemark.llm.storage import discard, settle, ship
 
-QUERY_BITS = 6
-WIDTH = 3.0
+#: Coordinates, and so bits of a code, for each component of a vector.
+BITS_EACH = 8
+WIDTH = 4.0
 SEED = 20240229
-BLOCK = 4096
-QUERY_BLOCK = 1024
+#: Rows of a block of candidates at most on average, and of one while there are few blocks; queries of a block.
+BLOCK, SMALL_BLOCK, FEW_BLOCKS, QUERY_BLOCK = 1 << 16, 1 << 12, 16, 1 << 13
+#: Codes that are unpacked at a time.
+CHUNK = 4096
 
 
+@lru_cache(maxsize=8)
 def rotation(width: int, seed: int = SEED) -> np.ndarray:
-    """A random orthogonal matrix, from the QR decomposition of normal draws."""
-    q, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((width, width)))
-    return q * np.sign(np.diag(r))
+    """Orthonormal rows that turn vectors of ``width`` components into ``BITS_EACH * width`` coordinates, from the QR decomposition of normal draws."""
+    q, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((BITS_EACH * width, width)))
+    return np.ascontiguousarray((q * np.sign(np.diag(r))).T)
 
 
-def encode(vectors: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(codes: rows x words, lengths, corrections) of a block of vectors."""
+def encode(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(codes: rows x bytes, lengths, corrections) of vectors of one width."""
     length = np.linalg.norm(vectors, axis=1)
-    turned = vectors / length[:, None] @ turn
-    words = -(-turned.shape[1] // 64)
-    bits = np.zeros((len(vectors), words * 64), bool)
-    bits[:, : turned.shape[1]] = turned > 0
-    return np.packbits(bits, axis=1, bitorder="little").view(np.uint64), length, np.abs(turned).mean(1)
-
-
-def estimate(query: np.ndarray, codes: np.ndarray, corrections: np.ndarray, turn: np.ndarray, bits: int = QUERY_BITS, width: float = WIDTH) -> tuple[np.ndarray, np.ndarray]:
-    """(estimated product, error bound) of a unit query with unit vectors known by their codes."""
-    turned = query @ turn
-    d = len(turned)
-    low, high = turned.min(), turned.max()
-    step = (high - low) / ((1 << bits) - 1) or 1.0
-    level = np.rint((turned - low) / step).astype(np.int64)
-    words = codes.shape[1]
-    padded = np.zeros(words * 64, np.int64)
-    padded[:d] = level
-    # sum of level over the coordinates whose bit is set, plane by plane
-    total = np.zeros(len(codes))
-    for k in range(bits):
-        plane = np.packbits(((padded >> k) & 1).astype(bool), bitorder="little").view(np.uint64)
-        total += np.bitwise_count(codes & plane).sum(1) * float(1 << k)
-    ones = np.bitwise_count(codes).sum(1)
-    rounded = low + step * level
-    # The code is the unit vector (2 bit - 1) / sqrt(d); its product with a vector's own direction is correction * sqrt(d).
-    signed = 2 * (low * ones + step * total) - rounded.sum()
-    own = corrections * np.sqrt(d)
-    value = signed / np.sqrt(d) / own
-    off = np.abs(turned - rounded).sum() / np.sqrt(d) / own
-    return value, off + width * np.sqrt(np.maximum(1 - own**2, 0)) / own / np.sqrt(max(d - 1, 1))
-
-
-def search_block(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, turn: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """For each query the ids and products of its best ``k`` candidates of a block, ids in ascending order on ties."""
-    codes, length, corrections = encode(vectors, turn)
-    found, products = [], []
-    for name, q in zip(query_ids, queries, strict=True):
-        norm = np.linalg.norm(q)
-        value, bound = estimate(q / norm, codes, corrections, turn)
-        low, high = (value - bound) * length, (value + bound) * length
-        own = ids == name
-        low[own] = -np.inf
-        high[own] = -np.inf
-        n = min(k, len(ids) - int(own.sum()))
-        if not n:
-            found.append(ids[:0])
-            products.append(np.zeros(0))
-            continue
-        take = np.flatnonzero(high >= np.partition(low, len(low) - n)[len(low) - n])
-        take = take[ids[take] != name]
-        exact = np.einsum("ij,j->i", vectors[take], q)
-        order = np.lexsort((ids[take], -exact))[:k]
-        found.append(ids[take][order])
-        products.append(exact[order])
-    return found, products
+    turned = vectors / length[:, None] @ rotation(vectors.shape[1])
+    # The code is the unit vector of the signs over sqrt(bits); its product with the vector's own direction is the correction.
+    return np.packbits(turned > 0, axis=1), length, np.abs(turned).sum(1) / np.sqrt(turned.shape[1])
+
+
+def estimate(queries: np.ndarray, codes: np.ndarray, corrections: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(estimated products: queries x rows, error bound of each row) of unit queries with unit vectors known by their codes."""
+    turned = (queries @ rotation(queries.shape[1])).astype(np.float32)
+    bits = turned.shape[1]
+    signs = np.unpackbits(codes, axis=1, count=bits).astype(np.float32)
+    signs *= 2
+    signs -= 1
+    value = turned @ signs.T / (np.sqrt(bits) * corrections).astype(np.float32)
+    return value, WIDTH * np.sqrt(np.maximum(1 - corrections**2, 0)) / corrections / np.sqrt(max(bits - 1, 1)) + 1e-5
+
+
+def products(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Exact inner products in double precision, component after component."""
+    total = np.zeros(len(vectors))
+    for j in range(len(query)):
+        total += vectors[:, j] * query[j]
+    return total
+
+
+def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    values = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return values.flatten().to_numpy().reshape(len(values), -1)
+
+
+def _codes(column: pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
+
+
+def _encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (row, id, d, v, q) with code, length and correction."""
+    for batch in batches:
+        widths = batch.column(2).to_numpy()
+        for d in np.unique(widths).tolist():
+            part = batch.filter(pa.array(widths == d))
+            codes, length, own = encode(_matrix(part.column(3)))
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(length), pa.array(own)], names=[*batch.schema.names, "code", "length", "own"])
+
+
+def _likely(k: int):
+    """Arrow function of a cell: the ``k`` best estimates of each query."""
+
+    def cell(rows: pa.Table, queries: pa.Table) -> pa.Table:
+        found = {"query": [np.zeros(0, np.int64)], "row": [np.zeros(0, np.int64)], "value": [np.zeros(0)]}
+        if rows.num_rows and queries.num_rows:
+            names, length, own = (rows.column(c).to_numpy() for c in ("row", "length", "own"))
+            codes, vectors, askers = _codes(rows.column("code")), _matrix(queries.column("v")), queries.column("row").to_numpy()
+            norms = np.linalg.norm(vectors, axis=1)
+            vectors = vectors / norms[:, None]
+            for a in range(0, len(vectors), 512):
+                best = np.full((len(vectors[a : a + 512]), 0), 0.0)
+                at = best.astype(np.int64)
+                for c in range(0, len(codes), CHUNK):
+                    value = estimate(vectors[a : a + 512], codes[c : c + CHUNK], own[c : c + CHUNK])[0] * length[c : c + CHUNK]
+                    value[askers[a : a + 512, None] == names[None, c : c + CHUNK]] = -np.inf
+                    best = np.concatenate((best, value), axis=1)
+                    at = np.concatenate((at, np.broadcast_to(np.arange(c, c + value.shape[1]), value.shape)), axis=1)
+                    if best.shape[1] > k:
+                        top = np.argpartition(-best, k - 1, axis=1)[:, :k]
+                        best, at = np.take_along_axis(best, top, 1), np.take_along_axis(at, top, 1)
+                sound = best > -np.inf
+                found["query"].append(np.broadcast_to(askers[a : a + 512, None], best.shape)[sound])
+                found["row"].append(names[at[sound]])
+                found["value"].append((best * norms[a : a + 512, None])[sound])
+        return pa.table({c: np.concatenate(x) for c, x in found.items()})
+
+    return cell
+
+
+def _reranked(k: int):
+    """Arrow function of a cell: the exact products of the rows that may reach a query's score, its ``k`` best of them."""
+
+    def cell(rows: pa.Table, queries: pa.Table) -> pa.Table:
+        found = {"query": [np.zeros(0, np.int64)], "query_id": [np.zeros(0, np.int64)], "vec_id": [np.zeros(0, np.int64)], "score": [np.zeros(0)], "tested": [np.zeros(0, np.int64)]}
+        if rows.num_rows and queries.num_rows:
+            names, ids, length, own = (rows.column(c).to_numpy() for c in ("row", "id", "length", "own"))
+            codes, full, vectors = _codes(rows.column("code")), _matrix(rows.column("v")), _matrix(queries.column("v"))
+            askers, ask_ids, least = (queries.column(c).to_numpy(zero_copy_only=False) for c in ("row", "id", "least"))
+            norms = np.linalg.norm(vectors, axis=1)
+            for a in range(0, len(vectors), 512):
+                part = slice(a, a + 512)
+                may = []
+                for c in range(0, len(codes), CHUNK):
+                    value, error = estimate(vectors[part] / norms[part, None], codes[c : c + CHUNK], own[c : c + CHUNK])
+                    may.append((value + error) * length[c : c + CHUNK] * norms[part, None] >= least[part, None])
+                may = np.concatenate(may, axis=1)
+                for i in range(len(may)):
+                    at = np.flatnonzero(may[i])
+                    at = at[names[at] != askers[a + i]]
+                    if not len(at):
+                        continue
+                    exact = products(full[at], vectors[a + i])
+                    order = np.lexsort((ids[at], -exact))[:k]
+                    for c, x in (("query", np.full(len(order), askers[a + i])), ("query_id", np.full(len(order), ask_ids[a + i])), ("vec_id", ids[at][order]), ("score", exact[order]), ("tested", np.eye(1, len(order), dtype=np.int64)[0] * len(at))):
+                        found[c].append(x)
+        return pa.table({c: np.concatenate(x) for c, x in found.items()})
+
+    return cell
 
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(query_id, rank, vec_id, score) of the ``k`` rows of largest inner product with each query."""
+    """(query_id, rank, vec_id, score, n_reranked) of the ``k`` rows of largest inner product with each query."""
     spark = vectors.sparkSession
     ship(spark)
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), is_query.alias("q"))
+    spent: list[str] = []
+    rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vector_col}`").cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
     sound = "id is not null and v is not null and size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(v, x -> x <> 0)"
-    rows = rows.where(sound)
-    usual = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    width = usual[0] if usual else 1
-    rows = rows.where(F.size("v") == width).groupBy("id").agg(F.min("v").alias("v"), F.max("q").alias("q"))
-    rows = settle(rows, "vectors")
-    n, n_queries = rows.agg(F.count("*"), F.count_if("q")).first()
-    blocks, query_blocks = max(1, -(-n // BLOCK)), max(1, -(-n_queries // QUERY_BLOCK))
-    # Blocks of equal size by hash of the id; every pair of a query block and a candidate block is one cell of a grid.
-    candidates = rows.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("b"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("qb"), "id", "v")
-    queries = rows.where("q").select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(query_blocks)).alias("qb"), "id", "v")
-    turn_seed = SEED
-
-    def cell(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        matrix = lambda t: t.column("v").combine_chunks().flatten().to_numpy().reshape(t.num_rows, width)
-        ids, query_ids = left.column("id").to_numpy(), right.column("id").to_numpy()
-        found, products = search_block(ids, matrix(left), query_ids, matrix(right), k, rotation(width, turn_seed))
-        each = [len(f) for f in found]
-        return pa.table({"query_id": np.repeat(query_ids, each), "vec_id": np.concatenate(found), "score": np.concatenate(products)})
-
-    best = candidates.groupBy("b", "qb").cogroup(queries.groupBy("b", "qb")).applyInArrow(cell, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    rows = rows.where(sound).select(F.monotonically_increasing_id().alias("row"), "id", F.size("v").alias("d"), "v", "q")
+    rows = settle(rows.mapInArrow(_encoded, "row long, id long, d int, v array<double>, q boolean, code binary, length double, own double"), "codes", spent)
+    counts = {r["d"]: (r["n"], r["asked"]) for r in rows.groupBy("d").agg(F.count("*").alias("n"), F.count_if("q").alias("asked")).collect()}
+    shape = {d: (max(-(-n // BLOCK), min(-(-n // SMALL_BLOCK), FEW_BLOCKS)), max(1, -(-m // QUERY_BLOCK))) for d, (n, m) in counts.items()} or {0: (1, 1)}
+    size = lambda i: F.try_element_at(F.create_map(*[F.lit(x) for d, s in shape.items() for x in (d, s[i])]), F.col("d"))
+    # Blocks are hashes of rows, so that equal vectors and ids spread evenly; every block of queries meets every block of rows of its width.
+    spread = F.explode(F.sequence(F.lit(0), size(1) - 1)).alias("qb")
+    own_block = F.pmod(F.xxhash64("row"), size(0)).cast("int").alias("b")
+    asked = settle(rows.where("q").select("row", "id", "d", "v", F.pmod(F.xxhash64("row", F.lit(1)), size(1)).cast("int").alias("qb")), "queries", spent)
+    blocks = F.explode(F.sequence(F.lit(0), size(0) - 1)).alias("b")
+    cell = ["d", "b", "qb"]
+    codes = rows.select("d", own_block, spread, "row", "code", "length", "own")
+    best = codes.groupBy(cell).cogroup(asked.select("d", blocks, "qb", "row", "v").groupBy(cell)).applyInArrow(_likely(k), "query long, row long, value double")
+    first = best.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("value"), "row"))).where(F.col("n") <= k)
+    pairs = settle(first.select("query", "row"), "likely", spent).join(rows.select("row", "v"), "row").select("query", "v")
+    exact = F.aggregate(F.arrays_zip(F.col("v"), F.col("w")), F.lit(0.0), lambda s, x: s + x["v"] * x["w"])
+    reach = pairs.join(asked.select(F.col("row").alias("query"), F.col("v").alias("w")), "query").groupBy("query").agg(F.min(exact).alias("least"), F.count("*").alias("n"))
+    reach = settle(reach.select(F.col("query").alias("row"), F.when(F.col("n") == k, F.col("least")).otherwise(-np.inf).alias("least")), "reach", spent)
+    asked = asked.join(reach, "row").select("d", blocks, "qb", "row", "id", "v", "least")
+    full = rows.select("d", own_block, spread, "row", "id", "v", "code", "length", "own")
+    found = full.groupBy(cell).cogroup(asked.groupBy(cell)).applyInArrow(_reranked(k), "query long, query_id long, vec_id long, score double, tested long")
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
+    ranked = found.withColumns({"rank": F.row_number().over(order), "n_reranked": F.sum("tested").over(Window.partitionBy("query"))}).where(F.col("rank") <= k)
+    out = settle(ranked.select("query_id", "rank", "vec_id", "score", "n_reranked"), "nearest")
+    discard(spark, spent)
+    return out

@@ -46,7 +46,7 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_rotated_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+    return nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0).drop("n_reranked")
 
 
 def op5_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,4 +140,17 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM g
 """
 
-ORACLE_SQL: dict[str, str] = {"op8_quality_rules": OP8_SQL, "op9_warc_salvage": OP9_SQL}
+OP4_SQL = """
+WITH v AS (
+  SELECT vec_id, row_number() OVER () AS r, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+p AS (
+  SELECT q.r AS q, q.vec_id AS query_id, c.vec_id AS vec_id, list_dot_product(q.e, c.e) AS score
+  FROM v AS q JOIN v AS c ON q.vec_id % 20 = 0 AND q.r <> c.r AND len(q.e) = len(c.e)),
+t AS (SELECT *, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM p)
+SELECT query_id, rank, vec_id, score FROM t WHERE rank <= 20
+"""
+
+ORACLE_SQL: dict[str, str] = {"op4_rotated_codes": OP4_SQL, "op8_quality_rules": OP8_SQL, "op9_warc_salvage": OP9_SQL}
