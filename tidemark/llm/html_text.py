@@ -4,17 +4,20 @@ A tokenizer feeds a stack of open elements that supplies implied tags (a block e
 before it, a cell or row its neighbours, the body the head). What is not shown (scripts, styles, heads, templates, hidden
 elements) is left out; all other text is kept. Blocks stand on lines of their own, paragraphs and headings between blank lines,
 list items behind a dash or number at the depth of their list, preformatted text as it is, and table cells
-in aligned columns. Elements are handled as they come, without recursion, so nesting may be of any depth.
+in aligned columns over as many columns and rows as they span, with blocks and lists inside a cell on lines of their own. Elements are
+handled as they come, without recursion, and open elements are looked up by name, so nesting may be of any depth and the work
+follows the length of the page. Closed ``details`` are shown, closed dialogs are not; what is visible within a hidden visibility is shown.
 
-Rows are independent: one scan, Arrow batches, no shuffle. Edge cases: null html gives null text, empty html empty text;
-markup that never closes is text up to its end; bytes of a cut-off tag at the end are dropped; repeated rows
+Rows are independent: one scan, no shuffle, pages in slices of about 1 MB. Edge cases: null html gives null text, empty html empty text;
+a page of any length is one row; markup that never closes is text up to its end; bytes of a cut-off tag at the end are dropped; repeated rows
 give equal texts; an empty table gives an empty result; extra columns are kept, one named like the result is replaced.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Iterable, Iterator
 from html import unescape
 
 import pyarrow as pa
@@ -26,7 +29,9 @@ from tidemark.llm.storage import ship
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=\"'/]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"']+))?")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
-_HIDING_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+_NO_DISPLAY = re.compile(r"display\s*:\s*none", re.I)
+_VISIBILITY = re.compile(r"visibility\s*:\s*(visible|hidden|collapse)", re.I)
+SLICE_CHARS = 1 << 20
 
 # Element kinds of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -100,70 +105,90 @@ class _Flow:
         return "\n".join(line.rstrip(" \t") for line in "".join(self.out).split("\n")).strip("\n")
 
 
-def _aligned(rows: list[list[tuple[str, int]]]) -> str:
-    """Rows of (cell, columns it spans) with the columns of equal width, two spaces apart."""
+def _aligned(rows: list[list[tuple[list[str], int, int]]]) -> str:
+    """Rows of (lines, columns, rows that the cell spans) with the columns of equal width, two spaces apart."""
+    placed: list[list[tuple[int, list[str], int]]] = []
+    taken: dict[int, int] = {}  # column -> rows that a cell from above still covers
     width: list[int] = []
     for row in rows:
-        at = 0
-        for cell, span in row:
+        at, line, below = 0, [], {}
+        for lines, span, down in row:
+            while taken.get(at):
+                at += 1
             width += [0] * (at + span - len(width))
+            line.append((at, lines, span))
             if span == 1:
-                width[at] = max(width[at], len(cell))
+                width[at] = max([width[at], *map(len, lines)])
+            if down > 1:
+                below |= dict.fromkeys(range(at, at + span), down)
             at += span
-    lines = []
-    for row in rows:
-        at, line = 0, []
-        for cell, span in row:
-            line.append(cell.ljust(sum(width[at : at + span]) + 2 * (span - 1)))
-            at += span
-        lines.append("  ".join(line).rstrip())
-    return "\n".join(line for line in lines if line)
+        placed.append(line)
+        taken = {c: n - 1 for c, n in (taken | below).items() if n > 1}
+    starts = [0]
+    for w in width:
+        starts.append(starts[-1] + w + 2)
+    out = []
+    for line in placed:
+        for k in range(max((len(lines) for _, lines, _ in line), default=0)):
+            text = ""
+            for at, lines, _ in line:
+                if k < len(lines) and lines[k]:
+                    text = text.ljust(starts[at]) if len(text) <= starts[at] else text + "  "
+                    text += lines[k]
+            out.append(text.rstrip())
+    return "\n".join(line for line in out if line)
 
 
 def _attributes(text: str) -> dict[str, str]:
     return {k.lower(): unescape(v.strip("\"'")) for k, v in _ATTRIBUTE.findall(text)}
 
 
-def _hidden(attributes: dict[str, str]) -> bool:
-    return "hidden" in attributes or attributes.get("type", "").lower() == "hidden" or bool(_HIDING_STYLE.search(attributes.get("style", "")))
+def _hidden(name: str, attributes: dict[str, str]) -> bool:
+    if "hidden" in attributes or attributes.get("type", "").lower() == "hidden":
+        return True
+    return name == "dialog" and "open" not in attributes or bool(_NO_DISPLAY.search(attributes.get("style", "")))
 
 
 class _Page:
     def __init__(self) -> None:
         self.flow = _Flow()
-        self.open: list[tuple[str, bool]] = []  # (name, hides its content)
-        self.flows: list[_Flow] = []  # those around open cells
-        self.tables: list[list[list[tuple[str, int]]]] = []
-        self.spans: list[int] = []
+        self.open: list[tuple[str, bool, bool]] = []  # (name, hides its content, whether text around it is invisible)
+        self.at: dict[str, list[int]] = {}  # name -> places in the stack
+        self.flows: list[tuple[_Flow, list[int | None]]] = []  # flow and lists around open cells
+        self.tables: list[list[list[tuple[list[str], int, int]]]] = []
+        self.spans: list[tuple[int, int]] = []
         self.lists: list[int | None] = []  # next number, or None for dashes
-        self.dark = self.pre = self.paragraphs = 0
+        self.dark = self.pre = 0
+        self.invisible = False
+
+    def last(self, names: Iterable[str]) -> int:
+        """The place of the innermost open element of these names, -1 if there is none."""
+        return max((self.at[n][-1] for n in names if self.at.get(n)), default=-1)
 
     def start(self, name: str, attributes: str) -> None:
         if name in ENDS:
             names, walls = ENDS[name]
-            deepest = None
-            for k in range(len(self.open) - 1, -1, -1):
-                if self.open[k][0] in walls:
-                    break
-                if self.open[k][0] in names:
-                    deepest = k
-            if deepest is not None:
-                self.close_to(deepest)
-        if name in ENDS_P and self.paragraphs:
+            wall = self.last(walls)
+            inside = [places[k] for n in names if (places := self.at.get(n)) and (k := bisect_right(places, wall)) < len(places)]
+            if inside:
+                self.close_to(min(inside))
+        if name in ENDS_P and self.at.get("p"):
             self.end("p")
-        if name not in HEAD_ONLY and any(n == "head" for n, _ in self.open[:3]):
+        if name not in HEAD_ONLY and any(e[0] == "head" for e in self.open[:3]):
             self.end("head")
         found = _attributes(attributes) if attributes else {}
-        hides = name in UNSEEN or (bool(found) and _hidden(found))
+        hides = name in UNSEEN or _hidden(name, found)
         if name == "br" and not self.dark:
             self.flow.breaks, self.flow.space = min(self.flow.breaks + 1, 2), False
         if name in BLOCK and not self.dark:
             self.flow.line(2 if name in SPACED and not (self.lists and name in ("ul", "ol")) else 1)
         if name in VOID:
             return
-        self.open.append((name, hides))
+        self.at.setdefault(name, []).append(len(self.open))
+        self.open.append((name, hides, self.invisible))
+        if found and (visibility := _VISIBILITY.search(found.get("style", ""))):
+            self.invisible = visibility[1].lower() != "visible"
         self.dark += hides
-        self.paragraphs += name == "p"
         self.pre += name in ("pre", "textarea")
         if self.dark:
             return
@@ -183,24 +208,24 @@ class _Page:
         elif name in ("td", "th") and self.tables:
             if not self.tables[-1]:
                 self.tables[-1].append([])
-            span = found.get("colspan", "1")
-            self.spans.append(min(max(int(span), 1), 1000) if span.isdecimal() and len(span) < 6 else 1)
-            self.flows.append(self.flow)
-            self.flow = _Flow()
+            spans = (found.get(k, "1") for k in ("colspan", "rowspan"))
+            self.spans.append(tuple(min(max(int(x), 1), 1000) if x.isdecimal() and x.isascii() and len(x) < 6 else 1 for x in spans))
+            self.flows.append((self.flow, self.lists))
+            self.flow, self.lists = _Flow(), []
 
     def close_to(self, depth: int) -> None:
         while len(self.open) > depth:
-            name, hides = self.open.pop()
+            name, hides, self.invisible = self.open.pop()
+            self.at[name].pop()
             shown = not self.dark
             self.dark -= hides
-            self.paragraphs -= name == "p"
             self.pre -= name in ("pre", "textarea")
             if not shown:
                 continue
             if name in ("td", "th") and self.spans and self.tables:
-                cell = " ".join(self.flow.result().split())
-                self.flow = self.flows.pop()
-                self.tables[-1][-1].append((cell, self.spans.pop()))
+                lines = [line for line in self.flow.result().split("\n") if line]
+                self.flow, self.lists = self.flows.pop()
+                self.tables[-1][-1].append((lines, *self.spans.pop()))
             elif name == "table" and self.tables:
                 text = _aligned(self.tables.pop())
                 self.flow.line(2)
@@ -215,15 +240,12 @@ class _Page:
                 self.flow.line(2 if name in SPACED and not (self.lists and name in ("ul", "ol")) else 1)
 
     def end(self, name: str) -> None:
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k][0] == name:
-                self.close_to(k)
-                return
-            if self.open[k][0] in WALLS and name not in ("table", "tr", "thead", "tbody", "tfoot", "body", "html"):
-                return
+        at = self.last((name,))
+        if at >= 0 and (name in ("table", "tr", "thead", "tbody", "tfoot", "body", "html") or self.last(WALLS - {name}) < at):
+            self.close_to(at)
 
     def text(self, text: str) -> None:
-        if self.dark or not text:
+        if self.dark or self.invisible or not text:
             return
         text = unescape(text) if "&" in text else text
         if self.pre:
@@ -267,13 +289,19 @@ def html_to_text(html: str) -> str:
 def extract_text(pages: DataFrame, html_col: str = "html", text_col: str = "text") -> DataFrame:
     """``pages`` without its html and with ``text_col``."""
     ship(pages.sparkSession)
-    others = [c for c in pages.columns if c not in (html_col, text_col)]
+    others = [c for c in pages.columns if c != html_col and c.lower() != text_col.lower()]
     rows = pages.select(*[f"`{c}`" for c in others], f"`{html_col}`")
     schema = T.StructType([*rows.schema.fields[:-1], T.StructField(text_col, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [None if h is None else html_to_text(h) for h in batch.column(len(others)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(others)], pa.array(texts, pa.string())], names=schema.names)
+            texts, size, first = [], 0, 0
+            for i, value in enumerate(batch.column(len(others))):
+                html = value.as_py()
+                texts.append(None if html is None else html_to_text(html))
+                size += len(html or "")
+                if size >= SLICE_CHARS or i + 1 == batch.num_rows:
+                    yield pa.RecordBatch.from_arrays([*batch.slice(first, len(texts)).columns[: len(others)], pa.array(texts, pa.string())], names=schema.names)
+                    texts, size, first = [], 0, i + 1
 
     return rows.mapInArrow(run, schema)
