@@ -5,8 +5,8 @@ scan and a projection: no shuffle, no Python, and the cost of a text is n log n
 
 Edge cases: a null text counts as empty and an empty text has no words, so it is never kept; NaN or null
 ratios cannot arise (denominators are at least 1); rows are judged one by one, so repeated rows get equal verdicts;
-an empty table gives an empty result; columns of the input are all kept, and if one has the name of a result
-column it is replaced by the result.
+an empty table gives an empty result; columns of the input are all kept, whatever their names, and if one has the name of a
+result column it is replaced by the result.
 """
 
 from __future__ import annotations
@@ -52,38 +52,43 @@ RULES = (
 )
 
 
-def _counts(text: Column) -> dict[str, Column]:
+def _counts(text: Column, own: str) -> dict[str, Column]:
     solid = F.btrim(text, F.lit(SPACE_CHARS))
     return {
-        "_words": F.when(F.length(solid) == 0, F.array().cast("array<string>")).otherwise(F.split(solid, SPACE + "+")),
+        f"{own}words": F.when(F.length(solid) == 0, F.array().cast("array<string>")).otherwise(F.split(solid, SPACE + "+")),
         "n_symbols": F.regexp_count(text, F.lit(f"[{SYMBOLS}]")).cast("long"),
-        "_lines": F.filter(F.split(text, "\n"), lambda x: F.length(F.btrim(x, F.lit(SPACE_CHARS))) > 0),
+        f"{own}lines": F.filter(F.split(text, "\n"), lambda x: F.length(F.btrim(x, F.lit(SPACE_CHARS))) > 0),
     }
 
 
 def word_statistics(df: DataFrame, text_col: str = "text") -> DataFrame:
     """``df`` with word_chars, n_symbols, n_words, n_lines, n_dup_lines, n_repeat_words and n_stop_words (long)."""
     named = ("word_chars", "n_symbols", "n_words", "n_lines", "n_dup_lines", "n_repeat_words", "n_stop_words")
-    kept = [c for c in df.columns if c not in named]
+    kept = [c for c in df.columns if c.lower() not in named]
+    # Names of steps that no column of the input begins with.
+    own = "_"
+    while any(c.lower().startswith(own) for c in kept):
+        own += "_"
+    words, lines, windows, ordered = (f"{own}{x}" for x in ("words", "lines", "windows", "sorted"))
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     # Each step names arrays that the next reads more than once, so that none is worked out again.
-    step = df.select(*[F.col(f"`{c}`") for c in kept], *[c.alias(k) for k, c in _counts(text).items()])
+    step = df.select(*[F.col(f"`{c}`") for c in kept], *[c.alias(k) for k, c in _counts(text, own).items()])
     # The hash of a window stands for its three words: within one text, 64 bits do not collide in practice.
     step = step.withColumn(
-        "_windows",
+        windows,
         F.when(
-            F.size("_words") >= 3,
-            F.transform(F.sequence(F.lit(0), F.size("_words") - 3), lambda i: F.xxhash64(F.get("_words", i), F.get("_words", i + 1), F.get("_words", i + 2))),
+            F.size(words) >= 3,
+            F.transform(F.sequence(F.lit(0), F.size(words) - 3), lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2))),
         ).otherwise(F.array().cast("array<bigint>")),
     )
     step = step.withColumn(
-        "_sorted",
+        ordered,
         F.when(
-            F.size(F.array_distinct("_windows")) < F.size("_windows"),
-            F.sort_array(F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i")))),
+            F.size(F.array_distinct(windows)) < F.size(windows),
+            F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i")))),
         ).otherwise(F.array().cast("array<struct<h:bigint,i:int>>")),
     )
-    twice = F.filter("_sorted", lambda x, k: (F.get("_sorted", k - 1)["h"].eqNullSafe(x["h"])) | (F.get("_sorted", k + 1)["h"].eqNullSafe(x["h"])))
+    twice = F.filter(ordered, lambda x, k: (F.get(ordered, k - 1)["h"].eqNullSafe(x["h"])) | (F.get(ordered, k + 1)["h"].eqNullSafe(x["h"])))
     starts = F.sort_array(F.transform(twice, lambda x: x["i"]))
     covered = F.aggregate(
         starts,
@@ -92,13 +97,13 @@ def word_statistics(df: DataFrame, text_col: str = "text") -> DataFrame:
         lambda s: s["n"],
     )
     counts = {
-        "word_chars": F.length(F.array_join("_words", "")),
+        "word_chars": F.length(F.array_join(words, "")),
         "n_symbols": F.col("n_symbols"),
-        "n_words": F.size("_words"),
-        "n_lines": F.size("_lines"),
-        "n_dup_lines": F.size("_lines") - F.size(F.array_distinct("_lines")),
+        "n_words": F.size(words),
+        "n_lines": F.size(lines),
+        "n_dup_lines": F.size(lines) - F.size(F.array_distinct(lines)),
         "n_repeat_words": covered,
-        "n_stop_words": F.size(F.filter("_words", lambda w: F.lower(w).isin(STOP_WORDS))),
+        "n_stop_words": F.size(F.filter(words, lambda w: F.lower(w).isin(STOP_WORDS))),
     }
     # A generator of one row: filters on its columns stay above it, so they never work the arrays out anew.
     return step.select(*[F.col(f"`{c}`") for c in kept], F.inline(F.array(F.struct(*[v.cast("long").alias(k) for k, v in counts.items()]))))
@@ -131,6 +136,6 @@ def compile_rules(rules: tuple[Rule, ...] = RULES) -> Column:
 
 def apply_quality_rules(df: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``df`` with its statistics, base_failed and kept."""
-    stats = word_statistics(df.drop("base_failed", "kept"), text_col)
+    stats = word_statistics(df.drop(*[c for c in df.columns if c.lower() in ("base_failed", "kept")]), text_col)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return stats.withColumns({"base_failed": failed, "kept": ~failed & compile_rules(rules)})
