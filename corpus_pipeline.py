@@ -1,4 +1,9 @@
-"""From raw documents to packed training sequences: five stages, each written as Parquet and read by the next."""
+"""From raw documents to packed training sequences: five stages, each written as Parquet and read by the next.
+
+All stages but the last return the columns of their input with the input's values, whatever their names: operators see the id, the text and
+columns under reserved names only. Null and repeated ids are rows like others; null and blank texts fail the quality rules; of rows of
+equal id and text the duplicates stage keeps one; an empty table stays empty.
+"""
 
 from __future__ import annotations
 
@@ -23,16 +28,27 @@ def label_domain() -> Column:
     return F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "poor").when(F.col("quality") == 1, "clean")
 
 
+def shielded(docs: DataFrame) -> tuple[DataFrame, list[Column]]:
+    """``docs`` with all columns but id and text under reserved names, and the columns that bring the names back."""
+    names = {c: c if c in ("doc_id", "text") else f"_input_{k}" for k, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), [F.col(new).alias(old) for old, new in names.items()]
+
+
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the trees hold for good; learnt from the labels of the documents at hand."""
+    """Documents that the trees hold for good; learnt from the labels of the documents at hand.
+
+    Null and empty texts are judged by their statistics like others; without labels every document stays.
+    """
     ship(spark)
-    forest = fit_quality_classifier(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score_quality(docs, forest).where("predicted = 1").select(docs.columns)
+    rows, back = shielded(docs)
+    forest = fit_quality_classifier(rows, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return score_quality(rows, forest).where("predicted = 1").select(back)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass every rule."""
-    return apply_quality_rules(docs).where("kept").select(docs.columns)
+    """Documents that pass every rule, row by row; null and blank texts have too few words and go."""
+    rows, back = shielded(docs)
+    return apply_quality_rules(rows).where("kept").select(back)
 
 
 def with_row_key(docs: DataFrame) -> tuple[DataFrame, str]:
@@ -44,7 +60,10 @@ def with_row_key(docs: DataFrame) -> tuple[DataFrame, str]:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near copies, the one of smallest doc_id (null last); rows that the operator links to none stay."""
+    """One row of each group of near copies, the one of smallest doc_id (null last); rows that the operator links to none stay.
+
+    Rows are followed by id and text, so an id that other texts have too loses none of these; texts without a word all stay.
+    """
     keyed, row = with_row_key(docs)
     groups = ngram_jaccard_components(keyed, id_col=row).where("n_shingles > 0")
     groups = settle(groups.groupBy(F.col("doc_id").alias(row)).agg(F.min("component_id").alias("component_id"), F.count("*").alias("rows")), "groups")
@@ -60,7 +79,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their rate says."""
+    """Documents as often as their rate says: rows of equal id and text have one rate; null and repeated ids are rows like others."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     keyed, row = with_row_key(docs)
     rates = mix_to_targets(keyed, labels, label_domain(), MIXING_FACTORS, relative=True, row_col=row)
