@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.llm.components import connected_components
-from tidemark.llm.storage import settle, ship, shuffle_partitions
+from tidemark.llm.storage import discard, settle, ship
 from tidemark.llm.textbatch import Texts, mix, slices
 
 WIDTH = 5
@@ -45,9 +45,6 @@ CHUNK = 2_000_000
 SKETCH = 8
 #: Rows (of two or a few integers) of a side joined to texts that may be broadcast; beyond it the texts are shuffled.
 BROADCAST_ROWS = 250_000
-ROWS_EACH = 2_000_000
-#: Bytes of sets in one batch of their table.
-SET_BYTES = 4 << 20
 #: Keys of a node before a key that are compared to see whether a pair was met already.
 EARLIER = 4
 
@@ -134,7 +131,7 @@ def size_band_edges(most: int) -> np.ndarray:
 _EDGES = size_band_edges(1 << 40)
 
 
-def _survey(docs: DataFrame) -> DataFrame:
+def _survey(docs: DataFrame, note: list[str]) -> DataFrame:
     """(doc_id, key, n, node, sketch, bits, null, null) of every text and (null, .., shingle, texts) of frequent shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,66 +166,59 @@ def _survey(docs: DataFrame) -> DataFrame:
             yield out
 
     names = ["doc_id", "key", "n", "node", "sketch", "bits", "shingle", "texts"]
-    return settle(docs.select("_id", "_key", "_text").mapInArrow(run, "doc_id long, key long, n long, node long, sketch array<long>, bits binary, shingle long, texts long"), "survey")
+    return settle(docs.select("_id", "_key", "_text").mapInArrow(run, "doc_id long, key long, n long, node long, sketch array<long>, bits binary, shingle long, texts long"), "survey", note)
 
 
-def _contested_prefixes(docs: DataFrame, components: DataFrame, frequent: np.ndarray, parts: int) -> DataFrame:
-    """(shingle, node, component, n, place) for the prefix shingles that more than one component has."""
+def _contested_prefixes(docs: DataFrame, components: DataFrame, frequent: np.ndarray, note: list[str]) -> DataFrame:
+    """(shingle, node, component, n, place) for the prefix shingles that more than one component has.
+
+    Of a frequent shingle the components are compared by partial sums (there are at most FREQUENT of them); any other is in few sets, so
+    that a window over its rows is small.
+    """
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen: set[int] = set()
             known, components = batch.column(1), batch.column(2)
             for row, x in slices(batch.column(0)):
-                h, node, component, n, place = [], [], [], [], []
+                h, node, component, n, place, common = [], [], [], [], [], []
                 for i, s in enumerate(shingle_sets(x)):
                     if not len(s) or (name := signature(s)) in seen:
                         continue
                     seen.add(name)
-                    k = len(s) // 4 + 1
+                    k, rare = len(s) // 4 + 1, len(s)
                     if len(frequent):
                         at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
                         often = frequent[at] == s
+                        rare = len(s) - int(often.sum())
                         s = np.concatenate((s[~often], s[often]))
                     h.append(s[:k])
                     node.append(np.full(k, name, np.int64))
-                    component.append(np.full(k, components[row + i].as_py() if known[row + i].as_py() == name else 0, np.int64))
-                    n.append(np.full(k, len(s), np.int64))
-                    place.append(np.arange(k, dtype=np.int64))
+                    component.append(np.full(k, components[row + i].as_py() if known[row + i].as_py() == name else name, np.int64))
+                    n.append(np.full(k, len(s), np.int32))
+                    place.append(np.arange(k, dtype=np.int32))
+                    common.append(place[-1] >= rare)
                 if h:
-                    size = np.concatenate(n)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(h).view(np.int64)), pa.array(np.concatenate(node)), pa.array(np.concatenate(component)), pa.array((size << 32) | np.concatenate(place))], names=["shingle", "node", "component", "size"])
-
-    def contested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        columns = [[b.column(i).to_numpy() for i in range(4)] for b in batches if b.num_rows]
-        if not columns:
-            return
-        h, node, component, size = (np.concatenate(c) for c in zip(*columns, strict=True))
-        del columns
-        component = np.where(component == 0, node, component)
-        order = np.argsort(h, kind="stable")
-        h, node, component, size = h[order], node[order], component[order], size[order]
-        first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-        several = np.minimum.reduceat(component, first) != np.maximum.reduceat(component, first)
-        keep = np.repeat(several, np.diff(np.append(first, len(h))))
-        h, node, component, size = h[keep], node[keep], component[keep], size[keep]
-        order = np.lexsort((node, h))
-        h, node, component, size = h[order], node[order], component[order], size[order]
-        new = np.ones(len(h), bool)
-        new[1:] = (h[1:] != h[:-1]) | (node[1:] != node[:-1])
-        h, node, component, size = h[new], node[new], component[new], size[new]
-        for at in range(0, len(h), 1 << 16):
-            to = slice(at, at + (1 << 16))
-            yield pa.RecordBatch.from_arrays([pa.array(v[to]) for v in (h, node, component, size >> 32, size & 0xFFFFFFFF)], names=["shingle", "node", "component", "n", "place"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(h).view(np.int64)), *(pa.array(np.concatenate(c)) for c in (node, component, n, place, common))], names=names)
 
+    names = ["shingle", "node", "component", "n", "place", "common"]
     if components.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         components = F.broadcast(components)
     docs = docs.join(components, "_key", "left").select("_text", "node", "component")
-    rows = docs.mapInArrow(prefixes, "shingle long, node long, component long, size long").repartition(parts, "shingle")
-    return settle(rows.mapInArrow(contested, "shingle long, node long, component long, n long, place long"), "prefixes")
-
-
-def _verify(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    spent: list[str] = []
+    rows = settle(docs.mapInArrow(prefixes, "shingle long, node long, component long, n int, place int, common boolean"), "prefixes", spent)
+    hot = rows.where("common").groupBy("shingle").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("shingle")
+    hot = settle(hot, "hot", spent)
+    every = Window.partitionBy("shingle")
+    rare = rows.where("not common").withColumns({"least": F.min("component").over(every), "most": F.max("component").over(every)}).where("least < most")
+    found = rare.select(*names[:5]).union(rows.where("common").join(F.broadcast(hot), "shingle").select(*names[:5]))
+    # A text can stand in several tasks; its rows are the same in all of them.
+    found = settle(found.dropDuplicates(["shingle", "node"]), "contested", note)
+    discard(docs.sparkSession, spent)
+    return found
+
+
+def _verify(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, note: list[str]) -> DataFrame:
     """The pairs (a, b) of nodes that are linked. ``nodes``: (node, n, bits, key), the key of one text that has the node."""
 
     def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,58 +230,44 @@ def _verify(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
                 keep.append(7 * bound >= 3 * (n1[i] + n2[i]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
+    spent: list[str] = []
     for end in ("a", "b"):
         pairs = pairs.join(nodes.select(F.col("node").alias(end), F.col("n").alias(f"n_{end}"), F.col("bits").alias(f"bits_{end}")), end)
-    pairs = settle(pairs.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(bounded, "a long, b long"), "pairs")
-    # A node's partners among leaders are at most its prefix shingles, so the lists are no longer than its text.
-    wanted = pairs.select(F.col("b").alias("node"), "a").union(pairs.select(F.col("a").alias("node"), "a").distinct())
-    wanted = wanted.groupBy("node").agg(F.collect_set("a").alias("leaders")).join(nodes.select("node", F.col("key").alias("_key")), "node")
-    wanted = settle(wanted, "wanted")
-    if wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS and pairs.limit(5 * BROADCAST_ROWS + 1).count() <= 5 * BROADCAST_ROWS:
+    pairs = settle(pairs.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(bounded, "a long, b long"), "pairs", spent)
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", F.col("key").alias("_key")), "node")
+    wanted = settle(wanted, "wanted", spent)
+    if wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
-    texts = docs.join(wanted, "_key").select("_text", "node", "leaders")
+    texts = docs.join(wanted, "_key").select("_text", "node")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes_, leaders = batch.column(1).to_pylist(), batch.column(2)
+            names = batch.column(1).to_pylist()
             for row, x in slices(batch.column(0)):
-                a, b, body, held = [], [], [], 0
-                for i, s in enumerate(shingle_sets(x)):
-                    if not len(s) or signature(s) != nodes_[row + i]:
-                        continue
-                    for one in leaders[row + i].as_py():
-                        a.append(one)
-                        b.append(nodes_[row + i])
-                        body.append(s.tobytes())
-                        held += len(body[-1])
-                        if held >= SET_BYTES:
-                            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(body, pa.binary())], names=["a", "b", "body"])
-                            a, b, body, held = [], [], [], 0
-                if a:
-                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(body, pa.binary())], names=["a", "b", "body"])
+                found = [(name, s.tobytes()) for s, name in zip(shingle_sets(x), names[row : row + len(x)], strict=True) if len(s) and signature(s) == name]
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.binary())], names=["node", "body"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b, mine, other = (batch.column(i) for i in range(4))
-            a, b, found = a.to_pylist(), b.to_pylist(), []
-            last, leader = None, None
+            a, mine, other = batch.column(0).to_pylist(), batch.column(2), batch.column(3)
+            found, last, leader = [], None, None
             for i in range(len(a)):
                 if a[i] != last:
                     last, leader = a[i], np.frombuffer(mine[i].as_buffer(), np.uint64)
                 found.append(linked(leader, np.frombuffer(other[i].as_buffer(), np.uint64)))
-            table = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"])
-            yield table.filter(pa.array(found, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(found, pa.bool_()))
 
-    bodies = settle(texts.mapInArrow(sets, "a long, b long, body binary"), "sets")
-    leader = bodies.where("a = b").dropDuplicates(["a"]).select("a", F.col("body").alias("mine"))
-    leader = settle(leader, "leaders")
-    both = bodies.where("a <> b").join(leader, "a").select("a", "b", "mine", "body")
-    return settle(both.mapInArrow(compare, "a long, b long").distinct(), "links")
+    # One body for each node, whatever the number of its pairs.
+    bodies = settle(texts.mapInArrow(sets, "node long, body binary").dropDuplicates(["node"]), "sets", spent)
+    both = pairs.join(bodies.select(F.col("node").alias("b"), F.col("body").alias("other")), "b").join(bodies.select(F.col("node").alias("a"), F.col("body").alias("mine")), "a")
+    links = settle(both.select("a", "b", "mine", "other").mapInArrow(compare, "a long, b long").distinct(), "links", note)
+    discard(docs.sparkSession, spent)
+    return links
 
 
-def _may_link(n1: str, p1: str, n2: str, p2: str) -> Column:
-    """Sizes and places in the order leave room for enough overlap if this is the first shingle in common."""
-    return F.expr(f"7 * (1 + least({n1} - {p1} - 1, {n2} - {p2} - 1)) >= 3 * ({n1} + {n2})")
+#: Sizes and places in the order leave room for enough overlap if this is the first shingle in common.
+_MAY_LINK = "7 * (1 + least({0} - {1} - 1, {2} - {3} - 1)) >= 3 * ({0} + {2})"
 
 
 def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -301,61 +277,67 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{text_col}`").alias("_text"))
     # A row's key brings rows of later tables back to their text; doc_ids may be null or repeated.
     docs = docs.withColumn("_key", F.xxhash64("_id", "_text"))
-    survey = _survey(docs)
-    rows = survey.where("n is not null").select("doc_id", "key", "n", "node")
+    kept: list[str] = []
+    spent: list[str] = []
+    survey = _survey(docs, spent)
+    rows = settle(survey.where("n is not null").select("doc_id", "key", "n", "node"), "rows", kept)
     often = survey.where("shingle is not null").groupBy("shingle").agg(F.sum("texts").alias("texts"))
     often = [r[0] for r in often.orderBy(F.desc("texts"), "shingle").limit(FREQUENT).select("shingle").collect()]
     frequent = np.sort(np.array(often, np.int64).view(np.uint64))
-    total = rows.agg(F.sum(F.floor(F.col("n") / 4) + 1)).first()[0] or 0
-    nodes = settle(survey.where("n > 0").groupBy("node", "n").agg(F.min("doc_id").alias("rep"), F.min("key").alias("key"), F.first("sketch").alias("sketch"), F.first("bits").alias("bits")), "nodes")
+    nodes = settle(survey.where("n > 0").groupBy("node", "n").agg(F.min("doc_id").alias("rep"), F.min("key").alias("key"), F.first("sketch").alias("sketch"), F.first("bits").alias("bits")), "nodes", spent)
     tile = F.explode(F.array(F.col("band") - 1, F.col("band")))
 
     # 1. Everyone against the leader of each tile of sketch keys.
     tiles = nodes.withColumn("band", _band("n")).select("node", "n", "band", F.explode("sketch").alias("key")).withColumn("tile", tile)
     leaders = tiles.groupBy("key", "tile").agg(F.min(F.struct("node", "n")).alias("l"), F.max("node").alias("top")).where("l.node < top")
-    leaders = settle(leaders.select("key", "tile", F.col("l.node").alias("a"), F.col("l.n").alias("an")), "tiles")
+    leaders = settle(leaders.select("key", "tile", F.col("l.node").alias("a"), F.col("l.n").alias("an")), "tiles", spent)
     near = tiles.join(leaders, ["key", "tile"]).where("node <> a and 4 * least(n, an) >= 3 * greatest(n, an)")
-    links = _verify(docs, nodes, near.select("a", F.col("node").alias("b")).distinct())
-    first = settle(connected_components(links), "components")
+    links = _verify(docs, nodes, near.select("a", F.col("node").alias("b")).distinct(), spent)
+    first = settle(connected_components(links), "components", spent)
 
     # 2. Everyone against the most typical node of each tile of prefix keys: the one that has the key first, with the fewest rare shingles.
-    joined = settle(rows.select(F.col("key").alias("_key"), "node").join(first, "node").distinct(), "joined")
-    prefixes = _contested_prefixes(docs, joined, frequent, shuffle_partitions(spark, int(total), ROWS_EACH))
+    joined = settle(rows.select(F.col("key").alias("_key"), "node").join(first, "node").distinct(), "joined", spent)
+    prefixes = _contested_prefixes(docs, joined, frequent, spent)
     tiles = prefixes.withColumn("band", _band("n")).withColumn("tile", tile).drop("band")
-    typical = settle(tiles.groupBy("shingle", "tile").agg(F.min(F.struct("place", "node", "n", "component")).alias("l")).select("shingle", "tile", F.col("l.node").alias("a"), F.col("l.n").alias("an"), F.col("l.place").alias("ap"), F.col("l.component").alias("ac")), "typical")
-    near = tiles.join(typical, ["shingle", "tile"]).where("component <> ac").where(_may_link("n", "place", "an", "ap"))
-    links = _verify(docs, nodes, near.select("a", F.col("node").alias("b")).distinct())
-    second = settle(_merged(first, links), "components")
+    typical = tiles.groupBy("shingle", "tile").agg(F.min(F.struct("place", "node", "n", "component")).alias("l")).select("shingle", "tile", F.col("l.node").alias("a"), F.col("l.n").alias("an"), F.col("l.place").alias("ap"), F.col("l.component").alias("ac"))
+    near = tiles.join(settle(typical, "typical", spent), ["shingle", "tile"]).where("component <> ac").where(_MAY_LINK.format("n", "place", "an", "ap"))
+    links = _verify(docs, nodes, near.select("a", F.col("node").alias("b")).distinct(), spent)
+    second = settle(_merged(first, links, spent), "components", spent)
 
     # 3. What is outside the largest component of a tile against the tile's other components. A pair that shares an earlier key too
-    # is met there: the keys before this one, a few, tell it in nearly all cases.
+    # is met there: the keys before this one, a few, tell it in nearly all cases. By the sizes and places of two sets that may link, one
+    # of them has the key within its first seventh, so that late holders of a key are never compared with each other.
     earlier = F.collect_list("shingle").over(Window.partitionBy("node").orderBy("place").rowsBetween(-EARLIER, -1))
     placed = prefixes.withColumn("before", earlier).join(second.withColumnRenamed("component", "old"), "node", "left")
     placed = placed.withColumn("component", F.coalesce("old", "component")).drop("old").withColumn("band", _band("n")).withColumn("tile", tile).drop("band")
     counted = placed.groupBy("shingle", "tile", "component").agg(F.count("*").alias("members"))
     largest = counted.groupBy("shingle", "tile").agg(F.max_by("component", F.struct("members", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    mixed = settle(placed.join(settle(largest, "largest"), ["shingle", "tile"]), "mixed")
-    minor = mixed.where("component <> main").select("shingle", "tile", F.col("node").alias("a"), F.col("n").alias("an"), F.col("place").alias("ap"), F.col("component").alias("ac"), F.col("before").alias("ab"))
-    across = mixed.join(minor, ["shingle", "tile"]).where("component <> ac and (component = main or a < node) and not arrays_overlap(before, ab)").where(_may_link("n", "place", "an", "ap"))
-    more = _verify(docs, nodes, across.select("a", F.col("node").alias("b")).distinct())
-    last = settle(_merged(second, more), "components")
+    mixed = placed.join(settle(largest, "largest", spent), ["shingle", "tile"]).withColumns({"minor": F.expr("component <> main"), "early": F.expr("7 * place <= n")})
+    mixed = settle(mixed, "mixed", spent)
+    one = mixed.where("early").select("shingle", "tile", F.col("node").alias("a"), F.col("n").alias("an"), F.col("place").alias("ap"), F.col("component").alias("ac"), F.col("before").alias("ab"), F.col("minor").alias("am"))
+    apart = f"component <> ac and not arrays_overlap(before, ab) and {_MAY_LINK.format('n', 'place', 'an', 'ap')}"
+    across = mixed.join(one.where("am"), ["shingle", "tile"]).where(f"{apart} and (a < node or not (minor and early))").select("a", "node")
+    across = across.union(mixed.where("minor and not early").join(one.where("not am"), ["shingle", "tile"]).where(apart).select("a", "node"))
+    more = _verify(docs, nodes, across.select("a", F.col("node").alias("b")).distinct(), spent)
+    last = settle(_merged(second, more, spent), "components", spent)
 
     # Names: the smallest doc_id of a component, brought back to each row.
     member = nodes.select("node", "n", "rep").join(last, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    member = settle(member.select("node", "n", "component", "rep"), "members")
-    names = settle(member.groupBy("component").agg(F.min("rep").alias("component_id")), "names")
-    member = settle(member.join(names, "component").select("node", "n", "component_id"), "named")
+    member = settle(member.select("node", "n", "component", "rep"), "members", spent)
+    names = settle(member.groupBy("component").agg(F.min("rep").alias("component_id")), "names", spent)
+    member = settle(member.join(names, "component").select("node", "n", "component_id"), "named", kept)
+    discard(spark, spent)
     full = rows.where("n > 0").join(member, ["node", "n"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return full.union(rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
-def _merged(components: DataFrame, links: DataFrame) -> DataFrame:
+def _merged(components: DataFrame, links: DataFrame, note: list[str]) -> DataFrame:
     """(node, component) after more links between nodes; nodes that no link ever touched are not listed."""
     named = components.select(F.col("node").alias("_n"), F.col("component").alias("_c"))
     ends = links
     for end in ("a", "b"):
         ends = ends.join(named, F.col(end) == F.col("_n"), "left").withColumn(end, F.coalesce("_c", end)).drop("_n", "_c")
-    joined = settle(connected_components(ends).select(F.col("node").alias("_o"), F.col("component").alias("_j")), "joined")
+    joined = settle(connected_components(ends).select(F.col("node").alias("_o"), F.col("component").alias("_j")), "joined", note)
     known = components.join(joined, F.col("component") == F.col("_o"), "left").select("node", F.coalesce("_j", "component").alias("component"))
     new = joined.join(components.select(F.col("component").alias("_o")).distinct(), "_o", "left_anti").select(F.col("_o").alias("node"), F.col("_j").alias("component"))
     return known.union(new)

@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where that is unset (tests, one machine), a new temporary one."""
+    """The folder named in spark.checkpoint.dir; where that is unset, a new temporary one if all runs on this machine."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="spark-tidemark-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
@@ -22,14 +24,26 @@ def new_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/tidemark-{what}-{uuid.uuid4().hex}"
 
 
-def settle(df: DataFrame, what: str) -> DataFrame:
-    """``df`` written once as Parquet to the shared folder and read again: lost executors cannot undo it."""
+def settle(df: DataFrame, what: str, note: list[str] | None = None) -> DataFrame:
+    """``df`` written once as Parquet to the shared folder and read again: lost executors cannot undo it.
+
+    ``note`` gets the path, for :func:`discard` once the last reader is done.
+    """
     spark = df.sparkSession
     path = new_path(spark, what)
     df.write.parquet(path)
+    if note is not None:
+        note.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes settled tables that nothing reads any more, and forgets their paths."""
+    for path in map(spark._jvm.org.apache.hadoop.fs.Path, paths):
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    paths.clear()
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to the executors as a zip, once for a Spark application; they need no copy of their own."""
     import zipfile
