@@ -88,9 +88,9 @@ LUNAR_NEW_YEAR_MONTH = {2019: 2, 2020: 1, 2021: 2, 2022: 2, 2023: 1, 2024: 2, 20
 
 
 def lunar_new_year(year: Column, month: Column) -> Column:
-    """FN-12: 1 in the month of the lunar new year, else 0."""
+    """FN-12: 1 in the month of the lunar new year, else 0; null in years that the table does not have."""
     table = F.create_map(*[F.lit(x) for pair in LUNAR_NEW_YEAR_MONTH.items() for x in pair])
-    return F.coalesce((table[year] == month).cast("int"), F.lit(0))
+    return (F.try_element_at(table, year) == month).cast("int")
 
 
 def observed_price(source: Column) -> Column:
@@ -142,3 +142,8 @@ def median_of_sorted(values: Column) -> Column:
 def rounded(columns: list[str], digits: int = 6) -> dict[str, Column]:
     """FN-20: report columns rounded, by name."""
     return {c: F.round(F.col(c), digits) for c in columns}
+
+
+def sequence_backbone(model: Column, main: str, other: str | None = None, others: tuple[str, ...] = ()) -> Column:
+    """FN-19: the architecture behind a model's name: ``other`` for the models ``others`` ("disabled" where it is switched off), ``main`` for all else."""
+    return F.when(model.isin(list(others)), F.lit(other or "disabled")).when(model.isNotNull(), F.lit(main))

@@ -101,14 +101,19 @@ def first_by_preference(rows: DataFrame, keys: list[str], preferences: list[Colu
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy("_p", *order))).where("_n = 1").drop("_n", "_p")
 
 
+def _mark(keys: list[str], seed: int) -> Column:
+    """A hash of the keys' text that any engine can repeat."""
+    return F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in keys], F.lit(str(seed))).cast("binary"))
+
+
 def fixed_sample(rows: DataFrame, keys: list[str], n: int, seed: int = 42) -> DataFrame:
     """SRT-06: the same ``n`` rows every time: those of smallest hash."""
-    return rows.orderBy(F.xxhash64(*keys, F.lit(seed)), *keys).limit(n)
+    return rows.orderBy(_mark(keys, seed), *keys).limit(n)
 
 
 def round_robin(rows: DataFrame, group: str, key: str, n: int, seed: int = 42) -> DataFrame:
     """SRT-07: one of each group in turn until there are ``n``."""
-    w = Window.partitionBy(group).orderBy(F.xxhash64(key, F.lit(seed)), key)
+    w = Window.partitionBy(group).orderBy(_mark([key], seed), key)
     return rows.withColumn("_n", F.row_number().over(w)).orderBy("_n", group).limit(n).drop("_n")
 
 

@@ -164,13 +164,13 @@ def dividend_by_payout(eps: DataFrame, history: DataFrame) -> DataFrame:
     })
 
 
-def cash_history_dividends(dividends: DataFrame, as_of: str) -> DataFrame:
-    """DIV-02: last, median and 0.5/0.3/0.2 weighted cash of the last three announced years, one row each."""
-    cash = available(dividends, "available_date", as_of).where("fiscal_year is not null").groupBy(ID, "fiscal_year").agg(F.sum("TotalCashDividend").alias("cash_dividend"))
+def cash_history_dividends(dividends: DataFrame, as_of: str, mode: str = "announcement_safe") -> DataFrame:
+    """DIV-02: last, median and 0.5/0.3/0.2 weighted cash of the last three announced years (with ex_date_safe: paid years), one row each."""
+    cash = available(dividends, {"announcement_safe": "available_date", "ex_date_safe": "ex_dividend_date"}[mode], as_of).where("fiscal_year is not null").groupBy(ID, "fiscal_year").agg(F.sum("TotalCashDividend").alias("cash_dividend"))
     recent = newest(cash.where("cash_dividend is not null"), [ID], "fiscal_year").groupBy(ID).agg(F.sort_array(F.collect_list(F.struct("fiscal_year", "cash_dividend")), False).alias("_h"))
     values = F.transform("_h", lambda x: x["cash_dividend"])
-    wide = recent.select(ID, F.get("_h", F.lit(0))["fiscal_year"].alias("dividend_reference_year"), F.get(values, F.lit(0)).alias("announcement_safe_last"), median_of_sorted(F.array_sort(values)).alias("announcement_safe_median"), weighted_recent(values).alias("announcement_safe_smoothed"))
-    return wide.unpivot([ID, "dividend_reference_year"], ["announcement_safe_last", "announcement_safe_median", "announcement_safe_smoothed"], "dividend_method", "estimated_cash_dividend")
+    wide = recent.select(ID, F.get("_h", F.lit(0))["fiscal_year"].alias("dividend_reference_year"), F.get(values, F.lit(0)).alias(f"{mode}_last"), median_of_sorted(F.array_sort(values)).alias(f"{mode}_median"), weighted_recent(values).alias(f"{mode}_smoothed"))
+    return wide.unpivot([ID, "dividend_reference_year"], [f"{mode}_{k}" for k in ("last", "median", "smoothed")], "dividend_method", "estimated_cash_dividend")
 
 
 def five_years(entities: DataFrame, eps: DataFrame, dividends: DataFrame, as_of: str) -> DataFrame:
@@ -302,18 +302,23 @@ def financial_forecast(predictions: DataFrame, revenue: DataFrame, quarterly: Da
 
 
 def eps_sign_guard(eps: DataFrame, cash: DataFrame) -> DataFrame:
-    """DIV-04: the last announced dividend, nothing where the estimated EPS is not positive; ``cash`` as of :func:`cash_history_dividends`."""
-    last = cash.where("dividend_method = 'announcement_safe_last'").select(ID, "estimated_cash_dividend")
+    """DIV-04: the last paid dividend, nothing where the estimated EPS is not positive; ``cash`` as of :func:`cash_history_dividends`."""
+    last = cash.where("dividend_method = 'ex_date_safe_last'").select(ID, "estimated_cash_dividend")
     guarded = F.when(F.col("estimated_eps") <= 0, 0.0).otherwise(F.col("estimated_cash_dividend"))
     return eps.join(last, ID, "left").withColumns({"dividend_method": F.lit("eps_sign_guard_last"), "estimated_cash_dividend": guarded})
 
 
 def dividend_matrix(eps: DataFrame, dividends: DataFrame, annual: DataFrame, as_of: str) -> DataFrame:
-    """DIV-04: one row for each entity and dividend method: payouts of the three evidence modes, cash histories and the sign guard."""
+    """DIV-04: one row for each entity and dividend method: payouts of the three evidence modes, cash histories of two and the sign guard."""
     columns = ["model", ID, "target_year", "eps_method", "estimated_eps", "dividend_method", "estimated_cash_dividend"]
     parts = [dividend_by_payout(eps, payout_history(dividends, annual, as_of, mode)).withColumn("dividend_method", F.lit(f"{mode}_payout")).select(*columns) for mode in ("current_system", "ex_date_safe", "announcement_safe")]
-    cash = cash_history_dividends(dividends, as_of)
-    parts += [eps.join(cash.drop("dividend_reference_year"), ID, "left").select(*columns), eps_sign_guard(eps, cash).select(*columns)]
+    for mode in ("ex_date_safe", "announcement_safe"):
+        cash = cash_history_dividends(dividends, as_of, mode)
+        # Every entity has a row for every method, whatever is known of it.
+        each = eps.withColumn("dividend_method", F.explode(F.array(*[F.lit(f"{mode}_{k}") for k in ("last", "median", "smoothed")])))
+        parts.append(each.join(cash.drop("dividend_reference_year"), [ID, "dividend_method"], "left").select(*columns))
+        if mode == "ex_date_safe":
+            parts.append(eps_sign_guard(eps, cash).select(*columns))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

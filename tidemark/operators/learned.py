@@ -19,7 +19,7 @@ SEED = 42
 
 def growth_clusters(panel: DataFrame, k: int = 5, train_end_year: int = 1999) -> DataFrame:
     """FC-13: k-means over twelve-month growth vectors, fitted on years up to ``train_end_year``; months without a full window are -1."""
-    windows = growth_windows(panel).select(ID, YEAR, MONTH, "growth_ratio", "growth_streak", array_to_vector(F.col("growth_vector").cast("array<double>")).alias("features"))
+    windows = growth_windows(panel).select(ID, YEAR, MONTH, "growth_ratio", "growth_streak", "growth_vector", array_to_vector(F.col("growth_vector").cast("array<double>")).alias("features"))
     model = KMeans(k=k, seed=SEED, featuresCol="features", predictionCol="cluster").fit(windows.where(F.col(YEAR) <= train_end_year))
     found = model.transform(windows).drop("features")
     return panel.join(found, [ID, YEAR, MONTH], "left").withColumn("cluster", F.coalesce("cluster", F.lit(-1)))
@@ -34,9 +34,28 @@ def elbow(panel: DataFrame, ks: tuple[int, ...] = (4, 5, 6, 7, 8), train_end_yea
 
 
 def cluster_profile(clustered: DataFrame) -> DataFrame:
-    """AGG-17, AGG-18: size, means and kind of each cluster."""
-    rows = clustered.where("cluster >= 0").groupBy("cluster").agg(F.count("*").alias("windows"), F.count_distinct(ID).alias("stocks"), F.avg("growth_ratio").alias("growth_ratio"), F.avg("growth_streak").alias("growth_streak"))
-    return rows.withColumn("cluster_type", F.when(F.col("growth_ratio") >= 0.6, "growth").when(F.col("growth_ratio") <= 0.4, "decline").otherwise("mixed"))
+    """AGG-17: size and means of each cluster, the mean of each place of its vectors, these as 0 and 1, and its kind; ``growth_vector`` is in the rows."""
+    known = clustered.where("cluster >= 0")
+    places = known.select("cluster", F.posexplode("growth_vector").alias("place", "up")).groupBy("cluster", "place").agg(F.avg("up").alias("mean"))
+    vectors = places.groupBy("cluster").agg(F.sort_array(F.collect_list(F.struct("place", F.round("mean", 3).alias("mean"), (F.col("mean") >= 0.5).cast("int").cast("string").alias("bit")))).alias("_v"))
+    vectors = vectors.select("cluster", F.transform("_v", lambda x: x["mean"]).alias("vector_means"), F.concat_ws("", F.transform("_v", lambda x: x["bit"])).alias("pattern"))
+    rows = known.groupBy("cluster").agg(F.count("*").alias("windows"), F.count_distinct(ID).alias("stocks"), F.avg("growth_ratio").alias("growth_ratio"), F.avg("growth_streak").alias("growth_streak"))
+    kind = F.when(F.col("growth_ratio") >= 0.70, "consistent_growth").when(F.col("growth_ratio") >= 0.55, "growth_bias").when(F.col("growth_ratio") >= 0.40, "mixed_or_turnaround").otherwise("decline_bias")
+    return rows.join(vectors, "cluster").withColumn("cluster_type", kind)
+
+
+def cluster_effects(rows: DataFrame) -> DataFrame:
+    """AGG-18: what adjustment does in each cluster.
+
+    ``rows``: cluster, actual_revenue, plain_revenue, adjusted_revenue, regime, growth_phase, high_growth, growth_signal, adjustment_applied, decline_capped.
+    """
+    error = lambda c: F.avg(F.abs(F.col(c) - F.col("actual_revenue")))
+    return rows.groupBy("cluster").agg(
+        F.count("*").alias("months"), error("plain_revenue").alias("plain_mae"), error("adjusted_revenue").alias("adjusted_mae"), (error("plain_revenue") - error("adjusted_revenue")).alias("improvement"),
+        F.avg("actual_revenue").alias("mean_actual"), F.count_if("high_growth").alias("high_growth_months"), F.count_if("growth_phase").alias("growth_phase_months"), F.count_if("adjustment_applied").alias("adjusted_months"),
+        F.count_if("decline_capped").alias("capped_months"), F.count_if(F.col("regime") == "cycle").alias("cycle_months"), F.count_if(F.col("regime") == "decline").alias("decline_months"),
+        F.avg("growth_signal").alias("mean_growth_signal"), F.avg(F.try_divide(F.col("adjusted_revenue"), F.col("plain_revenue"))).alias("mean_adjustment_ratio"),
+    )
 
 
 def yearly_samples(panel: DataFrame) -> DataFrame:
@@ -77,11 +96,17 @@ def sequence_regression(panel: DataFrame, train_end_year: int, target_year: int,
     return out.select(ID, "target_year", (F.col("target_index") % 12 + 1).cast("int").alias("target_month"), level_of(clipped).alias("predicted_revenue"), F.col("target").alias("actual_revenue"), F.element_at("inputs", -1).alias("last_observed_revenue"), "window_max")
 
 
-def eps_regression(history: DataFrame, annual: DataFrame, kind: str = "ridge") -> DataFrame:
-    """EPS-04, WIN-16: regularised regression of annual EPS on revenue and the year before; medians for what is missing."""
+def lagged_annual(history: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """WIN-16: (each year beside the entity's year before, with the change of the ratio; the last year of each entity under the same names)."""
     w = Window.partitionBy(ID).orderBy("revenue_year")
     rows = history.withColumns({"prev_revenue": F.lag("annual_revenue").over(w), "prev_eps": F.lag("annual_eps").over(w), "prev_ratio": F.lag("eps_to_revenue_ratio").over(w)})
     last = history.groupBy(ID).agg(*[F.max_by(c, "revenue_year").alias(n) for c, n in (("annual_revenue", "prev_revenue"), ("annual_eps", "prev_eps"), ("eps_to_revenue_ratio", "prev_ratio"))])
+    return rows.withColumn("ratio_change", F.col("eps_to_revenue_ratio") - F.col("prev_ratio")), last
+
+
+def eps_regression(history: DataFrame, annual: DataFrame, kind: str = "ridge") -> DataFrame:
+    """EPS-04: regularised regression of annual EPS on revenue and the year before; medians for what is missing."""
+    rows, last = lagged_annual(history)
     target = annual.withColumnRenamed("predicted_annual_revenue", "annual_revenue").join(last, ID, "left")
     columns = ["annual_revenue", "prev_revenue", "prev_eps", "prev_ratio"]
     mix = {"ridge": 0.0, "elastic_net": 0.5, "lasso": 1.0}[kind]
@@ -90,19 +115,34 @@ def eps_regression(history: DataFrame, annual: DataFrame, kind: str = "ridge") -
     return model.transform(target).select("model", ID, "target_year", F.lit(kind).alias("eps_method"), F.col("prediction").alias("estimated_eps"))
 
 
-def hurdle_dividends(samples: DataFrame, target_year: int, thresholds: tuple[float, ...] = (0.35, 0.5, 0.65)) -> DataFrame:
-    """DIV-08, DIV-10: whether a dividend is paid (balanced logistic regression) times how much (ridge on paid years), for each threshold."""
-    columns = [c for c in ("last_cash", "median_cash", "annual_eps") if c in samples.columns]
-    prepared = VectorAssembler(inputCols=columns, outputCol="features").transform(samples.na.fill(0.0, columns)).withColumn("paid", (F.col("cash_dividend") > 0).cast("double"))
-    train = prepared.where((F.col("fiscal_year") < target_year) & F.col("cash_dividend").isNotNull())
-    share = train.agg(F.avg("paid")).first()[0] or 0.0
-    target = prepared.where(F.col("fiscal_year") == target_year)
+HURDLE_FEATURES = ["last_known_cash_dividend", "recent_cash_dividend_median", "recent_cash_dividend_smoothed", "recent_paid_rate", "dividend_history_count", "latest_available_eps", "available_eps_ttm", "known_revenue_ltm"]
+THRESHOLDS = (0.25, 0.30, 0.35, 0.40, 0.45, 0.50, 0.60)
+
+
+def hurdle_dividends(samples: DataFrame, target_year: int, kind: str = "ridge", thresholds: tuple[float, ...] = THRESHOLDS) -> DataFrame:
+    """DIV-08, DIV-10: whether a dividend is paid (balanced logistic regression) times how much (regression of paid years), for each threshold.
+
+    ``samples``: rows of time_safe_features, each seen from its own cut-off, with actual_cash_dividend (of years before ``target_year`` only
+    those count as known). With one class only the probability is its share; without paid years the amount is 0, with few (under five) their mean.
+    """
+    rows = samples.na.fill(0.0, HURDLE_FEATURES).withColumn("paid", (F.col("actual_cash_dividend") > 0).cast("double"))
+    rows = VectorAssembler(inputCols=HURDLE_FEATURES, outputCol="raw").transform(rows)
+    train = rows.where((F.col("target_year") < target_year) & F.col("actual_cash_dividend").isNotNull())
+    n, share, paid, mean = train.agg(F.count("*"), F.avg("paid"), F.count_if(F.col("paid") == 1), F.avg(F.when(F.col("paid") == 1, F.col("actual_cash_dividend")))).first()
+    target, share, mix = rows.where(F.col("target_year") == target_year), share or 0.0, {"ridge": 0.0, "elastic_net": 0.5}[kind]
+    if n:
+        scale = StandardScaler(inputCol="raw", outputCol="features", withMean=True).fit(train)
+        train, target = scale.transform(train), scale.transform(target)
     if 0 < share < 1:
         weighted = train.withColumn("w", F.when(F.col("paid") == 1, 0.5 / share).otherwise(0.5 / (1 - share)))
-        target = LogisticRegression(labelCol="paid", weightCol="w", regParam=0.1).fit(weighted).transform(target).withColumn("paid_probability", vector_to_array("probability")[1]).drop("probability", "rawPrediction", "prediction")
+        target = LogisticRegression(labelCol="paid", weightCol="w", regParam=0.1, elasticNetParam=mix).fit(weighted).transform(target).withColumn("paid_probability", vector_to_array("probability")[1]).drop("probability", "rawPrediction", "prediction")
     else:
         target = target.withColumn("paid_probability", F.lit(float(share)))
-    target = LinearRegression(labelCol="cash_dividend", regParam=0.1).fit(train.where("paid = 1")).transform(target)
+    if paid >= 5:
+        target = LinearRegression(labelCol="actual_cash_dividend", regParam=0.1, elasticNetParam=mix).fit(train.where("paid = 1")).transform(target)
+    else:
+        target = target.withColumn("prediction", F.lit(float(mean or 0.0)))
     grid = F.explode(F.array(*[F.lit(t) for t in thresholds]))
-    out = target.select(ID, "fiscal_year", "paid_probability", F.col("prediction").alias("_amount"), "cash_dividend", grid.alias("threshold"))
-    return out.withColumn("estimated_cash_dividend", F.when(F.col("paid_probability") >= F.col("threshold"), F.greatest("_amount", F.lit(0.0))).otherwise(0.0)).drop("_amount")
+    out = target.select(ID, "target_year", "paid_probability", F.col("prediction").alias("_amount"), "actual_cash_dividend", grid.alias("threshold"))
+    method = F.concat(F.lit(f"direct_hurdle_{kind}_t"), F.lpad(F.round(F.col("threshold") * 100).cast("int").cast("string"), 3, "0"))
+    return out.withColumns({"dividend_method": method, "estimated_cash_dividend": F.when(F.col("paid_probability") >= F.col("threshold"), F.greatest("_amount", F.lit(0.0))).otherwise(0.0)}).drop("_amount")

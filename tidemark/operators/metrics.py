@@ -111,12 +111,34 @@ def error_bands(accuracy_rows: DataFrame, metric: str, group: str, edges: tuple[
     return out.join(names, "band").withColumn("share_percent", share).select(group, "band", "label", "stocks", "share_percent")
 
 
+#: Bounds between blocks of a global ranking.
+BLOCKS = 256
+
+
+def ranked(rows: DataFrame, value: str, key: str, tiles: int) -> DataFrame:
+    """``rows`` with ``rank`` by value and key over all rows and its ``tile`` of as many equal parts, the first ones larger.
+
+    Blocks of values are ranked apart and offset by the counts of the blocks before; only the bounds of the blocks come to the driver.
+    """
+    bounds = sorted(set(rows.approxQuantile(value, [k / BLOCKS for k in range(1, BLOCKS)], 0.001)))
+    block = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]).cast("array<double>"), lambda b: b < F.col(value)))
+    placed = rows.withColumn("_b", block)
+    counts = placed.groupBy("_b").agg(F.count("*").alias("_n"))
+    # At most BLOCKS rows.
+    every = Window.partitionBy(F.lit(1))
+    counts = counts.select("_b", F.coalesce(F.sum("_n").over(every.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.sum("_n").over(every).alias("_all"))
+    out = placed.withColumn("_k", F.row_number().over(Window.partitionBy("_b").orderBy(value, key))).join(F.broadcast(counts), "_b")
+    out = out.withColumns({"rank": F.col("_before") + F.col("_k"), "_q": F.floor(F.col("_all") / tiles), "_r": F.col("_all") % tiles})
+    large = F.col("_r") * (F.col("_q") + 1)
+    tile = F.when(F.col("rank") <= large, F.floor((F.col("rank") - 1) / (F.col("_q") + 1)) + 1).otherwise(F.floor((F.col("rank") - 1 - F.col("_r")) / F.greatest(F.col("_q"), F.lit(1))) + 1)
+    return out.withColumn("tile", tile.cast("int")).drop("_b", "_k", "_before", "_all", "_q", "_r")
+
+
 def size_buckets(predictions: DataFrame, buckets: int = 4) -> DataFrame:
     """AGG-15: metrics by quantile of the entities' mean actual, smallest first; ties by entity."""
     means = scored(predictions).groupBy("stock_id").agg(F.avg("actual_revenue").alias("_mean"))
-    # One row an entity: the only global order, over the entity dimension.
-    ranked = means.withColumn("size_bucket", F.ntile(buckets).over(Window.orderBy("_mean", "stock_id"))).drop("_mean")
-    return accuracy(predictions.join(ranked, "stock_id"), "model", "size_bucket")
+    sized = ranked(means, "_mean", "stock_id", buckets).select("stock_id", F.col("tile").alias("size_bucket"))
+    return accuracy(predictions.join(sized, "stock_id"), "model", "size_bucket")
 
 
 def winners(stock_accuracy: DataFrame, metric: str = "WMAPE", model: str = "model") -> DataFrame:

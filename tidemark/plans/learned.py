@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import finance as FI
@@ -13,7 +13,7 @@ from tidemark.operators import studies as ST
 from tidemark.operators.calendar import growth_windows
 from tidemark.plans.common import neat, predictions
 from tidemark.plans.finance import _inputs
-from tidemark.sources.adapters import AS_OF, TARGET_YEAR, dividends, monthly_revenue, quarterly_eps
+from tidemark.sources.adapters import AS_OF, TARGET_YEAR, dividends, entity_master, monthly_revenue, quarterly_eps
 
 
 def arima_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,14 +78,20 @@ def eps_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neat(L.eps_regression(x["history"], x["annual"]))
 
 
+def hurdle_samples(spark: SparkSession, sf_dir: str, first_year: int = 1995) -> DataFrame:
+    """Every entity and year seen from the tenth of January, with the cash of the year's ex-dates."""
+    paid = dividends(spark, sf_dir)
+    years = [F.lit(y) for y in range(first_year, TARGET_YEAR + 1)]
+    samples = entity_master(spark, sf_dir).select("stock_id", F.explode(F.array(*years)).alias("target_year")).withColumn("as_of_date", F.make_date("target_year", F.lit(1), F.lit(10)))
+    rows = FI.time_safe_features(samples, monthly_revenue(spark, sf_dir), quarterly_eps(spark, sf_dir), paid)
+    actual = paid.groupBy("stock_id", F.year("ex_dividend_date").alias("target_year")).agg(F.sum("TotalCashDividend").alias("actual_cash_dividend"))
+    return rows.join(actual, ["stock_id", "target_year"], "left").withColumn("actual_cash_dividend", F.coalesce("actual_cash_dividend", F.lit(0.0)))
+
+
 def dividend_hurdle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """DIV-08: three thresholds for the target fiscal year from what earlier years show."""
-    cash = dividends(spark, sf_dir).groupBy("stock_id", "fiscal_year").agg(F.sum("TotalCashDividend").alias("cash_dividend"))
-    w = Window.partitionBy("stock_id").orderBy("fiscal_year")
-    eps = FI.annual_eps(quarterly_eps(spark, sf_dir)).select("stock_id", (F.col("eps_year") + 1).alias("fiscal_year"), "annual_eps")
-    grid = cash.select("stock_id").distinct().withColumn("fiscal_year", F.explode(F.sequence(F.lit(1995), F.lit(TARGET_YEAR))))
-    rows = grid.join(cash, ["stock_id", "fiscal_year"], "left").withColumns({"last_cash": F.lag("cash_dividend").over(w), "median_cash": F.avg("cash_dividend").over(w.rowsBetween(-3, -1))})
-    return neat(L.hurdle_dividends(rows.join(eps, ["stock_id", "fiscal_year"], "left"), TARGET_YEAR))
+    """DIV-08, DIV-10: both regressions at seven thresholds for the target year, learnt from years before it, each seen from its own cut-off."""
+    samples = hurdle_samples(spark, sf_dir)
+    return neat(L.hurdle_dividends(samples, TARGET_YEAR).unionByName(L.hurdle_dividends(samples, TARGET_YEAR, "elastic_net")))
 
 
 def financial_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
