@@ -24,6 +24,10 @@ class FormulaConfig:
     min_history: int = 15
 
 
+#: Settings of the formula that one sweep may hold.
+MOST_CONFIGS = 256
+
+
 def _clip(c: Column, cap: Column) -> Column:
     # greatest and least pass over nulls, which must stay null here.
     return F.when(c.isNotNull(), F.greatest(F.least(c, cap), -cap))
@@ -41,27 +45,31 @@ def formula_forecast(panel: DataFrame, config: FormulaConfig = FormulaConfig(),
     w = by_segment()
     growth = [F.log1p(F.lag(VALUE, k).over(w)) - F.log1p(F.lag(VALUE, k + 12).over(w)) for k in (1, 2, 3)]
     rows = rows.withColumn("_median_growth", growth[0] + growth[1] + growth[2] - F.greatest(*growth) - F.least(*growth))
-    keys = [ID, "calendar_segment"]
     names = ("seasonal_weight", "residual_alpha", "residual_strength", "growth_log_cap", "correction_log_cap")
-    if configs is None:
-        rows = rows.withColumns({c: F.lit(float(getattr(config, c))) for c in names})
-    else:
-        # A parameter grid has a few dozen rows whatever the data: each row carries it as an array and explodes it.
-        grid = [r.asDict() for r in configs.select("config_id", *names).orderBy("config_id").limit(10_000).collect()]
-        rows = rows.withColumn("_c", F.explode(F.array(*[F.struct(F.lit(g["config_id"]).alias("config_id"), *[F.lit(float(g[c])).alias(c) for c in names]) for g in grid])))
-        rows = rows.withColumns({c: F.col("_c")[c] for c in ("config_id", *names)}).drop("_c")
-        keys.append("config_id")
+    grid = [{c: float(getattr(config, c)) for c in names}]
+    if configs is not None:
+        # Every setting is a few columns of each row, so all share the segment's windows; more settings than columns can be is an error.
+        grid = [r.asDict() for r in configs.select("config_id", *names).orderBy("config_id").limit(MOST_CONFIGS + 1).collect()]
+        if len(grid) > MOST_CONFIGS:
+            raise ValueError(f"more than {MOST_CONFIGS} configurations in one sweep")
     known = F.col("history_months") >= config.min_history
-    rows = rows.withColumn("growth_log", F.when(known, _clip(F.col("_median_growth"), F.col("growth_log_cap"))))
-    rows = rows.withColumn("seasonal_growth_forecast", F.expm1(F.log1p("seasonal_naive_revenue") + F.col("growth_log")))
-    base_log = F.col("seasonal_weight") * log_level(F.col("seasonal_growth_forecast")) + (1 - F.col("seasonal_weight")) * F.log1p("last_observed_revenue")
-    rows = rows.withColumn("_base", F.when(known, F.greatest(F.expm1(base_log), F.lit(0.0))))
-    # The state before a month is the sum of alpha (1 - alpha)^age times the residuals of the months before.
-    residual = F.when(known, F.log1p(VALUE) - F.log1p("_base"))
-    past = Window.partitionBy(*keys).orderBy("month_index").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("_residual", residual).withColumn("_past", F.collect_list("_residual").over(past))
-    state = F.aggregate("_past", F.lit(0.0), lambda s, r: F.col("residual_alpha") * r + (1 - F.col("residual_alpha")) * s)
-    rows = rows.withColumn("residual_state", F.when(known, state))
+
+    def by(g: dict) -> Column:
+        growth_log = F.when(known, _clip(F.col("_median_growth"), F.lit(float(g["growth_log_cap"]))))
+        seasonal = F.expm1(F.log1p("seasonal_naive_revenue") + growth_log)
+        base = F.expm1(g["seasonal_weight"] * log_level(seasonal) + (1 - g["seasonal_weight"]) * F.log1p("last_observed_revenue"))
+        return F.struct(growth_log.alias("growth_log"), seasonal.alias("seasonal_growth_forecast"), F.when(known, F.greatest(base, F.lit(0.0))).alias("_base"))
+
+    rows = rows.withColumn("_g", F.array(*[by(g) for g in grid]))
+    # The state before a month is the sum of alpha (1 - alpha)^age times the residuals of the months before: a running sum of residuals
+    # scaled up by their place in the segment, scaled down again (in doubles for segments of up to some 1,900 months at alpha 0.3).
+    past = w.rowsBetween(Window.unboundedPreceding, -1)
+    scaled = lambda k, g: F.when(known, F.log1p(VALUE) - F.log1p(F.col("_g")[k]["_base"])) * F.pow(F.lit(1 - g["residual_alpha"]), -F.col("history_months"))
+    rows = rows.withColumn("_s", F.array(*[F.sum(scaled(k, g)).over(past) for k, g in enumerate(grid)]))
+    state = lambda k, g: F.when(known, g["residual_alpha"] * F.pow(F.lit(1 - g["residual_alpha"]), F.col("history_months") - 1) * F.coalesce(F.col("_s")[k], F.lit(0.0)))
+    settings = lambda g: [F.lit(g[c] if c == "config_id" else float(g[c])).alias(c) for c in g]
+    each = F.array(*[F.struct(*settings(g), *[F.col("_g")[k][c].alias(c) for c in ("growth_log", "seasonal_growth_forecast", "_base")], state(k, g).alias("residual_state")) for k, g in enumerate(grid)])
+    rows = rows.withColumn("_e", F.explode(each)).select("*", "_e.*").drop("_e", "_g", "_s")
     correction = _clip(F.col("residual_strength") * F.col("residual_state"), F.col("correction_log_cap"))
     rows = rows.withColumn("applied_correction_log", F.when(known, correction).when(F.col("history_months") > 0, F.lit(0.0)))
     plain = F.when(F.col("history_months") >= 12, F.col("seasonal_naive_revenue")).when(F.col("history_months") > 0, F.col("last_observed_revenue"))
@@ -73,7 +81,7 @@ def formula_forecast(panel: DataFrame, config: FormulaConfig = FormulaConfig(),
         "target_year": F.col(YEAR),
         "target_month": F.col(MONTH),
     })
-    return rows.drop("_median_growth", "_base", "_residual", "_past")
+    return rows.drop("_median_growth", "_base")
 
 
 def seasonal_quantile_forecast(panel: DataFrame, target_year: int) -> DataFrame:

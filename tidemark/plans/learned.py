@@ -1,4 +1,4 @@
-"""Queries whose results SQL cannot express: fitted models, folds over residuals, streams."""
+"""Queries over fitted models and folds over residuals; those without a fit have SQL twins."""
 
 from __future__ import annotations
 
@@ -11,6 +11,9 @@ from tidemark.operators import learned as L
 from tidemark.operators import metrics as M
 from tidemark.operators import studies as ST
 from tidemark.operators.calendar import growth_windows
+from tidemark.plans import finance as PF
+from tidemark.plans import reports as RS
+from tidemark.plans import sql as S
 from tidemark.plans.common import neat, predictions
 from tidemark.plans.finance import _inputs
 from tidemark.sources.adapters import AS_OF, TARGET_YEAR, dividends, entity_master, monthly_revenue, quarterly_eps
@@ -170,3 +173,39 @@ QUERIES = {
     "financial_summary": financial_summary,
 }
 ORACLE_SQL: dict[str, str] = {}
+
+# Twins of what needs no fitted model.
+_REG = f"WITH {S.full()}, {RS._REGIME}"
+_ALL = PF._BASE.replace("monthly AS (SELECT 'formula' AS model, stock_id, target_year, target_month, predicted_revenue FROM pred WHERE model = 'formula')", "monthly AS (SELECT model, stock_id, target_year, target_month, predicted_revenue FROM pred)")
+_CHAIN = f"""{_ALL}, {PF._QUARTERS}, {PF._PAYOUT.split('est AS (')[0]}
+sq AS (SELECT tq.model, tq.stock_id, sum(q * coalesce(qm.r, rr.ratio)) AS e, count(coalesce(qm.r, rr.ratio)) AS n FROM tq LEFT JOIN qm ON tq.stock_id = qm.stock_id AND tq.eps_quarter = qm.eps_quarter LEFT JOIN rr ON tq.stock_id = rr.stock_id GROUP BY 1, 2),
+es AS (SELECT annual.model, annual.stock_id, 'current_ratio' AS eps_method, predicted_annual_revenue * ratio AS e, CASE WHEN ratio IS NULL THEN 'EPS unavailable' ELSE 'ok' END AS status FROM annual LEFT JOIN rr ON annual.stock_id = rr.stock_id
+  UNION ALL SELECT annual.model, annual.stock_id, 'seasonal_quarter_median', CASE WHEN n >= 4 THEN sq.e END, CASE WHEN n >= 4 THEN 'ok' ELSE 'EPS unavailable' END FROM annual LEFT JOIN sq ON annual.model = sq.model AND annual.stock_id = sq.stock_id),
+dc AS (SELECT es.*, CASE WHEN e IS NOT NULL AND coalesce(own.p, (SELECT p FROM cs)) IS NOT NULL THEN greatest(e * coalesce(own.p, (SELECT p FROM cs)), 0) END AS cash FROM es LEFT JOIN own ON es.stock_id = own.stock_id)"""
+_PATH = f"""WITH RECURSIVE {S.panel()}, {S.SEGMENTS}, l15 AS (SELECT stock_id, month_index, list(revenue) OVER (PARTITION BY stock_id, calendar_segment ORDER BY month_index ROWS BETWEEN 14 PRECEDING AND CURRENT ROW) AS h, row_number() OVER (PARTITION BY stock_id ORDER BY month_index DESC) AS n FROM seg WHERE revenue_year < 2000),
+go AS (SELECT stock_id, month_index, h, 0 AS step FROM l15 WHERE n = 1 AND len(h) = 15
+  UNION ALL SELECT stock_id, month_index, list_append(h[2:], greatest(exp(0.75 * ln(1 + greatest(exp(ln(1 + h[4]) + greatest(least(g1 + g2 + g3 - greatest(g1, g2, g3) - least(g1, g2, g3), ln(2.0)), -ln(2.0))) - 1, 0)) + 0.25 * ln(1 + h[15])) - 1, 0)), step + 1
+  FROM (SELECT *, ln(1 + h[15]) - ln(1 + h[3]) AS g1, ln(1 + h[14]) - ln(1 + h[2]) AS g2, ln(1 + h[13]) - ln(1 + h[1]) AS g3 FROM go WHERE step < 12)),
+rc AS (SELECT stock_id, CAST((month_index + step) // 12 AS INTEGER) AS target_year, CAST((month_index + step) % 12 + 1 AS INTEGER) AS target_month, step, h[15] AS p FROM go WHERE step > 0)"""
+ORACLE_SQL |= {
+    "growth_adjusted": RS.ORACLE_SQL["growth_adjusted_by_regime"],
+    "confidence_caps": f"""{_REG}, s AS (SELECT *, unnest([0.0, 0.25, 0.5, 0.75, 1.0]) AS confidence_threshold, CASE WHEN regime = 'decline' THEN 0.5 * greatest(least(((CASE WHEN last_observed_revenue > 0 THEN predicted_revenue / last_observed_revenue ELSE 1 END) - 1) / 0.5, 1), 0)
+  + 0.35 * greatest(least((0.4 - growth_ratio) / 0.4, 1), 0) + 0.15 * greatest(least((4 - growth_streak) / 4, 1), 0) ELSE 0 END AS c FROM rg),
+h AS (SELECT * EXCLUDE predicted_revenue, greatest(round_even(CASE WHEN c > 0 AND c >= confidence_threshold THEN least(predicted_revenue, last_observed_revenue) ELSE predicted_revenue END, 0), 0) AS predicted_revenue FROM s)
+SELECT CAST(confidence_threshold AS DOUBLE) AS confidence_threshold, {S.metrics()} FROM h GROUP BY 1""",
+    "adjustment_variants": f"""{_REG}, v AS (SELECT *, unnest([0.0, 0.4, 0.8]) AS alpha FROM rg), w AS (SELECT *, unnest([0.0, 1.0]) AS cap FROM v),
+b AS (SELECT *, CASE WHEN regime = 'growth' AND growth_phase AND growth_rate > 0 THEN predicted_revenue * (1 + alpha * greatest(growth_signal, 0)) ELSE predicted_revenue END AS b FROM w),
+h AS (SELECT * EXCLUDE predicted_revenue, CASE WHEN regime = 'decline' AND cap > 0 THEN least(b, last_observed_revenue) ELSE b END AS predicted_revenue FROM b)
+SELECT CAST(alpha AS DOUBLE) AS alpha, CAST(cap AS DOUBLE) AS cap, {S.metrics()} FROM h GROUP BY 1, 2""",
+    "recursive_forecast": f"{_PATH} SELECT stock_id, target_year, target_month, step, round(p, 6) AS predicted_revenue FROM rc",
+    "live_months": f"""{_PATH}, k AS (SELECT stock_id, revenue_year AS target_year, revenue_month AS target_month, revenue FROM panel WHERE make_date(revenue_year, revenue_month, 10) + INTERVAL 1 MONTH <= {S.AS_OF}),
+g AS (SELECT stock_id, target_year, CAST(unnest(range(1, 13)) AS INTEGER) AS target_month FROM (SELECT DISTINCT stock_id, CAST(unnest([1999, 2000]) AS INTEGER) AS target_year FROM k))
+SELECT g.stock_id, g.target_year, g.target_month, round(coalesce(revenue, p), 6) AS predicted_revenue, CASE WHEN revenue IS NOT NULL THEN 'actual' WHEN p IS NOT NULL THEN 'forecast' ELSE 'missing' END AS basis
+FROM g LEFT JOIN k ON g.stock_id = k.stock_id AND g.target_year = k.target_year AND g.target_month = k.target_month LEFT JOIN rc ON g.stock_id = rc.stock_id AND g.target_year = rc.target_year AND g.target_month = rc.target_month""",
+    "financial_summary": f"""{_CHAIN}, now AS (SELECT stock_id, arg_max(close, date) AS px FROM px WHERE date <= {S.AS_OF} GROUP BY 1)
+SELECT model, dc.stock_id, eps_method, round(e, 6) AS estimated_eps, round(cash, 6) AS estimated_cash_dividend, round(px, 6) AS stock_price, round(cash / px * 100, 6) AS estimated_yield_percent, status FROM dc LEFT JOIN now ON dc.stock_id = now.stock_id""",
+    "yield_layers": f"""{_CHAIN}, {PF.YIELDS_SQL[PF.YIELDS_SQL.index('mo AS ('):PF.YIELDS_SQL.index('\ny AS (')].rstrip().rstrip(',')}, act AS (SELECT stock_id, sum(TotalCashDividend) AS actual FROM dv WHERE year(ex_dividend_date) = 2000 GROUP BY 1),
+v AS (SELECT model, eps_method, dc.stock_id, cash / stock_price * 100 AS y, actual / stock_price * 100 AS a FROM dc JOIN fl ON dc.stock_id = fl.stock_id AND fl.target_month > 0 LEFT JOIN act ON dc.stock_id = act.stock_id WHERE stock_price > 0),
+o AS (SELECT model, eps_method, stock_id, avg(abs(y - a)) AS m, avg(y - a) AS b, avg(CASE WHEN a <> 0 THEN abs(y - a) / abs(a) END) * 100 AS p, count(*) AS n FROM v WHERE y IS NOT NULL AND a IS NOT NULL GROUP BY 1, 2, 3)
+SELECT model, eps_method, count(*) AS stocks, CAST(sum(n) AS BIGINT) AS observations, round(avg(m), 6) AS MAE, round(quantile_cont(m, 0.5), 6) AS median_abs_error, round(avg(b), 6) AS bias, round(avg(p), 6) AS MAPE FROM o GROUP BY 1, 2""",
+}

@@ -271,7 +271,7 @@ def repriced_dividends(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_register(f"""{_BASE}, {PF._PAYOUT.split('act AS (')[0]}
 {_ACTUAL}, {_NOW}, fc AS (SELECT stock_id, sum(TotalCashDividend) AS f FROM dv WHERE fiscal_year = 2000 GROUP BY 1),
 aey AS (SELECT stock_id, sum(EPS) AS ae FROM eps WHERE eps_year = 2000 GROUP BY 1 HAVING count(DISTINCT eps_quarter) >= 4), an AS (SELECT stock_id, sum(predicted_revenue) AS p, sum(actual_revenue) AS a FROM pred WHERE model = 'formula' GROUP BY 1),
-r AS (SELECT an.stock_id, abs(an.p - an.a) / nullif(abs(an.a), 0) * 100 AS r1, abs(estimated_eps - ae) AS r2, greatest(estimated_eps * coalesce(own.p2, cs.p), 0) AS cash, actual, f, px FROM an LEFT JOIN est ON an.stock_id = est.stock_id
+r AS (SELECT an.stock_id, abs(an.p - an.a) / nullif(abs(an.a), 0) * 100 AS r1, abs(estimated_eps - ae) AS r2, CASE WHEN estimated_eps IS NOT NULL THEN greatest(estimated_eps * coalesce(own.p2, cs.p), 0) END AS cash, actual, f, px FROM an LEFT JOIN est ON an.stock_id = est.stock_id
   LEFT JOIN (SELECT stock_id, p AS p2 FROM own) own ON an.stock_id = own.stock_id CROSS JOIN cs LEFT JOIN act ON an.stock_id = act.stock_id LEFT JOIN fc ON an.stock_id = fc.stock_id LEFT JOIN aey ON an.stock_id = aey.stock_id LEFT JOIN now ON an.stock_id = now.stock_id)
 SELECT 'formula' AS model, count(*) AS stocks, round(avg(r1), 6) AS revenue_abs_percent_error, round(avg(r2), 6) AS eps_abs_error, round(avg(CASE WHEN cash IS NOT NULL THEN abs(cash - actual) END), 6) AS ex_year_dividend_abs_error, round(avg(abs(cash - f)), 6) AS fiscal_dividend_abs_error,
        round(avg(abs(cash / px * 100 - actual / px * 100)), 6) AS yield_abs_error FROM r""")
