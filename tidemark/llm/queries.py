@@ -77,6 +77,16 @@ def op9_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def warc_salvage_drill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An archive in which every tenth page's record is damaged, read back: which pages come out of it."""
+    path = new_path(spark, "drill")
+    write_warc(payload_table(_table(spark, sf_dir, "pages")), path, damaged=F.col("page_id") % 10 == 3)
+    found = read_warc(spark, path, payloads=False)
+    # Damaged records that follow each other are one gap, and how they follow depends on partitions: gaps are counted in the tests.
+    kinds = found.where("record_type <> 'gap'").groupBy(F.lit("record").alias("kind"))
+    return kinds.agg(F.count("*").alias("rows"), F.sum("page_id").alias("page_ids"), F.count_if(F.col("page_id") % 10 == 3).alias("damaged_read"))
+
+
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_components(_table(spark, sf_dir, "documents"))
 
@@ -126,6 +136,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_warc_salvage": op9_warc_salvage,
     "op10_ngram_jaccard": op10_ngram_jaccard,
+    "warc_salvage_drill": warc_salvage_drill,
 }
 
 OP9_SQL = """
@@ -153,4 +164,28 @@ t AS (SELECT *, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, vec_
 SELECT query_id, rank, vec_id, score FROM t WHERE rank <= 20
 """
 
-ORACLE_SQL: dict[str, str] = {"op4_rotated_codes": OP4_SQL, "op8_quality_rules": OP8_SQL, "op9_warc_salvage": OP9_SQL}
+DRILL_SQL = """
+SELECT 'record' AS kind, count(*) AS rows, CAST(sum(page_id) AS BIGINT) AS page_ids, CAST(0 AS BIGINT) AS damaged_read FROM pages WHERE page_id % 10 <> 3
+"""
+
+OP10_SQL = r"""
+WITH RECURSIVE t AS (
+  SELECT doc_id, row_number() OVER () AS r,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+sh AS (
+  SELECT DISTINCT r, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM t WHERE len(w) > 0)),
+sets AS (SELECT r, count(*) AS n, md5(string_agg(s, chr(10) ORDER BY s)) AS node FROM sh GROUP BY r),
+one AS (SELECT node, min(n) AS n, min(r) AS r FROM sets GROUP BY node),
+ns AS (SELECT node, n, s FROM one JOIN sh ON one.r = sh.r),
+p AS (
+  SELECT a.node AS a, b.node AS b, count(*) AS c, min(a.n) + min(b.n) AS both FROM ns AS a JOIN ns AS b
+  ON a.s = b.s AND a.node < b.node AND 4 * least(a.n, b.n) >= 3 * greatest(a.n, b.n) GROUP BY 1, 2 HAVING 100 * count(*) >= 75 * (min(a.n) + min(b.n) - count(*))),
+e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+reach AS (SELECT node AS a, node AS b FROM one UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a),
+named AS (SELECT reach.a AS node, min(t.doc_id) AS component_id FROM reach JOIN sets ON reach.b = sets.node JOIN t ON sets.r = t.r GROUP BY 1)
+SELECT t.doc_id, CAST(coalesce(sets.n, 0) AS BIGINT) AS n_shingles, CASE WHEN sets.n IS NULL THEN t.doc_id ELSE component_id END AS component_id
+FROM t LEFT JOIN sets ON t.r = sets.r LEFT JOIN named ON sets.node = named.node
+"""
+
+ORACLE_SQL: dict[str, str] = {"op4_rotated_codes": OP4_SQL, "op8_quality_rules": OP8_SQL, "op9_warc_salvage": OP9_SQL, "op10_ngram_jaccard": OP10_SQL, "warc_salvage_drill": DRILL_SQL}
