@@ -2,15 +2,17 @@
 
 A classifier learnt from a bounded sample of a labelled table (``MAX_TRAINING_ROWS`` smallest hashes of the id) gives every
 document posteriors over the domains: boosted trees, one against the rest, over document statistics and the evidence
-of words that are far more frequent in one domain. Nonnegative rates then bring the expected tokens of each domain to their
+of words that are far more frequent in one domain. Words are counted by bucket, domain and fold in Spark; the trees learn from the evidence
+of the other folds, so that a text's own words do not speak for it. Nonnegative rates then bring the expected tokens of each domain to their
 targets: least squares on the domain totals with a small pull towards rate 1, solved by accelerated projected gradient
 steps. A step needs only the domains' misses (one number each), so an iteration is one aggregation and a document's rate
-is the replay of the misses on its own posteriors; nothing but a few numbers per iteration meets the driver.
+is the replay of the misses on its own posteriors; nothing but a few numbers per iteration meets the driver. Iterations end when all
+targets are met or, at the latest, after ``ITERATIONS``; ``remaining_miss`` in each row is the largest miss of a share that is left.
 
 Edge cases: a null text is empty and counts one token (the end of the text); labels with null domain are left out; a
 domain without labels has posterior 0 and its target cannot be met (the others share what is left in proportion);
-with no labels at all every posterior is equal; repeated rows each have their rate; an empty table gives an empty
-result; extra columns are kept, those with the name of a result column are replaced.
+with no labels at all every posterior is equal; repeated rows each have their rate; of repeated ids of labelled texts the one of smallest
+hash is learnt from; an empty table gives an empty result; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -33,6 +35,7 @@ MAX_TRAINING_ROWS = 8_000
 BUCKETS = 1 << 16
 #: Standard errors by which a word's share in a domain must pass its share elsewhere to be evidence.
 EVIDENCE = 6.0
+FOLDS = 4
 PULL = 1e-4
 ITERATIONS = 60
 TOLERANCE = 1e-4
@@ -68,40 +71,62 @@ class DomainModel:
 def fit_domains(docs: DataFrame, labels: DataFrame, domain: Column, domains: tuple[str, ...], id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_TRAINING_ROWS) -> DomainModel:
     """Learns from at most ``max_rows`` rows of ``labels``, whose column ``domain`` names one of ``domains``."""
     named = F.array_position(F.array(*[F.lit(d) for d in domains]), domain).cast("int") - 1
-    known = labels.select(F.col(id_col).alias("_id"), named.alias("_domain")).where("_id is not null and _domain >= 0")
-    sample = known.orderBy(F.xxhash64("_id"), "_id", "_domain").limit(max_rows)
+    known = labels.select(F.col(f"`{id_col}`").alias("_id"), named.alias("_domain")).where("_id is not null and _domain >= 0").distinct()
+    sample = known.orderBy(F.xxhash64("_id"), "_id", "_domain").limit(max_rows).withColumn("_fold", F.pmod(F.xxhash64("_id", F.lit("fold")), F.lit(FOLDS)).cast("int"))
     # At most max_rows pairs of integers, so it may be broadcast whatever the size of the labels.
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(sample), "_id").select("_text", "_domain")
+    texts = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text")).join(F.broadcast(sample), "_id").select("_text", "_domain", "_fold", "_id", F.xxhash64("_text").alias("_hash"))
+    n_domains = len(domains)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here = np.zeros((FOLDS, n_domains, BUCKETS + 1), np.int64)  # the last place counts texts
+        for batch in batches:
+            domain, fold = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            for row, x in slices(batch.column(0)):
+                text, bucket = _buckets(x)
+                np.add.at(here, (fold[row + text], domain[row + text], bucket), 1)
+                np.add.at(here, (fold[row : row + len(x)], domain[row : row + len(x)], BUCKETS), 1)
+        f, d, b = np.nonzero(here)
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (f, d, b, here[f, d, b])], names=["f", "d", "b", "n"])
+
+    counts = np.zeros((FOLDS, n_domains, BUCKETS + 1))
+    # At most folds x domains x buckets rows.
+    for r in texts.mapInArrow(count, "f long, d long, b long, n long").groupBy("f", "d", "b").agg(F.sum("n").alias("n")).collect():
+        counts[r["f"], r["d"], r["b"]] = r["n"]
+    everything = counts.sum(0)
+    if not everything[:, BUCKETS].sum():
+        return DomainModel(domains, np.zeros((BUCKETS, n_domains)))
+    others = [_evidence(everything - counts[f]) for f in range(FOLDS)]
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            fold = batch.column(2).to_numpy()
             for row, x in slices(batch.column(0)):
                 text, bucket = _buckets(x)
-                words = np.split(bucket.astype(np.int32), np.searchsorted(text, np.arange(1, len(x))))
-                yield pa.RecordBatch.from_arrays([pa.array(list(statistics(x))), pa.array(words, pa.list_(pa.int32())), batch.column(1).slice(row, len(x))], names=["x", "words", "y"])
-
-    found = texts.mapInArrow(measure, "x array<double>, words array<int>, y int").limit(2 * max_rows).toArrow()
-    y = found.column("y").to_numpy()
-    words = [np.asarray(w) for w in found.column("words").to_pylist()]
-    rows = np.array(found.column("x").to_pylist(), float).reshape(len(y), len(FEATURES))
-    evidence = np.zeros((BUCKETS, len(domains)))
-    if not len(y):
-        return DomainModel(domains, evidence)
-    here = np.zeros((BUCKETS, len(domains)))
-    for w, d in zip(words, y, strict=True):
-        here[w.astype(np.int64), d] += 1
-    size, total = np.bincount(y, minlength=len(domains)).astype(float), here.sum(1)
-    for k in range(len(domains)):
-        p, q = (here[:, k] + 0.5) / (size[k] + 1), (total - here[:, k] + 0.5) / (len(y) - size[k] + 1)
-        error = np.sqrt(p * (1 - np.minimum(p, 1)) / (size[k] + 1) + q * (1 - np.minimum(q, 1)) / (len(y) - size[k] + 1))
-        evidence[:, k] = np.where(p - q > EVIDENCE * error, np.log(p / q), 0)
-    model = DomainModel(domains, evidence)
-    rows = np.column_stack([rows, np.array([evidence[w.astype(np.int64)].sum(0) for w in words])])
-    order = np.lexsort(rows.T)
-    model.forests = [fit_forest(rows[order], (y[order] == k).astype(float), trees=60) if size[k] else None for k in range(len(domains))]
+                own = np.stack(others)[fold[row + text], bucket]
+                words = [np.bincount(text, own[:, k], len(x)) for k in range(n_domains)]
+                yield pa.RecordBatch.from_arrays([pa.array(list(np.column_stack([statistics(x), *words]))), *(batch.column(c).slice(row, len(x)) for c in (1, 3, 4))], names=["x", "_domain", "_id", "_hash"])
+
+    kind = dict(texts.dtypes)["_id"]
+    one = texts.mapInArrow(measure, f"x array<double>, _domain int, _id {kind}, _hash long").groupBy("_id", "_domain").agg(F.min(F.struct("_hash", "x")).alias("m"))
+    found = one.select("m.x", "_domain").collect()
+    rows, y = np.array([r["x"] for r in found], float), np.array([r["_domain"] for r in found])
+    order = np.lexsort((y, *rows.T))
+    model = DomainModel(domains, _evidence(everything))
+    model.forests = [fit_forest(rows[order], (y[order] == k).astype(float), trees=60) if (y == k).any() else None for k in range(n_domains)]
     return model
 
 
+def _evidence(counts: np.ndarray) -> np.ndarray:
+    """Logarithms by which words speak for a domain (buckets x domains), from texts that hold them (domains x buckets, and all texts last)."""
+    size, here = counts[:, -1], counts[:, :-1].T
+    total, out = here.sum(1), np.zeros((len(counts[0]) - 1, len(size)))
+    for k in range(len(size)):
+        p, q = (here[:, k] + 0.5) / (size[k] + 1), (total - here[:, k] + 0.5) / (size.sum() - size[k] + 1)
+        error = np.sqrt(p * (1 - np.minimum(p, 1)) / (size[k] + 1) + q * (1 - np.minimum(q, 1)) / (size.sum() - size[k] + 1))
+        out[:, k] = np.where(p - q > EVIDENCE * error, np.log(p / q), 0)
+    return out
+
+
 def domain_posteriors(docs: DataFrame, model: DomainModel, text_col: str = "text") -> DataFrame:
     """``docs`` with n_tokens (words and the end) and posteriors (array, in the order of the domains)."""
     docs = docs.drop(*[c for c in docs.columns if c in ("n_tokens", "posteriors")])
@@ -130,16 +155,16 @@ def replay(p: np.ndarray, misses: list[np.ndarray], pull: float = PULL) -> np.nd
     return np.stack([rate, ahead])
 
 
-def solve_rates(members: DataFrame, targets: np.ndarray, iterations: int = ITERATIONS, tolerance: float = TOLERANCE) -> list[np.ndarray]:
-    """The misses of each iteration, from which :func:`replay` gives every document's rate.
+def solve_rates(members: DataFrame, targets: np.ndarray, iterations: int = ITERATIONS, tolerance: float = TOLERANCE) -> tuple[list[np.ndarray], float]:
+    """(the misses of each iteration, from which :func:`replay` gives every document's rate; the largest miss that is left).
 
     ``targets``: shares of all tokens, one for each domain.
     """
     members = members.select("n_tokens", "posteriors")
     misses: list[np.ndarray] = []
     total = float(members.agg(F.sum("n_tokens")).first()[0] or 0)
-    width = len(targets)
-    while total and len(misses) < iterations:
+    width, left = len(targets), float(np.abs(targets).max()) if len(targets) else 0.0
+    while total:
 
         def sums(batches: Iterator[pa.RecordBatch], past=tuple(misses)) -> Iterator[pa.RecordBatch]:
             out = np.zeros((2, width))
@@ -152,10 +177,11 @@ def solve_rates(members: DataFrame, targets: np.ndarray, iterations: int = ITERA
         parts = np.array([r[0] for r in members.mapInArrow(sums, "s array<double>").collect()])
         # Summed in order of size, so that the order in which tasks end does not show.
         now, ahead = np.sort(parts, axis=0).sum(0).reshape(2, width) / total
-        if len(misses) and np.abs(now - targets).max() <= tolerance:
+        left = float(np.abs(now - targets).max())
+        if len(misses) and (left <= tolerance or len(misses) >= iterations):
             break
         misses.append(ahead - targets)
-    return misses
+    return misses, left
 
 
 def with_rates(members: DataFrame, misses: list[np.ndarray], id_col: str = "doc_id") -> DataFrame:
@@ -175,7 +201,7 @@ def with_rates(members: DataFrame, misses: list[np.ndarray], id_col: str = "doc_
 
 
 def mix_to_targets(docs: DataFrame, labels: DataFrame, domain: Column, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text", relative: bool = False, row_col: str | None = None) -> DataFrame:
-    """(id, n_tokens, posteriors, rate, copies) of every row.
+    """(id, n_tokens, posteriors, rate, copies, remaining_miss) of every row.
 
     ``targets``: the domains' shares of all tokens, or with ``relative`` factors of the shares they have now; scaled to sum 1.
     ``row_col``: a key of rows whose ids may be null or repeated; it is returned too and rounds their rates in place of the id.
@@ -191,4 +217,5 @@ def mix_to_targets(docs: DataFrame, labels: DataFrame, domain: Column, targets:
         share = share * np.array([v or 0.0 for v in p])
     if share.sum() > 0:
         share = share / share.sum()
-    return with_rates(members, solve_rates(members, share), row_col or id_col)
+    misses, left = solve_rates(members, share)
+    return with_rates(members, misses, row_col or id_col).withColumn("remaining_miss", F.lit(left))
