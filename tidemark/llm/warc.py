@@ -26,7 +26,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.storage import settle, ship
@@ -60,8 +60,11 @@ def payload_table(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     return rows.join(revisits, ["page_id", "payload_digest"], "left").select("page_id", "url", "payload", "payload_bytes", "payload_digest", "refers_to")
 
 
-def write_warc(payloads: DataFrame, path: str, compression: str = "gzip") -> None:
-    """Writes the rows of :func:`payload_table` as WARC files below ``path``: a gzip member for each record, or plain with ``none``."""
+def write_warc(payloads: DataFrame, path: str, compression: str = "gzip", damaged: Column | None = None) -> None:
+    """Writes the rows of :func:`payload_table` as WARC files below ``path``: a gzip member for each record, or plain with ``none``.
+
+    For salvage drills, a byte in the middle of the member of each ``damaged`` row is turned over.
+    """
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
     revisit = F.col("refers_to").isNotNull()
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\n"), line("Content-Length", F.col("payload_bytes").cast("string")), F.lit("\r\n"))
@@ -79,9 +82,12 @@ def write_warc(payloads: DataFrame, path: str, compression: str = "gzip") -> Non
         F.lit("\r\n"),
         block,
     )
-    records = payloads.select(record.alias("value"))
+    hurt = F.lit(False) if damaged is None else F.coalesce(damaged, F.lit(False))
+    records = payloads.select(record.alias("value"), hurt.alias("hurt"))
     if compression == "none":
-        records.write.options(lineSep=CLOSING, compression="none").text(path)
+        if damaged is not None:
+            raise ValueError("damage is done to gzip members only")
+        records.select("value").write.options(lineSep=CLOSING, compression="none").text(path)
         return
     if compression != "gzip":
         raise ValueError(f"compression must be gzip or none, not {compression}")
@@ -89,8 +95,11 @@ def write_warc(payloads: DataFrame, path: str, compression: str = "gzip") -> Non
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             held, size = [], 0
-            for value in batch.column(0):
+            for value, bad in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
                 held.append(member(value.as_buffer()))
+                if bad:
+                    at = len(held[-1]) // 2
+                    held[-1] = held[-1][:at] + bytes([held[-1][at] ^ 255]) + held[-1][at + 1 :]
                 size += len(held[-1])
                 if size >= 1 << 20:
                     yield pa.RecordBatch.from_arrays([pa.array(held, pa.binary())], names=["value"])
