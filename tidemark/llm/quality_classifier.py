@@ -170,27 +170,29 @@ def fit_forest(rows: np.ndarray, label: np.ndarray, trees: int = 80, depth: int
 
 
 def _free_names(df: DataFrame, *names: str) -> DataFrame:
-    return df.drop(*[c for c in df.columns if c in names])
+    return df.drop(*[c for c in df.columns if c.lower() in names])
 
 
 def fit_quality_classifier(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", label_col: str = "quality", max_rows: int = MAX_TRAINING_ROWS) -> Forest:
     """Learns from at most ``max_rows`` rows of ``labels``: those with the smallest hashes of ``id_col``."""
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
-    sample = known.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label")).orderBy(F.xxhash64("_id"), "_id", "_label").limit(max_rows)
+    sample = known.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label")).distinct().orderBy(F.xxhash64("_id"), "_id", "_label").limit(max_rows)
     # At most max_rows pairs of numbers, so it may be broadcast whatever the size of the labels.
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(sample), "_id").select("_text", "_label")
+    texts = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text")).join(F.broadcast(sample), "_id").select("_text", "_id", "_label", F.xxhash64("_text").alias("_hash"))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, x in slices(batch.column(0)):
-                values = statistics(x)
-                yield pa.RecordBatch.from_arrays([pa.array(list(values)), batch.column(1).slice(row, len(x))], names=["x", "y"])
+                yield pa.RecordBatch.from_arrays([pa.array(list(statistics(x))), *(batch.column(c).slice(row, len(x)) for c in (1, 2, 3))], names=["x", "_id", "_label", "_hash"])
 
-    # Repeated rows of documents could pass the bound; the same order cuts them back to it.
-    found = texts.mapInArrow(measure, "x array<double>, y int").limit(2 * max_rows).collect()
+    # Of rows of one id the one of smallest hash of the text counts, so that at most max_rows come to the driver, always the same.
+    kind = dict(texts.dtypes)["_id"]
+    one = texts.mapInArrow(measure, f"x array<double>, _id {kind}, _label int, _hash long").groupBy("_id", "_label").agg(F.min(F.struct("_hash", "x")).alias("m"))
+    found = one.select("m.x", "_label").collect()
     rows = np.array([r["x"] for r in found], float).reshape(len(found), len(FEATURES))
-    order = np.lexsort(rows.T) if len(rows) else np.zeros(0, np.int64)
-    return fit_forest(rows[order], np.array([r["y"] for r in found], float)[order])
+    label = np.array([r["_label"] for r in found], float)
+    order = np.lexsort((label, *rows.T)) if len(rows) else np.zeros(0, np.int64)
+    return fit_forest(rows[order], label[order])
 
 
 def score_quality(docs: DataFrame, forest: Forest, text_col: str = "text") -> DataFrame:
