@@ -48,3 +48,16 @@ def test_stages_keep_rows_of_null_and_repeated_ids(spark, tmp_path):
     assert {1, 3, 6, 9, 11, 12, 13, 14} < set(kept) and len({4, 5} & set(kept)) == len({7, 8} & set(kept)) == 1
     mixed = P.source_mixing(spark, docs, f"file://{tmp_path}")
     assert mixed.columns == docs.columns and sorted(r.copies for r in mixed.collect()) == list(range(1, 15))
+
+
+def test_columns_come_out_as_they_went_in(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(40)
+    names = ["score", "predicted", "kept", "n_words", "copies", "_copy", "_words", "_row", "rate", "component_id", "KEPT_", "base_failed", "_input_1"]
+    wide = docs.select("doc_id", "text", *[F.concat(F.lit(f"{c}:"), F.col("doc_id").cast("string")).alias(c) for c in names]).union(docs.limit(1).select(F.lit(None), F.lit(None), *[F.lit(f"{c}:None") for c in names]))
+    for name, stage in P.STAGES[:-1]:
+        out = stage(spark, wide, SF)
+        assert out.columns == wide.columns, name
+        for r in out.collect():
+            assert [r[c] for c in names] == [f"{c}:{r.doc_id}" for c in names], name
+        assert stage(spark, wide.limit(0), SF).count() == 0
+    assert P.STAGES[-1][1](spark, wide.limit(0), SF).count() == 0
