@@ -3,11 +3,13 @@
 Helpers for Arrow-batched operators: a batch of texts stays one UTF-8 buffer with offsets, and word
 boundaries, lower-casing (A-Z only) and 64-bit word hashes are computed for the whole buffer at once. Texts are
 taken in slices of about ``SLICE_BYTES`` (a longer text is a slice of its own), so memory follows the slice and the
-longest text, not the batch.
+longest text, not the batch (a text's words take some ten times its bytes while it is worked on).
 """
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 from hashlib import blake2b
 
@@ -37,6 +39,13 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def give_back() -> None:
+    """Returns freed memory of this worker to the system: allocators keep what arrays of some MB leave behind."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and BASE**-i modulo 2**64 for i < n."""
     if len(_powers[0]) < n:
@@ -73,15 +82,21 @@ class Texts:
 
     def hashes(self, lower: bool = True) -> np.ndarray:
         """A 64-bit hash of each word's bytes, A-Z lower-cased if asked."""
-        if not len(self.starts):
-            return np.zeros(0, np.uint64)
-        power, inverse = _power_tables(len(self.data))
-        running = np.zeros(len(self.data) + 1, np.uint64)
-        terms = (_LOWER[self.data] if lower else self.data).astype(np.uint64)
-        terms += np.uint64(1)
-        terms *= power
-        np.cumsum(terms, out=running[1:])
-        h = (running[self.ends] - running[self.starts]) * inverse[self.starts]
+        h, at = np.empty(len(self.starts), np.uint64), 0
+        while at < len(h):
+            # Words of about a slice at a time, so that tables and sums stay small within a very long text too.
+            low = int(self.starts[at])
+            end = max(at + 1, int(np.searchsorted(self.ends, low + SLICE_BYTES, "right")))
+            high = min(int(self.ends[end - 1]), low + SLICE_BYTES)
+            power, inverse = _power_tables(high - low)
+            running = np.zeros(high - low + 1, np.uint64)
+            terms = (_LOWER[self.data[low:high]] if lower else self.data[low:high]).astype(np.uint64)
+            terms += np.uint64(1)
+            terms *= power
+            np.cumsum(terms, out=running[1:])
+            starts, ends = self.starts[at:end] - low, np.minimum(self.ends[at:end], high) - low
+            h[at:end] = (running[ends] - running[starts]) * inverse[starts]
+            at = end
         size = self.ends - self.starts
         for i in np.flatnonzero(size > LONG).tolist():
             word = self.data[self.starts[i] : self.ends[i]]
