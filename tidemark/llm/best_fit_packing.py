@@ -21,6 +21,8 @@ gives an empty result; other columns are not read.
 from __future__ import annotations
 
 import json
+import threading
+import time
 import zlib
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
@@ -34,13 +36,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.llm.storage import settle, ship
-from tidemark.llm.textbatch import Texts, slices
+from tidemark.llm.textbatch import Texts, give_back, slices
 
 CAPACITY = 2048
 CLOSING_ID = 0
 TOKENIZER = "word_bpe_49k.json"
 #: Bytes of remembered pieces in a worker; the pieces met longest ago are let go beyond it.
 REMEMBERED_BYTES = 64 << 20
+IDLE = 15.0
 #: Bytes of text that are encoded at a time.
 SLICE = 2 << 20
 #: A length of more pieces than this is ranked in salted groups of about so many.
@@ -161,6 +164,7 @@ class Encoder:
 
 
 _encoders: dict[str, Encoder] = {}
+_last_use = 0.0
 
 
 def _encoder(path: str) -> Encoder:
@@ -169,12 +173,28 @@ def _encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
+def _forget_when_idle() -> None:
+    """Gives a worker's memory back when no task has encoded for ``IDLE`` seconds; a task at work has its encoder in hand."""
+    global _last_use
+    _last_use = time.monotonic()
+    timer = threading.Timer(IDLE, lambda: _encoders.clear() if time.monotonic() - _last_use >= IDLE else None)
+    timer.daemon = True
+    timer.start()
+
+
 def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, tokenizer: str | None = None) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of every piece of every document."""
     path = tokenizer or default_tokenizer()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(path)
+        try:
+            yield from pieces(encoder, batches)
+        finally:
+            _forget_when_idle()
+            give_back()
+
+    def pieces(encoder: Encoder, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, x in slices(batch.column(1), SLICE):
                 ids, bounds = encoder.encode(x)

@@ -33,7 +33,7 @@ from pyspark.sql.window import Window
 
 from tidemark.llm.components import connected_components
 from tidemark.llm.storage import discard, settle, ship
-from tidemark.llm.textbatch import Texts, mix, slices
+from tidemark.llm.textbatch import Texts, give_back, mix, slices
 
 WIDTH = 5
 #: Most frequent shingles that are ordered last, at most so many (2 MB).
@@ -164,6 +164,7 @@ def _survey(docs: DataFrame, note: list[str]) -> DataFrame:
                     yield out
         if out := frequent():
             yield out
+        give_back()
 
     names = ["doc_id", "key", "n", "node", "sketch", "bits", "shingle", "texts"]
     return settle(docs.select("_id", "_key", "_text").mapInArrow(run, "doc_id long, key long, n long, node long, sketch array<long>, bits binary, shingle long, texts long"), "survey", note)
