@@ -11,11 +11,14 @@ from tidemark.llm.ann_codes import nearest
 from tidemark.llm.best_fit_packing import pack_documents
 from tidemark.llm.chat_format import CONVERSATION_TOOLS, conversation_calls, link_tool_calls
 from tidemark.llm.html_text import extract_text
+from tidemark.llm.importance import resample
 from tidemark.llm.jaccard_join import ngram_jaccard_components
 from tidemark.llm.mixing import mix_to_targets
 from tidemark.llm.pitman_yor import score_texts
 from tidemark.llm.quality_classifier import fit_quality_classifier, score_quality
 from tidemark.llm.quality_rules import STOP_WORDS, apply_quality_rules
+from tidemark.llm.ranked_search import ranked_documents
+from tidemark.llm.segment_search import top_k
 from tidemark.llm.storage import new_path, ship
 from tidemark.llm.warc import payload_table, read_warc, write_warc
 
@@ -91,6 +94,19 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_components(_table(spark, sf_dir, "documents"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_segment_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 OP8_SQL = rf"""
 WITH words AS (
   SELECT doc_id, coalesce(text, '') AS text,
@@ -136,6 +152,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_warc_salvage": op9_warc_salvage,
     "op10_ngram_jaccard": op10_ngram_jaccard,
+    "op11_importance_resampling": op11_importance_resampling,
+    "op12_segment_search": op12_segment_search,
+    "op13_ranked_search": op13_ranked_search,
     "warc_salvage_drill": warc_salvage_drill,
 }
 
@@ -188,4 +207,70 @@ SELECT t.doc_id, CAST(coalesce(sets.n, 0) AS BIGINT) AS n_shingles, CASE WHEN se
 FROM t LEFT JOIN sets ON t.r = sets.r LEFT JOIN named ON sets.node = named.node
 """
 
-ORACLE_SQL: dict[str, str] = {"op4_rotated_codes": OP4_SQL, "op8_quality_rules": OP8_SQL, "op9_warc_salvage": OP9_SQL, "op10_ngram_jaccard": OP10_SQL, "warc_salvage_drill": DRILL_SQL}
+_LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+#: CRC-32 byte by byte: all features take their first byte, then their second, and so on.
+OP11_SQL = rf"""
+WITH RECURSIVE
+tab AS (
+  SELECT n, list_reduce(list_prepend(CAST(n AS BIGINT), range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS v
+  FROM range(256) AS r(n)),
+texts AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+  UNION ALL
+  SELECT -row_number() OVER (), NULL, regexp_extract_all({_LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark),
+features AS (
+  SELECT r, unnest(w) AS f FROM texts
+  UNION ALL
+  SELECT r, w[i] || ' ' || w[i + 1] FROM (SELECT r, w, unnest(range(1, len(w))) AS i FROM texts WHERE len(w) > 1)),
+bytes AS (SELECT f, hex(encode(f)) AS x, octet_length(encode(f)) AS n FROM (SELECT DISTINCT f FROM features)),
+crc AS (
+  SELECT f, x, n, 0 AS j, CAST(4294967295 AS BIGINT) AS c FROM bytes
+  UNION ALL
+  SELECT f, x, crc.n, j + 1, xor(tab.v, c >> 8) FROM crc
+  JOIN tab ON tab.n = xor(c, CAST('0x' || substr(x, 2 * j + 1, 2) AS BIGINT)) & 255 WHERE j < crc.n),
+bucket AS (SELECT f, xor(c, 4294967295) % 10000 AS b FROM crc WHERE j = n),
+placed AS (SELECT r, b FROM features JOIN bucket USING (f)),
+counts AS (SELECT b, count(*) FILTER (r > 0) AS s, count(*) FILTER (r < 0) AS t FROM placed GROUP BY b),
+gains AS (SELECT b, CAST(floor(1000 * ln((t + 1.0::DOUBLE) * (sum(s) OVER () + 10000) / ((s + 1.0::DOUBLE) * (sum(t) OVER () + 10000)))) AS BIGINT) AS g FROM counts),
+means AS (SELECT r, CAST(count(*) AS BIGINT) AS n, CAST(floor(sum(g) / count(*)) AS BIGINT) AS weight FROM placed JOIN gains USING (b) WHERE r > 0 GROUP BY r),
+scored AS (
+  SELECT texts.r, doc_id, len(w) >= 20 AS fit, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight,
+         CAST('0x' || substr(sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS h
+  FROM texts LEFT JOIN means ON texts.r = means.r WHERE texts.r > 0),
+noisy AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score FROM scored),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY fit ORDER BY score DESC, doc_id NULLS LAST, r) AS place, count(*) OVER (PARTITION BY fit) AS among FROM noisy)
+SELECT doc_id, n_features, weight, score, CASE WHEN fit AND place <= 25 * among // 100 THEN place END AS rank FROM ranked
+"""
+
+OP12_SQL = """
+WITH v AS (
+  SELECT vec_id, row_number() OVER () AS r, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (
+  SELECT q.r AS q, q.vec_id AS query_id, c.vec_id AS vec_id, c.r AS r, CAST(list_dot_product(CAST(q.e AS DOUBLE[]), CAST(c.e AS DOUBLE[])) AS BIGINT) AS score
+  FROM v AS q JOIN v AS c ON q.vec_id % 50 = 0 AND q.r <> c.r AND len(q.e) = len(c.e)),
+t AS (SELECT *, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, vec_id, r) AS INTEGER) AS rank FROM p)
+SELECT query_id, rank, vec_id, score FROM t WHERE rank <= 5
+"""
+
+OP13_SQL = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWERED}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+totals AS (SELECT CAST(count(*) AS BIGINT) AS N, CAST(sum(len(w)) AS BIGINT) AS L FROM d WHERE len(w) > 0),
+items AS (
+  SELECT DISTINCT i, item_id, unnest(w) AS term
+  FROM (SELECT row_number() OVER () AS i, item_id, regexp_extract_all({_LOWERED}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM benchmark)),
+tf AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM items) GROUP BY r, term),
+weights AS (SELECT term, CAST(floor(1000 * ln((2 * N + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS weight FROM tf, totals GROUP BY term, N),
+impacts AS (
+  SELECT tf.r, d.doc_id, tf.term, weight * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * len(w) * N) // L))) AS impact
+  FROM tf JOIN d ON tf.r = d.r JOIN weights ON tf.term = weights.term, totals),
+scores AS (
+  SELECT i, item_id, r, doc_id, CAST(sum(impact) AS BIGINT) AS score FROM items JOIN impacts ON items.term = impacts.term GROUP BY i, item_id, r, doc_id HAVING sum(impact) > 0),
+t AS (SELECT *, CAST(row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST, r) AS INTEGER) AS rank FROM scores)
+SELECT item_id, rank, doc_id, score FROM t WHERE rank <= 50
+"""
+
+ORACLE_SQL: dict[str, str] = {"op4_rotated_codes": OP4_SQL, "op8_quality_rules": OP8_SQL, "op9_warc_salvage": OP9_SQL, "op10_ngram_jaccard": OP10_SQL, "op11_importance_resampling": OP11_SQL, "op12_segment_search": OP12_SQL, "op13_ranked_search": OP13_SQL, "warc_salvage_drill": DRILL_SQL}

@@ -59,9 +59,12 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
 class Texts:
     """A run of texts: UTF-8 bytes, text offsets, word bounds and the words of each text."""
 
+    #: Which bytes stand between words.
+    GAP = _SPACE
+
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
         self.data, self.offsets = data, offsets
-        solid = ~_SPACE[data] if len(data) else np.zeros(0, bool)
+        solid = ~self.GAP[data] if len(data) else np.zeros(0, bool)
         before, after = np.empty_like(solid), np.empty_like(solid)
         if len(solid):
             before[0], before[1:] = False, solid[:-1]
@@ -104,7 +107,13 @@ class Texts:
         return mix(h ^ size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
-def slices(column: pa.Array | pa.ChunkedArray, size: int = SLICE_BYTES) -> Iterator[tuple[int, Texts]]:
+class Terms(Texts):
+    """Texts whose words are runs of digits, letters and all that is not ASCII."""
+
+    GAP = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
+
+
+def slices(column: pa.Array | pa.ChunkedArray, size: int = SLICE_BYTES, made: type[Texts] = Texts) -> Iterator[tuple[int, Texts]]:
     """(first row, texts) of consecutive runs of rows; a null text counts as empty."""
     chunks = column.chunks if isinstance(column, pa.ChunkedArray) else [column]
     row = 0
@@ -122,6 +131,6 @@ def slices(column: pa.Array | pa.ChunkedArray, size: int = SLICE_BYTES) -> Itera
         while at < n:
             end = int(np.searchsorted(offsets, offsets[at] + size, "right")) - 1
             end = min(n, max(end, at + 1))
-            yield row + at, Texts(data[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at])
+            yield row + at, made(data[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at])
             at = end
         row += n
