@@ -102,3 +102,61 @@ def test_hurdles_learn_from_earlier_years_only(spark):
     # Nobody ever paid, and no history at all: constants.
     assert {x[3] for x in pick(samples.withColumn("actual_cash_dividend", F.lit(0.0)))} == {0.0}
     assert {x[3] for x in pick(samples.where("target_year = 2000"))} == {0.0}
+
+
+def test_sets_by_content_id(spark, tmp_path):
+    from tidemark.sources import artifacts as A
+
+    rows = spark.createDataFrame([(1, "a", None), (2, None, 2.0), (2, None, 2.0)], "id long, name string, x double")
+    shuffled = rows.orderBy(F.desc("id")).repartition(3).select("x", "id", "name")
+    assert A.rows_id(rows) == A.rows_id(shuffled)
+    others = [rows.distinct(), rows.withColumn("x", F.col("x").cast("float")), rows.withColumnRenamed("x", "y"), spark.createDataFrame([(1, None, None), (2, "a", 2.0), (2, None, 2.0)], rows.schema), rows.where("id > 9")]
+    assert len({A.rows_id(x) for x in [rows, *others]}) == 6
+
+    built, root = [], f"file://{tmp_path}/sets"
+    inputs = {"rows": rows}
+
+    def get(**parameters):
+        def build():
+            built.append(parameters)
+            return {"kept": rows.where(F.col("id") >= parameters["least"]), "counts": rows.groupBy("id").count()}
+
+        return A.load_or_build_set(spark, root, inputs, parameters, build)
+
+    assert get(least=2)["kept"].count() == 2 and get(least=2)["counts"].count() == 2 and len(built) == 1
+    assert get(least=1)["kept"].count() == 3 and len(built) == 2  # other parameters, other tables
+    inputs = {"rows": shuffled}
+    assert get(least=1)["kept"].count() == 3 and len(built) == 2  # other order, same tables
+    inputs = {"rows": rows.where("id = 2")}
+    assert get(least=1)["kept"].count() == 3 and len(built) == 3  # other rows
+
+
+def test_half_written_set_is_rebuilt(spark, tmp_path):
+    from tidemark.sources import artifacts as A
+
+    rows, root = spark.range(5).toDF("id"), f"file://{tmp_path}/sets"
+
+    def dies():
+        rows.write.parquet(f"{root}/.draft-{A.content_id({'r': rows}, {})}-x/kept")
+        raise RuntimeError("lost")
+
+    with pytest.raises(RuntimeError):
+        A.load_or_build_set(spark, root, {"r": rows}, {}, dies)
+    fails_late = lambda: {"kept": rows, "bad": rows.select(F.raise_error(F.lit("late")).alias("e"))}
+    with pytest.raises(Exception, match="late"):
+        A.load_or_build_set(spark, root, {"r": rows}, {}, fails_late)
+    assert not A.published(spark, root, A.content_id({"r": rows}, {}))
+    assert A.load_or_build_set(spark, root, {"r": rows}, {}, lambda: {"kept": rows})["kept"].count() == 5
+    assert A.drop_drafts(spark, root) == 2 and A.load_or_build_set(spark, root, {"r": rows}, {}, dies)["kept"].count() == 5
+
+
+def test_late_writer_takes_the_published_set(spark, tmp_path):
+    from tidemark.sources import artifacts as A
+
+    rows, root = spark.range(5).toDF("id"), f"file://{tmp_path}/sets"
+
+    def slow():
+        A.load_or_build_set(spark, root, {"r": rows}, {}, lambda: {"kept": rows})
+        return {"kept": rows}
+
+    assert A.load_or_build_set(spark, root, {"r": rows}, {}, slow)["kept"].count() == 5 and A.drop_drafts(spark, root) == 0

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +12,8 @@ from tidemark.operators import forecast as FC
 from tidemark.plans import sql as S
 from tidemark.plans.common import neat, predictions
 from tidemark.sources.adapters import monthly_revenue, quarterly_eps, table
-from tidemark.streaming.month_to_date import daily_totals
+from tidemark.sources.artifacts import shared_dir
+from tidemark.streaming.month_to_date import daily_totals, run_month_to_date
 from tidemark.streaming.month_to_date import month_to_date as mtd
 
 _FEATURES = ["stock_id", "revenue_year", "revenue_month", "revenue", "calendar_segment", "consecutive_months", "mom", "last_year_revenue", "yoy", "last_3m_revenue", "last_3m_revenue_yoy", "last_12m_revenue", "last_12m_revenue_yoy", "acc_revenue", "acc_revenue_yoy"]
@@ -161,15 +164,25 @@ FROM d"""
 
 
 def month_to_date(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STR-01 as a batch: the same operator runs on a stream of event files."""
+    """STR-01 as a batch."""
     return neat(mtd(daily_totals(table(spark, sf_dir, "events"))), 4)
 
 
+def month_to_date_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STR-01 as a stream over the event files (a pattern, so that one file is a source too): the days that the watermark has closed."""
+    at = f"{shared_dir(spark)}/tidemark-month-to-date-{uuid.uuid4().hex}"
+    return neat(run_month_to_date(spark, f"{sf_dir}/event[s].parquet", "event_id long, ts timestamp, user_id long, value double", f"{at}/days", f"{at}/mark"), 4)
+
+
 MTD_SQL = """WITH d AS (SELECT user_id AS stock_id, CAST(ts AS DATE) AS day, CAST(sum(CAST(value AS DECIMAL(18,4))) AS DOUBLE) AS revenue, count(*) AS events FROM (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY ts) = 1) GROUP BY 1, 2)
 SELECT stock_id, day, round(revenue, 4) AS revenue, events, round(sum(revenue) OVER (PARTITION BY stock_id, date_trunc('month', day) ORDER BY day ROWS UNBOUNDED PRECEDING), 4) AS month_to_date FROM d"""
 
+#: All files come in one batch, so nothing is late; days are closed up to two days before the newest event.
+MTD_STREAM_SQL = f"SELECT * FROM ({MTD_SQL}) WHERE day + INTERVAL 1 DAY <= (SELECT date_trunc('milliseconds', max(ts)) FROM events) - INTERVAL 2 DAY"
+
 QUERIES = {
     "month_to_date": month_to_date,
+    "month_to_date_stream": month_to_date_stream,
     "revenue_features": revenue_features,
     "revenue_features_gappy": revenue_features_gappy,
     "model_features": model_features,
@@ -182,6 +195,7 @@ QUERIES = {
 }
 ORACLE_SQL = {
     "month_to_date": MTD_SQL,
+    "month_to_date_stream": MTD_STREAM_SQL,
     "revenue_features": _features_sql("l_suppkey"),
     "revenue_features_gappy": _features_sql("l_partkey"),
     "model_features": MODEL_SQL,
