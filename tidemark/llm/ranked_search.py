@@ -31,12 +31,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.llm.storage import discard, settle, ship
-from tidemark.llm.textbatch import Terms, slices
+from tidemark.llm.textbatch import Terms, give_back, slices
 
 #: Terms of the items of a block on average, and at most (an item of more terms has a block of its own, and is refused beyond).
 BLOCK_TERMS, MAX_TERMS = 1 << 19, 1 << 22
 #: Entries of a run of records.
-RUN_ENTRIES = 1 << 21
+RUN_ENTRIES = 1 << 19
 _LAST = (1 << 63) - 1
 
 
@@ -66,6 +66,7 @@ def _counted(vocabulary):
                 lists = [pa.ListArray.from_arrays(held, x.astype(np.int32)) for x in (entry % max(len(known), 1), count)]
                 part = pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(texts)), pa.array(n), *lists], names=["doc_id", "n", "terms", "counts"])
                 yield part.filter(pa.array(n > 0))
+        give_back()
 
     return run
 
@@ -76,9 +77,10 @@ class _Run:
     def __init__(self, ids: np.ndarray, m: np.ndarray, held: np.ndarray, terms: np.ndarray, counts: np.ndarray, weights: np.ndarray):
         self.ids = ids
         doc = np.repeat(np.arange(len(ids)), held)
-        impact = weights[terms] * (1_000_000_000 * counts // (1000 * counts + 20 * m[doc]))
-        order = np.lexsort((doc, -impact, terms))
-        self.doc, self.fall = doc[order], -impact[order]
+        counts = counts.astype(np.int64)
+        fall = -weights[terms] * (1_000_000_000 * counts // (1000 * counts + 20 * m[doc]))
+        order = np.lexsort((doc, fall, terms))
+        self.doc, self.fall = doc[order], fall[order]
         self.starts = np.searchsorted(terms[order], np.arange(len(weights) + 1))
 
     def search(self, terms: np.ndarray, k: int, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -137,13 +139,15 @@ def _searched(block, k: int):
         parts, entries = [], 0
         for batch in batches:
             held = np.diff(batch.column(2).offsets.to_numpy()).astype(np.int64)
-            parts.append([batch.column(0).to_numpy(), batch.column(1).to_numpy(), held, *(batch.column(c).flatten().to_numpy().astype(np.int64) for c in (2, 3))])
+            parts.append([batch.column(0).to_numpy(), batch.column(1).to_numpy(), held, *(batch.column(c).flatten().to_numpy() for c in (2, 3))])
             entries += len(parts[-1][3])
             if entries >= RUN_ENTRIES:
                 search(parts)
                 parts, entries = [], 0
         if parts:
             search(parts)
+        del parts
+        give_back()
         for i, (scores, ids) in enumerate(best):
             if len(ids):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), names[i])), pa.array(ids), pa.array(scores)], names=["item", "doc", "score"])
