@@ -188,3 +188,63 @@ def test_entry_and_catalog():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries()) and "flagship_industry_accuracy" in e.queries()
+
+
+def _plain_states(values, alpha, config):
+    """The formula's forecasts by a plain loop."""
+    state, want = 0.0, []
+    for t, v in enumerate(values):
+        if t < 15:
+            want.append(None)
+            continue
+        h = values[:t]
+        growth = sorted(math.log1p(h[t - k]) - math.log1p(h[t - k - 12]) for k in (1, 2, 3))[1]
+        growth = max(min(growth, config.growth_log_cap), -config.growth_log_cap)
+        seasonal = max(math.expm1(math.log1p(h[t - 12]) + growth), 0.0)
+        base = max(math.expm1(config.seasonal_weight * math.log1p(seasonal) + (1 - config.seasonal_weight) * math.log1p(h[t - 1])), 0.0)
+        corr = max(min(config.residual_strength * state, config.correction_log_cap), -config.correction_log_cap)
+        want.append(max(math.expm1(math.log1p(base) + corr), 0.0))
+        state = (1 - alpha) * state + alpha * (math.log1p(v) - math.log1p(base))
+    return want
+
+
+@pytest.mark.parametrize("alpha", [0.0, 0.05, 0.5, 0.9, 1.0])
+def test_formula_over_long_histories(spark, alpha):
+    values = [v * (1.3 if t % 7 == 3 else 1.0) for t, v in enumerate(wave(480))]
+    config = FC.FormulaConfig(residual_alpha=alpha)
+    rows = FC.formula_forecast(panel(spark, values, start=1900 * 12), config).orderBy("month_index").collect()
+    want = _plain_states(values, alpha, config)
+    assert all(r.formula_adjusted_revenue == pytest.approx(x, rel=1e-9) for r, x in zip(rows, want, strict=True) if x is not None)
+
+
+def test_formula_refuses_odd_alphas(spark):
+    for alpha in (-0.1, 1.1):
+        with pytest.raises(ValueError, match="residual_alpha"):
+            FC.formula_forecast(panel(spark, wave()), FC.FormulaConfig(residual_alpha=alpha))
+
+
+CONFIGS = [(0, 0.75, 0.2, 0.5, math.log(2.0), 0.5), (1, 1.0, 0.2, 0.0, math.log(2.0), 0.5), (2, 0.0, 0.2, 0.0, math.log(2.0), 0.5)]
+CONFIG_COLUMNS = "config_id int, seasonal_weight double, residual_alpha double, residual_strength double, growth_log_cap double, correction_log_cap double"
+
+
+def test_settings_tuned_for_each_entity(spark):
+    """A seasonal entity takes the seasonal setting, a random walk the last value; the target year has no say."""
+    import random
+
+    draw, walk = random.Random(4), [1000.0]
+    for _ in range(59):
+        walk.append(walk[-1] * draw.uniform(0.7, 1.4))
+    season = [1000.0 + 900 * math.sin(2 * math.pi * t / 12) for t in range(60)]
+    both = panel(spark, season).unionByName(panel(spark, walk, stock=2)).unionByName(panel(spark, wave(20), start=2022 * 12 + 4, stock=3))
+    configs = spark.createDataFrame(CONFIGS, CONFIG_COLUMNS)
+    tuned = FC.tuned_formula(both, configs, 2022, 2023)
+    chosen = {r.stock_id: r.config_id for r in tuned.select("stock_id", "config_id").distinct().collect()}
+    assert chosen[1] == 1 and chosen[2] == 2 and chosen[3] in (0, 1, 2)
+    each = {(r.config_id, r.stock_id, r.target_month): r.formula_adjusted_revenue for r in FC.formula_forecast(both, configs=configs).where("target_year = 2023").collect()}
+    assert all(r.predicted_revenue == each[r.config_id, r.stock_id, r.target_month] and r.untuned_revenue == each[0, r.stock_id, r.target_month] for r in tuned.collect())
+    changed = both.withColumn("revenue", F.when(F.col("revenue_year") == 2023, F.col("revenue") * 50).otherwise(F.col("revenue")))
+    assert {r.stock_id: r.config_id for r in FC.tuned_formula(changed, configs, 2022, 2023).collect()} == chosen
+    late = FC.tuned_formula(panel(spark, wave(14), start=2023 * 12 - 2), configs, 2021, 2023).collect()
+    assert len(late) == 12 and all(r.config_id is None and r.predicted_revenue == r.untuned_revenue for r in late)
+    with pytest.raises(ValueError, match="validation year"):
+        FC.tuned_formula(both, configs, 2023, 2023)

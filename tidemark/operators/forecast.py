@@ -33,26 +33,39 @@ def _clip(c: Column, cap: Column) -> Column:
     return F.when(c.isNotNull(), F.greatest(F.least(c, cap), -cap))
 
 
-def formula_forecast(panel: DataFrame, config: FormulaConfig = FormulaConfig(), configs: DataFrame | None = None) -> DataFrame:
-    """FC-08: one-step forecasts of every month by the revenue formula, with fallbacks by length of history.
+FORMULA_PARAMETERS = ("seasonal_weight", "residual_alpha", "residual_strength", "growth_log_cap", "correction_log_cap")
 
-    The seasonal anchor grows by the (capped) median log growth on last year of the last three months and is blended with the last
-    level in logs; an exponentially weighted mean of past residuals (WIN-19) corrects the result. With ``configs``
-    (config_id, seasonal_weight, residual_alpha, residual_strength, growth_log_cap, correction_log_cap: a small grid of parameters) every
-    configuration is forecast in the same plan (EVL-06).
+
+def _residual_state(residual: Column, alpha: float, w: Window) -> Column:
+    """WIN-19: sum of alpha (1 - alpha)^age times the residuals of the months before, by place in the segment (``history_months``).
+
+    A running sum of residuals scaled up by their place and scaled down again, as far as doubles hold the scale; later places fold the last
+    residuals that still count in a double. Short segments collect nothing for that.
     """
+    if not 0 <= alpha <= 1:
+        raise ValueError(f"residual_alpha must lie between 0 and 1, not {alpha}")
+    place, keep = F.col("history_months"), 1 - alpha
+    # Places up to which the scale stays below 10^250, and residuals that are more than 10^-18 of their value.
+    scaled_to = math.floor(250 / -math.log10(keep)) if 0 < keep < 1 else (0 if keep == 0 else 1 << 30)
+    last = math.ceil(18 / -math.log10(keep)) if 0 < keep < 1 else 1
+    past = w.rowsBetween(Window.unboundedPreceding, -1)
+    state = F.lit(0.0)
+    if scaled_to:
+        running = F.sum(F.when(place <= scaled_to, residual * F.pow(F.lit(keep), -place))).over(past)
+        state = alpha * F.pow(F.lit(keep), place - 1) * F.coalesce(running, F.lit(0.0))
+    if keep < 1:
+        late = F.collect_list(F.when(place >= scaled_to - last, F.coalesce(residual, F.lit(0.0)))).over(w.rowsBetween(-last, -1))
+        state = F.when(place <= scaled_to, state).otherwise(F.aggregate(late, F.lit(0.0), lambda s, r: s * keep + alpha * r))
+    return state
+
+
+def _formula_settings(panel: DataFrame, grid: list[dict], min_history: int) -> DataFrame:
+    """The months of the panel with ``_e``, an array with an entry for each setting of the formula: its parameters, parts and state."""
     rows = baselines(panel)
     w = by_segment()
     growth = [F.log1p(F.lag(VALUE, k).over(w)) - F.log1p(F.lag(VALUE, k + 12).over(w)) for k in (1, 2, 3)]
     rows = rows.withColumn("_median_growth", growth[0] + growth[1] + growth[2] - F.greatest(*growth) - F.least(*growth))
-    names = ("seasonal_weight", "residual_alpha", "residual_strength", "growth_log_cap", "correction_log_cap")
-    grid = [{c: float(getattr(config, c)) for c in names}]
-    if configs is not None:
-        # Every setting is a few columns of each row, so all share the segment's windows; more settings than columns can be is an error.
-        grid = [r.asDict() for r in configs.select("config_id", *names).orderBy("config_id").limit(MOST_CONFIGS + 1).collect()]
-        if len(grid) > MOST_CONFIGS:
-            raise ValueError(f"more than {MOST_CONFIGS} configurations in one sweep")
-    known = F.col("history_months") >= config.min_history
+    known = F.col("history_months") >= min_history
 
     def by(g: dict) -> Column:
         growth_log = F.when(known, _clip(F.col("_median_growth"), F.lit(float(g["growth_log_cap"]))))
@@ -61,27 +74,81 @@ def formula_forecast(panel: DataFrame, config: FormulaConfig = FormulaConfig(),
         return F.struct(growth_log.alias("growth_log"), seasonal.alias("seasonal_growth_forecast"), F.when(known, F.greatest(base, F.lit(0.0))).alias("_base"))
 
     rows = rows.withColumn("_g", F.array(*[by(g) for g in grid]))
-    # The state before a month is the sum of alpha (1 - alpha)^age times the residuals of the months before: a running sum of residuals
-    # scaled up by their place in the segment, scaled down again (in doubles for segments of up to some 1,900 months at alpha 0.3).
-    past = w.rowsBetween(Window.unboundedPreceding, -1)
-    scaled = lambda k, g: F.when(known, F.log1p(VALUE) - F.log1p(F.col("_g")[k]["_base"])) * F.pow(F.lit(1 - g["residual_alpha"]), -F.col("history_months"))
-    rows = rows.withColumn("_s", F.array(*[F.sum(scaled(k, g)).over(past) for k, g in enumerate(grid)]))
-    state = lambda k, g: F.when(known, g["residual_alpha"] * F.pow(F.lit(1 - g["residual_alpha"]), F.col("history_months") - 1) * F.coalesce(F.col("_s")[k], F.lit(0.0)))
+    residual = lambda k: F.when(known, F.log1p(VALUE) - F.log1p(F.col("_g")[k]["_base"]))
+    # Settings of one alpha and base would share sums; the optimiser sees equal windows once.
+    rows = rows.withColumn("_s", F.array(*[F.when(known, _residual_state(residual(k), float(g["residual_alpha"]), w)) for k, g in enumerate(grid)]))
     settings = lambda g: [F.lit(g[c] if c == "config_id" else float(g[c])).alias(c) for c in g]
-    each = F.array(*[F.struct(*settings(g), *[F.col("_g")[k][c].alias(c) for c in ("growth_log", "seasonal_growth_forecast", "_base")], state(k, g).alias("residual_state")) for k, g in enumerate(grid)])
-    rows = rows.withColumn("_e", F.explode(each)).select("*", "_e.*").drop("_e", "_g", "_s")
-    correction = _clip(F.col("residual_strength") * F.col("residual_state"), F.col("correction_log_cap"))
-    rows = rows.withColumn("applied_correction_log", F.when(known, correction).when(F.col("history_months") > 0, F.lit(0.0)))
-    plain = F.when(F.col("history_months") >= 12, F.col("seasonal_naive_revenue")).when(F.col("history_months") > 0, F.col("last_observed_revenue"))
+    each = F.array(*[F.struct(*settings(g), *[F.col("_g")[k][c].alias(c) for c in ("growth_log", "seasonal_growth_forecast", "_base")], F.col("_s")[k].alias("residual_state")) for k, g in enumerate(grid)])
+    return rows.withColumn("_e", each).drop("_g", "_s", "_median_growth")
+
+
+def _fallback_revenue() -> Column:
+    return F.when(F.col("history_months") >= 12, F.col("seasonal_naive_revenue")).when(F.col("history_months") > 0, F.col("last_observed_revenue"))
+
+
+def _correction(part) -> Column:
+    return _clip(part("residual_strength") * part("residual_state"), part("correction_log_cap"))
+
+
+def _adjusted(part, min_history: int) -> Column:
+    """The formula's forecast from the parts of one setting (``part`` gives one by its name)."""
+    corrected = F.greatest(F.expm1(F.log1p(part("_base")) + _correction(part)), F.lit(0.0))
+    return F.when(F.col("history_months") >= min_history, corrected).otherwise(_fallback_revenue())
+
+
+def _grid_of(configs: DataFrame) -> list[dict]:
+    """Every setting is a few columns of each row, so all share the segment's windows; more settings than columns can be is an error."""
+    grid = [r.asDict() for r in configs.select("config_id", *FORMULA_PARAMETERS).orderBy("config_id").limit(MOST_CONFIGS + 1).collect()]
+    if len(grid) > MOST_CONFIGS:
+        raise ValueError(f"more than {MOST_CONFIGS} configurations in one sweep")
+    return grid
+
+
+def formula_forecast(panel: DataFrame, config: FormulaConfig = FormulaConfig(), configs: DataFrame | None = None) -> DataFrame:
+    """FC-08: one-step forecasts of every month by the revenue formula, with fallbacks by length of history.
+
+    The seasonal anchor grows by the (capped) median log growth on last year of the last three months and is blended with the last
+    level in logs; an exponentially weighted mean of past residuals (WIN-19) corrects the result. With ``configs``
+    (config_id, seasonal_weight, residual_alpha, residual_strength, growth_log_cap, correction_log_cap: a small grid of parameters) every
+    configuration is forecast in the same plan (EVL-06).
+    """
+    grid = [{c: float(getattr(config, c)) for c in FORMULA_PARAMETERS}] if configs is None else _grid_of(configs)
+    rows = _formula_settings(panel, grid, config.min_history)
+    rows = rows.withColumn("_e", F.explode("_e")).select("*", "_e.*").drop("_e")
+    known = F.col("history_months") >= config.min_history
+    rows = rows.withColumn("applied_correction_log", F.when(known, _correction(F.col)).when(F.col("history_months") > 0, F.lit(0.0)))
     rows = rows.withColumns({
-        "formula_base_revenue": F.coalesce("_base", plain),
-        "formula_adjusted_revenue": F.when(known, F.greatest(F.expm1(F.log1p("_base") + F.col("applied_correction_log")), F.lit(0.0))).otherwise(plain),
+        "formula_base_revenue": F.coalesce("_base", _fallback_revenue()),
+        "formula_adjusted_revenue": _adjusted(F.col, config.min_history),
         "forecast_method": F.when(known, "revenue_adjustment_formula").when(F.col("history_months") >= 12, "seasonal_naive_fallback").when(F.col("history_months") > 0, "last_observed_fallback").otherwise("missing_prediction"),
         "actual_revenue": F.col(VALUE),
         "target_year": F.col(YEAR),
         "target_month": F.col(MONTH),
     })
-    return rows.drop("_median_growth", "_base")
+    return rows.drop("_base")
+
+
+def tuned_formula(panel: DataFrame, configs: DataFrame, validation_year: int, target_year: int, min_history: int = 15) -> DataFrame:
+    """EVL-30: each entity's own setting of the formula, the one of least absolute error over its validation year, on the target year.
+
+    Rows are not multiplied by settings: each month holds the forecasts of all as an array, an entity's errors are summed place by place,
+    and the place of the least (the first of equals) picks from the arrays of the target year. Entities without months in the validation year
+    take the first setting. Columns: keys, config_id (null if untuned), validation_error, predicted_revenue, untuned_revenue (first setting).
+    """
+    if validation_year >= target_year:
+        raise ValueError("the validation year must lie before the target year")
+    grid = _grid_of(configs)
+    rows = _formula_settings(panel.where(F.col(YEAR) <= target_year), grid, min_history)
+    rows = rows.withColumn("_p", F.transform("_e", lambda e: _adjusted(lambda c: e[c], min_history)))
+    whole = Window.partitionBy(ID)
+    error = lambda k: F.sum(F.when(F.col(YEAR) == validation_year, F.abs(F.col("_p")[k] - F.col(VALUE)))).over(whole)
+    rows = rows.withColumn("_errors", F.array(*[error(k) for k in range(len(grid))])).where(F.col(YEAR) == target_year)
+    least = F.array_min("_errors")
+    place = F.when(least.isNotNull(), F.array_position("_errors", least)).cast("int")
+    return rows.select(
+        ID, F.col(YEAR).alias("target_year"), F.col(MONTH).alias("target_month"), "month_index", F.col(VALUE).alias("actual_revenue"), "last_observed_revenue", "mase_scale",
+        F.when(place.isNotNull(), F.element_at("_e", F.coalesce(place, F.lit(1)))["config_id"]).alias("config_id"), least.alias("validation_error"), F.element_at("_p", F.coalesce(place, F.lit(1))).alias("predicted_revenue"), F.col("_p")[0].alias("untuned_revenue"),
+    ).where("predicted_revenue is not null")
 
 
 def seasonal_quantile_forecast(panel: DataFrame, target_year: int) -> DataFrame:
