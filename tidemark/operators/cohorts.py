@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import ratio
+from tidemark.operators.asof import latest_known
 
 KEYS = ("stock_id", "target_year", "target_month")
 
@@ -57,10 +58,7 @@ def coalesce_labels(first: DataFrame, second: DataFrame, key: str, columns: list
 
 def known_at(cutoffs: DataFrame, facts: DataFrame, keys: list[str], as_of: str, public: str, value: Column, name: str) -> DataFrame:
     """JON-06: for each row the newest fact that was public at the row's own cut-off date."""
-    facts = facts.select(*keys, F.col(public).alias("_public"), value.alias("_value"))
-    rows = cutoffs.join(facts, keys, "left").where(F.col("_public").isNull() | (F.col("_public") <= F.col(as_of)))
-    found = rows.groupBy(*keys, as_of).agg(F.max_by("_value", "_public").alias(name))
-    return cutoffs.join(found, [*keys, as_of], "left")
+    return latest_known(cutoffs, facts, keys, as_of, public, value, name)
 
 
 def with_fallback(selection: DataFrame, rows: DataFrame, keys: list[str], column: str, default: str) -> DataFrame:

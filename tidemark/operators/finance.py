@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import median_of_sorted, quarter_of, weighted_recent
+from tidemark.operators.asof import history_known
 
 ID = "stock_id"
 
@@ -328,25 +329,26 @@ def dividend_matrix(eps: DataFrame, dividends: DataFrame, annual: DataFrame, as_
 def time_safe_features(samples: DataFrame, revenue: DataFrame, quarterly: DataFrame, dividends: DataFrame) -> DataFrame:
     """FEA-03, JON-06: what was known of cash, EPS and revenue at each sample's own cut-off; ``samples``: stock_id, target_year, as_of_date."""
     key = [ID, "target_year", "as_of_date"]
+    asked = samples.select(*key).distinct()
 
-    def known(facts: DataFrame, public: str, order: str, value: str) -> DataFrame:
-        rows = samples.select(*key).join(facts.select(ID, F.col(public).alias("_p"), F.col(order).alias("_o"), F.col(value).alias("_v")), ID).where("_p <= as_of_date and _v is not null")
-        return rows.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("_o", "_v")), False).alias("_h"))
+    def known(facts: DataFrame, public: str, order: str, value: str, n: int) -> DataFrame:
+        return history_known(asked, facts, ID, key, "as_of_date", public, order, value, n).where("known > 0")
 
-    values = F.transform("_h", lambda x: x["_v"])
+    values = F.transform("history", lambda x: x["_value"])
     first = lambda n: F.slice(values, 1, n)
     total = lambda a: F.when(F.size(a) > 0, F.aggregate(a, F.lit(0.0), lambda s, x: s + x))
+    count = F.col("known").cast("int")
     cash = dividends.where("fiscal_year is not null").groupBy(ID, "fiscal_year").agg(F.sum("TotalCashDividend").alias("_c"), F.max("available_date").alias("available_date"))
-    cash = known(cash, "available_date", "fiscal_year", "_c").select(
-        *key, F.get(values, F.lit(0)).alias("last_known_cash_dividend"), median_of_sorted(F.array_sort(first(3))).alias("recent_cash_dividend_median"), (total(first(3)) / F.size(first(3))).alias("recent_cash_dividend_mean"),
-        weighted_recent(values).alias("recent_cash_dividend_smoothed"), (F.size(F.filter(first(3), lambda x: x > 0)) / F.size(first(3))).alias("recent_paid_rate"), F.size(values).alias("dividend_history_count"),
-        (F.col("target_year") - F.get("_h", F.lit(0))["_o"]).cast("double").alias("years_since_last_dividend_reference"),
+    cash = known(cash, "available_date", "fiscal_year", "_c", 3).select(
+        *key, F.get(values, F.lit(0)).alias("last_known_cash_dividend"), median_of_sorted(F.array_sort(values)).alias("recent_cash_dividend_median"), (total(values) / F.size(values)).alias("recent_cash_dividend_mean"),
+        weighted_recent(values).alias("recent_cash_dividend_smoothed"), (F.size(F.filter(values, lambda x: x > 0)) / F.size(values)).alias("recent_paid_rate"), count.alias("dividend_history_count"),
+        (F.col("target_year") - F.get("history", F.lit(0))["_order"]).cast("double").alias("years_since_last_dividend_reference"),
     )
-    eps = known(quarterly.withColumn("_q", F.col("eps_year") * 4 + F.col("eps_quarter")), "statement_available_date", "_q", "EPS")
+    eps = known(quarterly.withColumn("_q", F.col("eps_year") * 4 + F.col("eps_quarter")), "statement_available_date", "_q", "EPS", 8)
     before = F.when(F.size(values) >= 8, total(F.slice(values, 5, 4)))
-    eps = eps.select(*key, F.get(values, F.lit(0)).alias("latest_available_eps"), total(first(4)).alias("available_eps_ttm"), (F.try_divide(total(first(4)), before) - 1).alias("available_eps_ttm_yoy"), F.size(values).alias("eps_history_count"))
+    eps = eps.select(*key, F.get(values, F.lit(0)).alias("latest_available_eps"), total(first(4)).alias("available_eps_ttm"), (F.try_divide(total(first(4)), before) - 1).alias("available_eps_ttm_yoy"), count.alias("eps_history_count"))
     public = revenue.withColumns({"_m": F.col("revenue_year") * 12 + F.col("revenue_month"), "_a": F.add_months(F.make_date("revenue_year", "revenue_month", F.lit(10)), 1)})
-    sales = known(public, "_a", "_m", "revenue").select(*key, total(first(12)).alias("known_revenue_ltm"), total(first(3)).alias("known_revenue_recent_3m"), F.size(values).alias("revenue_history_count"))
+    sales = known(public, "_a", "_m", "revenue", 12).select(*key, total(values).alias("known_revenue_ltm"), total(first(3)).alias("known_revenue_recent_3m"), count.alias("revenue_history_count"))
     out = samples.join(cash, key, "left").join(eps, key, "left").join(sales, key, "left")
     return out.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("dividend_history_count", "eps_history_count", "revenue_history_count")})
 

@@ -27,6 +27,14 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def settled(rows: DataFrame, what: str) -> DataFrame:
+    """``rows`` written once as Parquet to the shared folder and read again, for what several fits or joins read."""
+    spark = rows.sparkSession
+    path = f"{shared_dir(spark)}/tidemark-{what}-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
 def rows_id(rows: DataFrame) -> str:
     """An id of a table's columns and rows: equal for equal rows in any order, counted with repeats. One aggregation to one row."""
     names = sorted(rows.columns)
