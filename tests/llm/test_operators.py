@@ -746,3 +746,23 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 7), (200, 201), (201, 202), (300, 300)]
     got = dict(tuple(r) for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect())
     assert {got[i] for i in range(41)} | {got[100]} == {0} and {got[i] for i in (200, 201, 202)} == {200} and 300 not in got
+
+
+def test_mixing_of_the_given_tables_misses_little(spark):
+    """Targets of the registered query on a given table: the miss is in each row and small, and is what the rates really leave."""
+    docs, labels = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet"), spark.read.parquet(f"{SF.replace('0.001', '0.01')}/labels.parquet")
+    domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "poor").when(F.col("quality") == 1, "clean")
+    targets = {"clean": 0.94, "poor": 0.04, "toxic": 0.02}
+    rows = mixing.mix_to_targets(docs, labels, domain, targets).collect()
+    total = sum(r.n_tokens for r in rows)
+    left = max(abs(sum(r.n_tokens * r.posteriors[k] * r.rate for r in rows) / total - t) for k, t in enumerate(targets.values()))
+    assert left == pytest.approx(rows[0].remaining_miss, abs=1e-9) and left < 2e-3
+
+
+def test_rates_of_targets_that_cannot_be_met(spark):
+    """No document of the second domain: the rates are the least-squares ones, and the miss is what is missing."""
+    members = spark.createDataFrame([(10, [1.0, 0.0, 0.0]), (30, [0.5, 0.0, 0.5]), (20, [0.0, 0.0, 1.0])], "n_tokens long, posteriors array<double>")
+    steps, left = mixing.solve_rates(members, np.array([0.5, 0.3, 0.2]))
+    rate = mixing.replay(np.array([[1.0, 0, 0], [0.5, 0, 0.5], [0, 0, 1.0]]), steps)[0]
+    assert left == pytest.approx(0.3, abs=1e-3) and rate @ np.array([10 / 60, 15 / 60, 0]) == pytest.approx(0.5, abs=1e-3) and len(steps) < mixing.ITERATIONS
+    assert mixing.solve_rates(members.limit(0), np.array([0.5, 0.3, 0.2])) == ([], 0.5)

@@ -4,10 +4,12 @@ A classifier learnt from a bounded sample of a labelled table (``MAX_TRAINING_RO
 document posteriors over the domains: boosted trees, one against the rest, over document statistics and the evidence
 of words that are far more frequent in one domain. Words are counted by bucket, domain and fold in Spark; the trees learn from the evidence
 of the other folds, so that a text's own words do not speak for it. Nonnegative rates then bring the expected tokens of each domain to their
-targets: least squares on the domain totals with a small pull towards rate 1, solved by accelerated projected gradient
-steps. A step needs only the domains' misses (one number each), so an iteration is one aggregation and a document's rate
-is the replay of the misses on its own posteriors; nothing but a few numbers per iteration meets the driver. Iterations end when all
-targets are met or, at the latest, after ``ITERATIONS``; ``remaining_miss`` in each row is the largest miss of a share that is left.
+targets: least squares on the domain totals with a small pull towards rate 1, solved by projected gradient steps that are scaled by the
+curvature of the documents in play (those of positive rate). All steps lie in the span of the posteriors, so a rate is the projection of
+1 less the posteriors times the sum of the steps, one number for each domain: an iteration is one aggregation of a few numbers, whatever came
+before it. A step is halved until the objective falls, and iterations end when its gradient is nought (to ``TOLERANCE``): the
+rates are then the least-squares ones, and ``remaining_miss`` in each row, the largest miss of a share that is left, is no larger than the
+documents at hand and the pull make it. Targets that no nonnegative rates meet so keep a miss of some size.
 
 Edge cases: a null text is empty and counts one token (the end of the text); labels with null domain are left out; a
 domain without labels has posterior 0 and its target cannot be met (the others share what is left in proportion);
@@ -17,6 +19,7 @@ hash is learnt from; an empty table gives an empty result; other columns, whatev
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -36,9 +39,11 @@ BUCKETS = 1 << 16
 #: Standard errors by which a word's share in a domain must pass its share elsewhere to be evidence.
 EVIDENCE = 6.0
 FOLDS = 4
-PULL = 1e-4
-ITERATIONS = 60
-TOLERANCE = 1e-4
+PULL = 1e-6
+#: Steps end long before ITERATIONS unless numbers break down; TOLERANCE is that of the gradient, in shares of all tokens.
+ITERATIONS, TOLERANCE = 60, 1e-8
+#: Parts of a step that are tried at once.
+HALVINGS = (1.0, 0.5, 0.25, 0.125, 0.03125, 0.0078125)
 
 
 def _buckets(x: Texts) -> tuple[np.ndarray, np.ndarray]:
@@ -144,47 +149,63 @@ def domain_posteriors(docs: DataFrame, model: DomainModel, text_col: str = "text
     return docs.mapInArrow(run, schema)
 
 
-def replay(p: np.ndarray, misses: list[np.ndarray], pull: float = PULL) -> np.ndarray:
-    """Rates after accelerated projected gradient steps with the given misses of the domains, and the point of the next."""
-    rate, ahead, t = np.ones(len(p)), np.ones(len(p)), 1.0
-    for miss in misses:
-        new = np.maximum(0, ahead - (p @ miss + pull * (ahead - 1)) / (1 + pull))
-        t_new = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        ahead = new + (t - 1) / t_new * (new - rate)
-        rate, t = new, t_new
-    return np.stack([rate, ahead])
+def replay(p: np.ndarray, steps: list[np.ndarray]) -> np.ndarray:
+    """Rates of documents of posteriors ``p`` after the given steps, twice: as they are, and as the next step starts from them."""
+    rate = np.maximum(0, 1 - p @ np.sum(steps, axis=0)) if len(steps) else np.ones(len(p))
+    return np.stack([rate, rate])
 
 
-def solve_rates(members: DataFrame, targets: np.ndarray, iterations: int = ITERATIONS, tolerance: float = TOLERANCE) -> tuple[list[np.ndarray], float]:
-    """(the misses of each iteration, from which :func:`replay` gives every document's rate; the largest miss that is left).
+def _measured(points: list[np.ndarray]):
+    """Arrow function of rows (n_tokens, posteriors): for each point (a sum of steps) half the weighted squares of rates, the domains' totals, and their curvature."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        width = len(points[0])
+        out = np.zeros((len(points), 1 + width + width * width))
+        for batch in batches:
+            tokens = batch.column(0).to_numpy().astype(float)
+            p = batch.column(1).flatten().to_numpy().reshape(len(tokens), width)
+            for k, point in enumerate(points):
+                rate = np.maximum(0, 1 - p @ point)
+                play = p * (tokens * (rate > 0))[:, None]
+                out[k] += np.concatenate(([(tokens * rate * rate).sum() / 2], (tokens * rate) @ p, (play.T @ p).ravel()))
+        yield pa.RecordBatch.from_arrays([pa.array(list(out.reshape(1, -1)))], names=["s"])
+
+    return run
+
+
+def solve_rates(members: DataFrame, targets: np.ndarray, iterations: int = ITERATIONS, tolerance: float = TOLERANCE, pull: float = PULL) -> tuple[list[np.ndarray], float]:
+    """(steps, from which :func:`replay` gives every document's rate; the largest miss that is left).
 
     ``targets``: shares of all tokens, one for each domain.
     """
     members = members.select("n_tokens", "posteriors")
-    misses: list[np.ndarray] = []
-    total = float(members.agg(F.sum("n_tokens")).first()[0] or 0)
-    width, left = len(targets), float(np.abs(targets).max()) if len(targets) else 0.0
-    while total:
-
-        def sums(batches: Iterator[pa.RecordBatch], past=tuple(misses)) -> Iterator[pa.RecordBatch]:
-            out = np.zeros((2, width))
-            for batch in batches:
-                tokens = batch.column(0).to_numpy()
-                p = batch.column(1).flatten().to_numpy().reshape(len(tokens), width)
-                out += replay(p, list(past)) * tokens @ p
-            yield pa.RecordBatch.from_arrays([pa.array(list(out.reshape(1, -1)))], names=["s"])
-
-        parts = np.array([r[0] for r in members.mapInArrow(sums, "s array<double>").collect()])
-        # Summed in order of size, so that the order in which tasks end does not show.
-        now, ahead = np.sort(parts, axis=0).sum(0).reshape(2, width) / total
+    total, width = float(members.agg(F.sum("n_tokens")).first()[0] or 0), len(targets)
+    if not total:
+        return [], float(np.abs(targets).max()) if width else 0.0
+    steps: list[np.ndarray] = []
+    points, least = [np.zeros(width)], np.inf
+    while True:
+        parts = [r[0] for r in members.mapInArrow(_measured(points), "s array<double>").collect()]
+        # Exact sums, so that the order in which tasks end does not show.
+        sums = np.array([math.fsum(c) for c in zip(*parts, strict=True)]).reshape(len(points), -1) / total
+        value = sums[:, 0] + np.array([x @ targets + pull / 2 * x @ x for x in points])
+        best = int(np.argmin(value))
+        if value[best] >= least:  # as low as doubles can tell
+            break
+        if least < np.inf:
+            steps.append(points[best] - at)
+        at, least, now = points[best], value[best], sums[best, 1 : 1 + width]
+        gradient = targets + pull * at - now
         left = float(np.abs(now - targets).max())
-        if len(misses) and (left <= tolerance or len(misses) >= iterations):
+        if np.abs(gradient).max() <= tolerance or len(steps) >= iterations:
             break
-        misses.append(ahead - targets)
-    return misses, left
+        curvature = sums[best, 1 + width :].reshape(width, width) + pull * np.eye(width)
+        direction = -np.linalg.solve(curvature, gradient)
+        points = [at + direction * f for f in HALVINGS]
+    return steps, left
 
 
-def with_rates(members: DataFrame, misses: list[np.ndarray], id_col: str = "doc_id") -> DataFrame:
+def with_rates(members: DataFrame, steps: list[np.ndarray], id_col: str = "doc_id") -> DataFrame:
     """``members`` with rate and copies: the whole part of the rate, and one more with the odds of the rest by hash of the id."""
     column = members.columns.index("posteriors")
     schema = T.StructType([*members.schema.fields, T.StructField("rate", T.DoubleType())])
@@ -193,7 +214,7 @@ def with_rates(members: DataFrame, misses: list[np.ndarray], id_col: str = "doc_
         for batch in batches:
             if batch.num_rows:
                 p = batch.column(column).flatten().to_numpy().reshape(batch.num_rows, -1)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(replay(p, misses)[0])], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(replay(p, steps)[0])], names=schema.names)
 
     odds = F.pmod(F.xxhash64(F.col(id_col), F.lit("mix")), F.lit(1 << 30)) / float(1 << 30)
     rated = members.mapInArrow(run, schema)
@@ -217,5 +238,5 @@ def mix_to_targets(docs: DataFrame, labels: DataFrame, domain: Column, targets:
         share = share * np.array([v or 0.0 for v in p])
     if share.sum() > 0:
         share = share / share.sum()
-    misses, left = solve_rates(members, share)
-    return with_rates(members, misses, row_col or id_col).withColumn("remaining_miss", F.lit(left))
+    steps, left = solve_rates(members, share)
+    return with_rates(members, steps, row_col or id_col).withColumn("remaining_miss", F.lit(left))

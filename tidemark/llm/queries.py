@@ -45,7 +45,7 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "poor").when(F.col("quality") == 1, "clean")
     rates = mix_to_targets(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), domain, {"clean": 0.94, "poor": 0.04, "toxic": 0.02})
     names = [F.col("posteriors")[k].alias(f"p_{name}") for k, name in enumerate(("clean", "poor", "toxic"))]
-    return rates.select("doc_id", "n_tokens", *names, "rate", "copies")
+    return rates.select("doc_id", "n_tokens", *names, "rate", "copies", "remaining_miss")
 
 
 def op4_rotated_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
