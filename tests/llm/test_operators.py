@@ -577,13 +577,39 @@ def test_warc_round_trip(spark, tmp_path):
         path = f"file://{tmp_path}/{kind}"
         warc.write_warc(warc.payload_table(pages), path, kind)
         rows = {r.page_id: r for r in warc.read_warc(spark, path).collect()}
-        assert sorted(rows) == [1, 2, 3, 4, 5, 6]
+        # A row without a page_id has a record too, under a random name.
+        assert sorted(k for k in rows if k is not None) == [1, 2, 3, 4, 5, 6] and (rows[None].record_type, rows[None].refers_to) == ("revisit", 1) and rows[None].record_id.startswith("<urn:uuid:")
         assert (rows[2].record_type, rows[2].refers_to, rows[2].payload_bytes) == ("revisit", 1, 120)
         assert rows[1].payload.decode() == long and rows[6].payload_bytes == 114 and rows[4].record_type == rows[3].record_type == "response"
     warc.write_warc(warc.payload_table(pages.limit(0)), f"file://{tmp_path}/empty")
     assert warc.payload_table(pages.limit(0)).count() == 0
 
 
+def test_warc_rows_without_ids(spark, tmp_path):
+    """One record for every row; of payloads that only unnamed rows have none is another's original."""
+    a, b, c = "a" * 120, "b" * 120, "c" * 120
+    pages = spark.createDataFrame([(None, "u", a), (None, "u", a), (7, "u", a), (3, "u", a), (None, "u", b), (None, "u", b), (5, "u", c), (None, None, None)], "page_id long, url string, html string")
+    warc.write_warc(warc.payload_table(pages), f"file://{tmp_path}/unnamed")
+    rows = warc.read_warc(spark, f"file://{tmp_path}/unnamed").collect()
+    found = sorted(((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in rows), key=str)
+    assert found == sorted([(None, 120, "revisit", 3), (None, 120, "revisit", 3), (7, 120, "revisit", 3), (3, 120, "response", None), (None, 120, "response", None), (None, 120, "response", None), (5, 120, "response", None), (None, 0, "response", None)], key=str)
+    assert len({r.record_id for r in rows}) == 8
+
+
+def test_false_starts_are_passed_over_in_linear_time():
+    import time
+
+    def seconds(n):
+        at = time.process_time()
+        rows = list(warc.salvage(b"WARC/1.1\r\n" * n + one_record(1)))
+        assert [r["record_type"] for r in rows] == ["gap", "response"]
+        list(warc.salvage((b"WARC/1.1\r\n" + b"a: b\r\n" * 9) * (n // 7)))
+        return time.process_time() - at
+
+    seconds(1000)
+    assert seconds(100_000) < 20 * max(seconds(20_000), 0.02) and seconds(100_000) < 10
+
+
 def one_record(k, body=b"payload"):
     import hashlib
 

@@ -162,11 +162,11 @@ OP9_SQL = """
 WITH p AS (
   SELECT page_id, coalesce(html, '') AS html, sha256(coalesce(html, '')) AS payload_digest,
          CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes
-  FROM pages WHERE page_id IS NOT NULL),
+  FROM pages),
 g AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS least FROM p)
 SELECT page_id, payload_bytes, payload_digest,
-       CASE WHEN payload_bytes >= 100 AND page_id <> least THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN payload_bytes >= 100 AND page_id <> least THEN least END AS refers_to
+       CASE WHEN payload_bytes >= 100 AND least IS NOT NULL AND page_id IS DISTINCT FROM least THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND page_id IS DISTINCT FROM least THEN least END AS refers_to
 FROM g
 """
 

@@ -12,8 +12,10 @@ headers (length, name, type), its length, its closing and its digests where thei
 the numbers in this writer's names and null for others, which record_id and refers_to_id give as they are. After a failed check the reader searches for the next version line (or the next gzip member that
 opens) and goes on from there; what it passed over comes out as rows of type ``gap`` with the byte range and the reason.
 
-Edge cases: a null payload is empty, a null url is empty; line breaks in a url are written as %0D and %0A; rows whose page_id
-is null are left out (a record needs a name); repeated rows are records of their own, and of equal page_ids the payloads decide; an
+Headers end within ``HEADERS`` bytes and hold no version line, so that false starts are passed over in linear time.
+
+Edge cases: a null payload is empty, a null url is empty; line breaks in a url are written as %0D and %0A; a row whose page_id
+is null gets a random name, is no other's original, and revisits the named page of its payload if there is one; repeated rows are records of their own, and of equal page_ids the payloads decide; an
 empty table gives an empty archive and no rows; extra columns are not read.
 """
 
@@ -32,6 +34,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.storage import settle, ship
 
 MIN_REVISIT = 100
+#: Bytes of a record's headers at most.
+HEADERS = 1 << 16
 CLOSING = "\r\n\r\n"
 #: Bytes of a gzip member that are inflated at a time.
 PIECE = 8192
@@ -44,7 +48,7 @@ START = re.compile(rb"WARC/1\.[01]\r\n|\x1f\x8b\x08")
 
 def payload_table(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_revisit: int = MIN_REVISIT) -> DataFrame:
     """(page_id, url, payload, payload_bytes, payload_digest, refers_to): refers_to is null for responses."""
-    rows = pages.where(F.col(id_col).isNotNull()).select(
+    rows = pages.select(
         F.col(id_col).cast("long").alias("page_id"),
         F.regexp_replace(F.regexp_replace(F.coalesce(url_col, F.lit("")), "\r", "%0D"), "\n", "%0A").alias("url"),
         F.coalesce(payload_col, F.lit("")).alias("payload"),
@@ -53,11 +57,13 @@ def payload_table(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     keys = settle(rows.select("page_id", "payload_bytes", "payload_digest").where(F.col("payload_bytes") >= min_revisit), "payloads")
     # Groups of equal payloads are counted salt by salt, so that a very common payload is no hot spot.
     salt = F.pmod(F.xxhash64("page_id"), F.lit(SALTS))
-    parts = keys.groupBy("payload_digest", salt.alias("salt")).agg(F.min("page_id").alias("page_id"), F.max("page_id").alias("top"))
-    groups = parts.groupBy("payload_digest").agg(F.min("page_id").alias("refers_to"), F.max("top").alias("top")).where("refers_to < top")
+    parts = keys.groupBy("payload_digest", salt.alias("salt")).agg(F.min("page_id").alias("page_id"), F.max("page_id").alias("top"), F.bool_or(F.col("page_id").isNull()).alias("unnamed"))
+    groups = parts.groupBy("payload_digest").agg(F.min("page_id").alias("refers_to"), F.max("top").alias("top"), F.bool_or("unnamed").alias("unnamed")).where("refers_to < top or (unnamed and refers_to is not null)")
     groups = settle(groups.select("payload_digest", "refers_to"), "groups")
-    revisits = keys.join(groups, "payload_digest").where("page_id <> refers_to").select("page_id", "payload_digest", "refers_to").distinct()
-    return rows.join(revisits, ["page_id", "payload_digest"], "left").select("page_id", "url", "payload", "payload_bytes", "payload_digest", "refers_to")
+    again = keys.join(groups, "payload_digest").where("page_id is null or page_id <> refers_to")
+    revisits = again.select(F.col("page_id").alias("_page"), F.col("payload_digest").alias("_digest"), "refers_to").distinct()
+    same = F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("payload_digest") == F.col("_digest"))
+    return rows.join(revisits, same, "left").select("page_id", "url", "payload", "payload_bytes", "payload_digest", "refers_to")
 
 
 def write_warc(payloads: DataFrame, path: str, compression: str = "gzip", damaged: Column | None = None) -> None:
@@ -72,7 +78,7 @@ def write_warc(payloads: DataFrame, path: str, compression: str = "gzip", damage
     record = F.concat(
         F.lit("WARC/1.1\r\n"),
         line("WARC-Type", F.when(revisit, "revisit").otherwise("response")),
-        line("WARC-Record-ID", F.concat(F.lit("<urn:page:"), F.col("page_id").cast("string"), F.lit(">"))),
+        line("WARC-Record-ID", F.concat(F.lit("<urn:"), F.coalesce(F.concat(F.lit("page:"), F.col("page_id").cast("string")), F.concat(F.lit("uuid:"), F.uuid())), F.lit(">"))),
         line("WARC-Target-URI", F.col("url")),
         F.when(revisit, line("WARC-Refers-To", F.concat(F.lit("<urn:page:"), F.col("refers_to").cast("string"), F.lit(">")))).otherwise(""),
         F.when(revisit, F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\n")).otherwise(""),
@@ -135,9 +141,11 @@ def _record(data: bytes, at: int) -> tuple[dict | None, int, str]:
     start = VERSION.match(data, at)
     if not start:
         return None, at, "no version line"
-    stop = data.find(b"\r\n\r\n", start.end())
+    stop = data.find(b"\r\n\r\n", start.end(), start.end() + HEADERS)
     if stop < 0:
         return None, at, "headers do not end"
+    if VERSION.search(data, start.end(), stop):
+        return None, at, "version line within headers"
     head = _headers(data[start.end() : stop])
     try:
         length, name, kind = int(head["content-length"]), head["warc-record-id"], head["warc-type"]
