@@ -248,3 +248,42 @@ def test_settings_tuned_for_each_entity(spark):
     assert len(late) == 12 and all(r.config_id is None and r.predicted_revenue == r.untuned_revenue for r in late)
     with pytest.raises(ValueError, match="validation year"):
         FC.tuned_formula(both, configs, 2023, 2023)
+
+
+def test_exact_quantiles_by_blocks(spark):
+    import random
+
+    import numpy as np
+
+    draw = random.Random(9)
+    rows = [(draw.choice(["a", "b", None]), draw.choice([None, 0.0, draw.gauss(0, 100), float(draw.randrange(5)), -1e9])) for _ in range(3000)] + [("hot", 7.0)] * 2000 + [("hot", 1.0), ("one", 3.5), ("none", None)]
+    df = spark.createDataFrame(rows, "kind string, v double").repartition(5)
+    qs = (0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 0.999, 1.0)
+    found = {r.kind: r.quantiles for r in M.exact_quantiles(df, "v", qs, "kind").collect()}
+    assert set(found) == {"a", "b", None, "hot", "one"}
+    for kind, got in found.items():
+        assert got == pytest.approx(np.quantile([v for k, v in rows if k == kind and v is not None], qs).tolist(), rel=1e-12, abs=1e-9)
+    same = df.where("kind = 'a'").agg(F.percentile("v", F.array(*[F.lit(q) for q in qs])).alias("q")).first().q
+    assert found["a"] == same  # as Spark's own, to the last bit
+    (everything,) = M.exact_quantiles(df, "v", (0.5,)).collect()
+    assert everything.quantiles == pytest.approx([float(np.median([v for _, v in rows if v is not None]))])
+    assert M.exact_quantiles(df.limit(0), "v", (0.5,)).count() == 0
+    plan = M.exact_quantiles(df, "v", (0.5,), "kind")._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan and "percentile(" not in plan
+    # Without groups the blocks (at most 256 rows) meet in one task, and nothing else does.
+    plan = M.exact_quantiles(df, "v", (0.5,))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SinglePartition") <= 2
+
+
+#: Dates of the lunar new year.
+LUNAR = "1985-02-20 1990-01-27 1991-02-15 1992-02-04 1993-01-23 1994-02-10 1995-01-31 1996-02-19 1997-02-07 1998-01-28 1999-02-16 2000-02-05 2001-01-24 2002-02-12 2003-02-01 2004-01-22 2005-02-09 2006-01-29 2007-02-18 2008-02-07 2009-01-26 2010-02-14 2011-02-03 2012-01-23 2013-02-10 2014-01-31 2015-02-19 2016-02-08 2017-01-28 2018-02-16 2019-02-05 2020-01-25 2021-02-12 2022-02-01 2023-01-22 2024-02-10 2025-01-29 2026-02-17 2027-02-06 2028-01-26 2029-02-13 2030-02-03 2033-01-31"
+
+
+def test_lunar_new_year_by_astronomy(spark):
+    years = [(int(d[:4]),) for d in LUNAR.split()]
+    rows = spark.createDataFrame(years, "y int").select("y", S.lunar_new_year_date(F.col("y")).cast("string").alias("d")).collect()
+    assert [r.d for r in rows] == LUNAR.split()
+    flags = spark.createDataFrame(years, "y int").select("y", F.explode(F.sequence(F.lit(1), F.lit(12))).alias("m")).select("y", "m", S.lunar_new_year_flag(F.col("y"), F.col("m")).alias("f")).where("f = 1").collect()
+    assert sorted((r.y, r.m) for r in flags) == sorted((int(d[:4]), int(d[5:7])) for d in LUNAR.split())
+    # The table's years agree with what is computed.
+    assert all(S.LUNAR_NEW_YEAR_MONTH[int(d[:4])] == int(d[5:7]) for d in LUNAR.split() if int(d[:4]) in S.LUNAR_NEW_YEAR_MONTH)

@@ -93,6 +93,32 @@ def lunar_new_year(year: Column, month: Column) -> Column:
     return (F.try_element_at(table, year) == month).cast("int")
 
 
+#: Mean new moons of 2000 on (day of the Julian calendar, days each), and the main corrections of the true new moon: days
+#: times the sine of sun's and moon's mean anomaly and the moon's latitude argument, each as (degrees at the first new moon of 2000, degrees a month).
+NEW_MOON, LUNATION = 2451550.09766, 29.530588861
+SUN_ANOMALY, MOON_ANOMALY, MOON_LATITUDE = (2.5534, 29.1053567), (201.5643, 385.81693528), (160.7108, 390.67050284)
+MOON_TERMS = ((-0.40720, 0, 1, 0), (0.17241, 1, 0, 0), (0.01608, 0, 2, 0), (0.01039, 0, 0, 2), (0.00739, -1, 1, 0), (-0.00514, 1, 1, 0), (0.00208, 2, 0, 0))
+
+
+def lunar_new_year_date(year: Column) -> Column:
+    """The date of the lunar new year by astronomy, for any year from 1900 to 2100: the day, eight hours east of Greenwich, of the new moon nearest 5 February.
+
+    A mean lunation with its main corrections is right to a few minutes, and new moons lie 29.5 days apart, so one lies in the fifteen days to either side.
+    """
+    # Julian day of 5 February, about 07:00 at Greenwich.
+    middle = F.unix_date(F.make_date(year, F.lit(2), F.lit(5))) + 2440587.5 + 0.3
+    k = F.round((middle - NEW_MOON) / LUNATION)
+    sun, moon, latitude = (F.radians(base + k * each) for base, each in (SUN_ANOMALY, MOON_ANOMALY, MOON_LATITUDE))
+    # The light of the delay between dynamical and universal time, about a minute in these years.
+    true = NEW_MOON + LUNATION * k + sum((days * F.sin(a * sun + b * moon + c * latitude) for days, a, b, c in MOON_TERMS), F.lit(0.0)) - 70 / 86400
+    return F.date_from_unix_date(F.floor(true + 8 / 24 - 2440587.5).cast("int"))
+
+
+def lunar_new_year_flag(year: Column, month: Column) -> Column:
+    """FN-12: 1 in the month of the lunar new year, else 0, in any year: by the table where it has the year, else computed."""
+    return F.coalesce(lunar_new_year(year, month), (F.month(lunar_new_year_date(year)) == month).cast("int"))
+
+
 def observed_price(source: Column) -> Column:
     """FN-13: false for sources that call themselves synthetic or simulated, and for none."""
     return F.coalesce(~F.lower(source).rlike("synthetic|simulated"), F.lit(False))

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalars import log_level, lunar_new_year, median_of_sorted, percent_change, trailing_ones
+from tidemark.functions.scalars import log_level, lunar_new_year_flag, median_of_sorted, percent_change, trailing_ones
 
 ID, YEAR, MONTH, VALUE = "stock_id", "revenue_year", "revenue_month", "revenue"
 SEGMENT = (ID, "calendar_segment")
@@ -77,7 +77,7 @@ def model_features(panel: DataFrame) -> DataFrame:
     rows = rows.withColumns({
         "log_mom_3m": F.avg("log_mom").over(by_segment().rowsBetween(-2, 0)),
         "time_index": F.try_divide((n - 1).cast("double"), F.count("*").over(whole) - 1),
-        "lunar_new_year": lunar_new_year(F.col(YEAR), F.col(MONTH)),
+        "lunar_new_year": lunar_new_year_flag(F.col(YEAR), F.col(MONTH)),
         "last_year_revenue": months_before(VALUE, 12),
         "next_year_revenue": months_before(VALUE, -12),
         "history_12m_complete": F.col("consecutive_months") >= 12,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -88,13 +90,53 @@ def balanced_score(predictions: DataFrame, *configs: str, predicted: str = "pred
     return pooled.withColumn("balanced_score", 0.5 * F.col("WMAPE") + 0.5 * F.col("median_stock_WMAPE"))
 
 
+#: Bounds between blocks of values in a search for quantiles.
+QUANTILE_BLOCKS = 256
+
+
+def exact_quantiles(rows: DataFrame, value: str, quantiles: tuple[float, ...], *groups: str, name: str = "quantiles") -> DataFrame:
+    """The groups with ``name``, the interpolated quantiles of the known values as an array: exact, and no task holds a group.
+
+    Equal values are counted first. Bounds from a sketch cut each group's values into blocks whose counts tell in which of them a rank
+    lies; only these blocks are sorted, each apart. Groups of null are groups; a group without values has no row.
+    """
+    group = F.struct(*[F.col(c) for c in groups]) if groups else F.struct(F.lit(0).alias("all"))
+    known = rows.where(F.col(value).isNotNull()).select(group.alias("_g"), F.col(value).cast("double").alias("_v"))
+    counts = known.groupBy("_g", "_v").agg(F.count("*").alias("_n"))
+    cuts = F.array(*[F.lit(k / QUANTILE_BLOCKS) for k in range(1, QUANTILE_BLOCKS)])
+    bounds = known.groupBy("_g").agg(F.array_distinct(F.percentile_approx("_v", cuts, 10 * QUANTILE_BLOCKS)).alias("_bounds"), F.count("*").alias("_total"))
+    placed = counts.join(bounds, "_g").withColumn("_b", F.size(F.filter("_bounds", lambda b: b < F.col("_v")))).drop("_bounds")
+    blocks = placed.groupBy("_g", "_b").agg(F.sum("_n").alias("_in"), F.first("_total").alias("_total"))
+    before = F.sum("_in").over(Window.partitionBy("_g").orderBy("_b")) - F.col("_in")
+    ends = [f((F.col("_total") - 1) * q).cast("long") for q in quantiles for f in (F.floor, F.ceil)]
+    here = F.filter(F.array_distinct(F.array(*ends)), lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_in")))
+    sought = blocks.withColumn("_before", before).withColumn("_ranks", here).where(F.size("_ranks") > 0).select("_g", "_b", "_before", "_ranks")
+    found = placed.join(sought, ["_g", "_b"]).withColumn("_upto", F.col("_before") + F.sum("_n").over(Window.partitionBy("_g", "_b").orderBy("_v")))
+    found = found.withColumn("_r", F.explode(F.filter("_ranks", lambda r: (r >= F.col("_upto") - F.col("_n")) & (r < F.col("_upto")))))
+    # Two ranks for each quantile at most.
+    each = found.groupBy("_g").agg(F.map_from_entries(F.collect_list(F.struct("_r", "_v"))).alias("_at"), F.first("_total").alias("_total"))
+
+    def at(q: float) -> Column:
+        place = (F.col("_total") - 1) * F.lit(float(q))
+        low, high = F.floor(place).cast("long"), F.ceil(place).cast("long")
+        return F.when(low == high, F.col("_at")[low]).otherwise((high - place) * F.col("_at")[low] + (place - low) * F.col("_at")[high])
+
+    return each.select(*[F.col("_g")[c].alias(c) for c in groups], F.array(*[at(q) for q in quantiles]).alias(name))
+
+
 def error_quantiles(accuracy_rows: DataFrame, metric: str, *groups: str) -> DataFrame:
     """AGG-13: P10, P25, P50, P75 and P90 of an entity-level metric."""
-    q = F.percentile(metric, F.array(*[F.lit(x) for x in (0.1, 0.25, 0.5, 0.75, 0.9)]))
-    out = accuracy_rows.where(F.col(metric).isNotNull()).groupBy(*groups).agg(q.alias("_q"), F.count("*").alias("stock_count"))
+    q = exact_quantiles(accuracy_rows, metric, (0.1, 0.25, 0.5, 0.75, 0.9), *groups, name="_q")
+    out = accuracy_rows.where(F.col(metric).isNotNull()).groupBy(*groups).agg(F.count("*").alias("stock_count"))
+    out = out.join(F.broadcast(q) if not groups else q, _same(groups, out, q)).select(*[out[c] for c in groups], "stock_count", "_q")
     return out.select(*groups, "stock_count", *[F.col("_q")[k].alias(f"P{p}") for k, p in enumerate((10, 25, 50, 75, 90))])
 
 
+def _same(groups: tuple[str, ...], left: DataFrame, right: DataFrame) -> Column:
+    """Equal groups, null ones too; of one row each without groups."""
+    return reduce(Column.__and__, [left[c].eqNullSafe(right[c]) for c in groups], F.lit(True))
+
+
 def error_bands(accuracy_rows: DataFrame, metric: str, group: str, edges: tuple[float, ...] = (5, 10, 15, 20, 30, 50)) -> DataFrame:
     """AGG-14: entities per band of a metric (left bound included) and their share; empty bands count 0."""
     spark = accuracy_rows.sparkSession
@@ -163,9 +205,14 @@ def month_extremes(month_accuracy: DataFrame, metric: str = "WMAPE") -> DataFram
 
 def score_distribution(rows: DataFrame, score: str, regime: str) -> DataFrame:
     """AGG-24: mean, quantiles and maximum of a score overall and by regime."""
-    q = F.percentile(score, F.array(F.lit(0.5), F.lit(0.75), F.lit(0.9)))
-    out = rows.groupingSets([[], [F.col(regime)]], F.col(regime)).agg(F.grouping_id().alias("_g"), F.count(score).alias("rows"), F.avg(score).alias("mean"), q.alias("_q"), F.max(score).alias("max"))
-    return out.select(F.when(F.col("_g") == 0, F.col(regime)).otherwise("all").alias(regime), "rows", "mean", *[F.col("_q")[k].alias(f"p{p}") for k, p in enumerate((50, 75, 90))], "max")
+    qs = (0.5, 0.75, 0.9)
+    parts = []
+    for groups, label in (((), F.lit("all")), ((regime,), F.col(regime))):
+        some = rows.groupBy(*groups).agg(F.count(score).alias("rows"), F.avg(score).alias("mean"), F.max(score).alias("max"))
+        q = exact_quantiles(rows, score, qs, *groups, name="_q")
+        joined = some.join(q, _same(groups, some, q), "left").select(*[some[c] for c in groups], "rows", "mean", "max", "_q")
+        parts.append(joined.select(label.alias(regime), "rows", "mean", *[F.col("_q")[k].alias(f"p{round(100 * x)}") for k, x in enumerate(qs)], "max"))
+    return parts[0].unionByName(parts[1])
 
 
 def annual_accuracy(predictions: DataFrame) -> DataFrame:

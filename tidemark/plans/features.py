@@ -47,9 +47,11 @@ FROM b"""
 
 def model_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = C.model_features(monthly_revenue(spark, sf_dir, "l_partkey"))
-    return neat(rows.select("stock_id", "revenue_year", "revenue_month", "log_revenue", "lag_1", "log_mom", "log_mom_3m", "time_index", "last_year_revenue", "next_year_revenue", "history_12m_complete", "log_mom_filled"))
+    return neat(rows.select("stock_id", "revenue_year", "revenue_month", "log_revenue", "lag_1", "log_mom", "log_mom_3m", "time_index", "last_year_revenue", "next_year_revenue", "history_12m_complete", "log_mom_filled", "lunar_new_year"))
 
 
+#: Months of the lunar new year in the years of the given tables.
+_LUNAR = "CASE WHEN revenue_year IN (1993, 1995, 1998, 2001) THEN 1 WHEN revenue_year IN (1991, 1992, 1994, 1996, 1997, 1999, 2000, 2002) THEN 2 END"
 MODEL_SQL = f"""WITH {S.panel('l_partkey')}, {S.SEGMENTS},
 a AS (SELECT *, ln(1 + greatest(revenue, 0)) AS log_revenue FROM seg),
 b AS (SELECT *, lag(log_revenue) OVER s AS lag_1 FROM a WINDOW s AS (PARTITION BY stock_id, calendar_segment ORDER BY month_index)),
@@ -59,7 +61,7 @@ SELECT stock_id, revenue_year, revenue_month, round(log_revenue, 6) AS log_reven
        round((row_number() OVER (PARTITION BY stock_id ORDER BY month_index) - 1) / nullif(count(*) OVER (PARTITION BY stock_id) - 1, 0), 6) AS time_index,
        round(first(revenue) OVER (PARTITION BY stock_id ORDER BY month_index RANGE BETWEEN 12 PRECEDING AND 12 PRECEDING), 6) AS last_year_revenue,
        round(first(revenue) OVER (PARTITION BY stock_id ORDER BY month_index RANGE BETWEEN 12 FOLLOWING AND 12 FOLLOWING), 6) AS next_year_revenue,
-       consecutive_months >= 12 AS history_12m_complete,
+       consecutive_months >= 12 AS history_12m_complete, CAST({_LUNAR} = revenue_month AS INTEGER) AS lunar_new_year,
        round(coalesce(log_mom, median(log_mom) OVER (PARTITION BY stock_id ORDER BY month_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 6) AS log_mom_filled
 FROM c"""
 
