@@ -415,11 +415,21 @@ c{year} AS (SELECT t.stock_id, 'current_ratio' AS method, sum(v) * max(r.x) AS e
 e{year} AS (SELECT c.stock_id, method, abs(e - a) AS err FROM c{year} c JOIN (SELECT stock_id, sum(EPS) AS a FROM eps WHERE eps_year = {year} GROUP BY 1 HAVING count(DISTINCT eps_quarter) >= 4) y ON c.stock_id = y.stock_id WHERE e IS NOT NULL)"""
 
 
-@_register(f"""WITH {S.panel()}, {S.EPS}, {_replay_sql(1999)}, {_replay_sql(2000)}, gm AS (SELECT method FROM e1999 GROUP BY 1 ORDER BY avg(err), method LIMIT 1), om AS (SELECT stock_id, method FROM e1999 QUALIFY row_number() OVER (PARTITION BY stock_id ORDER BY err, method) = 1)
+def _bucket_sql(year: int) -> str:
+    """Stability of the ratios known at the year's cut-off, as ``bk`` of each entity."""
+    return f"""x{year} AS (SELECT a.stock_id, revenue_year, e / r AS r FROM ar{year} a JOIN ae{year} b ON a.stock_id = b.stock_id AND revenue_year = eps_year WHERE r > 0),
+s{year} AS (SELECT stock_id, count(*) AS n, stddev_pop(r) AS sd, quantile_cont(r, 0.5) AS md, quantile_cont(r, 0.5) FILTER (WHERE k <= 3) AS rm, max(r) FILTER (WHERE k = 1) AS lt FROM (SELECT *, row_number() OVER (PARTITION BY stock_id ORDER BY revenue_year DESC) AS k FROM x{year}) GROUP BY 1),
+b{year} AS (SELECT stock_id, CASE WHEN n < 3 THEN 'insufficient_history' WHEN abs(md) <= 1e-12 THEN 'unstable_ratio' WHEN abs(sd / md) <= 0.35 AND d <= 50 THEN 'stable_ratio' WHEN abs(sd / md) <= 1 AND d <= 150 THEN 'moderate_ratio' ELSE 'unstable_ratio' END AS bk
+  FROM (SELECT *, CASE WHEN abs(rm) > 1e-12 THEN abs(lt - rm) / abs(rm) * 100 ELSE 0 END AS d FROM s{year})),
+g{year} AS (SELECT e{year}.*, coalesce(bk, 'insufficient_history') AS bk FROM e{year} LEFT JOIN b{year} USING (stock_id))"""
+
+
+@_register(f"""WITH {S.panel()}, {S.EPS}, {_replay_sql(1999)}, {_bucket_sql(1999)}, {_replay_sql(2000)}, {_bucket_sql(2000)}, gm AS (SELECT method FROM e1999 GROUP BY 1 ORDER BY avg(err), method LIMIT 1), om AS (SELECT stock_id, method FROM e1999 QUALIFY row_number() OVER (PARTITION BY stock_id ORDER BY err, method) = 1),
+cb AS (SELECT bk, method FROM (SELECT bk, method, avg(err) AS e FROM g1999 GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY bk ORDER BY e, method) = 1)
 SELECT 'fixed' AS strategy, false AS is_hindsight, count(*) AS stocks, round(avg(err), 6) AS eps_mae FROM e2000 WHERE method = (SELECT method FROM gm) UNION ALL SELECT 'entity', false, count(*), round(avg(err), 6) FROM e2000 JOIN om USING (stock_id, method)
-UNION ALL SELECT 'bucket', false, count(*), round(avg(err), 6) FROM e2000 WHERE method = CASE WHEN stock_id % 2 = 0 THEN 'current_ratio' ELSE 'seasonal_quarter_median' END UNION ALL SELECT 'hindsight', true, count(*), round(avg(err), 6) FROM (SELECT stock_id, min(err) AS err FROM e2000 GROUP BY 1)""")
+UNION ALL SELECT 'bucket', false, count(*), round(avg(err), 6) FROM g2000 LEFT JOIN cb ON g2000.bk = cb.bk WHERE g2000.method = coalesce(cb.method, 'current_ratio') UNION ALL SELECT 'hindsight', true, count(*), round(avg(err), 6) FROM (SELECT stock_id, min(err) AS err FROM e2000 GROUP BY 1)""")
 def eps_layer_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """EVL-36, EVL-13: EPS methods on actual revenue, chosen in the year before the target year and applied to it, under four strategies."""
+    """EVL-36, EVL-13: EPS methods on actual revenue, chosen in the year before the target year (for all, by entity, by stability of the ratio as known then) and applied to it."""
     revenue, quarterly = monthly_revenue(spark, sf_dir), quarterly_eps(spark, sf_dir)
 
     def errors(year: int) -> DataFrame:
@@ -430,12 +440,16 @@ def eps_layer_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
         history = FI.ratio_history(past, FI.annual_eps(quarterly, as_of))
         rows = FI.eps_by_ratio(annual, history).select("stock_id", F.col("eps_method").alias("method"), "estimated_eps").union(FI.eps_by_quarter(annual, monthly, past, known, history).select("stock_id", "eps_method", "estimated_eps"))
         actual = FI.annual_eps(quarterly).where(F.col("eps_year") == year).select("stock_id", "annual_eps")
-        return rows.join(actual, "stock_id").where("estimated_eps is not null").select("stock_id", "method", F.abs(F.col("estimated_eps") - F.col("annual_eps")).alias("error"))
+        bucket = K.stability_bucket(K.ratio_stability(history)).select("stock_id", F.col("ratio_stability_bucket").alias("bucket"))
+        rows = rows.join(actual, "stock_id").where("estimated_eps is not null").join(bucket, "stock_id", "left")
+        return rows.select("stock_id", "method", F.coalesce("bucket", F.lit("insufficient_history")).alias("bucket"), F.abs(F.col("estimated_eps") - F.col("annual_eps")).alias("error"))
 
-    before, test = errors(TARGET_YEAR - 1), errors(TARGET_YEAR).withColumn("bucket", F.col("stock_id") % 2)
+    before, test = errors(TARGET_YEAR - 1), errors(TARGET_YEAR)
     overall = before.groupBy("method").agg(F.avg("error").alias("error")).orderBy("error", "method").limit(1)
     own = K.best_per(before, "stock_id", "error", "method")
-    buckets = test.select("bucket").distinct().withColumn("method", F.when(F.col("bucket") == 0, "current_ratio").otherwise("seasonal_quarter_median"))
+    # Each bucket takes what did best in it the year before, buckets that were empty then the plain ratio.
+    scores = before.groupBy("bucket", "method").agg(F.avg("error").alias("mean_error"), F.count("*").alias("rows"))
+    buckets = K.with_fallback(K.best_per(scores, "bucket", "mean_error", "method"), test.select("bucket").distinct(), ["bucket"], "method", "current_ratio")
     fixed = test.join(overall.select("method"), "method", "left_semi").withColumns({"strategy": F.lit("fixed"), "is_hindsight": F.lit(False)})
     rows = union_all([fixed, K.strategy_rows(test, "none", own, buckets, "error")])
     return neat(rows.groupBy("strategy", "is_hindsight").agg(F.count("*").alias("stocks"), F.avg("error").alias("eps_mae")))
