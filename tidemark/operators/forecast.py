@@ -204,6 +204,7 @@ class HybridConfig:
     second_weight: float = 0.1
     upper_multiplier: float = 2.0
     number_guard: float = float(2**63 - 1)
+    second_method: str = "seasonal_arima"
 
 
 def combine_forecasts(formula: DataFrame, second: DataFrame, config: HybridConfig = HybridConfig()) -> DataFrame:
@@ -212,13 +213,16 @@ def combine_forecasts(formula: DataFrame, second: DataFrame, config: HybridConfi
     ``formula``: keys, formula_adjusted_revenue, actual_revenue, last_observed_revenue; ``second``: keys,
     second_revenue, second_method. A second forecast above ``upper_multiplier`` times the larger of formula and last value is not valid.
     """
-    keys = [ID, "target_year", "target_month"]
-    rows = formula.join(second, keys, "full")
+    return weighted_forecasts(formula.join(second, [ID, "target_year", "target_month"], "full"), config)
+
+
+def weighted_forecasts(rows: DataFrame, config: HybridConfig = HybridConfig()) -> DataFrame:
+    """FC-11 on rows that hold both forecasts already; a column ``second_weight`` stands for the one of the config, so that a sweep explodes joined rows."""
     f, s, last = F.col("formula_adjusted_revenue"), F.col("second_revenue"), F.col("last_observed_revenue")
     formula_valid = F.coalesce(f >= 0, F.lit(False))
     anchor = F.greatest(F.when(formula_valid, f).otherwise(0.0), F.when(last >= 0, last).otherwise(0.0))
     upper = config.upper_multiplier * F.greatest(anchor, F.lit(1.0))
-    second_valid = F.coalesce((s >= 0) & (s < config.number_guard) & (s <= upper) & (F.col("second_method") == "seasonal_arima"), F.lit(False))
+    second_valid = F.coalesce((s >= 0) & (s < config.number_guard) & (s <= upper) & (F.col("second_method") == config.second_method), F.lit(False))
     rows = rows.withColumns({"formula_valid": formula_valid, "second_valid": second_valid, "guardrail_upper": upper})
     both = F.col("formula_valid") & F.col("second_valid")
     w = F.lit(config.second_weight) if "second_weight" not in rows.columns else F.col("second_weight")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.scalars import ratio
 from tidemark.operators import finance as FI
 from tidemark.operators.cohorts import best_per, method_cohort, to_long
-from tidemark.operators.forecast import HybridConfig, combine_forecasts
+from tidemark.operators.forecast import HybridConfig, weighted_forecasts
 from tidemark.operators.metrics import balanced_score
 
 ID = "stock_id"
@@ -65,15 +65,28 @@ def adjustment_variants(predictions: DataFrame, alphas: tuple[float, ...] = (0.0
     return rows.withColumn("predicted_revenue", F.when((F.col("regime") == "decline") & (F.col("cap") > 0), F.least(boosted, last)).otherwise(boosted))
 
 
-def break_sweep(featured: DataFrame, second: DataFrame, yoy: tuple[float, ...] = (0.1, 0.2, 0.3), level: tuple[float, ...] = (0.2, 0.3, 0.4), retention: tuple[float, ...] = (0.0, 0.1, 0.2), weights: tuple[float, ...] = tuple(round(k / 10, 1) for k in range(11))) -> DataFrame:
-    """EVL-08: 27 settings of the structural break by 11 blend weights on the same rows, with their balanced scores."""
-    rows = _grid(featured, {"yoy_threshold": yoy, "level_threshold": level, "retention": retention})
+WEIGHTS = tuple(round(k / 10, 1) for k in range(11))
+
+
+def blend_scores(formula: DataFrame, second: DataFrame, weights: tuple[float, ...] = WEIGHTS, config: HybridConfig = HybridConfig()) -> DataFrame:
+    """EVL-07: the balanced score of each weight of the second forecast, where both are valid: joined once, weights exploded after."""
+    rows = _grid(formula.join(second, [ID, "target_year", "target_month"]), {"second_weight": weights})
+    return balanced_score(weighted_forecasts(rows, config).where("both_models_valid"), "second_weight", predicted="hybrid_predicted_revenue")
+
+
+def break_sweep(featured: DataFrame, second: DataFrame, yoy: tuple[float, ...] = (0.1, 0.2, 0.3), level: tuple[float, ...] = (0.2, 0.3, 0.4), retention: tuple[float, ...] = (0.0, 0.1, 0.2), weights: tuple[float, ...] = WEIGHTS, config: HybridConfig = HybridConfig()) -> DataFrame:
+    """EVL-08: 27 settings of the structural break by 11 blend weights on the same rows, with their balanced scores.
+
+    Formula and second forecast are joined once; settings are exploded from the joined rows into sums for each setting and entity.
+    """
+    rows = featured.join(second, [ID, "target_year", "target_month"])
+    rows = _grid(rows, {"yoy_threshold": yoy, "level_threshold": level, "retention": retention})
     below = lambda c, t: F.coalesce(F.col(c) < t, F.lit(False))
     recent = sum((below(f"break_recent_ratio_{k}", F.col("level_threshold")).cast("int") for k in (1, 2, 3)), F.lit(0))
     hit = below("break_last_yoy_ratio", F.col("yoy_threshold")) & (below("break_level_ratio", F.col("level_threshold")) | (recent >= 2)) & F.coalesce(F.col("last_observed_revenue") >= 0, F.lit(False))
     moved = F.greatest(F.col("retention") * F.col("formula_adjusted_revenue") + (1 - F.col("retention")) * F.col("last_observed_revenue"), F.lit(0.0))
     rows = rows.withColumn("formula_adjusted_revenue", F.when(hit, moved).otherwise(F.col("formula_adjusted_revenue")))
-    blended = combine_forecasts(rows, _grid(second, {"second_weight": weights}), HybridConfig()).where("both_models_valid")
+    blended = weighted_forecasts(_grid(rows, {"second_weight": weights}), config).where("both_models_valid")
     return balanced_score(blended, "yoy_threshold", "level_threshold", "retention", "second_weight", predicted="hybrid_predicted_revenue")
 
 

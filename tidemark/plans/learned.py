@@ -11,6 +11,7 @@ from tidemark.operators import learned as L
 from tidemark.operators import metrics as M
 from tidemark.operators import studies as ST
 from tidemark.operators.calendar import growth_windows
+from tidemark.plans import features as PFX
 from tidemark.plans import finance as PF
 from tidemark.plans import reports as RS
 from tidemark.plans import sql as S
@@ -37,9 +38,7 @@ def blend_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     panel = monthly_revenue(spark, sf_dir)
     formula = FC.formula_forecast(panel).where("target_year = 1999").select("stock_id", "target_year", "target_month", "formula_adjusted_revenue", "actual_revenue", "last_observed_revenue")
     second = FC.seasonal_arima_forecast(panel).where("target_year = 1999").select("stock_id", "target_year", "target_month", "second_revenue", "second_method")
-    second = second.withColumn("second_weight", F.explode(F.array(*[F.lit(round(k / 10, 1)) for k in range(11)])))
-    rows = FC.combine_forecasts(formula, second).where("both_models_valid")
-    return neat(M.balanced_score(rows, "second_weight", predicted="hybrid_predicted_revenue"))
+    return neat(ST.blend_scores(formula, second))
 
 
 def recursive_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,6 +113,33 @@ def break_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neat(ST.break_sweep(formula.join(FC.break_features(panel), ["stock_id", "target_year", "target_month"]), second))
 
 
+NAIVE = FC.HybridConfig(second_method="seasonal_naive")
+
+
+def _formula_and_naive(spark: SparkSession, sf_dir: str, year: int) -> tuple[DataFrame, DataFrame]:
+    """The formula and the month of a year before as a second forecast of a year."""
+    rows = FC.formula_forecast(monthly_revenue(spark, sf_dir)).where(F.col("target_year") == year)
+    keys = ["stock_id", "target_year", "target_month"]
+    second = rows.select(*keys, F.col("seasonal_naive_revenue").alias("second_revenue"), F.lit("seasonal_naive").alias("second_method"))
+    return rows.select(*keys, "formula_adjusted_revenue", "actual_revenue", "last_observed_revenue"), second
+
+
+def hybrid_naive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FC-11, JON-08 with last year's month as the second forecast."""
+    return neat(FC.combine_forecasts(*_formula_and_naive(spark, sf_dir, TARGET_YEAR), NAIVE).select("stock_id", "target_year", "target_month", "formula_valid", "second_valid", "hybrid_predicted_revenue", "hybrid_method"), 4)
+
+
+def blend_weights_naive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """EVL-07 with last year's month as the second forecast."""
+    return neat(ST.blend_scores(*_formula_and_naive(spark, sf_dir, 1999), config=NAIVE))
+
+
+def break_sweep_naive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """EVL-08 with last year's month as the second forecast."""
+    formula, second = _formula_and_naive(spark, sf_dir, 1999)
+    return neat(ST.break_sweep(formula.join(FC.break_features(monthly_revenue(spark, sf_dir)), ["stock_id", "target_year", "target_month"]), second, config=NAIVE))
+
+
 def adjustment_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """EVL-05: every variant scored."""
     return neat(M.accuracy(ST.adjustment_variants(_with_regime(spark, sf_dir)), "alpha", "cap"))
@@ -154,6 +180,9 @@ def financial_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "hybrid_naive": hybrid_naive,
+    "blend_weights_naive": blend_weights_naive,
+    "break_sweep_naive": break_sweep_naive,
     "break_sweep": break_sweep,
     "adjustment_variants": adjustment_variants,
     "yield_layers": yield_layers,
@@ -187,7 +216,29 @@ go AS (SELECT stock_id, month_index, h, 0 AS step FROM l15 WHERE n = 1 AND len(h
   UNION ALL SELECT stock_id, month_index, list_append(h[2:], greatest(exp(0.75 * ln(1 + greatest(exp(ln(1 + h[4]) + greatest(least(g1 + g2 + g3 - greatest(g1, g2, g3) - least(g1, g2, g3), ln(2.0)), -ln(2.0))) - 1, 0)) + 0.25 * ln(1 + h[15])) - 1, 0)), step + 1
   FROM (SELECT *, ln(1 + h[15]) - ln(1 + h[3]) AS g1, ln(1 + h[14]) - ln(1 + h[2]) AS g2, ln(1 + h[13]) - ln(1 + h[1]) AS g3 FROM go WHERE step < 12)),
 rc AS (SELECT stock_id, CAST((month_index + step) // 12 AS INTEGER) AS target_year, CAST((month_index + step) % 12 + 1 AS INTEGER) AS target_month, step, h[15] AS p FROM go WHERE step > 0)"""
+
+_VALID = """coalesce(f >= 0, false) AS fv, coalesce(s >= 0 AND s < 9223372036854775807 AND s <= 2 * greatest(CASE WHEN coalesce(f >= 0, false) THEN f ELSE 0 END, CASE WHEN last_observed_revenue >= 0 THEN last_observed_revenue ELSE 0 END, 1), false) AS sv"""
+_NAIVE = f"WITH {S.panel()}, {S.SEGMENTS}, {S.BASELINES}, {S.formula()}"
+
+
+def _scores_sql(rows: str, configs: str) -> str:
+    """Balanced scores over rows (configs, stock_id, p, actual_revenue)."""
+    return f"""bs0 AS (SELECT {configs}, stock_id, sum(abs(p - actual_revenue)) AS e, sum(abs(actual_revenue)) AS a, count(*) AS n FROM {rows} WHERE p IS NOT NULL AND actual_revenue IS NOT NULL GROUP BY ALL),
+bs AS (SELECT {configs}, CAST(sum(n) AS BIGINT) AS observations, sum(e) / sum(a) * 100 AS w, quantile_cont(e / a, 0.5) * 100 AS m FROM bs0 GROUP BY ALL)
+SELECT {configs}, observations, round(w, 6) AS WMAPE, round(m, 6) AS median_stock_WMAPE, round(0.5 * w + 0.5 * m, 6) AS balanced_score FROM bs"""
+
+
+_SWEPT = "[0.0::DOUBLE, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]"
 ORACLE_SQL |= {
+    "hybrid_naive": f"""{_NAIVE}, h AS (SELECT *, {_VALID} FROM (SELECT *, formula_adjusted_revenue AS f, seasonal_naive_revenue AS s FROM formula WHERE target_year = 2000))
+SELECT stock_id, target_year, target_month, fv AS formula_valid, sv AS second_valid, round(CASE WHEN fv AND sv THEN greatest(0.1 * s + 0.9 * f, 0) WHEN fv THEN f WHEN sv THEN s END, 4) AS hybrid_predicted_revenue, CASE WHEN fv AND sv THEN 'weighted_hybrid' WHEN fv THEN 'formula_fallback' WHEN sv THEN 'second_fallback' ELSE 'unavailable' END AS hybrid_method FROM h""",
+    "blend_weights_naive": f"""{_NAIVE}, h AS (SELECT *, {_VALID} FROM (SELECT *, formula_adjusted_revenue AS f, seasonal_naive_revenue AS s FROM formula WHERE target_year = 1999)), wt AS (SELECT *, unnest({_SWEPT}) AS second_weight FROM h WHERE fv AND sv),
+wp AS (SELECT *, greatest(second_weight * s + (1 - second_weight) * f, 0) AS p FROM wt), {_scores_sql('wp', 'second_weight')}""",
+    "break_sweep_naive": f"""{PFX.BREAK_SQL[: PFX.BREAK_SQL.index('d AS (SELECT *, coalesce(q1 < 0.5')].rstrip().rstrip(',').rsplit('c AS (SELECT *', 1)[0].rstrip().rstrip(',')}, o0 AS (SELECT * FROM b2 WHERE target_year = 1999),
+o1 AS (SELECT *, unnest([0.1::DOUBLE, 0.2, 0.3]) AS yoy_threshold FROM o0), o2 AS (SELECT *, unnest([0.2::DOUBLE, 0.3, 0.4]) AS level_threshold FROM o1), o3 AS (SELECT *, unnest([0.0::DOUBLE, 0.1, 0.2]) AS retention FROM o2),
+o4 AS (SELECT *, CAST(coalesce(q1 < level_threshold, false) AS INTEGER) + CAST(coalesce(q2 < level_threshold, false) AS INTEGER) + CAST(coalesce(q3 < level_threshold, false) AS INTEGER) AS n FROM o3),
+o5 AS (SELECT *, seasonal_naive_revenue AS s, CASE WHEN coalesce(q1 < yoy_threshold, false) AND (coalesce(lv < level_threshold, false) OR n >= 2) AND coalesce(last_observed_revenue >= 0, false) THEN greatest(retention * formula_adjusted_revenue + (1 - retention) * last_observed_revenue, 0) ELSE formula_adjusted_revenue END AS f FROM o4),
+o6 AS (SELECT *, {_VALID} FROM o5), o7 AS (SELECT *, unnest({_SWEPT}) AS second_weight FROM o6 WHERE fv AND sv), o8 AS (SELECT *, greatest(second_weight * s + (1 - second_weight) * f, 0) AS p FROM o7), {_scores_sql('o8', 'yoy_threshold, level_threshold, retention, second_weight')}""",
     "growth_adjusted": RS.ORACLE_SQL["growth_adjusted_by_regime"],
     "confidence_caps": f"""{_REG}, s AS (SELECT *, unnest([0.0, 0.25, 0.5, 0.75, 1.0]) AS confidence_threshold, CASE WHEN regime = 'decline' THEN 0.5 * greatest(least(((CASE WHEN last_observed_revenue > 0 THEN predicted_revenue / last_observed_revenue ELSE 1 END) - 1) / 0.5, 1), 0)
   + 0.35 * greatest(least((0.4 - growth_ratio) / 0.4, 1), 0) + 0.15 * greatest(least((4 - growth_streak) / 4, 1), 0) ELSE 0 END AS c FROM rg),
