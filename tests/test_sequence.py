@@ -126,3 +126,20 @@ def test_scenarios_share_months_and_switch_one_thing_each(spark):
     assert len(out) == 8 and len({r.observations for r in out.values()}) == 1 and out[False, False, False].improvement == 0
     assert all(r.improvement == pytest.approx(out[False, False, False].WMAPE - r.WMAPE) for r in out.values())
     assert len({round(r.WMAPE, 9) for r in out.values()}) > 3
+
+
+def test_axes_agree_with_the_operator_they_vary(spark):
+    from tidemark.operators import forecast as FC
+    from tidemark.operators import metrics as M
+
+    data = panels(spark, {s: [v * (1 + s) * 1.03 ** (t if s % 2 else -t) * (1.2 if (t + s) % 5 == 0 else 1) for t, v in enumerate(wave(72))] for s in range(6)}, start=2017 * 12)
+    rows = FC.formula_forecast(data).where("target_year = 2022").withColumnRenamed("formula_adjusted_revenue", "predicted_revenue")
+    rows = rows.join(SQ.month_before(data), ["stock_id", "month_index"]).join(SQ.trend_cycle_forecasts(data, 2021, 2022), ["stock_id", "month_index"]).cache()
+    out = {(r.alpha, r.conditional, r.by_regime, r.components): r for r in SQ.adjustment_axes(rows).collect()}
+    assert len(out) == 24 and {r.observations for r in out.values()} == {72}
+    for alpha, conditional, by_regime in ((0.8, True, True), (0.4, False, True), (0.8, False, False), (0.0, True, False)):
+        want = M.accuracy(FC.adjust_for_growth(rows, alpha, conditional, by_regime)).first().WMAPE
+        assert out[alpha, conditional, by_regime, False].WMAPE == pytest.approx(want)
+    plain = M.accuracy(rows).first().WMAPE
+    assert all(r.WMAPE_change == pytest.approx(r.WMAPE - plain, abs=1e-9) and r.winner == ("variant" if r.WMAPE_change < 0 else "plain" if r.WMAPE_change > 0 else "tie") for r in out.values())
+    assert out[0.0, False, False, False].winner == "tie" and len({round(r.WMAPE, 6) for r in out.values()}) > 6

@@ -140,6 +140,39 @@ def assembled_forecast(rows: DataFrame, alpha: float = 0.8, conditional: bool =
     return guardrail(out).withColumnRenamed("clipped", "clipped_after").drop("_cap")
 
 
+def growth_adjusted_value(p: Column, alpha: float, conditional: bool = True, by_regime: bool = True) -> Column:
+    """FC-18 as one expression of a prediction: a boost by the growth signal of the month before, and by regime the last month as a cap in declines."""
+    positive, last = F.greatest(F.col("growth_signal"), F.lit(0.0)), F.col("last_observed_revenue")
+    allowed = (F.col("growth_rate") > 0) & (positive > 0)
+    allowed = allowed & (F.col("regime") == "growth") if by_regime else allowed
+    allowed = allowed & F.col("growth_phase") if conditional else allowed
+    boosted = F.when(allowed, p * (1 + alpha * positive)).otherwise(p)
+    return F.when(F.col("regime") == "decline", F.least(boosted, last)).otherwise(boosted) if by_regime else boosted
+
+
+def adjustment_axes(rows: DataFrame, alphas: tuple[float, ...] = (0.0, 0.4, 0.8)) -> DataFrame:
+    """EVL-05, EVL-04: every combination of strength, condition, regime and components of the adjustment, scored on the same months.
+
+    ``rows``: as for :func:`assembled_forecast`, with actual_revenue and mase_scale. One pass: the variants of a month are an array on its row.
+    ``WMAPE_change`` is against the plain prediction (no strength, regime or components), ``winner`` says which of both does better.
+    """
+    parts = recombine_trend_cycle(rows.withColumn("_plain", F.col("predicted_revenue")).withColumn("predicted_revenue", F.lit(None).cast("double"))).withColumnRenamed("predicted_revenue", "_parts")
+    axes = list(product(alphas, (False, True), (False, True), (False, True)))
+
+    def value(alpha: float, conditional: bool, by_regime: bool, components: bool) -> Column:
+        p = F.coalesce(F.col("_parts"), F.col("_plain")) if components else F.col("_plain")
+        return growth_adjusted_value(p, alpha, conditional, by_regime)
+
+    names = ("alpha", "conditional", "by_regime", "components")
+    variants = [F.struct(*[F.lit(x).alias(n) for n, x in zip(names, v, strict=True)], value(*v).alias("predicted_revenue")) for v in axes]
+    each = parts.withColumn("_v", F.explode(F.array(*variants))).select(ID, "month_index", "actual_revenue", "last_observed_revenue", "_v.*")
+    out = accuracy(each, *names)
+    plain = out.where((F.col("alpha") == 0) & ~F.col("conditional") & ~F.col("by_regime") & ~F.col("components")).select("WMAPE")
+    is_plain = (F.col("alpha") == 0) & ~F.col("by_regime") & ~F.col("components")
+    change = F.when(is_plain, 0.0).otherwise(F.col("WMAPE") - plain.scalar())
+    return out.withColumn("WMAPE_change", change).withColumn("winner", F.when(F.col("WMAPE_change") < 0, "variant").when(F.col("WMAPE_change") > 0, "plain").otherwise("tie"))
+
+
 def scenario_grid(panel: DataFrame, configs: DataFrame, target_year: int, alpha: float = 0.8) -> DataFrame:
     """EVL-30: growth adjustment by trend and cycle parts by settings tuned for each entity, on and off: eight scenarios scored on the same months.
 
@@ -153,12 +186,7 @@ def scenario_grid(panel: DataFrame, configs: DataFrame, target_year: int, alpha:
     def value(growth: bool, parts: bool, tuned: bool) -> Column:
         p = F.col("_tuned" if tuned else "untuned_revenue")
         p = F.coalesce(F.col("_parts"), p) if parts else p
-        if not growth:
-            return p
-        positive, last = F.greatest(F.col("growth_signal"), F.lit(0.0)), F.col("last_observed_revenue")
-        allowed = (F.col("growth_rate") > 0) & (positive > 0) & (F.col("regime") == "growth") & F.col("growth_phase")
-        boosted = F.when(allowed, p * (1 + alpha * positive)).otherwise(p)
-        return F.when(F.col("regime") == "decline", F.least(boosted, last)).otherwise(boosted)
+        return growth_adjusted_value(p, alpha) if growth else p
 
     scenarios = [F.struct(*[F.lit(on).alias(n) for n, on in zip(("growth", "trend_cycle", "auto_tune"), s, strict=True)], value(*s).alias("predicted_revenue")) for s in product((False, True), repeat=3)]
     each = rows.withColumn("_s", F.explode(F.array(*scenarios))).select(ID, "month_index", "actual_revenue", "last_observed_revenue", "_s.*")

@@ -105,6 +105,24 @@ def scenario_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neat(SQ.scenario_grid(monthly_revenue(spark, sf_dir), grid(spark), TARGET_YEAR).drop("MSE"), 4)
 
 
+_VARIANT = "CASE WHEN growth_rate > 0 AND growth_signal > 0 AND (regime = 'growth' OR NOT by_regime) AND (growth_phase OR NOT conditional) THEN p * (1 + alpha * growth_signal) ELSE p END"
+AXES_SQL = f"""WITH {S.full()}, {RS._REGIME}, {_PARTS}, {_TOP},
+a0 AS (SELECT rg.*, tp, cp, r1, v1, stddev_pop(cp) OVER () AS sd FROM rg JOIN wm USING (stock_id, month_index) JOIN tp USING (stock_id, month_index)), a1 AS (SELECT *, {_BOTH} AS both_parts FROM a0),
+a2 AS (SELECT *, unnest([0.0::DOUBLE, 0.4, 0.8]) AS alpha FROM a1), a3 AS (SELECT *, unnest([false, true]) AS conditional FROM a2), a4 AS (SELECT *, unnest([false, true]) AS by_regime FROM a3), a5 AS (SELECT *, unnest([false, true]) AS components FROM a4),
+a6 AS (SELECT *, CASE WHEN components AND regime = 'cycle' THEN both_parts ELSE predicted_revenue END AS p FROM a5), a7 AS (SELECT *, {_VARIANT} AS b FROM a6),
+a8 AS (SELECT * EXCLUDE predicted_revenue, CASE WHEN by_regime AND regime = 'decline' THEN least(b, last_observed_revenue) ELSE b END AS predicted_revenue FROM a7),
+a9 AS (SELECT alpha, conditional, by_regime, components, {S.metrics(digits=4)}, {RS._WMAPE} AS w FROM a8 GROUP BY 1, 2, 3, 4),
+c AS (SELECT *, CASE WHEN alpha = 0 AND NOT by_regime AND NOT components THEN 0 ELSE w - (SELECT w FROM a9 WHERE alpha = 0 AND NOT conditional AND NOT by_regime AND NOT components) END AS d FROM a9)
+SELECT * EXCLUDE (w, d, MSE), round(d, 4) AS WMAPE_change, CASE WHEN d < 0 THEN 'variant' WHEN d > 0 THEN 'plain' ELSE 'tie' END AS winner FROM c"""
+
+
+def adjustment_axes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """EVL-05: strength by condition by regime by components, against the plain formula."""
+    panel = monthly_revenue(spark, sf_dir)
+    rows = predictions(spark, sf_dir).where("model = 'formula'").join(SQ.month_before(panel), KEYS).join(SQ.trend_cycle_forecasts(panel, TARGET_YEAR - 1, TARGET_YEAR), KEYS)
+    return neat(SQ.adjustment_axes(rows).drop("MSE"), 4)
+
+
 def conditioned_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FC-14, FC-16: guarded one-step predictions of the target year with a head for each growth cluster."""
     rows = SQ.conditioned_sequence_regression(monthly_revenue(spark, sf_dir), TARGET_YEAR - 1, TARGET_YEAR)
@@ -136,9 +154,10 @@ QUERIES = {
     "trend_cycle_forecasts": trend_cycle_forecasts,
     "assembled_forecast": assembled_forecast,
     "scenario_grid": scenario_grid,
+    "adjustment_axes": adjustment_axes,
     "conditioned_sequence": conditioned_sequence,
     "conditioned_by_cluster": conditioned_by_cluster,
     "conditioned_accuracy": conditioned_accuracy,
     "growth_cluster_effects": growth_cluster_effects,
 }
-ORACLE_SQL = {"quarter_targets": QUARTER_SQL, "tuned_formula": TUNED_SQL, "trend_cycle_forecasts": PARTS_SQL, "assembled_forecast": ASSEMBLED_SQL, "scenario_grid": SCENARIO_SQL}
+ORACLE_SQL = {"quarter_targets": QUARTER_SQL, "tuned_formula": TUNED_SQL, "trend_cycle_forecasts": PARTS_SQL, "assembled_forecast": ASSEMBLED_SQL, "scenario_grid": SCENARIO_SQL, "adjustment_axes": AXES_SQL}
