@@ -77,6 +77,37 @@ def test_html_work_follows_the_length():
     assert seconds(16000) < 8 * max(seconds(4000), 0.02) and html_text.html_to_text("<p>" * 20000 + "z") == "z"
 
 
+@pytest.mark.parametrize(
+    "page",
+    [lambda n: "<a " * n + '"', lambda n: '<a ""' * n + '"', lambda n: "<a \"'" * n + '"', lambda n: "<table>" + "<tr><td colspan=1000 rowspan=1000>x" * (n // 8), lambda n: "<table><tr>" + "<td rowspan=1000>x" * (n // 4) + "<tr><td>y" * 500, lambda n: "<table><tr><td>x" * (n // 4), lambda n: "<p>x<b " * n + "'"],
+)
+def test_html_of_hostile_pages_takes_linear_time(page):
+    import time
+
+    def seconds(n):
+        at = time.process_time()
+        html_text.html_to_text(page(n))
+        return time.process_time() - at
+
+    seconds(500)
+    assert seconds(32_000) < 14 * max(seconds(8_000), 0.02)
+
+
+def test_html_quotes_that_stay_open_are_text():
+    assert html_text.html_to_text('<p>one <a href="x>two <b>three</b>') == 'one <a href="x>two three'
+    assert html_text.html_to_text("<p title='a>b'>x</p><i \"y\">z</i><i 'open>w") == "x\n\nz<i 'open>w"
+    # The quote of the first tag closes in the second, whose own stays open.
+    assert html_text.html_to_text("<a 'x <b 'y> z") == "z" and html_text.html_to_text("<a 'x> <b \"y' \"q\"> z") == "z"
+
+
+def test_html_spans_take_no_room_where_no_cell_begins():
+    assert html_text.html_to_text("<table><tr><td colspan=1000>a<td>b<tr><td colspan=1000>ccc<td>d</table>") == "a  b\nccc  d"
+    deep = "<table><tr><td>" * 40 + "in" + "<td>side</table>" + "</table>" * 39
+    assert html_text.html_to_text(deep) == "in side"
+    wide = "<table>" + "<tr>" + "".join(f"<td>{'w' * 20}" for _ in range(80)) + "<tr><td>a<td>b</table>"
+    assert html_text.html_to_text(wide).split("\n")[1] == "a  b"
+
+
 def visible_words(html):
     """The words of a page by Python's own tokenizer and a plain stack: no layout, only what is shown."""
     from html.parser import HTMLParser

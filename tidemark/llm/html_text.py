@@ -5,8 +5,9 @@ before it, a cell or row its neighbours, the body the head). What is not shown (
 elements) is left out; all other text is kept. Blocks stand on lines of their own, paragraphs and headings between blank lines,
 list items behind a dash or number at the depth of their list, preformatted text as it is, and table cells
 in aligned columns over as many columns and rows as they span, with blocks and lists inside a cell on lines of their own. Elements are
-handled as they come, without recursion, and open elements are looked up by name, so nesting may be of any depth and the work
-follows the length of the page. Closed ``details`` are shown, closed dialogs are not; what is visible within a hidden visibility is shown.
+handled as they come, without recursion, and open elements are looked up by name, so nesting may be of any depth; spans are ranges, quotes
+that never close are followed once, and tables more than ``DEEPEST`` deep are read as blocks, so the work follows the length of the page
+(times at most ``DEEPEST`` for nested tables and the 1,000 rows that a cell may span). Closed ``details`` are shown, closed dialogs are not; what is visible within a hidden visibility is shown.
 
 Rows are independent: one scan, no shuffle, pages in slices of about 1 MB. Edge cases: null html gives null text, empty html empty text;
 a page of any length is one row; markup that never closes is text up to its end; bytes of a cut-off tag at the end are dropped; repeated rows
@@ -16,7 +17,7 @@ give equal texts; an empty table gives an empty result; extra columns are kept,
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Iterator
 from html import unescape
 
@@ -26,7 +27,9 @@ from pyspark.sql import types as T
 
 from tidemark.llm.storage import ship
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)", re.S)
+_OPEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)", re.S)
+#: What follows a tag's name: quoted values and all else up to the end of the tag, never given back.
+_REST = re.compile(r"(?:\"[^\"]*\"|'[^']*'|[^'\">]+)*+")
 _ATTRIBUTE = re.compile(r"([^\s=\"'/]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"']+))?")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 _NO_DISPLAY = re.compile(r"display\s*:\s*none", re.I)
@@ -105,40 +108,90 @@ class _Flow:
         return "\n".join(line.rstrip(" \t") for line in "".join(self.out).split("\n")).strip("\n")
 
 
+#: Tables of longer lines are not aligned: cells stand two spaces apart.
+WIDEST = 1024
+#: Tables within so many others are read as blocks, so that no text is laid out again and again.
+DEEPEST = 32
+
+
 def _aligned(rows: list[list[tuple[list[str], int, int]]]) -> str:
-    """Rows of (lines, columns, rows that the cell spans) with the columns of equal width, two spaces apart."""
-    placed: list[list[tuple[int, list[str], int]]] = []
-    taken: dict[int, int] = {}  # column -> rows that a cell from above still covers
-    width: list[int] = []
-    for row in rows:
-        at, line, below = 0, [], {}
+    """Rows of (lines, columns, rows that the cell spans) with the columns of equal width, two spaces apart.
+
+    Spans are ranges, and only columns where a cell begins take room.
+    """
+    placed: list[list[tuple[int, list[str]]]] = []
+    covered: list[tuple[int, int, int]] = []  # (first column, end, row from which they are free), by first column
+    width: dict[int, int] = {}
+    for r, row in enumerate(rows):
+        covered = [c for c in covered if c[2] > r]
+        at, k, line, below = 0, 0, [], []
         for lines, span, down in row:
-            while taken.get(at):
-                at += 1
-            width += [0] * (at + span - len(width))
-            line.append((at, lines, span))
-            if span == 1:
-                width[at] = max([width[at], *map(len, lines)])
+            while k < len(covered) and covered[k][0] <= at:
+                at = max(at, covered[k][1])
+                k += 1
+            line.append((at, lines))
+            width[at] = max([width.get(at, 0), *map(len, lines if span == 1 else ())])
             if down > 1:
-                below |= dict.fromkeys(range(at, at + span), down)
+                if below and below[-1][1:] == (at, r + down):
+                    below[-1] = (below[-1][0], at + span, r + down)
+                else:
+                    below.append((at, at + span, r + down))
             at += span
         placed.append(line)
-        taken = {c: n - 1 for c, n in (taken | below).items() if n > 1}
-    starts = [0]
-    for w in width:
-        starts.append(starts[-1] + w + 2)
+        if below:
+            covered = sorted(covered + below)
+    starts, total = {}, 0
+    for c in sorted(width):
+        starts[c] = total
+        total += width[c] + 2
     out = []
     for line in placed:
-        for k in range(max((len(lines) for _, lines, _ in line), default=0)):
+        for k in range(max((len(lines) for _, lines in line), default=0)):
             text = ""
-            for at, lines, _ in line:
+            for at, lines in line:
                 if k < len(lines) and lines[k]:
-                    text = text.ljust(starts[at]) if len(text) <= starts[at] else text + "  "
+                    fits = total <= WIDEST and (not text or len(text) + 2 <= starts[at])
+                    text = text.ljust(starts[at]) if fits else text + "  " if text else ""
                     text += lines[k]
             out.append(text.rstrip())
     return "\n".join(line for line in out if line)
 
 
+class _Quotes:
+    """Where the tags of a page with a quote that never closes end: every quote is followed once, whatever number of tags run into it."""
+
+    def __init__(self, html: str) -> None:
+        self.html = html
+        self.marks = [m.start() for m in re.finditer("['\">]", html)]
+        self.same = {q: [i for i in self.marks if html[i] == q] for q in "'\""}
+        self.ends: dict[int, int | None] = {}
+
+    def end(self, at: int) -> int | None:
+        """The place of the ``>`` that ends a tag whose name ends at ``at``, the page's end if nothing follows, None if a quote stays open."""
+        passed: list[int] = []
+        while True:
+            k = bisect_left(self.marks, at)
+            if k == len(self.marks):
+                found = len(self.html)
+                break
+            mark = self.marks[k]
+            if self.html[mark] == ">":
+                found = mark
+                break
+            if mark in self.ends:
+                found = self.ends[mark]
+                break
+            passed.append(mark)
+            same = self.same[self.html[mark]]
+            k = bisect_right(same, mark)
+            if k == len(same):
+                found = None
+                break
+            at = same[k] + 1
+        self.ends.update(dict.fromkeys(passed, found))
+        return found
+
+
 def _attributes(text: str) -> dict[str, str]:
     return {k.lower(): unescape(v.strip("\"'")) for k, v in _ATTRIBUTE.findall(text)}
 
@@ -153,6 +206,7 @@ class _Page:
     def __init__(self) -> None:
         self.flow = _Flow()
         self.open: list[tuple[str, bool, bool]] = []  # (name, hides its content, whether text around it is invisible)
+        self.deep = 0  # open tables that are read as blocks
         self.at: dict[str, list[int]] = {}  # name -> places in the stack
         self.flows: list[tuple[_Flow, list[int | None]]] = []  # flow and lists around open cells
         self.tables: list[list[list[tuple[list[str], int, int]]]] = []
@@ -201,6 +255,10 @@ class _Page:
             self.flow.mark = "- " if number is None else f"{number}. "
             if number is not None:
                 self.lists[-1] = number + 1
+        elif name == "table" and (self.deep or len(self.tables) >= DEEPEST):
+            self.deep += 1
+        elif self.deep and name in ("tr", "td", "th"):
+            self.flow.line() if name == "tr" else self.flow.text(" ")
         elif name == "table":
             self.tables.append([])
         elif name == "tr" and self.tables:
@@ -222,7 +280,9 @@ class _Page:
             self.pre -= name in ("pre", "textarea")
             if not shown:
                 continue
-            if name in ("td", "th") and self.spans and self.tables:
+            if self.deep and name in ("table", "tr", "td", "th"):
+                self.deep -= name == "table"
+            elif name in ("td", "th") and self.spans and self.tables:
                 lines = [line for line in self.flow.result().split("\n") if line]
                 self.flow, self.lists = self.flows.pop()
                 self.tables[-1][-1].append((lines, *self.spans.pop()))
@@ -257,7 +317,7 @@ class _Page:
 def html_to_text(html: str) -> str:
     """The visible text of a page, laid out."""
     page, at = _Page(), 0
-    for_raw = None
+    for_raw = quotes = None
     while at < len(html):
         if for_raw is not None:
             found = re.compile(rf"</{re.escape(for_raw)}(?=[\s/>]|\Z)", re.I).search(html, at)
@@ -266,12 +326,23 @@ def html_to_text(html: str) -> str:
                 page.text(html[at:stop])
             at, for_raw = stop, None
             continue
-        found = _TOKEN.search(html, at)
+        look = at
+        while found := _OPEN.search(html, look):
+            stop = found.end()
+            if found[2] is None:
+                break
+            stop = _REST.match(html, stop).end() if quotes is None else quotes.end(stop)
+            if quotes is None and stop < len(html) and html[stop] != ">":
+                quotes = _Quotes(html)
+                stop = quotes.end(found.end())
+            if stop is not None:
+                break
+            look = found.start() + 1  # a quote stays open: no tag, its text stays
         if not found:
             page.text(html[at:])
             break
         page.text(html[at : found.start()])
-        at = found.end()
+        rest, at = html[found.end() : stop], min(stop + (found[2] is not None), len(html))
         name = found[2]
         if name is None:
             continue
@@ -279,7 +350,7 @@ def html_to_text(html: str) -> str:
         if found[1]:
             page.end(name)
         else:
-            page.start(name, found[3])
+            page.start(name, rest)
             if name in RAW and page.open and page.open[-1][0] == name:
                 for_raw = name
     page.close_to(0)
