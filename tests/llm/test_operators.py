@@ -823,3 +823,12 @@ def test_rates_of_targets_that_cannot_be_met(spark):
     rate = mixing.replay(np.array([[1.0, 0, 0], [0.5, 0, 0.5], [0, 0, 1.0]]), steps)[0]
     assert left == pytest.approx(0.3, abs=1e-3) and rate @ np.array([10 / 60, 15 / 60, 0]) == pytest.approx(0.5, abs=1e-3) and len(steps) < mixing.ITERATIONS
     assert mixing.solve_rates(members.limit(0), np.array([0.5, 0.3, 0.2])) == ([], 0.5)
+
+
+def test_turns_of_no_conversation_have_no_place(spark):
+    """Rows without conv_id have no place among each other, so no task has to order them; rows of conversations keep theirs."""
+    turns = spark.range(4000).select(F.lit(None).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.lit("user").alias("role"), F.concat(F.lit("text "), F.col("id")).alias("text"))
+    turns = turns.unionByName(spark.createDataFrame([(1, 0, "system", "be kind"), (1, 1, "user", "hello you"), (1, 2, "assistant", "yes")], "conv_id long, turn long, role string, text string"))
+    out = chat_format.link_tool_calls(*chat_format.conversation_calls(turns), chat_format.CONVERSATION_TOOLS)
+    assert out.where("conv_id is null").count() == 4000 and out.where("conv_id is null and position is not null").count() == 0
+    assert sorted(r.position for r in out.where("conv_id = 1").collect()) == [1, 2]

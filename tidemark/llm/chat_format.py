@@ -96,15 +96,17 @@ def call_levels(calls: DataFrame) -> DataFrame:
 
 
 def _positions(rows: DataFrame) -> DataFrame:
-    """``rows`` with their place within conv_id, by level, turn and call_id; ``rows`` is read more than once."""
+    """``rows`` with their place within conv_id, by level, turn and call_id; rows of no conversation have none. ``rows`` is read more than once."""
+    apart = rows.where(F.col("conv_id").isNull()).withColumn("position", F.lit(None).cast("long"))
+    rows = rows.where(F.col("conv_id").isNotNull())
     block = F.coalesce(F.floor(F.col("turn") / TURNS), F.lit(-1))
     keyed = rows.withColumn("_block", block).withColumn("_level", F.coalesce("level", F.lit((1 << 31) - 1)))
     counts = keyed.groupBy("conv_id", "_level", "_block").count()
     before = F.coalesce(F.sum("count").over(Window.partitionBy("conv_id").orderBy("_level", "_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = counts.select(F.col("conv_id").alias("_c"), F.col("_level").alias("_l"), F.col("_block").alias("_b"), before.alias("_before"))
     nth = F.row_number().over(Window.partitionBy("conv_id", "_level", "_block").orderBy("turn", "call_id", "status", "message"))
-    joined = keyed.withColumn("_nth", nth).join(starts, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("_level") == F.col("_l")) & (F.col("_block") == F.col("_b")))
-    return joined.withColumn("position", (F.col("_before") + F.col("_nth")).cast("long"))
+    joined = keyed.withColumn("_nth", nth).join(starts, (F.col("conv_id") == F.col("_c")) & (F.col("_level") == F.col("_l")) & (F.col("_block") == F.col("_b")))
+    return joined.withColumn("position", (F.col("_before") + F.col("_nth")).cast("long")).select(*apart.columns).unionByName(apart)
 
 
 def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: tuple[Argument, ...]) -> DataFrame:
@@ -114,7 +116,9 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: tuple[Argumen
     call_id, turn, content.
     """
     spark, spent = calls.sparkSession, []
-    nth = lambda *ties: F.when(F.col("call_id").isNotNull(), F.row_number().over(Window.partitionBy("conv_id", "call_id").orderBy("turn", *ties)))
+    # Rows without a call_id are not counted, and a hash spreads them, as all share one key.
+    spread = lambda *ties: F.when(F.col("call_id").isNull(), F.xxhash64("turn", *ties))
+    nth = lambda *ties: F.when(F.col("call_id").isNotNull(), F.row_number().over(Window.partitionBy("conv_id", "call_id", spread(*ties)).orderBy("turn", *ties)))
     calls = settle(calls.select("conv_id", "call_id", "turn", "name", "arguments", "needs").withColumn("_n", nth("name", "arguments")), "calls", spent)
     results = settle(results.select("conv_id", "call_id", F.col("turn").alias("result_turn"), "content", F.col("turn")).withColumn("_n", nth("content")).drop("turn"), "results", spent)
     named, answers = calls.where("_n = 1").drop("_n"), results.where("_n = 1").drop("_n")
