@@ -44,6 +44,29 @@ def live_months(panel: DataFrame, forecast: DataFrame, as_of: str, years: tuple[
     return rows.select(ID, "target_year", "target_month", F.coalesce("_actual", "predicted_revenue").alias("predicted_revenue"), basis.alias("basis"))
 
 
+def live_core(panel: DataFrame, forecast: DataFrame, quarterly: DataFrame, dividends: DataFrame, prices: DataFrame, entities: DataFrame, as_of: str, years: tuple[int, int], tolerance: float = 0.05) -> DataFrame:
+    """YLD-06: revenue, EPS, dividend and yield of two years as known and foreseen at the cut-off.
+
+    Months as of :func:`live_months`; published quarters of EPS with the others by ratio (EPS-03); dividends by the pattern of the five years before
+    (DIV-06, DIV-07); the last close. A year needs twelve months and four quarters; ``known_months`` and ``known_quarters`` say how much of it is fact.
+    """
+    months = live_months(panel, forecast, as_of, years).withColumn("model", F.lit("live"))
+    annual = FI.annual_predictions(months)[0]
+    public = F.add_months(F.make_date("revenue_year", "revenue_month", F.lit(10)), 1) <= F.lit(as_of).cast("date")
+    past, eps = panel.where(public), FI.annual_eps(quarterly, as_of)
+    history = FI.ratio_history(past, eps)
+    of = lambda rows, year: rows.where(F.col("target_year") == year)
+    quarters = [FI.eps_known_quarters(of(annual, y), of(months, y), past, quarterly, history, y, as_of) for y in years]
+    quarters = quarters[0].unionByName(quarters[1])
+    own = quarters.groupBy("model", ID, "target_year").agg(F.count_if(F.col("basis") == "actual").alias("known_quarters"), F.when(F.count("estimated_eps") == 4, F.sum("estimated_eps")).alias("estimated_eps"))
+    known = months.groupBy(ID, "target_year").agg(F.count_if(F.col("basis") == "actual").alias("known_months"))
+    patterns = FI.dividend_patterns(FI.five_years(entities, eps, dividends, as_of), tolerance)
+    rows = FI.dividend_by_pattern(annual.join(own, ["model", ID, "target_year"], "left").join(known, [ID, "target_year"], "left"), patterns)
+    rows = rows.join(FI.price_as_of(prices, as_of), ID, "left")
+    percent = ratio(F.col("estimated_cash_dividend"), F.col("stock_price")) * 100
+    return rows.withColumn("estimated_yield_percent", percent).select(ID, "target_year", "predicted_annual_revenue", "known_months", "known_quarters", "estimated_eps", "dividend_pattern", "estimated_cash_dividend", "stock_price", "estimated_yield_percent")
+
+
 def yields_of_models(wide: DataFrame, models: dict[str, str], revenue: DataFrame, quarterly: DataFrame, dividends: DataFrame, prices: DataFrame, target_year: int, as_of: str) -> dict[str, DataFrame]:
     """YLD-07: forecasts with a column for each model through the whole financial chain."""
     return FI.financial_forecast(to_long(wide, [ID, "target_year", "target_month"], models), revenue, quarterly, dividends, prices, target_year, as_of)

@@ -17,7 +17,7 @@ from tidemark.plans import reports as RS
 from tidemark.plans import sql as S
 from tidemark.plans.common import neat, predictions
 from tidemark.plans.finance import _inputs
-from tidemark.sources.adapters import AS_OF, TARGET_YEAR, dividends, entity_master, monthly_revenue, quarterly_eps
+from tidemark.sources.adapters import AS_OF, TARGET_YEAR, daily_prices, dividends, entity_master, monthly_revenue, quarterly_eps
 
 
 def arima_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,6 +159,14 @@ def live_months(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neat(ST.live_months(panel, FC.recursive_forecast(panel.where(F.col("revenue_year") < TARGET_YEAR), 12), AS_OF, (TARGET_YEAR - 1, TARGET_YEAR)))
 
 
+def live_core(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """YLD-06: revenue to yield of 1999 and 2000 as of the cut-off: what was published as it is, the rest by forecast, seasonal ratios and patterns."""
+    panel = monthly_revenue(spark, sf_dir)
+    forecast = FC.recursive_forecast(panel.where(F.col("revenue_year") < TARGET_YEAR), 12)
+    rows = ST.live_core(panel, forecast, quarterly_eps(spark, sf_dir), dividends(spark, sf_dir), daily_prices(spark, sf_dir), entity_master(spark, sf_dir), AS_OF, (TARGET_YEAR - 1, TARGET_YEAR), 0.6)
+    return neat(rows, 4)
+
+
 def financial_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """EVL-15: dividend methods on the actual revenue of two validation years and on the formula for the target year; the chosen one is marked."""
     revenue, quarterly, paid = monthly_revenue(spark, sf_dir), quarterly_eps(spark, sf_dir), dividends(spark, sf_dir)
@@ -187,6 +195,7 @@ QUERIES = {
     "adjustment_variants": adjustment_variants,
     "yield_layers": yield_layers,
     "live_months": live_months,
+    "live_core": live_core,
     "financial_ablation": financial_ablation,
     "arima_forecast": arima_forecast,
     "hybrid_forecast": hybrid_forecast,
@@ -253,6 +262,20 @@ SELECT CAST(alpha AS DOUBLE) AS alpha, CAST(cap AS DOUBLE) AS cap, {S.metrics()}
 g AS (SELECT stock_id, target_year, CAST(unnest(range(1, 13)) AS INTEGER) AS target_month FROM (SELECT DISTINCT stock_id, CAST(unnest([1999, 2000]) AS INTEGER) AS target_year FROM k))
 SELECT g.stock_id, g.target_year, g.target_month, round(coalesce(revenue, p), 6) AS predicted_revenue, CASE WHEN revenue IS NOT NULL THEN 'actual' WHEN p IS NOT NULL THEN 'forecast' ELSE 'missing' END AS basis
 FROM g LEFT JOIN k ON g.stock_id = k.stock_id AND g.target_year = k.target_year AND g.target_month = k.target_month LEFT JOIN rc ON g.stock_id = rc.stock_id AND g.target_year = rc.target_year AND g.target_month = rc.target_month""",
+    "live_core": f"""WITH RECURSIVE {S.full()}, {S.EPS}, {S.DIVIDENDS}, {S.PRICES}, {S.MASTER}, {S.FINANCE}, {PF._QUARTERS}, {_PATH[_PATH.index('l15 AS ('):]},
+{PF.PATTERNS_SQL[PF.PATTERNS_SQL.index('g AS (SELECT stock_id, unnest([1995'):PF.PATTERNS_SQL.index('est AS (')].rstrip().rstrip(',')},
+lg AS (SELECT stock_id, target_year, CAST(unnest(range(1, 13)) AS INTEGER) AS target_month FROM (SELECT DISTINCT stock_id, CAST(unnest([1999, 2000]) AS INTEGER) AS target_year FROM past)),
+lm AS (SELECT lg.*, coalesce(past.revenue, rc.p) AS p, past.revenue IS NOT NULL AS fact FROM lg LEFT JOIN past ON lg.stock_id = past.stock_id AND lg.target_year = past.revenue_year AND lg.target_month = past.revenue_month
+  LEFT JOIN rc ON lg.stock_id = rc.stock_id AND lg.target_year = rc.target_year AND lg.target_month = rc.target_month),
+la AS (SELECT stock_id, target_year, sum(greatest(p, 0)) AS r, count(*) FILTER (WHERE fact) AS known_months FROM lm GROUP BY 1, 2 HAVING count(p) = 12),
+lq AS (SELECT stock_id, target_year, (target_month - 1) // 3 + 1 AS eps_quarter, sum(p) AS q FROM lm GROUP BY 1, 2, 3),
+lx AS (SELECT la.stock_id, la.target_year, ek.EPS AS a, coalesce(ek.EPS, q * qm.r, q * rr.ratio) AS v FROM la JOIN lq ON la.stock_id = lq.stock_id AND la.target_year = lq.target_year LEFT JOIN ek ON la.stock_id = ek.stock_id AND la.target_year = ek.eps_year AND lq.eps_quarter = ek.eps_quarter
+  LEFT JOIN qm ON la.stock_id = qm.stock_id AND lq.eps_quarter = qm.eps_quarter LEFT JOIN rr ON la.stock_id = rr.stock_id),
+le AS (SELECT stock_id, target_year, count(a) AS known_quarters, CASE WHEN count(v) = 4 THEN sum(v) END AS e FROM lx GROUP BY 1, 2),
+lp AS (SELECT stock_id, arg_max(close, date) AS stock_price FROM px WHERE date <= {S.AS_OF} GROUP BY 1),
+ld AS (SELECT la.*, known_quarters, e, dividend_pattern, CASE WHEN dividend_pattern = 'none' THEN 0 WHEN dividend_pattern = 'fixed' THEN m WHEN dividend_pattern = 'normal' AND e * payout_ratio IS NOT NULL THEN greatest(e * payout_ratio, 0) END AS cash FROM la LEFT JOIN le ON la.stock_id = le.stock_id AND la.target_year = le.target_year LEFT JOIN f ON la.stock_id = f.stock_id)
+SELECT ld.stock_id, target_year, round(r, 4) AS predicted_annual_revenue, known_months, known_quarters, round(e, 4) AS estimated_eps, dividend_pattern, round(cash, 4) AS estimated_cash_dividend, round(stock_price, 4) AS stock_price, round(cash / nullif(stock_price, 0) * 100, 4) AS estimated_yield_percent
+FROM ld LEFT JOIN lp ON ld.stock_id = lp.stock_id""",
     "financial_summary": f"""{_CHAIN}, now AS (SELECT stock_id, arg_max(close, date) AS px FROM px WHERE date <= {S.AS_OF} GROUP BY 1)
 SELECT model, dc.stock_id, eps_method, round(e, 6) AS estimated_eps, round(cash, 6) AS estimated_cash_dividend, round(px, 6) AS stock_price, round(cash / px * 100, 6) AS estimated_yield_percent, status FROM dc LEFT JOIN now ON dc.stock_id = now.stock_id""",
     "yield_layers": f"""{_CHAIN}, {PF.YIELDS_SQL[PF.YIELDS_SQL.index('mo AS ('):PF.YIELDS_SQL.index('\ny AS (')].rstrip().rstrip(',')}, act AS (SELECT stock_id, sum(TotalCashDividend) AS actual FROM dv WHERE year(ex_dividend_date) = 2000 GROUP BY 1),
