@@ -287,3 +287,16 @@ def test_lunar_new_year_by_astronomy(spark):
     assert sorted((r.y, r.m) for r in flags) == sorted((int(d[:4]), int(d[5:7])) for d in LUNAR.split())
     # The table's years agree with what is computed.
     assert all(S.LUNAR_NEW_YEAR_MONTH[int(d[:4])] == int(d[5:7]) for d in LUNAR.split() if int(d[:4]) in S.LUNAR_NEW_YEAR_MONTH)
+
+
+def test_ranks_of_a_value_that_most_rows_share(spark):
+    """Ranks are those of a sort, and no block holds more than a small part of the rows."""
+    rows = spark.range(4000).select("id", F.when(F.col("id") % 10 < 7, 5.0).otherwise((F.col("id") * 7919 % 97).cast("double")).alias("v")).repartition(5)
+    got = {r.id: (r["rank"], r["tile"]) for r in M.ranked(rows, "v", "id", 7).collect()}
+    value = lambda i: 5.0 if i % 10 < 7 else float(i * 7919 % 97)
+    order = sorted(range(4000), key=lambda i: (value(i), i))
+    assert [got[i][0] for i in order] == list(range(1, 4001))
+    assert [sum(t == k for _, t in got.values()) for k in range(1, 8)] == [572, 572, 572, 571, 571, 571, 571]
+    named = rows.withColumn("id", F.col("id").cast("string"))
+    assert sorted(r["rank"] for r in M.ranked(named, "v", "id", 7).collect()) == list(range(1, 4001))
+    assert M.ranked(rows.limit(0), "v", "id", 7).count() == 0

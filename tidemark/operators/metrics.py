@@ -160,13 +160,21 @@ BLOCKS = 256
 def ranked(rows: DataFrame, value: str, key: str, tiles: int) -> DataFrame:
     """``rows`` with ``rank`` by value and key over all rows and its ``tile`` of as many equal parts, the first ones larger.
 
-    Blocks of values are ranked apart and offset by the counts of the blocks before; only the bounds of the blocks come to the driver.
+    Blocks of values are ranked apart and offset by the counts of the blocks before; only the bounds of the blocks come to the driver. A value
+    that fills blocks of its own is cut further by ranges of its keys (numbers or dates), so no task sorts all its rows.
     """
-    bounds = sorted(set(rows.approxQuantile(value, [k / BLOCKS for k in range(1, BLOCKS)], 0.001)))
+    cuts = rows.approxQuantile(value, [k / BLOCKS for k in range(1, BLOCKS)], 0.001)
+    bounds, heavy = sorted(set(cuts)), sorted({b for b in cuts if cuts.count(b) > 1})
     block = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]).cast("array<double>"), lambda b: b < F.col(value)))
-    placed = rows.withColumn("_b", block)
+    is_heavy = F.coalesce(F.col(value).isin(heavy), F.lit(False))
+    own = F.lit(0)
+    if heavy and dict(rows.dtypes)[key] in ("tinyint", "smallint", "int", "bigint", "float", "double", "date", "timestamp"):
+        of_keys = rows.where(is_heavy).agg(F.percentile_approx(key, [k / BLOCKS for k in range(1, BLOCKS)], 10 * BLOCKS)).first()[0] or []
+        own = F.size(F.filter(F.array(*[F.lit(b) for b in sorted(set(of_keys))]), lambda b: b < F.col(key)))
+    # In order: the block, of it the heavy value last, of that the keys' ranges.
+    placed = rows.withColumn("_b", (block * 2 + F.when(is_heavy, 1).otherwise(0)) * BLOCKS + F.when(is_heavy, own).otherwise(0))
     counts = placed.groupBy("_b").agg(F.count("*").alias("_n"))
-    # At most BLOCKS rows.
+    # At most BLOCKS rows, and as many for each of at most BLOCKS / 2 heavy values.
     every = Window.partitionBy(F.lit(1))
     counts = counts.select("_b", F.coalesce(F.sum("_n").over(every.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.sum("_n").over(every).alias("_all"))
     out = placed.withColumn("_k", F.row_number().over(Window.partitionBy("_b").orderBy(value, key))).join(F.broadcast(counts), "_b")
