@@ -201,6 +201,7 @@ def _contested_prefixes(docs: DataFrame, components: DataFrame, frequent: np.nda
                     common.append(place[-1] >= rare)
                 if h:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(h).view(np.int64)), *(pa.array(np.concatenate(c)) for c in (node, component, n, place, common))], names=names)
+        give_back()
 
     names = ["shingle", "node", "component", "n", "place", "common"]
     if components.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
@@ -230,6 +231,7 @@ def _verify(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, note: list[str]
                 bound = overlap_bound(n1[i], np.frombuffer(bits1[i].as_buffer(), np.uint64), n2[i], np.frombuffer(bits2[i].as_buffer(), np.uint64))
                 keep.append(7 * bound >= 3 * (n1[i] + n2[i]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        give_back()
 
     spent: list[str] = []
     for end in ("a", "b"):
@@ -248,6 +250,7 @@ def _verify(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, note: list[str]
                 found = [(name, s.tobytes()) for s, name in zip(shingle_sets(x), names[row : row + len(x)], strict=True) if len(s) and signature(s) == name]
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.binary())], names=["node", "body"])
+        give_back()
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -258,6 +261,7 @@ def _verify(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, note: list[str]
                     last, leader = a[i], np.frombuffer(mine[i].as_buffer(), np.uint64)
                 found.append(linked(leader, np.frombuffer(other[i].as_buffer(), np.uint64)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(found, pa.bool_()))
+        give_back()
 
     # One body for each node, whatever the number of its pairs.
     bodies = settle(texts.mapInArrow(sets, "node long, body binary").dropDuplicates(["node"]), "sets", spent)
