@@ -300,3 +300,40 @@ def test_ranks_of_a_value_that_most_rows_share(spark):
     named = rows.withColumn("id", F.col("id").cast("string"))
     assert sorted(r["rank"] for r in M.ranked(named, "v", "id", 7).collect()) == list(range(1, 4001))
     assert M.ranked(rows.limit(0), "v", "id", 7).count() == 0
+
+
+def test_live_core_from_facts_and_forecasts(spark):
+    """Ten months and three quarters of 2019 are known in mid November, nothing of 2020; dividends have been the same for five years."""
+    import datetime as dt
+
+    from tidemark.functions.scalars import statement_available_date
+    from tidemark.operators import studies as ST
+
+    months = spark.createDataFrame([(s, y, m, 100.0 * s) for s in (1, 2) for y in range(2014, 2020) for m in range(1, 13)], "stock_id long, revenue_year int, revenue_month int, revenue double")
+    forecast = spark.createDataFrame([(s, y, m, 100.0 * s) for s in (1, 2) for y in (2019, 2020) for m in range(1, 13) if (s, y) != (2, 2020)], "stock_id long, target_year int, target_month int, predicted_revenue double")
+    quarters = [(s, dt.date(y, 3 * q, 28), y, q, 30.0 * s) for s in (1, 2) for y in range(2014, 2020) for q in range(1, 5)]
+    eps = spark.createDataFrame(quarters, "stock_id long, date date, eps_year int, eps_quarter int, EPS double").withColumn("statement_available_date", statement_available_date(F.last_day("date")))
+    cash = spark.createDataFrame([(1, y, 20.0, dt.date(y + 1, 6, 10), dt.date(y + 1, 7, 2)) for y in range(2012, 2019)], "stock_id long, fiscal_year int, TotalCashDividend double, available_date date, ex_dividend_date date")
+    prices = spark.createDataFrame([(1, dt.date(2019, 11, 14), 50.0), (1, dt.date(2019, 12, 1), 999.0)], "stock_id long, date date, close double")
+    rows = ST.live_core(months, forecast, eps, cash, prices, months.select("stock_id").distinct(), "2019-11-15", (2019, 2020))
+    got = {(r.stock_id, r.target_year): r for r in rows.collect()}
+    assert set(got) == {(1, 2019), (1, 2020), (2, 2019)}  # no forecast for the second entity's 2020, so no whole year
+    now, ahead, other = got[1, 2019], got[1, 2020], got[2, 2019]
+    assert (now.known_months, now.known_quarters, ahead.known_months, ahead.known_quarters) == (10, 3, 0, 0)
+    assert now.predicted_annual_revenue == 1200 and now.estimated_eps == pytest.approx(120) and ahead.estimated_eps == pytest.approx(120)
+    assert now.dividend_pattern == "fixed" and now.estimated_cash_dividend == 20 and now.estimated_yield_percent == pytest.approx(40)
+    assert other.dividend_pattern == "insufficient" and other.estimated_cash_dividend is None and other.estimated_yield_percent is None
+
+
+def test_blend_weights_are_scored_on_rows_that_are_joined_once(spark):
+    from tidemark.operators import studies as ST
+
+    keys = "stock_id long, target_year int, target_month int"
+    formula = spark.createDataFrame([(s, 2020, m, 100.0, 110.0, 100.0) for s in (1, 2) for m in range(1, 13)], f"{keys}, formula_adjusted_revenue double, actual_revenue double, last_observed_revenue double")
+    second = spark.createDataFrame([(s, 2020, m, 120.0 if s == 1 else 5000.0, "other") for s in (1, 2) for m in range(1, 13)], f"{keys}, second_revenue double, second_method string")
+    rows = {r.second_weight: r for r in ST.blend_scores(formula, second, (0.0, 0.5, 1.0), FC.HybridConfig(second_method="other")).collect()}
+    # The second entity's forecast is out of bounds, so only the first has both.
+    assert {r.observations for r in rows.values()} == {12} and [rows[w].WMAPE for w in (0.0, 0.5, 1.0)] == pytest.approx([100 / 11, 0, 100 / 11])
+    assert ST.blend_scores(formula, second, (0.5,)).count() == 0  # of another method
+    plan = ST.blend_scores(formula, second)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Join")  # exploded above the join
