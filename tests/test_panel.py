@@ -337,3 +337,12 @@ def test_blend_weights_are_scored_on_rows_that_are_joined_once(spark):
     assert ST.blend_scores(formula, second, (0.5,)).count() == 0  # of another method
     plan = ST.blend_scores(formula, second)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Generate") < plan.index("Join")  # exploded above the join
+
+
+def test_sizes_that_only_the_order_of_rows_tells_apart_are_equal(spark):
+    from tidemark.operators import reports as RP
+
+    # In this order the doubles sum to 0.6000000000000001 and to 0.6.
+    rows = [(1, "up", v) for v in (0.1, 0.2, 0.3)] + [(2, "up", v) for v in (0.3, 0.2, 0.1)]
+    out = RP.dominant_category(spark.createDataFrame(rows, "stock_id long, kind string, value double").coalesce(1), "kind", ("up", "down"), "value")
+    assert [(r.stock_id, r.total, r.size_quartile) for r in out.orderBy("stock_id").collect()] == [(1, 0.6, 1), (2, 0.6, 2)]

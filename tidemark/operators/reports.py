@@ -30,8 +30,11 @@ def quarterly_totals(predictions: DataFrame) -> DataFrame:
 
 
 def dominant_category(rows: DataFrame, category: str, values: tuple[str, ...], total: str) -> DataFrame:
-    """AGG-16: how often an entity is in each category, its dominant one (ties to the earlier of ``values``) and its quartile of size."""
-    out = rows.groupBy(ID).agg(F.count("*").alias("months"), *[F.count_if(F.col(category) == v).alias(f"{v}_months") for v in values], F.sum(total).alias("total"))
+    """AGG-16: how often an entity is in each category, its dominant one (ties to the earlier of ``values``) and its quartile of size.
+
+    Sizes are sums to four digits: what lies below depends on the order of the rows, and equal sizes go by the entity.
+    """
+    out = rows.groupBy(ID).agg(F.count("*").alias("months"), *[F.count_if(F.col(category) == v).alias(f"{v}_months") for v in values], F.round(F.sum(total), 4).alias("total"))
     share = [F.col(f"{v}_months") / F.col("months") for v in values]
     top = F.greatest(*share)
     dominant = F.coalesce(*[F.when(s == top, v) for s, v in zip(share, values, strict=True)])
