@@ -346,3 +346,24 @@ def test_sizes_that_only_the_order_of_rows_tells_apart_are_equal(spark):
     rows = [(1, "up", v) for v in (0.1, 0.2, 0.3)] + [(2, "up", v) for v in (0.3, 0.2, 0.1)]
     out = RP.dominant_category(spark.createDataFrame(rows, "stock_id long, kind string, value double").coalesce(1), "kind", ("up", "down"), "value")
     assert [(r.stock_id, r.total, r.size_quartile) for r in out.orderBy("stock_id").collect()] == [(1, 0.6, 1), (2, 0.6, 2)]
+
+
+def test_break_sweep_sums_settings_where_entities_lie(spark):
+    from tidemark.operators import studies as ST
+
+    data = panel(spark, wave(72), start=2015 * 12).unionByName(panel(spark, [v * (0.1 if t > 55 else 2) for t, v in enumerate(wave(72))], start=2015 * 12, stock=2))
+    keys = ["stock_id", "target_year", "target_month"]
+    rows = FC.formula_forecast(data).where("target_year = 2020")
+    second = rows.select(*keys, F.col("seasonal_naive_revenue").alias("second_revenue"), F.lit("seasonal_arima").alias("second_method"))
+    featured = rows.select(*keys, "formula_adjusted_revenue", "actual_revenue", "last_observed_revenue").join(FC.break_features(data), keys)
+    out = ST.break_sweep(featured, second)
+    got = {(r.yoy_threshold, r.level_threshold, r.retention, r.second_weight): r for r in out.collect()}
+    assert len(got) == 297
+    # One setting by the plain operators: breaks replaced, blended, scored.
+    broken = FC.apply_breaks(featured, FC.BreakConfig(0.2, 0.3, 0.1, 0.3))
+    plain = M.balanced_score(FC.combine_forecasts(broken, second, FC.HybridConfig(second_weight=0.4)).where("both_models_valid").withColumn("k", F.lit(1)), "k", predicted="hybrid_predicted_revenue").first()
+    r = got[0.2, 0.3, 0.1, 0.4]
+    assert (r.observations, r.WMAPE, r.median_stock_WMAPE, r.balanced_score) == pytest.approx((plain.observations, plain.WMAPE, plain.median_stock_WMAPE, plain.balanced_score))
+    # No shuffle lies between the exploded settings and the sums by entity.
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert not any("hashpartitioning(yoy_threshold" in line and "stock_id" in line for line in plan.splitlines())

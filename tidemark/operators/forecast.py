@@ -216,6 +216,11 @@ def combine_forecasts(formula: DataFrame, second: DataFrame, config: HybridConfi
     return weighted_forecasts(formula.join(second, [ID, "target_year", "target_month"], "full"), config)
 
 
+def blended(formula: Column, second: Column, weight: Column | float) -> Column:
+    """FC-11: both forecasts by the weight of the second."""
+    return F.greatest(weight * second + (1 - weight) * formula, F.lit(0.0))
+
+
 def weighted_forecasts(rows: DataFrame, config: HybridConfig = HybridConfig()) -> DataFrame:
     """FC-11 on rows that hold both forecasts already; a column ``second_weight`` stands for the one of the config, so that a sweep explodes joined rows."""
     f, s, last = F.col("formula_adjusted_revenue"), F.col("second_revenue"), F.col("last_observed_revenue")
@@ -227,7 +232,7 @@ def weighted_forecasts(rows: DataFrame, config: HybridConfig = HybridConfig()) -
     both = F.col("formula_valid") & F.col("second_valid")
     w = F.lit(config.second_weight) if "second_weight" not in rows.columns else F.col("second_weight")
     return rows.withColumns({
-        "hybrid_predicted_revenue": F.greatest(F.when(both, w * s + (1 - w) * f).when(F.col("formula_valid"), f).when(F.col("second_valid"), s), F.lit(0.0)),
+        "hybrid_predicted_revenue": F.greatest(F.when(both, blended(f, s, w)).when(F.col("formula_valid"), f).when(F.col("second_valid"), s), F.lit(0.0)),
         "hybrid_method": F.when(both, "weighted_hybrid").when(F.col("formula_valid"), "formula_fallback").when(F.col("second_valid"), "second_fallback").otherwise("unavailable"),
         "both_models_valid": both,
     }).withColumn("hybrid_predicted_revenue", F.when(F.col("hybrid_method") != "unavailable", F.col("hybrid_predicted_revenue")))

@@ -90,6 +90,27 @@ def balanced_score(predictions: DataFrame, *configs: str, predicted: str = "pred
     return pooled.withColumn("balanced_score", 0.5 * F.col("WMAPE") + 0.5 * F.col("median_stock_WMAPE"))
 
 
+def balanced_scores(rows: DataFrame, name: str, predicted: dict[float, Column], *configs: str) -> DataFrame:
+    """AGG-28 for several predictions of each row: as :func:`balanced_score` by ``configs`` and ``name``, which holds the keys of ``predicted``.
+
+    Predictions are columns of sums and not rows, so a setting costs a row for each entity, and few groups have quantiles at a time. Rows that lie by
+    entity already are summed where they are.
+    """
+    a = F.col("actual_revenue")
+    known = rows.where(a.isNotNull())
+    of = lambda c, p: F.sum(F.when(p.isNotNull(), c))
+    sums = [s for k, p in enumerate(predicted.values()) for s in (of(F.abs(p - a), p).alias(f"_e{k}"), of(F.abs(a), p).alias(f"_a{k}"), F.count(p).alias(f"_n{k}"))]
+    each = known.groupBy(*configs, "stock_id").agg(*sums)
+
+    def scores(k: int) -> list[Column]:
+        e, a = F.col(f"_e{k}"), F.col(f"_a{k}")
+        return [F.sum(f"_n{k}").alias("observations"), (ratio(F.sum(e), F.sum(a)) * 100).alias("WMAPE"), (F.percentile(ratio(e, a), 0.5) * 100).alias("median_stock_WMAPE")]
+
+    pooled = each.groupBy(*configs).agg(*[F.struct(F.lit(v).alias(name), *scores(k)).alias(f"_s{k}") for k, v in enumerate(predicted)])
+    out = pooled.select(*configs, F.explode(F.array(*[f"_s{k}" for k in range(len(predicted))])).alias("_s")).select(*configs, "_s.*").where("observations > 0")
+    return out.withColumn("balanced_score", 0.5 * F.col("WMAPE") + 0.5 * F.col("median_stock_WMAPE"))
+
+
 #: Bounds between blocks of values in a search for quantiles.
 QUANTILE_BLOCKS = 256
 

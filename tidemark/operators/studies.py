@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from tidemark.functions.scalars import ratio
 from tidemark.operators import finance as FI
 from tidemark.operators.cohorts import best_per, method_cohort, to_long
-from tidemark.operators.forecast import HybridConfig, weighted_forecasts
-from tidemark.operators.metrics import balanced_score
+from tidemark.operators.forecast import HybridConfig, blended, weighted_forecasts
+from tidemark.operators.metrics import balanced_score, balanced_scores
 
 ID = "stock_id"
 
@@ -100,17 +100,19 @@ def blend_scores(formula: DataFrame, second: DataFrame, weights: tuple[float, ..
 def break_sweep(featured: DataFrame, second: DataFrame, yoy: tuple[float, ...] = (0.1, 0.2, 0.3), level: tuple[float, ...] = (0.2, 0.3, 0.4), retention: tuple[float, ...] = (0.0, 0.1, 0.2), weights: tuple[float, ...] = WEIGHTS, config: HybridConfig = HybridConfig()) -> DataFrame:
     """EVL-08: 27 settings of the structural break by 11 blend weights on the same rows, with their balanced scores.
 
-    Formula and second forecast are joined once; settings are exploded from the joined rows into sums for each setting and entity.
+    Formula and second forecast are joined once and lie by entity; settings of the break are exploded from there into sums for each
+    setting and entity, which takes no shuffle, and weights are columns of these sums (whether both are valid does not depend on them).
     """
-    rows = featured.join(second, [ID, "target_year", "target_month"])
+    rows = featured.join(second, [ID, "target_year", "target_month"]).repartition(ID)
     rows = _grid(rows, {"yoy_threshold": yoy, "level_threshold": level, "retention": retention})
     below = lambda c, t: F.coalesce(F.col(c) < t, F.lit(False))
     recent = sum((below(f"break_recent_ratio_{k}", F.col("level_threshold")).cast("int") for k in (1, 2, 3)), F.lit(0))
     hit = below("break_last_yoy_ratio", F.col("yoy_threshold")) & (below("break_level_ratio", F.col("level_threshold")) | (recent >= 2)) & F.coalesce(F.col("last_observed_revenue") >= 0, F.lit(False))
     moved = F.greatest(F.col("retention") * F.col("formula_adjusted_revenue") + (1 - F.col("retention")) * F.col("last_observed_revenue"), F.lit(0.0))
     rows = rows.withColumn("formula_adjusted_revenue", F.when(hit, moved).otherwise(F.col("formula_adjusted_revenue")))
-    blended = weighted_forecasts(_grid(rows, {"second_weight": weights}), config).where("both_models_valid")
-    return balanced_score(blended, "yoy_threshold", "level_threshold", "retention", "second_weight", predicted="hybrid_predicted_revenue")
+    valid = weighted_forecasts(rows, config).where("both_models_valid")
+    each = {float(w): blended(F.col("formula_adjusted_revenue"), F.col("second_revenue"), float(w)) for w in weights}
+    return balanced_scores(valid, "second_weight", each, "yoy_threshold", "level_threshold", "retention")
 
 
 def method_scores(estimates: DataFrame, actuals: DataFrame, methods: list[str], year: Column) -> DataFrame:
