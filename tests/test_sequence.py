@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 import random
+import tempfile
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -11,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tests.test_panel import CONFIG_COLUMNS, CONFIGS, panel, wave
 from tidemark.operators import sequence as SQ
+from tidemark.sources import artifacts
 
 
 def panels(spark, series, start=2015 * 12):
@@ -143,3 +146,29 @@ def test_axes_agree_with_the_operator_they_vary(spark):
     plain = M.accuracy(rows).first().WMAPE
     assert all(r.WMAPE_change == pytest.approx(r.WMAPE - plain, abs=1e-9) and r.winner == ("variant" if r.WMAPE_change < 0 else "plain" if r.WMAPE_change > 0 else "tie") for r in out.values())
     assert out[0.0, False, False, False].winner == "tie" and len({round(r.WMAPE, 6) for r in out.values()}) > 6
+
+
+def written_by(run):
+    """The rows of what a call returns, and which tables it wrote to the shared folder."""
+    with tempfile.TemporaryDirectory() as place, pytest.MonkeyPatch.context() as patch:
+        patch.setattr(artifacts, "shared_dir", lambda spark: place)
+        return run().collect(), sorted(p.name.rsplit("-", 1)[0] for p in Path(place).iterdir())
+
+
+def test_fits_read_written_windows(spark):
+    data = panels(spark, two_regimes(stocks=8))
+    rows, tables = written_by(lambda: SQ.plain_and_conditioned(data, 2020, 2021))
+    assert tables == ["tidemark-clustered-windows", "tidemark-panel"]
+    # The head without clusters is the one of windows that are all in one cluster.
+    none = spark.createDataFrame([], "stock_id long, month_index int, cluster int")
+    shared = SQ.conditioned_sequence_regression(data, 2020, 2021, 0, clusters=none)
+    heads = SQ.conditioned_sequence_regression(data, 2020, 2021)
+    joined = heads.join(shared.select("stock_id", "target_month", F.col("predicted_revenue").alias("s")), ["stock_id", "target_month"])
+    expected = {r.cluster: r.e for r in joined.groupBy("cluster").agg((F.sum(F.abs(F.col("s") - F.col("actual_revenue"))) / F.sum("actual_revenue") * 100).alias("e")).collect()}
+    assert {r.cluster: r.shared_WMAPE for r in rows} == pytest.approx(expected)
+
+
+def test_scenarios_read_written_months(spark):
+    data = panels(spark, {s: [v * (1 + s) * (1.2 if (t + s) % 5 == 0 else 1) for t, v in enumerate(wave(72))] for s in range(3)}, start=2017 * 12)
+    rows, tables = written_by(lambda: SQ.scenario_grid(data, spark.createDataFrame(CONFIGS, CONFIG_COLUMNS), 2022))
+    assert len(rows) == 8 and tables == ["tidemark-panel", "tidemark-scenario-months", "tidemark-scenario-scores"]

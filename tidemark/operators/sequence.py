@@ -16,6 +16,7 @@ from tidemark.operators.calendar import ID, MONTH, VALUE, YEAR, by_segment, grow
 from tidemark.operators.forecast import adjust_for_growth, growth_signal, guardrail, recombine_trend_cycle, tuned_formula
 from tidemark.operators.learned import growth_clusters
 from tidemark.operators.metrics import accuracy
+from tidemark.sources.artifacts import settled
 
 
 @dataclass(frozen=True)
@@ -76,6 +77,15 @@ def window_clusters(panel: DataFrame, k: int, train_end_year: int) -> DataFrame:
     return rows.select(ID, (F.col(YEAR) * 12 + F.col(MONTH) - 1).alias("month_index"), "cluster")
 
 
+def clustered_windows(panel: DataFrame, train_end_year: int, k: int = 5, months: int = 12, clusters: DataFrame | None = None) -> DataFrame:
+    """Windows of ``months`` months with the month after them and the growth cluster of their last month, as a written table: fits read it several times."""
+    panel = settled(panel, "panel") if clusters is None else panel
+    samples = sequence_samples(panel, months)
+    clusters = window_clusters(panel, k, train_end_year) if clusters is None else clusters
+    rows = samples.join(clusters.select(ID, "month_index", "cluster"), [ID, "month_index"], "left").withColumn("cluster", F.coalesce("cluster", F.lit(-1)))
+    return settled(rows.select(ID, "target_year", "target_index", "cluster", "inputs", "target", "window_max"), "clustered-windows")
+
+
 def conditioned_sequence_regression(panel: DataFrame, train_end_year: int, target_year: int, k: int = 5, months: int = 12, clusters: DataFrame | None = None, strength: float = 0.01) -> DataFrame:
     """FC-14, FC-13: windows of log levels to the next month's, with a head for each growth cluster in one fit.
 
@@ -83,10 +93,12 @@ def conditioned_sequence_regression(panel: DataFrame, train_end_year: int, targe
     place), so the ridge shares what clusters have in common and learns what they do not. A window's cluster is that of its
     last month, found with centres of the training years: nothing of the target month enters it. ``clusters`` may bring others.
     """
-    samples = sequence_samples(panel, months)
-    clusters = window_clusters(panel, k, train_end_year) if clusters is None else clusters
-    rows = samples.join(clusters.select(ID, "month_index", "cluster"), [ID, "month_index"], "left").withColumn("cluster", F.coalesce("cluster", F.lit(-1)))
-    rows = rows.withColumn("x", array_to_vector(F.transform("inputs", lambda v: F.log1p(F.greatest(v, F.lit(0.0)))))).withColumn("y", log_level(F.col("target")))
+    return conditioned_heads(clustered_windows(panel, train_end_year, k, months, clusters), train_end_year, target_year, k, months, strength)
+
+
+def conditioned_heads(windows: DataFrame, train_end_year: int, target_year: int, k: int = 5, months: int = 12, strength: float = 0.01) -> DataFrame:
+    """FC-14 on the rows of :func:`clustered_windows`."""
+    rows = windows.withColumn("x", array_to_vector(F.transform("inputs", lambda v: F.log1p(F.greatest(v, F.lit(0.0)))))).withColumn("y", log_level(F.col("target")))
     train = rows.where(F.col("target_year") <= train_end_year)
     scale = StandardScaler(inputCol="x", outputCol="_z", withMean=True).fit(train)
 
@@ -179,8 +191,11 @@ def scenario_grid(panel: DataFrame, configs: DataFrame, target_year: int, alpha:
     Everything is learnt before the target year: settings on the year before it, the parts on the years up to that. One pass: a month's
     scenarios are an array on its row. ``improvement`` is the WMAPE of the scenario with everything off less the scenario's.
     """
+    panel = settled(panel, "panel")
     base = tuned_formula(panel, configs, target_year - 1, target_year)
     rows = base.join(month_before(panel), [ID, "month_index"]).join(trend_cycle_forecasts(panel, target_year - 1, target_year), [ID, "month_index"])
+    # The spread of the cycles, the scores and the scenario that all are compared with read these rows each.
+    rows = settled(rows, "scenario-months")
     rows = recombine_trend_cycle(rows.withColumnsRenamed({"predicted_revenue": "_tuned"}).withColumn("predicted_revenue", F.lit(None).cast("double"))).withColumnRenamed("predicted_revenue", "_parts")
 
     def value(growth: bool, parts: bool, tuned: bool) -> Column:
@@ -190,7 +205,7 @@ def scenario_grid(panel: DataFrame, configs: DataFrame, target_year: int, alpha:
 
     scenarios = [F.struct(*[F.lit(on).alias(n) for n, on in zip(("growth", "trend_cycle", "auto_tune"), s, strict=True)], value(*s).alias("predicted_revenue")) for s in product((False, True), repeat=3)]
     each = rows.withColumn("_s", F.explode(F.array(*scenarios))).select(ID, "month_index", "actual_revenue", "last_observed_revenue", "_s.*")
-    out = accuracy(each, "growth", "trend_cycle", "auto_tune")
+    out = settled(accuracy(each, "growth", "trend_cycle", "auto_tune"), "scenario-scores")
     plain = ~(F.col("growth") | F.col("trend_cycle") | F.col("auto_tune"))
     off = out.where(plain).select("WMAPE")
     return out.withColumn("improvement", F.when(plain, 0.0).otherwise(off.scalar() - F.col("WMAPE")))
@@ -198,8 +213,9 @@ def scenario_grid(panel: DataFrame, configs: DataFrame, target_year: int, alpha:
 
 def plain_and_conditioned(panel: DataFrame, train_end_year: int, target_year: int, k: int = 5) -> DataFrame:
     """FC-14: errors of windows with heads for clusters and without, by the cluster that each window was in, on the same months."""
-    heads = conditioned_sequence_regression(panel, train_end_year, target_year, k)
-    shared = conditioned_sequence_regression(panel, train_end_year, target_year, 0, clusters=panel.sparkSession.createDataFrame([], "stock_id long, month_index int, cluster int"))
+    windows = clustered_windows(panel, train_end_year, k)
+    heads = conditioned_heads(windows, train_end_year, target_year, k)
+    shared = conditioned_heads(windows.withColumn("cluster", F.lit(-1)), train_end_year, target_year, 0)
     rows = heads.join(shared.select(ID, "target_year", "target_month", F.col("predicted_revenue").alias("_shared")), [ID, "target_year", "target_month"])
     error = lambda c: F.sum(F.abs(F.col(c) - F.col("actual_revenue"))) / F.sum(F.abs("actual_revenue")) * 100
     return rows.groupBy("cluster").agg(F.count("*").alias("months"), F.count_distinct(ID).alias("stocks"), error("predicted_revenue").alias("conditioned_WMAPE"), error("_shared").alias("shared_WMAPE"))

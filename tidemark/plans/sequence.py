@@ -16,6 +16,7 @@ from tidemark.plans import sql as S
 from tidemark.plans.common import neat, predictions
 from tidemark.plans.evaluation import _GRID_SQL, grid
 from tidemark.sources.adapters import TARGET_YEAR, monthly_revenue
+from tidemark.sources.artifacts import settled
 
 KEYS = ["stock_id", "month_index"]
 
@@ -136,7 +137,7 @@ def conditioned_by_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def growth_cluster_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG-18 on FC-13's clusters: what the adjustment of the conditioned predictions does in each cluster of the month before."""
-    panel = monthly_revenue(spark, sf_dir)
+    panel = settled(monthly_revenue(spark, sf_dir), "panel")
     rows = SQ.conditioned_sequence_regression(panel, TARGET_YEAR - 1, TARGET_YEAR).withColumn("month_index", F.col("target_year") * 12 + F.col("target_month") - 1)
     rows = rows.drop("window_max").join(SQ.month_before(panel), KEYS).withColumn("plain_revenue", F.col("predicted_revenue"))
     return neat(L.cluster_effects(FC.adjust_for_growth(rows).withColumn("adjusted_revenue", F.col("predicted_revenue"))))

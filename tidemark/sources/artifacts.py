@@ -22,8 +22,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not named:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        named = "file://" + tempfile.mkdtemp(prefix="spark-tidemark-")
-        spark.conf.set("spark.checkpoint.dir", named)
+        # A running session takes no core setting, so the folder is kept at its context.
+        context = spark.sparkContext
+        named = context._tidemark_shared = getattr(context, "_tidemark_shared", None) or "file://" + tempfile.mkdtemp(prefix="spark-tidemark-")
     return named.rstrip("/")
 
 
