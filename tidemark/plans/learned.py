@@ -18,6 +18,7 @@ from tidemark.plans import sql as S
 from tidemark.plans.common import neat, predictions
 from tidemark.plans.finance import _inputs
 from tidemark.sources.adapters import AS_OF, TARGET_YEAR, daily_prices, dividends, entity_master, monthly_revenue, quarterly_eps
+from tidemark.sources.artifacts import settled
 
 
 def arima_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,7 +93,7 @@ def hurdle_samples(spark: SparkSession, sf_dir: str, first_year: int = 1995) ->
 
 def dividend_hurdle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """DIV-08, DIV-10: both regressions at seven thresholds for the target year, learnt from years before it, each seen from its own cut-off."""
-    samples = hurdle_samples(spark, sf_dir)
+    samples = settled(hurdle_samples(spark, sf_dir), "hurdle-samples")
     return neat(L.hurdle_dividends(samples, TARGET_YEAR).unionByName(L.hurdle_dividends(samples, TARGET_YEAR, "elastic_net")))
 
 
