@@ -112,3 +112,15 @@ def test_comparison_marks_the_best_of_each_year(spark):
     for year in (1999, 2000):
         mine = [r for r in rows if r.target_year == year]
         assert min(mine, key=lambda r: (r.dividend_mae, r.method)).is_best and all(r.paid_found + r.paid_missed == 64 and r.paid_false == 0 for r in mine)
+
+
+def test_trees_and_eps_fits_read_written_samples(spark):
+    from tests.test_sequence import panels, written_by
+
+    data = panels(spark, {s: [1000.0 + 10 * t + 50 * s + 20 * (t % 12) for t in range(60)] for s in range(4)}, start=2017 * 12)
+    rows, tables = written_by(lambda: L.pooled_trees(data, 2022, depths=(2,)))
+    assert len(rows) == 48 and tables == ["tidemark-yearly-samples"]
+    history = spark.createDataFrame([(s, y, 100.0 * s + y, 2.0 * s, 0.02) for s in range(1, 6) for y in (2019, 2020, 2021)], "stock_id long, revenue_year int, annual_revenue double, annual_eps double, eps_to_revenue_ratio double")
+    annual = spark.createDataFrame([("m", 1, 2022, 2200.0)], "model string, stock_id long, target_year int, predicted_annual_revenue double")
+    rows, tables = written_by(lambda: L.eps_regression(history, annual))
+    assert len(rows) == 1 and tables == ["tidemark-ratio-history"]

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import level_of, log_level
 from tidemark.operators.calendar import ID, MONTH, VALUE, YEAR, growth_windows, sequence_samples, with_segments
+from tidemark.sources.artifacts import settled
 
 SEED = 42
 
@@ -72,7 +73,8 @@ TREE_FEATURES = ["log_revenue", "lag_1", "lag_3", "lag_12", "mean_12", "month_si
 
 def pooled_trees(panel: DataFrame, target_year: int, depths: tuple[int, ...] = (3, 5)) -> DataFrame:
     """FC-02: one boosted-tree regression for all entities on the log level a year ahead; depth chosen on the year before."""
-    rows = yearly_samples(panel)
+    # Every fit and score reads the samples.
+    rows = settled(yearly_samples(panel).where(F.col("target_year") <= target_year).select(ID, "target_year", MONTH, "month_index", *TREE_FEATURES, "target"), "yearly-samples")
     steps = [Imputer(strategy="median", inputCols=TREE_FEATURES, outputCols=[f"{c}_f" for c in TREE_FEATURES]), VectorAssembler(inputCols=[f"{c}_f" for c in TREE_FEATURES], outputCol="features")]
     known = rows.where(F.col("target").isNotNull()).orderBy(ID, "month_index")
     fit = lambda depth, year: Pipeline(stages=[*steps, GBTRegressor(labelCol="target", maxDepth=depth, maxIter=20, stepSize=0.1, seed=SEED)]).fit(known.where(F.col("target_year") < year))
@@ -106,7 +108,7 @@ def lagged_annual(history: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def eps_regression(history: DataFrame, annual: DataFrame, kind: str = "ridge") -> DataFrame:
     """EPS-04: regularised regression of annual EPS on revenue and the year before; medians for what is missing."""
-    rows, last = lagged_annual(history)
+    rows, last = lagged_annual(settled(history, "ratio-history"))
     target = annual.withColumnRenamed("predicted_annual_revenue", "annual_revenue").join(last, ID, "left")
     columns = ["annual_revenue", "prev_revenue", "prev_eps", "prev_ratio"]
     mix = {"ridge": 0.0, "elastic_net": 0.5, "lasso": 1.0}[kind]
