@@ -160,3 +160,16 @@ def test_late_writer_takes_the_published_set(spark, tmp_path):
         return {"kept": rows}
 
     assert A.load_or_build_set(spark, root, {"r": rows}, {}, slow)["kept"].count() == 5 and A.drop_drafts(spark, root) == 0
+
+
+def test_partitions_of_a_panel_follow_the_size_of_its_facts(spark, tmp_path, monkeypatch):
+    from tidemark.sources import adapters as A
+
+    rows = [(k % 7, k % 5, dt.datetime(1999, 1 + k % 12, 3), 10.0 + k, 0.1) for k in range(300)]
+    spark.createDataFrame(rows, "l_suppkey long, l_partkey long, l_shipdate timestamp, l_extendedprice double, l_discount double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    small = A.monthly_revenue(spark, str(tmp_path))
+    monkeypatch.setattr(A, "PANEL_BYTES", 100)
+    large = A.monthly_revenue(spark, str(tmp_path))
+    size = sum(p.stat().st_size for p in (tmp_path / "lineitem.parquet").iterdir() if not p.name.startswith("."))
+    assert large.rdd.getNumPartitions() >= size // 100 > 10 > small.rdd.getNumPartitions()
+    assert sorted(large.collect()) == sorted(small.collect())

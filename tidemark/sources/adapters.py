@@ -19,6 +19,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of a facts table whose months one task of a panel holds.
+PANEL_BYTES = 8 << 20
+
+
+def _by_entity(spark: SparkSession, path: str, panel: DataFrame) -> DataFrame:
+    """A large panel by entity in partitions that its facts' size tells, so that tasks of its windows keep their size; small ones as Spark lays them."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    parts = -(-at.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(at).getLength() // PANEL_BYTES)
+    return panel.repartition(parts, "stock_id") if parts > spark.sparkContext.defaultParallelism else panel
+
+
 def _money(c: Column) -> Column:
     return F.sum(c.cast(MONEY))
 
@@ -34,7 +45,8 @@ def monthly_revenue(spark: SparkSession, sf_dir: str, by: str = "l_suppkey") ->
     """(stock_id, revenue_year, revenue_month, revenue); ``by`` l_suppkey is dense, l_partkey has gaps."""
     sold = F.col("l_extendedprice") * (1 - F.col("l_discount"))
     keys = (F.col(by).alias("stock_id"), F.year("l_shipdate").alias("revenue_year"), F.month("l_shipdate").alias("revenue_month"))
-    return table(spark, sf_dir, "lineitem").groupBy(*keys).agg(_money(sold).cast("double").alias("revenue"))
+    panel = table(spark, sf_dir, "lineitem").groupBy(*keys).agg(_money(sold).cast("double").alias("revenue"))
+    return _by_entity(spark, f"{sf_dir}/lineitem.parquet", panel)
 
 
 def quarterly_eps(spark: SparkSession, sf_dir: str) -> DataFrame:
