@@ -42,10 +42,10 @@ CAPACITY = 2048
 CLOSING_ID = 0
 TOKENIZER = "word_bpe_49k.json"
 #: Bytes of remembered pieces in a worker; the pieces met longest ago are let go beyond it.
-REMEMBERED_BYTES = 64 << 20
+REMEMBERED_BYTES = 32 << 20
 IDLE = 15.0
 #: Bytes of text that are encoded at a time.
-SLICE = 2 << 20
+SLICE = 1 << 20
 #: A length of more pieces than this is ranked in salted groups of about so many.
 ROWS_EACH = 50_000
 
