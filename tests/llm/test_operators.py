@@ -14,7 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann_codes, best_fit_packing, chat_format, html_text, jaccard_join, mixing, pitman_yor, quality_classifier, quality_rules, warc
+from tidemark.llm import ann_codes, best_fit_packing, chat_format, html_text, jaccard_join, mixing, pitman_yor, quality_classifier, quality_rules, storage, warc
 from tidemark.llm.components import connected_components
 from tidemark.llm.textbatch import slices
 
@@ -832,3 +832,16 @@ def test_turns_of_no_conversation_have_no_place(spark):
     out = chat_format.link_tool_calls(*chat_format.conversation_calls(turns), chat_format.CONVERSATION_TOOLS)
     assert out.where("conv_id is null").count() == 4000 and out.where("conv_id is null and position is not null").count() == 0
     assert sorted(r.position for r in out.where("conv_id = 1").collect()) == [1, 2]
+
+
+def test_whole_texts_come_to_python_in_small_batches(spark):
+    limit = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    docs = spark.range(0, 400, 1, 1).select("id", F.repeat(F.lit("some words "), 2000).alias("text"))
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["rows", "size"])
+
+    got = storage.settle(docs.mapInArrow(sizes, "rows long, size long"), "sizes", texts=True).collect()
+    assert sum(r.rows for r in got) == 400 and max(r["size"] for r in got) < 2 * storage.TEXT_BATCH_BYTES
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == limit

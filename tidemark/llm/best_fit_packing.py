@@ -45,7 +45,7 @@ TOKENIZER = "word_bpe_49k.json"
 REMEMBERED_BYTES = 32 << 20
 IDLE = 15.0
 #: Bytes of text that are encoded at a time.
-SLICE = 1 << 20
+SLICE = 1 << 19
 #: A length of more pieces than this is ranked in salted groups of about so many.
 ROWS_EACH = 50_000
 
@@ -87,6 +87,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.by_piece, self.room, self.clock = _splits_words(path), room, 0
+        give_back()  # what reading the file took
         self.hash, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int32)
         self.at, self.size, self.met = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
 
@@ -261,7 +262,7 @@ def packing_plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tu
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, tokenizer: str | None = None) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of every piece."""
     ship(docs.sparkSession)
-    pieces = settle(token_pieces(docs, id_col, text_col, capacity, tokenizer), "pieces")
+    pieces = settle(token_pieces(docs, id_col, text_col, capacity, tokenizer), "pieces", texts=True)
     histogram = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}
     runs = packing_plan(histogram, capacity)
     # Lengths that many pieces share are ranked in salted groups; the table of these grows with the pieces, one row for ROWS_EACH.

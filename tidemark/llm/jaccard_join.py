@@ -47,6 +47,8 @@ SKETCH = 8
 BROADCAST_ROWS = 250_000
 #: Keys of a node before a key that are compared to see whether a pair was met already.
 EARLIER = 4
+#: Names of sets that a task remembers at least before it gives the keys of a copy again.
+SEEN_ROWS = 10_000
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -167,7 +169,7 @@ def _survey(docs: DataFrame, note: list[str]) -> DataFrame:
         give_back()
 
     names = ["doc_id", "key", "n", "node", "sketch", "bits", "shingle", "texts"]
-    return settle(docs.select("_id", "_key", "_text").mapInArrow(run, "doc_id long, key long, n long, node long, sketch array<long>, bits binary, shingle long, texts long"), "survey", note)
+    return settle(docs.select("_id", "_key", "_text").mapInArrow(run, "doc_id long, key long, n long, node long, sketch array<long>, bits binary, shingle long, texts long"), "survey", note, texts=True)
 
 
 def _contested_prefixes(docs: DataFrame, components: DataFrame, frequent: np.ndarray, note: list[str]) -> DataFrame:
@@ -178,8 +180,10 @@ def _contested_prefixes(docs: DataFrame, components: DataFrame, frequent: np.nda
     """
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
-            seen: set[int] = set()
+            if len(seen) > SEEN_ROWS:
+                seen.clear()
             known, components = batch.column(1), batch.column(2)
             for row, x in slices(batch.column(0)):
                 h, node, component, n, place, common = [], [], [], [], [], []
@@ -208,7 +212,7 @@ def _contested_prefixes(docs: DataFrame, components: DataFrame, frequent: np.nda
         components = F.broadcast(components)
     docs = docs.join(components, "_key", "left").select("_text", "node", "component")
     spent: list[str] = []
-    rows = settle(docs.mapInArrow(prefixes, "shingle long, node long, component long, n int, place int, common boolean"), "prefixes", spent)
+    rows = settle(docs.mapInArrow(prefixes, "shingle long, node long, component long, n int, place int, common boolean"), "prefixes", spent, texts=True)
     hot = rows.where("common").groupBy("shingle").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("shingle")
     hot = settle(hot, "hot", spent)
     every = Window.partitionBy("shingle")
@@ -264,7 +268,7 @@ def _verify(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, note: list[str]
         give_back()
 
     # One body for each node, whatever the number of its pairs.
-    bodies = settle(texts.mapInArrow(sets, "node long, body binary").dropDuplicates(["node"]), "sets", spent)
+    bodies = settle(texts.mapInArrow(sets, "node long, body binary").dropDuplicates(["node"]), "sets", spent, texts=True)
     both = pairs.join(bodies.select(F.col("node").alias("b"), F.col("body").alias("other")), "b").join(bodies.select(F.col("node").alias("a"), F.col("body").alias("mine")), "a")
     links = settle(both.select("a", "b", "mine", "other").mapInArrow(compare, "a long, b long").distinct(), "links", note)
     discard(docs.sparkSession, spent)

@@ -231,7 +231,7 @@ def mix_to_targets(docs: DataFrame, labels: DataFrame, domain: Column, targets:
     domains = tuple(targets)
     model = fit_domains(docs, labels, domain, domains, id_col, text_col)
     members = domain_posteriors(docs.select(id_col, text_col, *([row_col] if row_col else [])), model, text_col).drop(text_col)
-    members = settle(members, "members")
+    members = settle(members, "members", texts=True)
     share = np.array([targets[d] for d in domains], float)
     if relative:
         p = members.agg(*[F.sum(F.col("n_tokens") * F.col("posteriors")[k]) for k in range(len(domains))]).first()
