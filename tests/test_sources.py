@@ -12,6 +12,7 @@ from tidemark.functions import scalars as X
 from tidemark.operators import learned as L
 from tidemark.operators import metrics as M
 from tidemark.operators import quality as Q
+from tidemark.sources import adapters
 from tidemark.sources import readers as R
 
 FILES = {
@@ -173,3 +174,16 @@ def test_partitions_of_a_panel_follow_the_size_of_its_facts(spark, tmp_path, mon
     size = sum(p.stat().st_size for p in (tmp_path / "lineitem.parquet").iterdir() if not p.name.startswith("."))
     assert large.rdd.getNumPartitions() >= size // 100 > 10 > small.rdd.getNumPartitions()
     assert sorted(large.collect()) == sorted(small.collect())
+
+
+def test_written_facts_are_the_separate_tables_from_one_pass(spark, tmp_path):
+    day = lambda m, d=3: dt.date(1998 + m // 12, m % 12 + 1, d)
+    rows = [(s, float(100 * s + 7 * m + k), k / 50, (m + k) % 4 / 50, "ANR"[(m + s + k) % 3], day(m)) for s in range(3) for m in range(0, 20, s + 1) for k in range(3)]
+    rows += [(7, None, 0.1, 0.1, "A", day(1)), (7, 5.0, 0.1, 0.2, None, day(2)), (8, 5.0, 0.1, 0.2, "A", None), (None, 5.0, 0.1, 0.2, "A", day(5))]
+    kinds = "l_suppkey long, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_shipdate date"
+    spark.createDataFrame(rows, kinds).write.parquet(f"{tmp_path}/lineitem.parquet")
+    facts = adapters.written_facts(spark, str(tmp_path))
+    for name, made in (("revenue", adapters.monthly_revenue), ("quarterly", adapters.quarterly_eps), ("dividends", adapters.dividends)):
+        want = made(spark, str(tmp_path))
+        assert facts[name].dtypes == want.dtypes and not any("lineitem" in f for f in facts[name].inputFiles())
+        assert sorted(map(repr, facts[name].collect())) == sorted(map(repr, want.collect()))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import median_of_sorted, quarter_of, weighted_recent
 from tidemark.operators.asof import history_known
+from tidemark.sources.artifacts import settled
 
 ID = "stock_id"
 
@@ -312,6 +313,8 @@ def eps_sign_guard(eps: DataFrame, cash: DataFrame) -> DataFrame:
 def dividend_matrix(eps: DataFrame, dividends: DataFrame, annual: DataFrame, as_of: str) -> DataFrame:
     """DIV-04: one row for each entity and dividend method: payouts of the three evidence modes, cash histories of two and the sign guard."""
     columns = ["model", ID, "target_year", "eps_method", "estimated_eps", "dividend_method", "estimated_cash_dividend"]
+    # Six parts read the estimates, three the annual EPS: forecasts behind them are made once.
+    eps, annual = settled(eps.select(*columns[:5]), "estimates"), settled(annual, "annual-eps")
     parts = [dividend_by_payout(eps, payout_history(dividends, annual, as_of, mode)).withColumn("dividend_method", F.lit(f"{mode}_payout")).select(*columns) for mode in ("current_system", "ex_date_safe", "announcement_safe")]
     for mode in ("ex_date_safe", "announcement_safe"):
         cash = cash_history_dividends(dividends, as_of, mode)

@@ -18,9 +18,9 @@ def neat(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*[F.round(c, digits).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes])
 
 
-def predictions(spark: SparkSession, sf_dir: str, year: int = TARGET_YEAR, by: str = "l_suppkey") -> DataFrame:
-    """Formula, seasonal-naive and last-value predictions of a year in long form, with actuals."""
-    rows = formula_forecast(monthly_revenue(spark, sf_dir, by)).where(F.col("target_year") == year).withColumn("_last", F.col("last_observed_revenue"))
+def predictions(spark: SparkSession, sf_dir: str, year: int = TARGET_YEAR, by: str = "l_suppkey", panel: DataFrame | None = None) -> DataFrame:
+    """Formula, seasonal-naive and last-value predictions of a year in long form, with actuals; of ``panel`` where it is at hand."""
+    rows = formula_forecast(monthly_revenue(spark, sf_dir, by) if panel is None else panel).where(F.col("target_year") == year).withColumn("_last", F.col("last_observed_revenue"))
     keys = ["stock_id", "target_year", "target_month", "month_index", "actual_revenue", "_last", "mase_scale"]
     return to_long(rows, keys, MODELS).withColumnRenamed("_last", "last_observed_revenue").where("predicted_revenue is not null")
 

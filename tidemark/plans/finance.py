@@ -10,17 +10,18 @@ from tidemark.operators import finance as FI
 from tidemark.operators import forecast as FC
 from tidemark.plans import sql as S
 from tidemark.plans.common import neat, predictions
-from tidemark.sources.adapters import AS_OF, TARGET_YEAR, daily_prices, dividends, entity_master, monthly_revenue, quarterly_eps
+from tidemark.sources.adapters import AS_OF, TARGET_YEAR, daily_prices, dividends, entity_master, monthly_revenue, quarterly_eps, written_facts
 
 
 def _inputs(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    monthly = predictions(spark, sf_dir).where("model = 'formula'").select("model", "stock_id", "target_year", "target_month", "predicted_revenue")
-    revenue, quarterly = monthly_revenue(spark, sf_dir), quarterly_eps(spark, sf_dir)
+    facts = written_facts(spark, sf_dir)
+    revenue, quarterly = facts["revenue"], facts["quarterly"]
+    monthly = predictions(spark, sf_dir, panel=revenue).where("model = 'formula'").select("model", "stock_id", "target_year", "target_month", "predicted_revenue")
     public = F.add_months(F.make_date("revenue_year", "revenue_month", F.lit(10)), 1) <= F.lit(AS_OF).cast("date")
     past = revenue.where(public)
     eps = FI.annual_eps(quarterly, AS_OF)
     annual, failures = FI.annual_predictions(monthly)
-    return {"monthly": monthly, "past": past, "quarterly": quarterly, "known": FI.available(quarterly, "statement_available_date", AS_OF), "eps": eps, "annual": annual, "failures": failures, "history": FI.ratio_history(past, eps), "dividends": dividends(spark, sf_dir), "prices": daily_prices(spark, sf_dir)}
+    return {"monthly": monthly, "past": past, "quarterly": quarterly, "known": FI.available(quarterly, "statement_available_date", AS_OF), "eps": eps, "annual": annual, "failures": failures, "history": FI.ratio_history(past, eps), "dividends": facts["dividends"], "prices": daily_prices(spark, sf_dir)}
 
 
 _BASE = f"WITH {S.full()}, {S.EPS}, {S.DIVIDENDS}, {S.PRICES}, {S.MASTER}, {S.FINANCE}"
