@@ -17,7 +17,8 @@ from tidemark.plans import finance as PF
 from tidemark.plans import sql as S
 from tidemark.plans.common import neat, predictions
 from tidemark.plans.finance import _inputs
-from tidemark.sources.adapters import AS_OF, TARGET_YEAR, dividends, entity_master, monthly_revenue, quarterly_eps
+from tidemark.sources.adapters import AS_OF, TARGET_YEAR, dividends, entity_master, monthly_revenue, quarterly_eps, written_facts
+from tidemark.sources.artifacts import settled
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -430,7 +431,8 @@ SELECT 'fixed' AS strategy, false AS is_hindsight, count(*) AS stocks, round(avg
 UNION ALL SELECT 'bucket', false, count(*), round(avg(err), 6) FROM g2000 LEFT JOIN cb ON g2000.bk = cb.bk WHERE g2000.method = coalesce(cb.method, 'current_ratio') UNION ALL SELECT 'hindsight', true, count(*), round(avg(err), 6) FROM (SELECT stock_id, min(err) AS err FROM e2000 GROUP BY 1)""")
 def eps_layer_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """EVL-36, EVL-13: EPS methods on actual revenue, chosen in the year before the target year (for all, by entity, by stability of the ratio as known then) and applied to it."""
-    revenue, quarterly = monthly_revenue(spark, sf_dir), quarterly_eps(spark, sf_dir)
+    facts = written_facts(spark, sf_dir)
+    revenue, quarterly = facts["revenue"], facts["quarterly"]
 
     def errors(year: int) -> DataFrame:
         as_of = f"{year}-01-10"
@@ -444,7 +446,8 @@ def eps_layer_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = rows.join(actual, "stock_id").where("estimated_eps is not null").join(bucket, "stock_id", "left")
         return rows.select("stock_id", "method", F.coalesce("bucket", F.lit("insufficient_history")).alias("bucket"), F.abs(F.col("estimated_eps") - F.col("annual_eps")).alias("error"))
 
-    before, test = errors(TARGET_YEAR - 1), errors(TARGET_YEAR)
+    # Each is read by every way of choosing.
+    before, test = (settled(errors(year), "eps-errors") for year in (TARGET_YEAR - 1, TARGET_YEAR))
     overall = before.groupBy("method").agg(F.avg("error").alias("error")).orderBy("error", "method").limit(1)
     own = K.best_per(before, "stock_id", "error", "method")
     # Each bucket takes what did best in it the year before, buckets that were empty then the plain ratio.
