@@ -10,6 +10,7 @@ from tidemark.operators import finance as FI
 from tidemark.operators.cohorts import best_per, method_cohort, to_long
 from tidemark.operators.forecast import HybridConfig, blended, weighted_forecasts
 from tidemark.operators.metrics import balanced_score, balanced_scores
+from tidemark.sources.artifacts import settled
 
 ID = "stock_id"
 
@@ -50,11 +51,12 @@ def live_core(panel: DataFrame, forecast: DataFrame, quarterly: DataFrame, divid
     Months as of :func:`live_months`; published quarters of EPS with the others by ratio (EPS-03); dividends by the pattern of the five years before
     (DIV-06, DIV-07); the last close. A year needs twelve months and four quarters; ``known_months`` and ``known_quarters`` say how much of it is fact.
     """
-    months = live_months(panel, forecast, as_of, years).withColumn("model", F.lit("live"))
+    # Read by totals, by both years' quarters and by the count of what is known.
+    months = settled(live_months(panel, forecast, as_of, years).withColumn("model", F.lit("live")), "live-months")
     annual = FI.annual_predictions(months)[0]
     public = F.add_months(F.make_date("revenue_year", "revenue_month", F.lit(10)), 1) <= F.lit(as_of).cast("date")
-    past, eps = panel.where(public), FI.annual_eps(quarterly, as_of)
-    history = FI.ratio_history(past, eps)
+    past, eps = panel.where(public), settled(FI.annual_eps(quarterly, as_of), "annual-eps")
+    history = settled(FI.ratio_history(past, eps), "ratio-history")
     of = lambda rows, year: rows.where(F.col("target_year") == year)
     quarters = [FI.eps_known_quarters(of(annual, y), of(months, y), past, quarterly, history, y, as_of) for y in years]
     quarters = quarters[0].unionByName(quarters[1])

@@ -17,7 +17,7 @@ from tidemark.plans import reports as RS
 from tidemark.plans import sql as S
 from tidemark.plans.common import neat, predictions
 from tidemark.plans.finance import _inputs
-from tidemark.sources.adapters import AS_OF, TARGET_YEAR, daily_prices, dividends, entity_master, monthly_revenue, quarterly_eps
+from tidemark.sources.adapters import AS_OF, TARGET_YEAR, daily_prices, dividends, entity_master, monthly_revenue, quarterly_eps, written_facts
 from tidemark.sources.artifacts import settled
 
 
@@ -83,10 +83,11 @@ def eps_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def hurdle_samples(spark: SparkSession, sf_dir: str, first_year: int = 1995) -> DataFrame:
     """Every entity and year seen from the tenth of January, with the cash of the year's ex-dates."""
-    paid = dividends(spark, sf_dir)
+    facts = written_facts(spark, sf_dir)
+    paid = facts["dividends"]
     years = [F.lit(y) for y in range(first_year, TARGET_YEAR + 1)]
     samples = entity_master(spark, sf_dir).select("stock_id", F.explode(F.array(*years)).alias("target_year")).withColumn("as_of_date", F.make_date("target_year", F.lit(1), F.lit(10)))
-    rows = FI.time_safe_features(samples, monthly_revenue(spark, sf_dir), quarterly_eps(spark, sf_dir), paid)
+    rows = FI.time_safe_features(samples, facts["revenue"], facts["quarterly"], paid)
     actual = paid.groupBy("stock_id", F.year("ex_dividend_date").alias("target_year")).agg(F.sum("TotalCashDividend").alias("actual_cash_dividend"))
     return rows.join(actual, ["stock_id", "target_year"], "left").withColumn("actual_cash_dividend", F.coalesce("actual_cash_dividend", F.lit(0.0)))
 
@@ -162,9 +163,10 @@ def live_months(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def live_core(spark: SparkSession, sf_dir: str) -> DataFrame:
     """YLD-06: revenue to yield of 1999 and 2000 as of the cut-off: what was published as it is, the rest by forecast, seasonal ratios and patterns."""
-    panel = monthly_revenue(spark, sf_dir)
+    facts = written_facts(spark, sf_dir)
+    panel = facts["revenue"]
     forecast = FC.recursive_forecast(panel.where(F.col("revenue_year") < TARGET_YEAR), 12)
-    rows = ST.live_core(panel, forecast, quarterly_eps(spark, sf_dir), dividends(spark, sf_dir), daily_prices(spark, sf_dir), entity_master(spark, sf_dir), AS_OF, (TARGET_YEAR - 1, TARGET_YEAR), 0.6)
+    rows = ST.live_core(panel, forecast, facts["quarterly"], facts["dividends"], daily_prices(spark, sf_dir), entity_master(spark, sf_dir), AS_OF, (TARGET_YEAR - 1, TARGET_YEAR), 0.6)
     return neat(rows, 4)
 
 
