@@ -112,3 +112,16 @@ def test_replay_of_batches_equals_the_stream(spark):
 
 def test_batch_of_no_events(spark):
     assert MTD.month_to_date(MTD.daily_totals(spark.createDataFrame([], SCHEMA))).count() == 0
+
+
+def test_an_entity_and_month_adds_events_to_days_and_skips_nulls():
+    import pandas as pd
+
+    class State:
+        exists = hasTimedOut = False
+        getCurrentWatermarkMs = staticmethod(lambda: 2 * MTD.DAY_MS)
+        update = setTimeoutTimestamp = remove = staticmethod(lambda *_: None)
+
+    frames = [pd.DataFrame({"day_ms": [0, MTD.DAY_MS, 0, None], "units": [5, 7, None, 9]}), pd.DataFrame({"day_ms": [0, 2 * MTD.DAY_MS], "units": [1, 3]})]
+    (out,) = MTD._running((4, "1970-01-01"), iter(frames), State())
+    assert out.values.tolist() == [[4, datetime(1970, 1, 1).date(), 0.0006, 3, 0.0006], [4, datetime(1970, 1, 2).date(), 0.0007, 1, 0.0013]]
