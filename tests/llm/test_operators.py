@@ -545,6 +545,33 @@ def test_words_split_among_restaurants_and_hot_triples(spark, monkeypatch):
     assert len(rows) == 21 and all(r.score < 0 and r.n_known == r.n_tokens and r.score > r.base_score for r in rows)
 
 
+def test_equal_texts_have_equal_scores_whatever_their_ids_and_parts(spark, monkeypatch):
+    monkeypatch.setattr(pitman_yor, "ROOM", 20)
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice(["the", "of", "a", f"x{i % 9}"]) for _ in range(12)) for i in range(60)]
+    rows = spark.createDataFrame([(i + 1000 * k, t) for k in range(3) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.id: (r.score, r.base_score) for r in pitman_yor.score_texts(rows, F.col("doc_id") < 2000).collect()}
+    # The last copies are held out.
+    for i in range(60):
+        assert got[i] == pytest.approx(got[i + 1000], rel=1e-6) and got[i] == pytest.approx(got[i + 2000], rel=1e-6)
+
+
+def test_words_in_parts_share_their_restaurant():
+    names = ["a", "b", "c", "d", "new"]
+    site, rows = one_site(TOY, names)
+    site.part, site.start = np.array([1, 0]), np.array([False, False])
+    root = np.array([0.2, 0.1, 0.25, 0.25, 0.15, 0.05])
+    alone, own = site.sample(root, 6, 2)
+    new = (site.dish_m == 0) & (site.dish_w == 1 + names.index("new"))
+    # Customers of parts go up, and what other parts have seen makes a word likelier that these never saw.
+    assert own[site.dish_m == 0].sum() >= 7 and new.sum() == 1 and own[new] == 0
+    more = np.where(new, 30.0, np.where(site.dish_m == 0, 3.0, 0.0))
+    p, again = site.sample(root, 6, 2, (more, np.where(more > 0, 2.0, 0.0), np.zeros(2), np.zeros(2)))
+    assert p[site.context == 0].sum() == pytest.approx(1, abs=1e-12) and again[new] == 0
+    at = (site.context == 0) & (site.w == 1 + names.index("new"))
+    assert p[at] > 3 * alone[at]
+
+
 def test_repeated_texts_stand_out(spark):
     rng = random.Random(2)
     text = lambda: " ".join(f"w{int(4000 * rng.random() ** 2)}" for _ in range(120))
